@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from capsift.llm import packing, token_files
+from capsift.llm import packing, quality, simhash, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op3_wavelet_tokens": token_files.op3_wavelet_tokens,
+        "op4_weak_supervision": quality.op4_weak_supervision,
         "op9_vector_packing": packing.op9_vector_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_weak_supervision": quality.sql(),
+    }
