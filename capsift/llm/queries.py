@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsift.llm import packing, quality, simhash, token_files
+from capsift.llm import lines, packing, quality, simhash, token_files
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op3_wavelet_tokens": token_files.op3_wavelet_tokens,
         "op4_weak_supervision": quality.op4_weak_supervision,
         "op9_vector_packing": packing.op9_vector_packing,
+        "op10_deletion_neighbourhood": lines.op10_deletion_neighbourhood,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_weak_supervision": quality.sql(),
+        "op10_deletion_neighbourhood": lines.sql(),
     }
