@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from capsift.llm import lines, packing, quality, simhash, token_files
+from capsift.llm import chat, lines, mixing, packing, quality, simhash, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_hierarchical_budget": mixing.op1_hierarchical_budget,
         "op2_simhash": simhash.op2_simhash,
         "op3_wavelet_tokens": token_files.op3_wavelet_tokens,
         "op4_weak_supervision": quality.op4_weak_supervision,
+        "op6_content_parts": chat.op6_content_parts,
         "op9_vector_packing": packing.op9_vector_packing,
         "op10_deletion_neighbourhood": lines.op10_deletion_neighbourhood,
     }
@@ -17,6 +19,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_hierarchical_budget": mixing.sql(),
         "op4_weak_supervision": quality.sql(),
+        "op6_content_parts": chat.sql(),
         "op10_deletion_neighbourhood": lines.sql(),
     }
