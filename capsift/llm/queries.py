@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsift.llm import chat, lines, mixing, packing, quality, simhash, token_files
+from capsift.llm import chat, lines, mixing, packing, passages, quality, simhash, token_files
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_wavelet_tokens": token_files.op3_wavelet_tokens,
         "op4_weak_supervision": quality.op4_weak_supervision,
         "op6_content_parts": chat.op6_content_parts,
+        "op8_relative_lz": passages.op8_relative_lz,
         "op9_vector_packing": packing.op9_vector_packing,
         "op10_deletion_neighbourhood": lines.op10_deletion_neighbourhood,
     }
