@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsift.llm import chat, lines, mixing, packing, passages, quality, simhash, token_files
+from capsift.llm import chat, langid, lines, mixing, packing, passages, quality, simhash, token_files, topk
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_wavelet_tokens": token_files.op3_wavelet_tokens,
         "op4_weak_supervision": quality.op4_weak_supervision,
+        "op5_viterbi_language": langid.op5_viterbi_language,
         "op6_content_parts": chat.op6_content_parts,
+        "op7_pivot_table": topk.op7_pivot_table,
         "op8_relative_lz": passages.op8_relative_lz,
         "op9_vector_packing": packing.op9_vector_packing,
         "op10_deletion_neighbourhood": lines.op10_deletion_neighbourhood,
@@ -23,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_hierarchical_budget": mixing.sql(),
         "op4_weak_supervision": quality.sql(),
         "op6_content_parts": chat.sql(),
+        "op7_pivot_table": topk.sql(),
         "op10_deletion_neighbourhood": lines.sql(),
     }
