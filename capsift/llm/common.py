@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,11 @@ def partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    trimmed = F.btrim(text, F.lit(WS))
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_RUN))
+    line = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    odd = reduce(lambda a, b: a | b, (F.contains(line, F.lit(c)) for c in "\t\x0b\f\r"))
+    # a split at one plain character needs no pattern
+    plain = F.when(odd, F.regexp_replace(line, WS_RUN, " ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def count_words(text: Column) -> Column:

@@ -35,44 +35,48 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _halves(w: Column, n: Column) -> Column:
-    """Hashes of the first and last half, also as a line of one word less would cut them."""
+    """Hashes of the first and last half, also as a line of one word less would cut them; the lowest bit is 1 for a last half."""
     down = lambda x: F.floor(x / 2).cast("int")
     first = [down(n), down(n - 1)]
     last = [n - down(n), n - 1 - down(n - 1)]
-    keys = [F.xxhash64(F.lit(0), a, F.slice(w, 1, a)) for a in first] + [F.xxhash64(F.lit(1), b, F.slice(w, n - b + 1, b)) for b in last]
+    keys = [F.xxhash64(a, F.slice(w, 1, a)).bitwiseAND(-2) for a in first] + [F.xxhash64(b, F.slice(w, n - b + 1, b)).bitwiseOR(1) for b in last]
     return F.when(n >= MIN_WORDS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line with a word: doc_id, k (the row), no, h1, h2 (the line), halves."""
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("k"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    worded = split.withColumn("w", common.words(F.col("line"))).where(F.size("w") > 0)
+    worded = split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("w", common.words(F.col("line")))
     return worded.select(*_PLACE, F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), _halves(F.col("w"), F.size("w")).alias("halves"))
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """The places of the lines that share a half with another."""
-    halves = distinct.select("first", F.explode("halves").alias("half"))
+    """k, no of the lines that share a half with another, and which: by_first, by_last."""
+    halves = distinct.select("k", "no", F.explode("halves").alias("half"))
     shared = common.materialize(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves")
-    return halves.join(shared, "half", "left_semi").select("first.*").distinct()
+    last = F.col("half").bitwiseAND(1) == 1
+    return halves.join(shared, "half", "left_semi").groupBy("k", "no").agg(F.bool_or(~last).alias("by_first"), F.bool_or(last).alias("by_last"))
 
 
 def _variants(found: DataFrame) -> DataFrame:
-    """found: places and words. Returns place, key: of each line its words without one, and itself, at every split."""
-    n = F.size("w")
+    """found: places, words, by_first, by_last. Returns places and key: of each line its words without one, and itself, at every split.
+
+    Two lines with equal first halves differ behind them, so only these splits are needed, and the other way round.
+    """
     total = F.aggregate(F.transform("w", lambda w, i: F.xxhash64(w, F.size("w") - 1 - i, F.lit(1))), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    each = found.repartition(common.partitions(found.sparkSession), "k", "no").withColumn("all", total).withColumn("n", n)
-    each = each.select(*_PLACE, "all", "n", F.posexplode("w").alias("i", "word"))
-    each = each.withColumn("left", F.xxhash64("word", "i")).withColumn("right", F.xxhash64("word", F.col("n") - 1 - F.col("i"), F.lit(1)))
+    each = found.repartition(common.partitions(found.sparkSession), "k", "no").withColumn("all", total).withColumn("n", F.size("w"))
+    each = each.select(*_PLACE, "by_first", "by_last", "all", "n", F.posexplode("w").alias("i", "word"))
+    each = each.withColumn("left", F.xxhash64("word", "i")).withColumn("right", F.xxhash64("word", F.col("n") - 1 - F.col("i"), F.lit(1))).drop("word")
     run = Window.partitionBy("k", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("upto", F.bit_xor("left").over(run)).withColumn("after", F.col("all").bitwiseXOR(F.bit_xor("right").over(run)))
     before = F.col("upto").bitwiseXOR(F.col("left"))
-    i, last = F.col("i"), F.col("n") - 1 - F.col("i")
+    i, n, last = F.col("i"), F.col("n"), F.col("n") - 1 - F.col("i")
+    each = each.where((F.col("by_first") & (i >= F.floor((n - 1) / 2))) | (F.col("by_last") & (i <= F.floor(n / 2))))
     deleted = F.xxhash64(before, "after", i, last)
     gap = F.xxhash64(before, F.col("after").bitwiseXOR(F.col("right")), i, last + 1)
     end = F.xxhash64("upto", F.lit(0).cast("long"), i + 1, F.lit(0))
     keys = F.when(last == 0, F.array(deleted, gap, end)).otherwise(F.array(deleted, gap))
-    return each.select(F.struct(*_PLACE).alias("place"), F.explode(keys).alias("key"))
+    return each.select(*_PLACE, F.explode(keys).alias("key"))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -90,38 +94,41 @@ def _near(a: Column, b: Column) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """place: the distinct lines (by their first places) that have an earlier near line."""
-    wanted = _candidates(distinct).groupBy("k").agg(F.collect_list(F.struct("doc_id", "no")).alias("at"))
-    texts = docs.select(_row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    both = texts.join(wanted, "k").withColumn("lines", F.split("text", "\n")).select("k", F.explode(F.transform("at", lambda a: F.struct(a["doc_id"].alias("doc_id"), a["no"].alias("no"), F.get("lines", a["no"]).alias("line")))).alias("x"))
-    found = common.materialize(both.select("x.doc_id", "k", "x.no", common.words(F.col("x.line")).alias("w")).dropDuplicates(["k", "no"]), "candidates")
-    variants = _variants(found)
-    first = common.materialize(variants.groupBy("key").agg(F.min("place").alias("witness"), F.max("place").alias("latest")).where("witness < latest").select("key", "witness"), "keys")
-    hits = variants.join(first, "key").where("place > witness").select("place", "witness").distinct()
-    words = found.select(F.struct(*_PLACE).alias("place"), "w")
+    wanted = _candidates(distinct).groupBy("k").agg(F.collect_list(F.struct("no", "by_first", "by_last")).alias("at"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    both = texts.join(wanted, "k").withColumn("lines", F.split("text", "\n"))
+    both = both.select("doc_id", "k", F.explode(F.transform("at", lambda a: F.struct(a["no"].alias("no"), a["by_first"].alias("by_first"), a["by_last"].alias("by_last"), F.get("lines", a["no"]).alias("line")))).alias("x"))
+    found = common.materialize(both.select("doc_id", "k", "x.no", "x.by_first", "x.by_last", common.words(F.col("x.line")).alias("w")).dropDuplicates(["k", "no"]), "candidates")
+    place = F.struct(*_PLACE)
+    variants = common.materialize(_variants(found), "variants")
+    first = variants.groupBy("key").agg(F.min(place).alias("witness"), F.max(place).alias("latest")).where("witness < latest").select("key", "witness")
+    hits = variants.join(common.materialize(first, "keys"), "key").select(place.alias("place"), "witness").where("place > witness").distinct()
+    words = found.select(place.alias("place"), "w")
     pairs = common.materialize(hits, "hits").join(words, "place").join(words.select(F.col("place").alias("witness"), F.col("w").alias("v")), "witness")
     return pairs.where(_near(F.col("w"), F.col("v"))).select("place").distinct()
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k (the row), gone: the numbers of its lines that have an equal or near earlier line. Rows without any are left out."""
-    every = lines(docs, id_col, text_col)
+    every = common.materialize(lines(docs, id_col, text_col), "lines")
     place = F.struct(*_PLACE)
-    distinct = common.materialize(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("halves").alias("halves")), "lines")
+    distinct = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    distinct = common.materialize(distinct.select("h1", "h2", "first.*", "n", "halves"), "distinct")
     near = common.materialize(near_lines(docs, distinct, text_col, id_col), "near").withColumn("near", F.lit(True))
-    judged = distinct.join(near, distinct["first"] == near["place"], "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), "last")
-    judged = common.materialize(judged.where("near or first < last").select("h1", "h2", "first", "near"), "judged")
+    judged = distinct.select("h1", "h2", place.alias("place"), "n").join(near, "place", "left").where("near or n > 1")
+    judged = common.materialize(judged.select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "judged")
     gone = every.drop("halves").join(judged, ["h1", "h2"]).where(F.col("near") | (place > F.col("first")))
     return gone.groupBy("k").agg(F.collect_set("no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the duplicate lines taken out of the text, and two more columns: n_lines (with a word) and n_removed."""
+    """docs with the duplicate lines taken out of the text, and two more columns: n_lines (all) and n_removed."""
     gone = common.materialize(duplicate_lines(docs, id_col, text_col), "gone").select(F.col("k").alias(_KEY), F.col("gone").alias(_GONE))
     split = F.split(text_col, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(_GONE))
     text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get(split, i)), "\n"))
-    n = F.size(F.filter(F.coalesce(split, F.array().cast("array<string>")), lambda x: F.length(F.btrim(x, F.lit(common.WS))) > 0)).cast("long")
-    removed = F.coalesce(F.size(_GONE), F.lit(0)).cast("long")
+    n = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    removed = F.when(F.col(_GONE).isNull(), 0).otherwise(F.size(_GONE)).cast("long")
     joined = docs.withColumn(_KEY, _row_key(id_col, text_col)).join(gone, _KEY, "left")
     return joined.select(*(F.col(c) if c != text_col else text.alias(c) for c in docs.columns), n.alias("n_lines"), removed.alias("n_removed"))
 
@@ -132,7 +139,7 @@ def op10_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_sql(docs: str) -> str:
-    """CTEs up to `deduped` (doc_id, t: the text without its duplicate lines, n_lines, n_removed). Ids must be unique."""
+    """CTEs up to `deduped` (doc_id, t: the text without its duplicate lines, n_lines (all), n_removed). Ids must be unique."""
     return f"""
 ld AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {docs}),
 ll AS (SELECT doc_id, no, regexp_extract_all(l[no], '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM ld)),
@@ -144,7 +151,7 @@ lk AS MATERIALIZED (SELECT place, array_to_string(w[1:i], ' ') || chr(10) || arr
 ln AS (SELECT DISTINCT place FROM (SELECT place, min(place) OVER (PARTITION BY key) AS witness FROM lk) WHERE witness < place),
 lg AS (SELECT doc_id, list(no) AS gone FROM lo JOIN (SELECT line, lf.place AS place, ln.place IS NOT NULL AS near FROM lf LEFT JOIN ln USING (place)) AS f USING (line) WHERE near OR lo.place > f.place GROUP BY doc_id),
 deduped AS (SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10)) END AS t,
-  coalesce(len(list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed FROM ld LEFT JOIN lg USING (doc_id))"""
+  coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed FROM ld LEFT JOIN lg USING (doc_id))"""
 
 
 def sql() -> str:
