@@ -14,7 +14,8 @@ SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 def _listed(df: DataFrame, name: str, order: str, columns: list) -> DataFrame:
     """skill_key and an array of structs in order."""
-    got = df.groupBy("skill_key").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__n"), F.struct(*columns).alias("v")))).alias(name))
+    by_order = lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)  # noqa: E731  maps have no order of their own
+    got = df.groupBy("skill_key").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.struct(*columns).alias("v"))), by_order).alias(name))
     return got.select("skill_key", F.transform(name, lambda x: x["v"]).alias(name))
 
 
