@@ -138,14 +138,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def word_scores(t: Text, model: dict) -> np.ndarray:
     """words x languages; languages that the word's script rules out get a very low score."""
-    table = model["table"]
-    sums = np.zeros((len(t.codes) + 1, table.shape[1]))
+    table, n = model["table"], len(t.starts)
+    if not n:
+        return np.zeros((0, table.shape[1]))
+    padded = np.concatenate((table, np.zeros((1, table.shape[1]), dtype=table.dtype)))  # the last row is for no n-gram
+    total = np.zeros((len(t.codes), table.shape[1]), dtype=np.float32)
     for key, held in t.grams(len(table)):
-        sums[1:][held] += table[key[held]]
-    np.cumsum(sums, axis=0, out=sums)
+        total += np.take(padded, np.where(held, key, len(table)), axis=0)
     # n-grams end at a word's letters or at the place behind it
-    scores = sums[np.minimum(t.ends + 1, len(t.codes))] - sums[t.starts]
-    return np.where(model["allowed"][t.scripts()], scores, scores.min(axis=1, keepdims=True, initial=0) - 1e4)
+    scores = np.add.reduceat(total, np.stack((t.starts, t.ends + 1), axis=1).ravel(), axis=0)[::2].astype(np.float64)
+    return np.where(model["allowed"][t.scripts()], scores, scores.min(axis=1, keepdims=True) - 1e4)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
