@@ -38,8 +38,10 @@ RULES = [
     ("few_stops", "n_unstopped", 98, 96, "n_words"),
 ]
 #: What EM starts from: share of good documents, rate of bad votes on good and on bad ones.
-START = (0.85, 0.01, 0.3)
+START = (0.85, 0.002, 0.25)
 SMOOTH = 1.0
+#: The rules are made to be precise: on good documents none is taken to vote bad more often than this, so a kind of junk that one rule alone sees stays junk.
+MOST_ON_GOOD = 0.01
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_runs", "n_exclamations", "n_unstopped"]
 _OWN = "__capsift_quality"
 
@@ -109,27 +111,34 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> tuple:
         got = [x or 0.0 for x in weighed.agg(F.sum("g"), F.sum("b"), *sums).first()]
         good_n, bad_n, bad_votes, all_votes = got[0], got[1], got[2 : 2 + 2 * k], got[2 + 2 * k :]
         rate = [(a + SMOOTH) / (n + 2 * SMOOTH) for a, n in zip(bad_votes, all_votes)]
-        model = ((good_n + SMOOTH) / (good_n + bad_n + 2 * SMOOTH), list(zip(rate[::2], rate[1::2])))
+        model = ((good_n + SMOOTH) / (good_n + bad_n + 2 * SMOOTH), [(min(g, MOST_ON_GOOD), b) for g, b in zip(rate[::2], rate[1::2])])
     return model
 
 
-def score(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
-    """docs (its columns `keep`, all by default) with a struct column `__capsift_quality`: the counts, base_failed, posterior, kept."""
-    stats = statistics(docs, text_col)
-    found = common.materialize(stats.select(*([*docs.columns] if keep is None else keep), _OWN), "quality")
+def _model(stats: DataFrame, rounds: int) -> tuple:
+    """Of the output of statistics()."""
     votes = [_vote(r, _OWN).alias(f"v{i}") for i, r in enumerate(RULES)]
-    passed = found.where(~base_failed())
-    patterns = passed.select(*votes).groupBy(*(f"v{i}" for i in range(len(RULES)))).agg(F.count("*").alias("n"))
-    model = fit(common.materialize(patterns, "votes"), rounds)
+    patterns = stats.where(~base_failed()).select(*votes).groupBy(*(f"v{i}" for i in range(len(RULES)))).agg(F.count("*").alias("n"))
+    return fit(common.materialize(patterns, "votes"), rounds)
+
+
+def _judged(stats: DataFrame, model: tuple) -> DataFrame:
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds([_vote(r, _OWN) for r in RULES], model)))
     parts = [F.col(f"{_OWN}.{c}").alias(c) for c in COUNTS]
     failed = base_failed()
-    return found.withColumn(_OWN, F.struct(*parts, failed.alias("base_failed"), F.when(failed, F.lit(0.0)).otherwise(posterior).alias("posterior"), (~failed & (posterior >= THRESHOLD)).alias("kept")))
+    return stats.withColumn(_OWN, F.struct(*parts, failed.alias("base_failed"), F.when(failed, F.lit(0.0)).otherwise(posterior).alias("posterior"), (~failed & (posterior >= THRESHOLD)).alias("kept")))
+
+
+def score(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns `keep`, all by default) with a struct column `__capsift_quality`: the counts, base_failed, posterior, kept. The counts are written once."""
+    stats = statistics(docs, text_col)
+    found = common.materialize(stats.select(*([*docs.columns] if keep is None else keep), _OWN), "quality")
+    return _judged(found, _model(found, rounds))
 
 
-def filter_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def filter_quality(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """The rows of docs that are kept, with its columns."""
-    return score(docs, text_col).where(F.col(f"{_OWN}.kept")).select(*docs.columns)
+    return score(docs, text_col, rounds).where(F.col(f"{_OWN}.kept")).select(*docs.columns)
 
 
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +177,8 @@ def em_sql() -> str:
     out.append("m0 AS (SELECT " + f"{START[0]}::DOUBLE AS prior, " + ", ".join(f"{START[1]}::DOUBLE AS g{i}, {START[2]}::DOUBLE AS b{i}" for i in range(k)) + ")")
     odds = _sql_log_odds("prior", lambda i, y: f"{y}{i}")
     for r in range(ROUNDS):
-        rates = ", ".join(f"(coalesce(sum(CASE WHEN v{i} = -1 THEN {y} ELSE 0.0 END), 0) + {SMOOTH}) / (coalesce(sum(CASE WHEN v{i} <> 0 THEN {y} ELSE 0.0 END), 0) + {2 * SMOOTH}) AS {y[0]}{i}" for i in range(k) for y in ("gw", "bw"))
+        rate = lambda i, y: f"(coalesce(sum(CASE WHEN v{i} = -1 THEN {y} ELSE 0.0 END), 0) + {SMOOTH}) / (coalesce(sum(CASE WHEN v{i} <> 0 THEN {y} ELSE 0.0 END), 0) + {2 * SMOOTH})"
+        rates = ", ".join(f"least({rate(i, 'gw')}, {MOST_ON_GOOD}) AS g{i}, {rate(i, 'bw')} AS b{i}" for i in range(k))
         out.append(f"m{r + 1} AS MATERIALIZED (SELECT (coalesce(sum(gw), 0) + {SMOOTH}) / (coalesce(sum(gw), 0) + coalesce(sum(bw), 0) + {2 * SMOOTH}) AS prior, {rates} FROM (SELECT {names}, q * n AS gw, (1 - q) * n AS bw FROM (SELECT {names}, n, 1.0 / (1.0 + exp(-({odds}))) AS q FROM p, m{r})))")
     out.append(f"verdicts AS (SELECT votes.*, NOT base_failed AND 1.0 / (1.0 + exp(-({odds}))) >= {THRESHOLD} AS kept FROM votes, m{ROUNDS})")
     return ",\n".join(out)
