@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +33,14 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage, survives the loss of executors."""
+_scratch: list[list[str]] = []
+_left: list[str] = []
+
+
+def materialize(df: DataFrame, what: str = "step", keep: bool = False) -> DataFrame:
+    """Write once to the shared folder and read back: cuts the lineage, survives the loss of executors. Within `scratch` the table goes at its end, unless it is to be kept."""
     path = new_dir(df.sparkSession, what)
+    (_scratch[-1] if _scratch and not keep else _left).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,6 +51,25 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end; what is needed later must be written with keep."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def sweep(docs: DataFrame) -> None:
+    """Delete the tables that are left from before, but for those that docs reads: for stages whose input has been written."""
+    read = docs.inputFiles()
+    for path in [p for p in _left if not any(p.split("/")[-1] in f for f in read)]:
+        _left.remove(path)
+        remove(docs.sparkSession, path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -92,13 +92,14 @@ def mix(docs: DataFrame, domain: Column, w_domain: Column, w_lang: Column, w_sou
     n = common.count_words(F.col(text_col))
     own = [c.alias(f"{_OWN}_{k}") for k, c in leaf.items()]
     small = docs.select(*(c.alias(k) for k, c in leaf.items()), F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"), n.alias("n")).where("n > 0")
-    small = common.materialize(small, "supply")
-    leaves = small.groupBy(*_LEVELS).agg(F.sum("n").alias("supply")).withColumns({"w_domain": w_domain, "w_lang": w_lang, "w_source": w_source})
-    plan = budgets(leaves, total, max_epochs).withColumn("whole", F.floor(F.col("budget") / F.col("supply")).cast("long"))
-    plan = common.materialize(plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("supply")), "budgets")
-    part = plan.where("rest > 0")
-    keyed = small.join(part.select(*_LEVELS, "whole"), _LEVELS).select(*_LEVELS, _order_key(seed, F.col("whole") + 1, F.col("id"), F.col("digest")).alias("key"), "n")
-    plan = common.materialize(plan.join(_cuts(keyed, part), _LEVELS, "left").select(*(F.col(k).alias(f"{_OWN}_{k}") for k in _LEVELS), *(F.col(k).alias(f"{_OWN}_{k}") for k in ("whole", "cut", "cut_take"))), "plan")
+    with common.scratch(docs.sparkSession):
+        small = common.materialize(small, "supply")
+        leaves = small.groupBy(*_LEVELS).agg(F.sum("n").alias("supply")).withColumns({"w_domain": w_domain, "w_lang": w_lang, "w_source": w_source})
+        plan = budgets(leaves, total, max_epochs).withColumn("whole", F.floor(F.col("budget") / F.col("supply")).cast("long"))
+        plan = common.materialize(plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("supply")), "budgets")
+        part = plan.where("rest > 0")
+        keyed = small.join(part.select(*_LEVELS, "whole"), _LEVELS).select(*_LEVELS, _order_key(seed, F.col("whole") + 1, F.col("id"), F.col("digest")).alias("key"), "n")
+        plan = common.materialize(plan.join(_cuts(keyed, part), _LEVELS, "left").select(*(F.col(k).alias(f"{_OWN}_{k}") for k in _LEVELS), *(F.col(k).alias(f"{_OWN}_{k}") for k in ("whole", "cut", "cut_take"))), "plan", keep=True)
     joined = docs.select("*", *own, n.alias(f"{_OWN}_n")).where(F.col(f"{_OWN}_n") > 0).join(plan, [f"{_OWN}_{k}" for k in _LEVELS])
     key = _order_key(seed, F.col(f"{_OWN}_whole") + 1, F.col(id_col), F.md5(F.coalesce(text_col, F.lit(""))))
     cut, take = F.col(f"{_OWN}_cut"), F.col(f"{_OWN}_cut_take")

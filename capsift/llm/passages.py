@@ -33,23 +33,34 @@ GRAM = 8
 _OWN = "__capsift_passages"
 
 
-class Phrases:
-    """Anchors and phrases of all texts of a slice."""
+class Sums:
+    """Sums of word hashes of all texts of a slice: a hash of any run of words in one step."""
 
-    def __init__(self, column: pa.Array, window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, column: pa.Array):
         self.words = textbuf.Words(column)
-        self.window = window
-        hashes, n = self.words.hashes(), len(self.words)
+        self.hashes, n = self.words.hashes(), len(self.words)
         self.up, self.down = textbuf._power(n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(hashes * self.up[:n], out=self.sums[1:])
+        np.cumsum(self.hashes * self.up[:n], out=self.sums[1:])
+
+    def range(self, start: np.ndarray, size) -> np.ndarray:
+        """Hashes of runs of words."""
+        return textbuf.mix((self.sums[start + size] - self.sums[start]) * self.down[start])
+
+
+class Phrases(Sums):
+    """Anchors and phrases of all texts of a slice."""
+
+    def __init__(self, column: pa.Array, window: int = WINDOW, gram: int = GRAM):
+        super().__init__(column)
+        self.window, n = window, len(self.words)
         ends = np.repeat(self.words.first[1:], self.words.counts)  # of the text, for each word
         starts = np.flatnonzero(np.arange(n) + window <= ends)  # of all windows
         grams = self.range(np.arange(max(n - gram + 1, 0)), gram)
         best, width, span = np.arange(len(grams)), 1, window - gram + 1
         while width < span:  # best[i]: the least of grams i .. i + width - 1
             step = min(width, span - width)
-            a, b = best[: len(best) - step], best[step:]
+            a, b = best[: max(len(best) - step, 0)], best[step:]
             best = np.where(grams[a] <= grams[b], a, b)
             width += step
         at = best[starts]
@@ -61,10 +72,6 @@ class Phrases:
         self.anchor = grams[self.at]
         self.text = np.searchsorted(self.words.first, self.lo, side="right") - 1
 
-    def range(self, start: np.ndarray, size) -> np.ndarray:
-        """Hashes of runs of words."""
-        return textbuf.mix((self.sums[start + size] - self.sums[start]) * self.down[start])
-
     def whole(self) -> np.ndarray:
         """A hash of each phrase with the place of its anchor."""
         shape = (self.size.astype(np.uint64) << np.uint64(32)) + (self.at - self.lo).astype(np.uint64)
@@ -91,7 +98,7 @@ def _phrases(window: int, gram: int, batches):
 def _windows(window: int, batches):
     """Of listed phrases (a, lo, size, alone) all windows."""
     for b in textbuf.slices(batches, 1):
-        p = Phrases(b.column(1), window)
+        p = Sums(b.column(1))
         listed = b.column(2)
         many = np.diff(listed.offsets.to_numpy())
         flat = listed.flatten()
@@ -168,7 +175,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The columns of docs in one struct `doc`, and kept (the words left, with single spaces), n_words, n_removed, n_factors."""
-    spans = common.materialize(duplicate_spans(docs, id_col, text_col, window, gram), "spans")
+    with common.scratch(docs.sparkSession):
+        spans = common.materialize(duplicate_spans(docs, id_col, text_col, window, gram), "spans", keep=True)
     rows = docs.select(_row_key(id_col, text_col).alias("k"), F.col(text_col).cast("binary").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("doc"))
     joined = rows.join(spans, "k", "left").select("text", "spans", "doc")
     kind = joined.schema["doc"].dataType.simpleString()

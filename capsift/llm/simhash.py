@@ -243,11 +243,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of linked documents the row with the smallest id (null first; of rows with equal ids one), all columns as they are."""
+    """Of each group of linked documents the row with the smallest id (null last; of rows with equal ids one), all columns as they are."""
     key = "__capsift_row"
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
-    found = near_duplicates(keyed, threshold, shingle, key, text_col)
-    ids = keyed.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")).distinct()
-    first = found.distinct().join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("first"))
-    kept = common.materialize(first.select(F.col("first.doc_id").alias(key)), "kept")
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    with common.scratch(docs.sparkSession):
+        found = near_duplicates(keyed, threshold, shingle, key, text_col)
+        ids = keyed.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")).distinct()
+        first = found.distinct().join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first"))
+        kept = common.materialize(first.select(F.col("first.doc_id").alias(key)), "kept", keep=True)
+    return keyed.join(kept.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)

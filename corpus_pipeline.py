@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage works on what the one before has kept. The first four return the columns of documents; the last returns
-packed sequences, a row for each piece of a document. SQL can't express the near-duplicate and packing stages, so there is no
+packed sequences, a row for each piece of a document. Each stage's docs are written before it runs, so a stage begins by deleting the tables
+that earlier ones left. SQL can't express the near-duplicate and packing stages, so there is no
 ORACLE_SQL; the tests hold the stages against plain versions.
 """
 
@@ -29,22 +30,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that equal an earlier line or are one word's edit from one."""
+    common.sweep(docs)
     return _counted(lines.dedup_lines(docs).select(*docs.columns), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    common.sweep(docs)
     return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as come in, shared out among domains, languages and sources by weight; a document comes once for each epoch that takes it."""
+    common.sweep(docs)
     mixed = mixing.mix_default(docs)
     return _counted(mixed.withColumn("text", mixing.taken_text()), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of at most 2048 tokens."""
+    common.sweep(docs)
     return packing.pack(docs)
 
 
