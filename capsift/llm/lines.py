@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from capsift.llm import common
 
 MIN_WORDS = 5
-_KEY, _GONE = "__capsift_row", "__capsift_gone"
+_KEY, _GONE, _LINES = "__capsift_row", "__capsift_gone", "__capsift_lines"
 _PLACE = ["doc_id", "k", "no"]
 
 
@@ -96,7 +96,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, text_col: str = "text", id_
     """place: the distinct lines (by their first places) that have an earlier near line."""
     wanted = _candidates(distinct).groupBy("k").agg(F.collect_list(F.struct("no", "by_first", "by_last")).alias("at"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    both = texts.join(wanted.hint("merge"), "k").withColumn("lines", F.split("text", "\n"))
+    # exploded once, so that the split isn't moved into the lambda and run for each line
+    both = texts.join(wanted.hint("merge"), "k").select("doc_id", "k", "at", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
     both = both.select("doc_id", "k", F.explode(F.transform("at", lambda a: F.struct(a["no"].alias("no"), a["by_first"].alias("by_first"), a["by_last"].alias("by_last"), F.get("lines", a["no"]).alias("line")))).alias("x"))
     found = common.materialize(both.select("doc_id", "k", "x.no", "x.by_first", "x.by_last", common.words(F.col("x.line")).alias("w")).dropDuplicates(["k", "no"]), "candidates")
     place = F.struct(*_PLACE)
@@ -126,12 +127,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with common.scratch(docs.sparkSession):
         gone = common.materialize(duplicate_lines(docs, id_col, text_col), "gone", keep=True)
     gone = gone.select(F.col("k").alias(_KEY), F.col("gone").alias(_GONE))
-    split = F.split(text_col, "\n")
+    split = F.col(_LINES)  # a column: within a lambda a split would run for each line
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(_GONE))
     text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get(split, i)), "\n"))
     n = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     removed = F.when(F.col(_GONE).isNull(), 0).otherwise(F.size(_GONE)).cast("long")
-    joined = docs.withColumn(_KEY, _row_key(id_col, text_col)).join(gone.hint("merge"), _KEY, "left")
+    joined = docs.withColumn(_KEY, _row_key(id_col, text_col)).join(gone.hint("merge"), _KEY, "left").withColumn(_LINES, F.when(F.col(_GONE).isNotNull(), F.split(text_col, "\n")))
     return joined.select(*(F.col(c) if c != text_col else text.alias(c) for c in docs.columns), n.alias("n_lines"), removed.alias("n_removed"))
 
 
