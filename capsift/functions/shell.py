@@ -14,7 +14,7 @@ RESERVED = [
 ]
 # Tools that make an inline snippet a command.
 CONTEXT_TOOLS = [
-    "git", "gh", "npm", "pnpm", "yarn", "bun", "deno", "node", "python", "python3", "pip", "pip3", "docker", "docker-compose", "kubectl", "curl", "wget", "bd", "slab", "bash", "sh", "zsh",
+    "git", "gh", "npm", "pnpm", "yarn", "bun", "deno", "node", "python", "python3", "pip", "pip3", "docker", "docker-compose", "kubectl", "curl", "wget", "bd", "bash", "sh", "zsh",
 ]
 # Captures that become arguments, in order.
 ARGUMENT_KEYS = ["subcommand", "command", "url", "path", "file", "key", "value", "method", "host", "data", "header", "token", "tool"]
