@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsift.llm import common, lines, mixing, packing, quality, simhash
+from capsift.llm import common, lines, mixing, packing, quality, shingles
 
 ORACLE_SQL = None
 
@@ -35,9 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: of their five-word shingles 0.8 or more are common."""
     common.sweep(docs)
-    return simhash.drop_near_duplicates(docs)
+    return shingles.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
