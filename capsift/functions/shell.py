@@ -12,7 +12,7 @@ RESERVED = [
     "if", "then", "else", "elif", "fi", "for", "while", "until", "do", "done", "case", "esac", "in", "function", "select", "time", "coproc",
     "let", "declare", "typeset", "local", "readonly", "export", "unset", "alias", "unalias", "source", "true", "false",
 ]
-# Tools that make an inline snippet a command.
+# Tools that make an inline snippet a command. One more, a product's own command line, is left out: its snippets are commands only by a rule.
 CONTEXT_TOOLS = [
     "git", "gh", "npm", "pnpm", "yarn", "bun", "deno", "node", "python", "python3", "pip", "pip3", "docker", "docker-compose", "kubectl", "curl", "wget", "bd", "bash", "sh", "zsh",
 ]
@@ -20,28 +20,6 @@ CONTEXT_TOOLS = [
 ARGUMENT_KEYS = ["subcommand", "command", "url", "path", "file", "key", "value", "method", "host", "data", "header", "token", "tool"]
 MAX_ARGUMENTS = 4
 
-#: A quoted string, a substitution, or an escaped character: what separators don't cut.
-_UNIT = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^']*'|\$\([^()]*\)|`[^`]*`|\\.|["'`]"""
-#: A command, or the operator between two.
-PIECE = rf"(?:[^;|&()\"'`\\$]+|{_UNIT}|\$|(?<=[<>])&|&(?=>))+|\|\||&&|;;|[;|&()]"
-#: A word or a redirection of a command.
-WORD = rf"(?:[^\s<>\"'`\\$]+|{_UNIT}|\$)+|&?[<>]+&?"
-_LEADING = r"^\s*(?:(?:if|then|else|elif|do|while|until|time|!|\{)\s+)+"
-
-
-def pieces(line: Column) -> Column:
-    """Commands and operators of a line, in turn."""
-    return F.regexp_extract_all(line, F.lit(PIECE), F.lit(0))
-
-
-def words(command: Column) -> Column:
-    """The words of one command without leading keywords, assignments and what follows a comment sign."""
-    every = F.regexp_extract_all(F.regexp_replace(command, _LEADING, ""), F.lit(WORD), F.lit(0))
-    comment = F.coalesce(F.array_position(F.transform(every, lambda w: F.startswith(w, F.lit("#"))), F.lit(True)), F.lit(0)).cast("int")
-    kept = F.when(comment > 0, F.slice(every, F.lit(1), F.greatest(comment - 1, F.lit(0)))).otherwise(every)
-    plain = F.coalesce(F.array_position(F.transform(kept, lambda w: ~F.rlike(w, F.lit(r"^[A-Za-z_]\w*="))), F.lit(True)), F.lit(0)).cast("int")
-    return F.when(plain > 1, F.slice(kept, plain, F.size(kept))).when(plain == 0, F.array().cast("array<string>")).otherwise(kept)
-
 
 def strip_quotes(text: Column) -> Column:
     """One pair of equal quotes around it goes, then white space."""
@@ -53,17 +31,24 @@ def strip_quotes(text: Column) -> Column:
 
 def normalize_tool(raw: Column) -> Column:
     """The tool's name, or null for what can't be one."""
+    # The marks around a tool's name, its form and its greatest length.
     bare = F.lower(F.regexp_replace(F.regexp_replace(trim(raw), r"^['\"`(\[{]+", ""), r"[)\]}'\"`:,;]+$", ""))
     return F.when(F.rlike(bare, F.lit(r"^[a-z][a-z0-9+._-]*\z")) & (F.length(bare) <= 32) & ~bare.isin(RESERVED), bare)
 
 
-def likely_command_line(line: Column, tool: Column) -> Column:
-    """Not a comment, list item, sentence, assignment or literal, and the tool stands at a command's start."""
+def likely_tools(line: Column) -> Column:
+    """In lower case what stands at the start of a line's commands; none for a comment, list item, sentence, assignment or literal."""
     text = trim(line)
+    # What makes a line prose or a sentence.
     prose = F.rlike(text, F.lit(r"^(?:#|(?:[-*]|[0-9]+[.)])\s+|[A-Z]|[A-Za-z0-9_][A-Za-z0-9_.-]*\s*=|[{\[\"'])"))
     sentence = F.rlike(text, F.lit(r"^[A-Za-z0-9_][^$]*[.!?]\z")) & F.contains(text, F.lit(" "))
-    starts = F.transform(F.split(text, r"[;&|()]\s*"), lambda c: F.element_at(F.split(c, r"\s"), 1))
-    return (F.length(text) > 0) & ~prose & ~sentence & F.array_contains(F.transform(starts, lambda c: F.lower(c)), F.lower(tool))
+    starts = F.transform(F.split(text, r"[;&|()]\s*"), lambda c: F.lower(F.regexp_extract(c, r"^\S*", 0)))
+    return F.when((F.length(text) > 0) & ~prose & ~sentence, F.array_distinct(starts)).otherwise(F.array().cast("array<string>"))
+
+
+def likely_command_line(line: Column, tool: Column) -> Column:
+    """Whether the tool stands at the start of a command of a line that looks like commands."""
+    return F.array_contains(likely_tools(line), F.lower(tool))
 
 
 def permission_args(metadata: Column, tool: Column) -> Column:
@@ -94,6 +79,7 @@ def inline_snippets(line: Column) -> Column:
 
 def likely_inline_command(snippet: Column, line: Column, matches_rule: Column, known_tools: list[str]) -> Column:
     """Whether an inline snippet is a command: by a rule, or a known tool with arguments or beside a verb of execution."""
+    # What is formatting, and the verbs of execution.
     bare = trim(F.regexp_replace(F.regexp_replace(trim(snippet), "^`+", ""), "`+$", ""))
     tokens = F.filter(F.split(bare, r"\s+"), lambda t: t != "")
     formatting = F.rlike(bare, F.lit(r"^[*]{1,2}[^*]+[*]{1,2}$|^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*$"))

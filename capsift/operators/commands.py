@@ -1,68 +1,76 @@
 """Commands of shell text, calls of code, and the references that they hold.
 
-Both are found by patterns, line by line: a backslash at a line's end joins it with the next, separators inside quotes do not cut, and of
-nested substitutions the innermost are commands too. Here-documents, functions and calls over several lines are not followed.
+A task cuts each text once (`functions.scan`): here-documents, continued lines, nested quotes and substitutions, and calls over several lines are followed.
+Everything behind that is declared on columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capsift.functions import paths, shell
+from capsift.functions import paths, scan
 
 # Commands whose arguments are files.
 FILE_COMMANDS = ["cat", "cp", "mv", "ln", "touch", "mkdir", "rm", "chmod", "chown", "open", "exec", "read"]
 # Calls that fetch an address, and calls on files.
 FETCH_CALLS = r"^(?:fetch|axios\.(?:get|post|put|delete|patch|head)|XMLHttpRequest|request|got|superagent)$"
 FILE_CALLS = r"^fs\.(?:readFile|writeFile|appendFile|open|access|stat|unlink|mkdir|rmdir|rename|copyFile)$"
-_JOINT = "\x01"
-_NO_COMMAND = ["", "for", "case", "select", "function", "done", "fi", "esac", "}", "in"]
-_CALL = r"(?:new\s+)?[A-Za-z_$][A-Za-z0-9_$.]*\s*\((?:[^()\"'`]+|\"[^\"]*\"|'[^']*'|`[^`]*`|\((?:[^()]|\([^()]*\))*\))*\)"
-_ARGUMENT = r"(?:[^,(){}\[\]\"'`]+|\"[^\"]*\"|'[^']*'|`[^`]*`|\((?:[^()]|\([^()]*\))*\)|\{[^{}]*\}|\[[^\[\]]*\])+"
+_ROWS = 2000
+_FOUND = pa.schema([("line", pa.int32()), ("line_end", pa.int32()), ("cmd_seq", pa.int32()), ("words", pa.list_(pa.string())), ("pipe_to", pa.list_(pa.string())), ("redirect_to", pa.string()), ("first", pa.string()), ("kind", pa.string())])
+_SQL = "line int, line_end int, cmd_seq int, words array<string>, pipe_to array<string>, redirect_to string, first string, kind string"
+
+
+def _cut(grammar: str, batches):
+    """For each row (keys, content) its commands or calls, and the imports of code."""
+    for b in batches:
+        keys, rows, at = b.drop_columns(["content"]), [], []
+
+        def out():
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)]
+            return pa.RecordBatch.from_arrays([*keys.take(pa.array(at)).columns, *columns], names=[*keys.schema.names, *_FOUND.names])
+
+        for i, text in enumerate(b.column("content")):
+            text = text.as_py() or ""
+            if grammar == "bash":
+                found = [(line, end, n, words, pipe, to, None, "call") for n, (line, end, words, pipe, to) in enumerate(scan.shell(text))]
+            else:
+                calls, imports = scan.code(text, grammar)
+                found = [(line, end, n, words, None, None, first, "call") for n, (line, end, words, first) in enumerate(calls)]
+                found += [(line, line, n, [name], None, None, None, word) for n, (line, word, name) in enumerate(imports)]
+            rows += found
+            at += [i] * len(found)
+            if len(rows) >= _ROWS:
+                yield out()
+                rows, at = [], []
+        if rows:
+            yield out()
+
+
+def _scan(texts: DataFrame, keys: list[str], grammar: str) -> DataFrame:
+    own = texts.select(*keys, "content")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "content")
+    return own.mapInArrow(partial(_cut, grammar), f"{kinds}, {_SQL}")
 
 
 def commands(texts: DataFrame, keys: list[str]) -> DataFrame:
     """texts: keys (they tell rows apart) and content. Returns keys, line, line_end, cmd_seq, words, pipe_to (the words it is piped to), redirect_to."""
-    joined = F.split(F.replace(F.coalesce("content", F.lit("")), F.lit("\\\n"), F.lit(_JOINT)), "\n")
-    each = texts.select(*keys, F.posexplode(joined).alias("i", "joint"))
-    more = F.length("joint") - F.length(F.replace("joint", F.lit(_JOINT), F.lit("")))
-    before = F.sum(more).over(Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("line", (F.col("i") + 1 + F.coalesce(before, F.lit(0))).cast("int")).withColumn("line_end", (F.col("line") + more).cast("int"))
-    text = F.replace("joint", F.lit(_JOINT), F.lit(" "))
-    inner = F.regexp_extract_all(text, F.lit(r"\$\(([^()]+)\)|`([^`]+)`"), F.lit(0))
-    inner = F.transform(inner, lambda s: F.regexp_replace(F.regexp_replace(s, r"^\$\(|^`", ""), r"\)$|`$", ""))
-    each = each.where(~F.rlike(text, F.lit(r"^\s*(?:#|$)"))).select(*keys, "line", "line_end", F.posexplode(F.concat(F.array(text), inner)).alias("depth", "text"))
-    each = each.withColumn("pieces", shell.pieces(F.col("text")))
-    each = each.select(*keys, "line", "line_end", "depth", "pieces", F.posexplode("pieces").alias("no", "piece")).where(~F.rlike("piece", F.lit(r"^(?:\|\||&&|;;|[;|&()]|\s*)$")))
-    piped = F.when(F.get("pieces", F.col("no") + 1) == "|", shell.words(F.get("pieces", F.col("no") + 2)))
-    each = each.select(*keys, "line", "line_end", "depth", "no", shell.words(F.col("piece")).alias("all"), piped.alias("pipe_to"))
-    is_redirect = lambda w: F.rlike(w, F.lit(r"^&?[<>]"))
-    words = F.filter("all", lambda w, i: ~is_redirect(w) & ~F.coalesce(is_redirect(F.get("all", i - 1)), F.lit(False)))
-    at = F.array_position(F.transform("all", lambda w: F.rlike(w, F.lit("^&?>"))), F.lit(True)).cast("int")
-    each = each.select(*keys, "line", "line_end", "depth", "no", words.alias("words"), "pipe_to", F.when(at > 0, F.get("all", at)).alias("redirect_to"))
-    each = each.where((F.size("words") > 0) & ~F.get("words", 0).isin(_NO_COMMAND))
-    return each.withColumn("cmd_seq", F.row_number().over(Window.partitionBy(*keys).orderBy("line", "depth", "no")) - 1).drop("depth", "no")
-
-
-def calls(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls in code: keys, line, cmd_seq, words (the function's name, then its arguments as they stand), pipe_to and redirect_to (null)."""
-    each = texts.select(*keys, F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("i", "text")).where(~F.rlike("text", F.lit(r"^\s*(?://|#|\*)")))
-    found = F.regexp_extract_all("text", F.lit(_CALL), F.lit(0))
-    nested = F.flatten(F.transform(found, lambda c: F.regexp_extract_all(F.regexp_replace(c, r"^[^(]*\(", ""), F.lit(_CALL), F.lit(0))))
-    each = each.select(*keys, (F.col("i") + 1).alias("line"), F.posexplode(F.concat(found, nested)).alias("no", "call"))
-    name = F.regexp_replace(F.regexp_extract("call", r"^([^(]*)\(", 1), r"\s+", " ")
-    args = F.regexp_extract_all(F.regexp_extract("call", r"(?s)^[^(]*\((.*)\)$", 1), F.lit(_ARGUMENT), F.lit(0))
-    args = F.filter(F.transform(args, paths.trim), lambda a: a != "")
-    each = each.select(*keys, "line", F.col("line").alias("line_end"), "no", F.concat(F.array(paths.trim(name)), args).alias("words"))
-    null = F.lit(None)
-    return each.withColumn("cmd_seq", F.row_number().over(Window.partitionBy(*keys).orderBy("line", "no")) - 1).drop("no").withColumns({"pipe_to": null.cast("array<string>"), "redirect_to": null.cast("string")})
+    return _scan(texts, keys, "bash").drop("first", "kind")
+
+
+def calls(texts: DataFrame, keys: list[str], grammar: str = "javascript") -> DataFrame:
+    """Calls in code: as commands(), words being the function's name, then its arguments as they stand; and first, the first string within."""
+    return _scan(texts, keys, grammar).where("kind = 'call'").drop("kind")
 
 
 def _refs(df: DataFrame, keys: list[str], values: Column) -> DataFrame:
-    each = df.select(*keys, "line", "cmd_seq", F.posexplode(values).alias("no", "r")).select("*", "r.*")
-    seq = F.row_number().over(Window.partitionBy(*keys).orderBy("line", "cmd_seq", "no")) - 1
-    return each.select(*keys, seq.alias("ref_seq"), "ref_path", "line", "via")
+    """values: references of a command or call in order; `rank` of df, where it has one, comes before the place."""
+    each = df.select(*keys, "line", "cmd_seq", (F.col("rank") if "rank" in df.columns else F.lit(0)).alias("rank"), F.posexplode(values).alias("no", "r"))
+    seq = F.shiftleft(F.col("rank").cast("long"), 56) + F.shiftleft(F.col("cmd_seq").cast("long"), 28) + F.col("no")
+    return each.select(*keys, seq.alias("ref_seq"), "r.ref_path", "line", "r.via")
 
 
 def shell_references(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,36 +90,34 @@ def shell_references(texts: DataFrame, keys: list[str]) -> DataFrame:
     return _refs(commands(texts, keys), keys, values)
 
 
-def _line_refs(texts: DataFrame, keys: list[str], pattern: str, via: str) -> DataFrame:
-    each = texts.select(*keys, F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("i", "text"))
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-    return each.select(*keys, (F.col("i") + 1).alias("line"), F.explode(found).alias("ref_path")).where(F.coalesce(F.length("ref_path"), F.lit(0)) > 0).withColumn("via", F.lit(via))
+def _code_references(texts: DataFrame, keys: list[str], grammar: str, kinds: list[tuple]) -> DataFrame:
+    """kinds, in order: (which rows, whether the reference counts, via). Of a call the first string within is the reference."""
+    found = _scan(texts, keys, grammar)
+    ref = F.when(F.col("kind") == "call", F.col("first")).otherwise(F.get("words", 0))
+    rank, via = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (which, ok, name) in reversed(list(enumerate(kinds))):
+        hit = which & F.coalesce(ok(ref), F.lit(False))
+        rank, via = F.when(hit, i).otherwise(rank), F.when(hit, name).otherwise(via)
+    each = found.select(*keys, "line", "cmd_seq", ref.alias("ref_path"), rank.alias("rank"), via.alias("via")).where("rank is not null")
+    return _refs(each, keys, F.array(F.struct("ref_path", "via")))
 
 
-def _numbered(refs: DataFrame, keys: list[str]) -> DataFrame:
-    seq = F.row_number().over(Window.partitionBy(*keys).orderBy("line", F.when(F.col("via") == "import", 0).when(F.col("via") == "url", 1).otherwise(2), "ref_path")) - 1
-    return refs.select(*keys, seq.alias("ref_seq"), "ref_path", "line", "via")
+def _named(pattern: str) -> Column:
+    return (F.col("kind") == "call") & F.rlike(F.get("words", 0), F.lit(pattern))
 
 
-def _call_refs(texts: DataFrame, keys: list[str], name: str, ok, via: str) -> DataFrame:
-    text = lambda w: F.regexp_extract(w, "^[a-zA-Z]?(?:\"([^\"]*)\"|'([^']*)'|`([^`]*)`)$", 0)
-    first = F.regexp_replace(text(F.get("words", 1)), "^[a-zA-Z]?[\"'`]|[\"'`]$", "")
-    found = calls(texts, keys).where(F.rlike(F.get("words", 0), F.lit(name))).select(*keys, "line", first.alias("ref_path"))
-    return found.where(ok(F.col("ref_path"))).withColumn("via", F.lit(via))
+def _any(ref: Column) -> Column:
+    return ref != ""
 
 
 def python_references(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Imports, opened host paths and requested addresses of Python code."""
-    imports = _line_refs(texts, keys, r"^\s*(?:import|from(?=\s+\S+\s+import\b))\s+([A-Za-z0-9_.]+)", "import")
-    opened = _call_refs(texts, keys, "^open$", paths.is_host_path, "bare-path")
-    fetched = _call_refs(texts, keys, "^(?:requests|urllib)", paths.is_url, "url")
-    return _numbered(imports.unionByName(opened).unionByName(fetched), keys)
+    kind = F.col("kind")
+    return _code_references(texts, keys, "python", [(kind == "import", _any, "import"), (kind == "from", _any, "import"), (_named("^open$"), paths.is_host_path, "bare-path"), (_named("^(?:requests|urllib)"), paths.is_url, "url")])
 
 
 def script_references(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Imports, re-exports, requires, fetched addresses and host files of JavaScript and TypeScript code."""
-    imports = _line_refs(texts, keys, r"^\s*(?:import|export)\b[^'\"]*?(?:from\s*)?['\"]([^'\"]+)['\"]", "import").where(F.col("ref_path") != "")
-    required = _line_refs(texts, keys, r"\brequire\(\s*['\"`]([^'\"`]+)['\"`]", "import")
-    fetched = _call_refs(texts, keys, FETCH_CALLS, paths.is_url, "url")
-    files = _call_refs(texts, keys, FILE_CALLS, paths.is_host_path, "bare-path")
-    return _numbered(imports.unionByName(required).unionByName(fetched).unionByName(files), keys)
+    kind = F.col("kind")
+    kinds = [(kind == "import", _any, "import"), (kind == "export", _any, "import"), (_named("^require$"), _any, "import"), (_named(FETCH_CALLS), paths.is_url, "url"), (_named(FILE_CALLS), paths.is_host_path, "bare-path")]
+    return _code_references(texts, keys, "javascript", kinds)

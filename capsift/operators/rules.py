@@ -1,8 +1,7 @@
 """The rule table and its match: commands and calls joined with patterns by their first word.
 
-A pattern is words: literal ones, `_name` for a part that is captured, `...` for any number of words. `| sh` asks for what the
-command is piped to, `> _file` for what it is written to. A pattern becomes one regular expression over a command's words; the table is
-of fixed size, so it is broadcast and joined on (grammar, first word), never tried rule by rule.
+A pattern becomes one regular expression over the words of a command or call. `| sh` asks for what the
+command is piped to, `> $FILE` for what it is written to. The table is of fixed size, so it is broadcast and joined on (grammar, first word), never tried rule by rule.
 
 The secret rule and its word list are this project's own.
 """
@@ -22,46 +21,45 @@ SECRET = "secret-bash-env-read-plain"
 _GAP = "\x1f"
 _PROMPT = ("PROMPT:prompt_override", "Prompt override attempt detected")
 
-# Fixed values: (rule, grammar, patterns, tool, permission, scope, risk code, severity, message), in order.
+# Fixed values: (rule, grammar, patterns, tool, permission, scope, risk code, severity, message, which capture each value comes from), in order. `$NAME` captures one word or a
+# part of it, `$$$NAME` stands for any number of words.
 RULES = [
-    ("net-curl", "bash", ["curl _url", "curl -X _method _url", "curl --request _method _url", "curl ... -H _header ...", "curl ... --header _header ...", "curl ... _url?token=_token"], "curl", "fetch", "net", "dynamic", "", ""),
-    ("net-wget", "bash", ["wget _url", "wget --post-data=_data _url"], "wget", "fetch", "net", "dynamic", "", ""),
-    ("net-pipe-shell", "bash", ["curl ... | bash", "curl ... | sh", "wget ... | bash"], "bash", "shell", "sys", "NETWORK:remote_code_execution", "critical", "Remote output piped to shell"),
-    ("fs-read-cat", "bash", ["cat _file", "less _file", "head _file", "tail _file"], "cat", "read", "fs", "", "", ""),
-    ("fs-rm-rf", "bash", ["rm -rf _path", "rm -fr _path"], "rm", "write", "fs", "DESTRUCTIVE:destructive_behavior", "critical", "Recursive delete detected"),
-    ("fs-chmod-777", "bash", ["chmod 777 _path", "chmod -R 777 _path"], "chmod", "write", "fs", "DESTRUCTIVE:permission_weakening", "warning", "Overly permissive chmod detected"),
-    ("shell-git", "bash", ["git status", "git add _path", "git commit ...", "git pull ...", "git push ...", "git checkout _branch", "git merge _branch", "git rebase _branch", "git clone _url", "git fetch ...", "git log ..."], "git", "shell", "sys", "", "", ""),
-    ("shell-gh", "bash", ["gh pr ...", "gh issue ...", "gh repo ...", "gh api ...", "gh auth ..."], "gh", "shell", "sys", "", "", ""),
-    ("shell-npm", "bash", ["npm _subcommand ..."], "npm", "shell", "sys", "", "", ""),
-    ("shell-pnpm", "bash", ["pnpm _subcommand ..."], "pnpm", "shell", "sys", "", "", ""),
-    ("shell-yarn", "bash", ["yarn _subcommand ..."], "yarn", "shell", "sys", "", "", ""),
-    ("shell-deno", "bash", ["deno _subcommand ..."], "deno", "shell", "sys", "", "", ""),
-    ("shell-node", "bash", ["node _file ..."], "node", "shell", "sys", "", "", ""),
-    ("shell-pip", "bash", ["pip _subcommand ...", "pip3 _subcommand ..."], "pip", "shell", "sys", "", "", ""),
-    ("shell-docker", "bash", ["docker run ...", "docker exec ...", "docker build ...", "docker pull ...", "docker push ..."], "docker", "shell", "sys", "", "", ""),
-    ("shell-docker-compose", "bash", ["docker-compose up ...", "docker-compose down ...", "docker compose up ...", "docker compose down ..."], "docker-compose", "shell", "sys", "", "", ""),
-    ("shell-bd", "bash", ["bd ready", "bd show _id", "bd update _id ...", "bd close _id", "bd sync", "bd create ..."], "bd", "shell", "sys", "", "", ""),
-    ("shell-sudo", "bash", ["sudo _command ..."], "sudo", "sudo", "sys", "PRIVILEGE:privilege_escalation", "critical", "Privilege escalation via sudo"),
-    ("shell-eval", "bash", ["eval _command", "eval \"_command\"", "eval '_command'"], "eval", "shell", "sys", "", "", ""),
-    ("shell-sh-c", "bash", ["sh -c _command", "sh -c \"_command\"", "sh -c '_command'"], "sh", "shell", "sys", "", "", ""),
-    ("shell-bash-c", "bash", ["bash -c _command", "bash -c \"_command\"", "bash -c '_command'"], "bash", "shell", "sys", "", "", ""),
-    ("shell-source", "bash", ["source _file", ". _file"], "source", "read", "fs", "", "", ""),
-    ("shell-openspec", "bash", ["openspec _subcommand ..."], "openspec", "shell", "sys", "", "", ""),
-    ("shell-cron", "bash", ["crontab _file", "echo _entry | crontab"], "crontab", "shell", "sys", "PERSISTENCE:persistence", "warning", "Persistence mechanism detected"),
-    (GENERIC, "bash", ["_tool ..."], "detected", "shell", "sys", "", "", ""),
-    ("destructive-format", "bash", ["mkfs _device", "format _device"], "format", "write", "fs", "", "", ""),
-    ("destructive-config-write", "bash", ["echo _text > _file"], "write", "write", "fs", "", "", ""),
-    ("inject-substitution", "bash", ["$( _command )"], "bash", "shell", "sys", "INJECTION:command_injection", "warning", "Command substitution can enable injection"),
-    (SECRET, "bash", ["$ _key"], "env", "read", "env", "SECRETS:secret_access", "warning", "Secret read from the environment"),
-    ("net-fetch", "javascript", ["fetch _url", "fetch _url {method:_method}", "fetch _url {headers:_headers}", "fetch _url {method:_method,headers:_headers}"], "fetch", "fetch", "net", "dynamic", "", ""),
-    ("fs-read-js", "javascript", ["Deno.readTextFile _file", "Deno.readFile _file", "readFileSync _file"], "read", "read", "fs", "", "", ""),
-    ("fs-write-js", "javascript", ["Deno.writeTextFile _file _data", "Deno.writeFile _file _data"], "write", "write", "fs", "", "", ""),
-    ("inject-eval", "javascript", ["eval _code", "new Function _code", "exec _code"], "eval", "shell", "sys", "INJECTION:command_injection", "critical", "Dynamic code execution detected"),
-    ("shell-subprocess-js", "javascript", ["Deno.Command _command", "spawn _command", "exec _command"], "subprocess", "subprocess", "sys", "", "", ""),
-    ("net-requests", "python", ["requests.get _url", "requests.post _url data=_data", "requests.put _url data=_data", "requests.patch _url data=_data"], "requests", "fetch", "net", "dynamic", "", ""),
+    ("net-curl", "bash", ["curl $URL", "curl -X $METHOD $URL", "curl --request $METHOD $URL", "curl $$$FLAGS -H $HEADER $$$REST", "curl $$$FLAGS --header $HEADER $$$REST", "curl $$$FLAGS $URL?token=$TOKEN"], "curl", "fetch", "net", "dynamic", "", "", {"method": "METHOD", "url": "URL", "header": "HEADER", "token": "TOKEN"}),
+    ("net-wget", "bash", ["wget $URL", "wget --post-data=$DATA $URL"], "wget", "fetch", "net", "dynamic", "", "", {"url": "URL", "data": "DATA"}),
+    ("net-pipe-shell", "bash", ["curl $$$ARGS | bash", "curl $$$ARGS | sh", "wget $$$ARGS | bash"], "bash", "shell", "sys", "NETWORK:remote_code_execution", "critical", "Remote output piped to shell", {}),
+    ("fs-read-cat", "bash", ["cat $FILE", "less $FILE", "head $FILE", "tail $FILE"], "cat", "read", "fs", "", "", "", {"file": "FILE"}),
+    ("fs-rm-rf", "bash", ["rm -rf $PATH", "rm -fr $PATH"], "rm", "write", "fs", "DESTRUCTIVE:destructive_behavior", "critical", "Recursive delete detected", {"path": "PATH"}),
+    ("fs-chmod-777", "bash", ["chmod 777 $PATH", "chmod -R 777 $PATH"], "chmod", "write", "fs", "DESTRUCTIVE:permission_weakening", "warning", "Overly permissive chmod detected", {"path": "PATH"}),
+    ("shell-git", "bash", ["git status", "git add $PATH", "git commit $$$ARGS", "git pull $$$ARGS", "git push $$$ARGS", "git checkout $BRANCH", "git merge $BRANCH", "git rebase $BRANCH", "git clone $URL", "git fetch $$$ARGS", "git log $$$ARGS"], "git", "shell", "sys", "", "", "", {"url": "URL", "branch": "BRANCH", "path": "PATH"}),
+    ("shell-gh", "bash", ["gh pr $$$ARGS", "gh issue $$$ARGS", "gh repo $$$ARGS", "gh api $$$ARGS", "gh auth $$$ARGS"], "gh", "shell", "sys", "", "", "", {}),
+    ("shell-npm", "bash", ["npm $SUB $$$ARGS"], "npm", "shell", "sys", "", "", "", {"subcommand": "SUB"}),
+    ("shell-pnpm", "bash", ["pnpm $SUB $$$ARGS"], "pnpm", "shell", "sys", "", "", "", {"subcommand": "SUB"}),
+    ("shell-yarn", "bash", ["yarn $SUB $$$ARGS"], "yarn", "shell", "sys", "", "", "", {"subcommand": "SUB"}),
+    ("shell-deno", "bash", ["deno $SUB $$$ARGS"], "deno", "shell", "sys", "", "", "", {"subcommand": "SUB"}),
+    ("shell-node", "bash", ["node $FILE $$$ARGS"], "node", "shell", "sys", "", "", "", {"file": "FILE"}),
+    ("shell-pip", "bash", ["pip $SUB $$$ARGS", "pip3 $SUB $$$ARGS"], "pip", "shell", "sys", "", "", "", {"subcommand": "SUB"}),
+    ("shell-docker", "bash", ["docker run $$$ARGS", "docker exec $$$ARGS", "docker build $$$ARGS", "docker pull $$$ARGS", "docker push $$$ARGS"], "docker", "shell", "sys", "", "", "", {}),
+    ("shell-docker-compose", "bash", ["docker-compose up $$$ARGS", "docker-compose down $$$ARGS", "docker compose up $$$ARGS", "docker compose down $$$ARGS"], "docker-compose", "shell", "sys", "", "", "", {}),
+    ("shell-bd", "bash", ["bd ready", "bd show $ID", "bd update $ID $$$ARGS", "bd close $ID", "bd sync", "bd create $$$ARGS"], "bd", "shell", "sys", "", "", "", {"id": "ID"}),
+    ("shell-sudo", "bash", ["sudo $CMD $$$ARGS"], "sudo", "sudo", "sys", "PRIVILEGE:privilege_escalation", "critical", "Privilege escalation via sudo", {"command": "CMD"}),
+    ("shell-eval", "bash", ["eval $CMD", "eval \"$CMD\"", "eval '$CMD'"], "eval", "shell", "sys", "", "", "", {"command": "CMD"}),
+    ("shell-sh-c", "bash", ["sh -c $CMD", "sh -c \"$CMD\"", "sh -c '$CMD'"], "sh", "shell", "sys", "", "", "", {"command": "CMD"}),
+    ("shell-bash-c", "bash", ["bash -c $CMD", "bash -c \"$CMD\"", "bash -c '$CMD'"], "bash", "shell", "sys", "", "", "", {"command": "CMD"}),
+    ("shell-source", "bash", ["source $FILE", ". $FILE"], "source", "read", "fs", "", "", "", {"file": "FILE"}),
+    ("shell-openspec", "bash", ["openspec $SUB $$$ARGS"], "openspec", "shell", "sys", "", "", "", {"subcommand": "SUB"}),
+    ("shell-cron", "bash", ["crontab $FILE", "echo $ENTRY | crontab -"], "crontab", "shell", "sys", "PERSISTENCE:persistence", "warning", "Persistence mechanism detected", {"file": "FILE"}),
+    (GENERIC, "bash", ["$TOOL $$$ARGS"], "detected", "shell", "sys", "", "", "", {"tool": "TOOL"}),
+    ("destructive-format", "bash", ["mkfs $DEVICE", "format $DEVICE"], "format", "write", "fs", "", "", "", {"device": "DEVICE"}),
+    ("destructive-config-write", "bash", ["echo $VALUE > $FILE"], "write", "write", "fs", "", "", "", {"file": "FILE"}),
+    ("inject-substitution", "bash", ["$($CMD)", "`$CMD`"], "bash", "shell", "sys", "INJECTION:command_injection", "warning", "Command substitution can enable injection", {"command": "CMD"}),
+    (SECRET, "bash", ["$KEY"], "env", "read", "env", "SECRETS:secret_access", "warning", "Secret read from the environment", {"key": "KEY"}),
+    ("net-fetch", "javascript", ["fetch($URL)", "fetch($URL, { method: $METHOD })", "fetch($URL, { headers: $HEADERS })", "fetch($URL, { method: $METHOD, headers: $HEADERS })"], "fetch", "fetch", "net", "dynamic", "", "", {"url": "URL", "method": "METHOD", "headers": "HEADERS"}),
+    ("fs-read-js", "javascript", ["Deno.readTextFile($FILE)", "Deno.readFile($FILE)", "readFileSync($FILE)"], "read", "read", "fs", "", "", "", {"file": "FILE"}),
+    ("fs-write-js", "javascript", ["Deno.writeTextFile($FILE, $CONTENT)", "Deno.writeFile($FILE, $CONTENT)"], "write", "write", "fs", "", "", "", {"file": "FILE"}),
+    ("inject-eval", "javascript", ["eval($CODE)", "new Function($CODE)", "exec($CODE)"], "eval", "shell", "sys", "INJECTION:command_injection", "critical", "Dynamic code execution detected", {"code": "CODE"}),
+    ("shell-subprocess-js", "javascript", ["Deno.Command($CMD)", "spawn($CMD)", "exec($CMD)"], "subprocess", "subprocess", "sys", "", "", "", {"command": "CMD"}),
+    ("net-requests", "python", ["requests.get($URL)", "requests.post($URL, data=$DATA)", "requests.put($URL, data=$DATA)", "requests.patch($URL, data=$DATA)"], "requests", "fetch", "net", "dynamic", "", "", {"url": "URL", "data": "DATA"}),
 ]
-#: Names of captures that are not kept.
-_DROPPED = {"fs-write-js": ["data"], "destructive-config-write": ["text"], "shell-cron": ["entry"]}
 # Rules on single lines of prose. Word boundaries are spelt out, so that every engine agrees.
 _EDGE, _AFTER = r"(?:^|[^A-Za-z0-9_])", r"(?:$|[^A-Za-z0-9_])"
 PROMPT_RULES = [
@@ -80,34 +78,28 @@ def secret_like(name: Column) -> Column:
     return F.rlike(name, F.lit(SECRET_NAMES))
 
 
-def _group(word: str) -> str:
-    """The expression of one word; its captures are groups."""
-    out = []
-    for i, part in enumerate(re.split(r"_([a-z]+)", word)):
-        out.append(f"([^{_GAP}]+?)" if i % 2 else re.escape(part))
-    return "".join(out)
-
-
-def compile_pattern(pattern: str) -> dict:
-    """head, regex over the words (each followed by a separator), pipe, redirect, names of the captures in order, text."""
-    body, _, pipe = pattern.partition(" | ")
-    body, _, redirect = body.partition(" > ")
-    head, *rest = body.split(" ")
-    if head == "new":
-        head, rest = f"new {rest[0]}", rest[1:]
-    regex = re.escape(head) + _GAP if not head.startswith("_") else f"([^{_GAP}]+){_GAP}"
-    for word in rest:
-        if word == "...":
-            regex += f"(?:[^{_GAP}]+{_GAP})*?"
-        elif word.startswith("{"):
-            # an object with exactly these keys
-            fields = [f.split(":_") for f in word.strip("{}").split(",")]
-            regex += r"\{\s*" + r"\s*,\s*".join(rf"{k}\s*:\s*([^{_GAP}]+?)" for k, _ in fields) + r"\s*,?\s*\}" + _GAP
-        else:
-            regex += _group(word) + _GAP
-    names = re.findall(r"_([a-z]+)", body)
-    text = re.sub(r"_([a-z]+)", lambda m: "$" + m[1].upper(), pattern).replace("...", "$$$ARGS")
-    return {"head": head, "regex": f"^{regex}()()()$", "names": names, "pipe": pipe or None, "redirect": redirect[1:] or None, "text": text}
+def _word(word: str) -> str:
+    """The expression of one word of a pattern; its captures are groups."""
+    if word.startswith("{"):  # an object with exactly these keys
+        fields = [f.split(":")[0].strip() for f in word.strip("{}").split(",")]
+        return r"\{\s*" + r"\s*,\s*".join(rf"{k}\s*:\s*([^{_GAP}]+?)" for k in fields) + r"\s*,?\s*\}" + _GAP
+    return re.sub(r"\\\$[A-Z]+", lambda m: f"([^{_GAP}]+?)", re.escape(word)) + _GAP
+
+
+def compile_pattern(pattern: str, grammar: str) -> dict:
+    """head, regex over the words (each followed by a separator), pipe and redirect (words), the captures' names in order.
+
+    A run of words is an option with one lazy dot, never a repeated group: Java's engine recurses once for each turn of such a group."""
+    if grammar == "bash":
+        body, _, pipe = pattern.partition(" | ")
+        body, _, redirect = body.partition(" > ")
+        head, *rest = body.split(" ")
+    else:
+        (head, _, inside), pipe, redirect = pattern[:-1].partition("("), "", ""
+        rest = re.split(r", (?![^{]*\})", inside)
+    regex = re.escape(head) + _GAP + "".join(f"(?:.*?{_GAP})?" if w.startswith("$$$") else _word(w) for w in rest)
+    names = [n for w in rest if not w.startswith("$$$") for n in re.findall(r"\$([A-Z]+)", w)]
+    return {"head": head, "regex": f"(?s)^{regex}()()()$", "names": names, "pipe": pipe or None, "redirect": redirect[1:] or None}
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
@@ -123,17 +115,18 @@ def pattern_table(spark: SparkSession) -> DataFrame:
         if r[0] in (GENERIC, SECRET, "inject-substitution"):
             continue
         for j, p in enumerate(r[2]):
-            c = compile_pattern(p)
-            rows.append((i, r[0], r[1], j, c["head"], c["regex"], c["names"], c["pipe"], c["redirect"], c["text"], _DROPPED.get(r[0], [])))
-    return spark.createDataFrame(rows, "rule_seq int, rule_id string, grammar string, pattern_seq int, head string, regex string, names array<string>, pipe string, redirect string, pattern string, dropped array<string>")
+            c, key = compile_pattern(p, r[1]), {v: k for k, v in r[9].items()}
+            pipe = None if c["pipe"] is None else c["pipe"].split(" ")
+            rows.append((i, r[0], r[1], j, c["head"], c["regex"], [key.get(n) for n in c["names"]], pipe, key.get(c["redirect"]), p))
+    return spark.createDataFrame(rows, "rule_seq int, rule_id string, grammar string, pattern_seq int, head string, regex string, names array<string>, pipe array<string>, redirect string, pattern string")
 
 
 def _captured(joined: Column) -> Column:
-    """name and value of each group; patterns have three at most."""
+    """key and value of each group; patterns have three at most."""
     groups = [F.call_function("regexp_extract", joined, F.col("regex"), F.lit(i)) for i in (1, 2, 3)]
     values = F.array(*(F.when(F.size("names") >= i + 1, g) for i, g in enumerate(groups)))
     pairs = F.transform("names", lambda n, i: F.struct(n.alias("key"), shell.strip_quotes(F.get(values, i)).alias("value")))
-    return F.filter(pairs, lambda p: ~F.array_contains("dropped", p["key"]) & (p["value"] != ""))
+    return F.filter(pairs, lambda p: p["key"].isNotNull() & (p["value"] != ""))
 
 
 def match(found: DataFrame, keys: list[str], grammar: str) -> DataFrame:
@@ -141,7 +134,7 @@ def match(found: DataFrame, keys: list[str], grammar: str) -> DataFrame:
     rules = F.broadcast(pattern_table(found.sparkSession).where(F.col("grammar") == grammar).drop("grammar"))
     joined = F.concat(F.array_join("words", _GAP), F.lit(_GAP))
     each = found.withColumn("head", F.get("words", 0)).withColumn("joined", joined).join(rules, "head").where(F.rlike("joined", F.col("regex")))
-    each = each.where(F.col("pipe").isNull() | (F.get("pipe_to", 0) == F.col("pipe"))).where(F.col("redirect").isNull() | F.col("redirect_to").isNotNull())
+    each = each.where(F.col("pipe").isNull() | (F.col("pipe_to") == F.col("pipe"))).where(F.col("redirect").isNull() | F.col("redirect_to").isNotNull())
     written = F.when(F.col("redirect").isNotNull(), F.array(F.struct(F.col("redirect").alias("key"), shell.strip_quotes(F.col("redirect_to")).alias("value"))))
     pairs = F.concat(_captured(F.col("joined")), F.coalesce(written, F.array().cast("array<struct<key:string,value:string>>")), F.array(F.struct(F.lit("pattern").alias("key"), F.col("pattern").alias("value"))))
     # a repeated name keeps its first value
@@ -154,10 +147,10 @@ def _index(rule: str) -> int:
 
 
 def generic_matches(found: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Any command whose line looks like one: the tool is its first word."""
-    lines = texts.select(*keys, F.split(F.coalesce("content", F.lit("")), "\n").alias("lines"))
-    each = found.withColumn("tool", shell.normalize_tool(F.get("words", 0))).where(F.col("tool").isNotNull()).join(lines, keys)
-    each = each.where(shell.likely_command_line(F.get("lines", F.col("line") - 1), F.col("tool")))
+    """Any command whose line looks like one: the tool is its first word. Lines that do are joined by their tools, so no command carries its line."""
+    lines = texts.select(*keys, F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("i", "text"))
+    starts = lines.select(*keys, (F.col("i") + 1).alias("line"), F.explode(shell.likely_tools(F.col("text"))).alias("tool"))
+    each = found.withColumn("tool", shell.normalize_tool(F.get("words", 0))).where(F.col("tool").isNotNull()).join(starts, [*keys, "line", "tool"], "left_semi")
     extracted = F.create_map(F.lit("tool"), F.col("tool"), F.lit("pattern"), F.lit("$TOOL $$$ARGS"))
     return each.select(*keys, "line", "line_end", F.lit(_index(GENERIC)).alias("rule_seq"), F.lit(GENERIC).alias("rule_id"), F.lit(0).alias("pattern_seq"), "cmd_seq", extracted.alias("extracted"))
 
@@ -170,8 +163,8 @@ def _line_matches(texts: DataFrame, keys: list[str], rule: str, pattern: str, na
 
 
 def substitution_matches(texts: DataFrame, keys: list[str]) -> DataFrame:
-    dollar = _line_matches(texts, keys, "inject-substitution", r"\$\(([^()]+)\)", "command", "$($COMMAND)").drop("value")
-    return dollar.unionByName(_line_matches(texts, keys, "inject-substitution", "`([^`]+)`", "command", "`$COMMAND`").withColumn("pattern_seq", F.lit(1)).drop("value"))
+    dollar = _line_matches(texts, keys, "inject-substitution", r"\$\(([^()]+)\)", "command", "$($CMD)").drop("value")
+    return dollar.unionByName(_line_matches(texts, keys, "inject-substitution", "`([^`]+)`", "command", "`$CMD`").withColumn("pattern_seq", F.lit(1)).drop("value"))
 
 
 def secret_matches(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -194,7 +187,7 @@ def shell_matches(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def code_matches(texts: DataFrame, keys: list[str], grammar: str) -> DataFrame:
-    return match(source.calls(texts, keys), keys, grammar)
+    return match(source.calls(texts, keys, grammar), keys, grammar)
 
 
 def prompt_matches(texts: DataFrame, keys: list[str]) -> DataFrame:

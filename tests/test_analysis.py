@@ -105,13 +105,15 @@ def test_each_pattern_matches_its_own_text(spark):
     assert rules.rule_counts()[0] == 39
     for rule, grammar, patterns, *_ in rules.RULES:
         for p in patterns:
-            assert rules.compile_pattern(p)["head"] or rule == rules.GENERIC
-    lines = ["curl u", "curl -s u", "curl a -H 'X: y' b", "git commit -m x", "git add a b", "docker compose up -d", "echo hi > f", "crontab f", "echo e | crontab -", "eval \"x\"", "cat a b"]
+            assert rules.compile_pattern(p, grammar)["head"] or rule == rules.GENERIC
+    lines = ["curl u", "curl -s u", "curl a -H 'X: y' b", "git commit -m x", "git add a b", "docker compose up -d", "echo hi > f", "crontab f", "echo e | crontab -", "echo e | crontab -l", "eval \"x\"", "cat a b"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n int, content string")
     got = {}
     for r in rules.shell_matches(df, ["n"]).where(F.col("rule_id") != rules.GENERIC).collect():
         got.setdefault(lines[r.n], set()).add(r.rule_id)
-    assert got == {"curl u": {"net-curl"}, "curl a -H 'X: y' b": {"net-curl"}, "git commit -m x": {"shell-git"}, "docker compose up -d": {"shell-docker-compose"}, "echo hi > f": {"destructive-config-write"}, "crontab f": {"shell-cron"}, "echo e | crontab -": {"shell-cron"}, "eval \"x\"": {"shell-eval"}}
+        if lines[r.n] == "echo e | crontab -l":  # not by the piped form
+            assert r.extracted["pattern"] == "crontab $FILE" and r.extracted["file"] == "-l"
+    assert got == {"curl u": {"net-curl"}, "curl a -H 'X: y' b": {"net-curl"}, "git commit -m x": {"shell-git"}, "docker compose up -d": {"shell-docker-compose"}, "echo hi > f": {"destructive-config-write"}, "crontab f": {"shell-cron"}, "echo e | crontab -": {"shell-cron"}, "echo e | crontab -l": {"shell-cron"}, "eval \"x\"": {"shell-eval"}}
 
 
 def test_sources(spark, tmp_path):

@@ -1,8 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from capsift import config as cfg
-from capsift.functions import ids, paths, risk, shell, urls
+from capsift.functions import ids, paths, risk, scan, shell, urls
 
 
 def values(spark, rows, function, schema="a string"):
@@ -57,11 +59,40 @@ def test_destinations(spark):
     assert [x and tuple(x) for x in one(spark, ["https://github.com/o/r.git", "https://www.github.com/o/r/", "https://github.com/o", "https://github.com/o/r/t", "https://x.org/o/r"], urls.repository)] == [("o", "r"), ("o", "r"), None, None, None]
 
 
-def test_words_of_commands(spark):
-    lines = ["A=1 B=2 curl -X 'a b' \"c;d\" $(e f) # g", "if true; then rm -rf x && ls|wc >o 2>&1", "echo \"x | y\" | sh", "FOO=1"]
-    pieces = one(spark, lines, shell.pieces)
-    assert [p.strip() for p in pieces[1]] == ["if true", ";", "then rm -rf x", "&&", "ls", "|", "wc >o 2>&1"]
-    assert one(spark, [p[0] for p in pieces], shell.words) == [["curl", "-X", "'a b'", '"c;d"', "$(e f)"], ["true"], ["echo", '"x | y"'], []]
+def test_words_of_commands():
+    words = lambda text: [c[2] for c in scan.shell(text)]
+    assert words("A=1 B=2 curl -X 'a b' \"c;d\" $(e f) # g") == [["curl", "-X", "'a b'", '"c;d"', "$(e f)"], ["e", "f"]]
+    assert words("if true; then rm -rf x && ls|wc >o 2>&1; fi") == [["true"], ["rm", "-rf", "x"], ["ls"], ["wc"]]
+    assert scan.shell('echo "x | y" | sh -s > o') == [(1, 1, ["echo", '"x | y"'], ["sh", "-s"], None), (1, 1, ["sh", "-s"], None, "o")]
+    assert words("FOO=1") == [] and words("") == []
+    assert words("f() { g; }\ncase $x in a|b) h i;; esac\n[[ -f x && -d y ]] || j") == [["g"], ["h", "i"], ["[[", "-f", "x", "&&", "-d", "y", "]]"], ["j"]]
+
+
+def test_commands_over_lines():
+    assert scan.shell("cat <<-'EOF' | sh\nrm -rf /\n\tEOF\nls \\\n  -l\n") == [(1, 1, ["cat"], ["sh"], None), (1, 1, ["sh"], None, None), (4, 5, ["ls", "-l"], None, None)]
+    assert scan.shell('x "a\nb" $(c\nd)') == [(1, 3, ["x", '"a\nb"', "$(c\nd)"], None, None), (2, 2, ["c"], None, None), (3, 3, ["d"], None, None)]
+    assert [c[2] for c in scan.shell("say \"no end\nls <<GONE\nit's")] == [["say", '"no', "end"], ["ls"], ["it's"]]
+
+
+def test_calls_and_imports():
+    calls, imports = scan.code("import {\n a } from 'x';\nexport const q = 'no';\nexport * from \"./z\";\nf(g(1,\n [2, 3]), {k: 'v'}) // h(1)\nfunction i(j) {}\nnew Function('k')", "javascript")
+    assert imports == [(1, "import", "x"), (4, "export", "./z")]
+    assert calls == [(5, 6, ["f", "g(1,\n [2, 3])", "{k: 'v'}"], "v"), (5, 6, ["g", "1", "[2, 3]"], None), (8, 8, ["new Function", "'k'"], "k")]
+    calls, imports = scan.code("import os.path, re\nfrom . import a\nx = \"\"\"open('no')\"\"\"\nopen(\n  '/etc/x')\ndef g(a): pass", "python")
+    assert imports == [(1, "import", "os.path"), (2, "from", ".")] and calls == [(4, 5, ["open", "'/etc/x'"], "/etc/x")]
+
+
+@pytest.mark.parametrize("unit", ['"a" ', "word ", "'", '"', '\\"', "$(", "`", "${", "(", "<<a\n", "$((a", '"$(', "a|", "f('a',", "f(", "/*", '"""a', "import a\n", "([{", "(]", "`\\"])
+def test_time_grows_with_the_text_alone(unit):
+    """A quarter of a megabyte of what makes patterns recurse or search again; nesting that is closed, too."""
+    closed = {"$(": ")", "f(": ")", "([{": "}])"}.get(unit, "")
+    n = (1 << 18) // len(unit)
+    text = unit * n + closed * n
+    begin = time.process_time()
+    scan.shell(text)
+    scan.code(text, "javascript")
+    scan.code(text, "python")
+    assert time.process_time() - begin < 20
 
 
 def test_tools_and_command_lines(spark):
