@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (local mode, tests), one of our own."""
+    """The folder that driver and executors share. Only where the session names none and runs in local mode (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="capsift-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -33,14 +37,19 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-_scratch: list[list[str]] = []
-_left: list[str] = []
+#: Where materialize() notes what it writes: the innermost scratch of this thread, and around it what the owner of the results keeps.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("capsift_scratch", default=())
 
 
 def materialize(df: DataFrame, what: str = "step", keep: bool = False) -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage, survives the loss of executors. Within `scratch` the table goes at its end, unless it is to be kept."""
+    """Write once to the shared folder and read back: cuts the lineage, survives the loss of executors.
+
+    Within `scratch` the table goes at its end, unless it is to be kept: then it belongs to the scratch around it. What belongs to none stays, since a result that was handed out reads it."""
     path = new_dir(df.sparkSession, what)
-    (_scratch[-1] if _scratch and not keep else _left).append(path)
+    lists = _open.get()
+    at = len(lists) - (2 if keep else 1)
+    if 0 <= at:
+        lists[at].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -52,28 +61,37 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written within are deleted at the end; what is needed later must be written with keep."""
-    _scratch.append([])
+def noted(paths: list[str]) -> Iterator[None]:
+    """What is written within is added to `paths`, whose owner deletes it."""
+    token = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        for path in _scratch.pop():
-            remove(spark, path)
+        _open.reset(token)
 
 
-def sweep(docs: DataFrame) -> None:
-    """Delete the tables that are left from before, but for those that docs reads: for stages whose input has been written."""
-    read = docs.inputFiles()
-    for path in [p for p in _left if not any(p.split("/")[-1] in f for f in read)]:
-        _left.remove(path)
-        remove(docs.sparkSession, path)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end; what is needed later must be written with keep."""
+    paths: list[str] = []
+    try:
+        with noted(paths):
+            yield
+    finally:
+        for path in paths:
+            remove(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text, nulls told from values: what stands for the row where its text is not at hand."""
+    part = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("v"), c))
+    return F.unhex(F.md5(F.concat(part(F.col(id_col).cast("string")), F.lit("\0"), part(F.col(text_col).cast("string")))))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     line = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))

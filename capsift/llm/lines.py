@@ -10,12 +10,12 @@ one key are near each other, and the key's earliest is the witness against the r
 Each removal is verified against its witness word by word.
 
 Only lines that can have a neighbour emit keys: of two near lines, the first or the last half is equal, so
-a line whose halves occur nowhere else has none. Lines of fewer than five words are compared for equality
-alone, since one edit would be over a fifth of them.
+a line whose halves occur nowhere else has none. Lines of fewer than `min_words` words (five: one edit would be
+over a fifth of them) are compared for equality alone.
 
 Defined cases: lines without a word stay and are compared with nothing; white space within a line does not count; null
 and empty texts come back as they are; rows equal in id and text are one document and come back alike; null
-ids stand first; an empty table gives no rows; other columns stay as they are.
+ids stand first; an empty table gives no rows; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,28 +26,27 @@ from pyspark.sql import functions as F
 from capsift.llm import common
 
 MIN_WORDS = 5
+_OWN = "__capsift_line_dedup"
 _KEY, _GONE, _LINES = "__capsift_row", "__capsift_gone", "__capsift_lines"
 _PLACE = ["doc_id", "k", "no"]
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-def _halves(w: Column, n: Column) -> Column:
+def _halves(w: Column, n: Column, min_words: int) -> Column:
     """Hashes of the first and last half, also as a line of one word less would cut them; the lowest bit is 1 for a last half."""
     down = lambda x: F.floor(x / 2).cast("int")
     first = [down(n), down(n - 1)]
     last = [n - down(n), n - 1 - down(n - 1)]
     keys = [F.xxhash64(a, F.slice(w, 1, a)).bitwiseAND(-2) for a in first] + [F.xxhash64(b, F.slice(w, n - b + 1, b)).bitwiseOR(1) for b in last]
-    return F.when(n >= MIN_WORDS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= min_words, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each line with a word: doc_id, k (the row), no, h1, h2 (the line), halves."""
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("k"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    # the key in a step of its own: beside the explode it would be computed for each line
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    split = keyed.select("doc_id", "k", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     worded = split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("w", common.words(F.col("line")))
-    return worded.select(*_PLACE, F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), _halves(F.col("w"), F.size("w")).alias("halves"))
+    return worded.select(*_PLACE, F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), _halves(F.col("w"), F.size("w"), min_words).alias("halves"))
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
@@ -95,7 +94,7 @@ def _near(a: Column, b: Column) -> Column:
 def near_lines(docs: DataFrame, distinct: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """place: the distinct lines (by their first places) that have an earlier near line."""
     wanted = _candidates(distinct).groupBy("k").agg(F.collect_list(F.struct("no", "by_first", "by_last")).alias("at"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     # exploded once, so that the split isn't moved into the lambda and run for each line
     both = texts.join(wanted.hint("merge"), "k").select("doc_id", "k", "at", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
     both = both.select("doc_id", "k", F.explode(F.transform("at", lambda a: F.struct(a["no"].alias("no"), a["by_first"].alias("by_first"), a["by_last"].alias("by_last"), F.get("lines", a["no"]).alias("line")))).alias("x"))
@@ -109,9 +108,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, text_col: str = "text", id_
     return pairs.where(_near(F.col("w"), F.col("v"))).select("place").distinct()
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """k (the row), gone: the numbers of its lines that have an equal or near earlier line. Rows without any are left out."""
-    every = common.materialize(lines(docs, id_col, text_col), "lines")
+    every = common.materialize(lines(docs, id_col, text_col, min_words), "lines")
     place = F.struct(*_PLACE)
     distinct = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = common.materialize(distinct.select("h1", "h2", "first.*", "n", "halves"), "distinct")
@@ -122,23 +121,25 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gone.groupBy("k").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the duplicate lines taken out of the text, and two more columns: n_lines (all) and n_removed."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the duplicate lines taken out of the text, and a struct column `__capsift_line_dedup`: n_lines (all) and n_removed. min_words: lines of fewer words are compared for equality alone (3 is the least)."""
+    if min_words < 3:
+        raise ValueError("any two lines of two words or one that share a word are near")
     with common.scratch(docs.sparkSession):
-        gone = common.materialize(duplicate_lines(docs, id_col, text_col), "gone", keep=True)
+        gone = common.materialize(duplicate_lines(docs, id_col, text_col, min_words), "gone", keep=True)
     gone = gone.select(F.col("k").alias(_KEY), F.col("gone").alias(_GONE))
     split = F.col(_LINES)  # a column: within a lambda a split would run for each line
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(_GONE))
     text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get(split, i)), "\n"))
     n = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     removed = F.when(F.col(_GONE).isNull(), 0).otherwise(F.size(_GONE)).cast("long")
-    joined = docs.withColumn(_KEY, _row_key(id_col, text_col)).join(gone.hint("merge"), _KEY, "left").withColumn(_LINES, F.when(F.col(_GONE).isNotNull(), F.split(text_col, "\n")))
-    return joined.select(*(F.col(c) if c != text_col else text.alias(c) for c in docs.columns), n.alias("n_lines"), removed.alias("n_removed"))
+    joined = docs.withColumn(_KEY, common.row_key(id_col, text_col)).join(gone.hint("merge"), _KEY, "left").withColumn(_LINES, F.when(F.col(_GONE).isNotNull(), F.split(text_col, "\n")))
+    return joined.select(*(F.col(c) if c != text_col else text.alias(c) for c in docs.columns), F.struct(n.alias("n_lines"), removed.alias("n_removed")).alias(_OWN))
 
 
 def op10_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return found.select("doc_id", f"{_OWN}.n_lines", f"{_OWN}.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def lines_sql(docs: str) -> str:

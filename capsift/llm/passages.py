@@ -141,16 +141,12 @@ def _cut(window: int, batches):
         yield pa.RecordBatch.from_arrays([*b.columns[2:], *cols.values()], names=[*b.schema.names[2:], *cols])
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """k (a row's key), spans: array of lo (a window's first word), size (windows in a row), and the row and word where they also occur."""
     if not 1 <= gram <= window:
         raise ValueError("a gram must fit in a window")
     text = F.col(text_col).cast("binary").alias("text")
-    keyed = docs.select(_row_key(id_col, text_col).alias("k"), text)
+    keyed = docs.select(common.row_key(id_col, text_col).alias("k"), text)
     # anchors with at least two places
     counts = docs.select(text).mapInArrow(partial(_anchors, window, gram), "a long").groupBy("a").agg(F.count("*").alias("n"))
     shared = common.materialize(counts.where("n > 1").select("a"), "anchors")
@@ -177,7 +173,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The columns of docs in one struct `doc`, and kept (the words left, with single spaces), n_words, n_removed, n_factors."""
     with common.scratch(docs.sparkSession):
         spans = common.materialize(duplicate_spans(docs, id_col, text_col, window, gram), "spans", keep=True)
-    rows = docs.select(_row_key(id_col, text_col).alias("k"), F.col(text_col).cast("binary").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("doc"))
+    rows = docs.select(common.row_key(id_col, text_col).alias("k"), F.col(text_col).cast("binary").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("doc"))
     joined = rows.join(spans, "k", "left").select("text", "spans", "doc")
     kind = joined.schema["doc"].dataType.simpleString()
     return joined.mapInArrow(partial(_cut, window), f"doc {kind}, kept string, n_words long, n_removed long, n_factors long")

@@ -1,16 +1,21 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Each rule looks at one statistic of a text and votes good (1), bad (-1) or abstains (0). A rule has two
+Each rule looks at one statistic of a text and votes good (1), bad (-1) or abstains (0); the rules look at different evidence: characters, words, lines, repetition, letter
+case, sentence ends, word lengths. A rule has two
 unknown rates: how often it votes bad on good and on bad documents. Expectation-maximisation finds these rates and the
 share of good documents from the votes of the whole corpus, without labels; a document's posterior
 probability of being good, given its votes, is the verdict. EM runs on the table of distinct vote patterns (3 to the number
-of rules at most, whatever the corpus), one aggregate a round.
+of rules at most, whatever the corpus), one aggregate a round, until the posterior density per document stands still.
+
+Rates have Beta priors that weigh as much as a stated share of the documents, so they act alike at every size: rules are held to be precise (they seldom vote bad on good documents), and blind to
+most kinds of junk. What one rule alone calls bad, against the good votes of all others, therefore mostly stays; what two see goes.
 
 Two hard rules come before it (`base_failed`): fewer than 50 words, or over half of the words in repeated
 windows of three words.
 
 Defined cases: null or empty texts have no words and fail the base rules; null ids and repeated rows are
-scored like any other; an empty table gives no rows; other columns stay as they are in `score`, whatever their names.
+scored like any other; in scripts without spaces the rules on word lengths abstain; an empty table gives no rows; other columns stay as they are in `score`, whatever their names.
+One row's words and windows are arrays in memory: some 150 bytes a word.
 """
 
 from __future__ import annotations
@@ -25,24 +30,31 @@ from capsift.llm import common
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-ROUNDS = 12
+#: At most so many rounds; fewer if the objective per document changes by less than this.
+ROUNDS, STILL = 30, 1e-10
 THRESHOLD = 0.5
-#: (name, statistic, bad if over this percent of the base, good if under that percent of it, base)
+#: Letters of scripts that put no spaces between words.
+SPACELESS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF)))
+#: What is neither letter, mark, digit, white space nor the punctuation of prose.
+ODD = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:!?'\"()\[\]{}…–—-]+"
+#: A line that ends like a sentence.
+ENDED = r"[.!?:;…。！？][\"')\]»”]*[\x20\x09-\x0D]*\z"
+#: (name, statistic, bad if over this percent of the base, good if under that percent of it, base, whether spaceless scripts abstain)
 RULES = [
-    ("symbols", "n_symbols", 10, 3, "n_words"),
-    ("dup_lines", "n_dup_lines", 30, 10, "n_lines"),
-    ("repeats", "n_repeat_words", 30, 15, "n_words"),
-    ("shouting", "n_upper_runs", 30, 5, "n_words"),
-    ("exclaiming", "n_exclamations", 20, 5, "n_words"),
-    ("long_words", "word_chars", 1200, 900, "n_words"),
-    ("few_stops", "n_unstopped", 98, 96, "n_words"),
+    ("symbols", "n_symbols", 10, 3, "n_words", False),
+    ("odd_runs", "n_odd_runs", 25, 8, "n_words", False),
+    ("dup_lines", "n_dup_lines", 30, 10, "n_lines", False),
+    ("repeats", "n_repeat_words", 30, 15, "n_words", False),
+    ("shouting", "n_upper_runs", 30, 5, "n_words", False),
+    ("unended", "n_unended", 12, 5, "n_lines", False),
+    ("long_words", "word_chars", 1000, 800, "n_words", True),
+    ("few_short", "n_long", 92, 86, "n_words", True),
 ]
 #: What EM starts from: share of good documents, rate of bad votes on good and on bad ones.
 START = (0.85, 0.002, 0.25)
-SMOOTH = 1.0
-#: The rules are made to be precise: on good documents none is taken to vote bad more often than this, so a kind of junk that one rule alone sees stays junk.
-MOST_ON_GOOD = 0.01
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_runs", "n_exclamations", "n_unstopped"]
+#: Beta priors: (mean, weight as a share of the documents) of a rule's rate of bad votes on good and on bad documents; the same of the share of good documents.
+PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE = (0.001, 1.0), (0.3, 0.02), (0.85, 0.05)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_odd_runs", "n_upper_runs", "n_unended", "n_long", "n_spaceless"]
 _OWN = "__capsift_quality"
 
 
@@ -73,17 +85,20 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": covered,
         "n_lines": F.size(lines),
         "n_upper_runs": F.size(F.regexp_extract_all(text, F.lit("[A-Z]{3,}"), 0)),
-        "n_exclamations": F.length(text) - _without(text, "!"),
-        # words of over three characters: prose in any language has short ones
-        "n_unstopped": F.size(F.filter(words, lambda w: F.length(w) > 3)),
+        "n_odd_runs": F.size(F.regexp_extract_all(text, F.lit(ODD), F.lit(0))),
+        "n_unended": F.size(F.filter(lines, lambda x: ~F.rlike(x, F.lit(ENDED)))),
+        # words of over three characters: prose in any language with spaces has short ones
+        "n_long": F.size(F.filter(words, lambda w: F.length(w) > 3)),
+        "n_spaceless": F.when(F.rlike(text, F.lit(f"[{SPACELESS}]")), F.length(text) - F.length(F.regexp_replace(text, f"[{SPACELESS}]+", ""))).otherwise(0),
     }
     return df.withColumn(_OWN, F.struct(*(counts[c].cast("long").alias(c) for c in COUNTS))).drop(*steps)
 
 
 def _vote(rule: tuple, at: str) -> Column:
-    _, stat, bad, good, base = rule
+    _, stat, bad, good, base, spaced = rule
     x, n = F.col(f"{at}.{stat}") * 100, F.col(f"{at}.{base}")
-    return F.when(n == 0, 0).when(x > bad * n, -1).when(x < good * n, 1).otherwise(0)
+    abstains = (n == 0) | (F.col(f"{at}.n_spaceless") * 5 > F.col(f"{at}.word_chars")) if spaced else n == 0
+    return F.when(abstains, 0).when(x > bad * n, -1).when(x < good * n, 1).otherwise(0)
 
 
 def base_failed(at: str = _OWN) -> Column:
@@ -103,18 +118,41 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> tuple:
     """patterns: v0, v1, ... (votes) and n (documents), a row for each distinct pattern. Returns (share of good documents, [(rate of bad votes on good, on bad)])."""
     k = len(patterns.columns) - 1
     votes = [F.col(f"v{i}") for i in range(k)]
-    model = (START[0], [START[1:]] * k)
+    model, before = (START[0], [START[1:]] * k), -math.inf
     for _ in range(rounds):
-        good = F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(votes, model)))
-        weighed = patterns.select(*votes, (good * F.col("n")).alias("g"), ((1 - good) * F.col("n")).alias("b"))
+        odds = _log_odds(votes, model)
+        good = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+        # the density of a pattern: that of a bad document by these votes, times (1 + odds)
+        bad = F.lit(math.log(1 - model[0]))
+        for v, (_, on_bad) in zip(votes, model[1]):
+            bad = bad + F.when(v == -1, F.lit(math.log(on_bad))).when(v == 1, F.lit(math.log(1 - on_bad))).otherwise(F.lit(0.0))
+        weighed = patterns.select(*votes, (good * F.col("n")).alias("g"), ((1 - good) * F.col("n")).alias("b"), ((bad + F.log1p(F.exp(odds))) * F.col("n")).alias("l"))
         sums = [F.sum(F.when(v == -1, F.col(y)).otherwise(0.0)) for v in votes for y in "gb"] + [F.sum(F.when(v != 0, F.col(y)).otherwise(0.0)) for v in votes for y in "gb"]
-        got = [x or 0.0 for x in weighed.agg(F.sum("g"), F.sum("b"), *sums).first()]
-        good_n, bad_n, bad_votes, all_votes = got[0], got[1], got[2 : 2 + 2 * k], got[2 + 2 * k :]
-        rate = [(a + SMOOTH) / (n + 2 * SMOOTH) for a, n in zip(bad_votes, all_votes)]
-        model = ((good_n + SMOOTH) / (good_n + bad_n + 2 * SMOOTH), [(min(g, MOST_ON_GOOD), b) for g, b in zip(rate[::2], rate[1::2])])
+        got = [x or 0.0 for x in weighed.agg(F.sum("g"), F.sum("b"), F.sum("l"), *sums).first()]
+        good_n, bad_n, density, bad_votes, all_votes = got[0], got[1], got[2], got[3 : 3 + 2 * k], got[3 + 2 * k :]
+        n = good_n + bad_n
+        if not n:
+            break
+        now = density / n + _log_prior(model)
+        if abs(now - before) < STILL:
+            break
+        rate = [(a + mean * weight * n) / (all_ + weight * n) for a, all_, (mean, weight) in zip(bad_votes, all_votes, [PRIOR_GOOD, PRIOR_BAD] * k)]
+        share, before = (good_n + PRIOR_SHARE[0] * PRIOR_SHARE[1] * n) / (n + PRIOR_SHARE[1] * n), now
+        model = (share, list(zip(rate[::2], rate[1::2])))
     return model
 
 
+def _log_prior(model: tuple) -> float:
+    """Of the rates, per document."""
+    pairs = [(model[0], PRIOR_SHARE)] + [(x, p) for rates in model[1] for x, p in zip(rates, (PRIOR_GOOD, PRIOR_BAD))]
+    return sum(weight * (mean * math.log(x) + (1 - mean) * math.log(1 - x)) for x, (mean, weight) in pairs)
+
+
+def accuracies(spark: SparkSession, model: tuple) -> DataFrame:
+    """What EM has found: rule, bad_on_good, bad_on_bad."""
+    return spark.createDataFrame([(r[0], *rates) for r, rates in zip(RULES, model[1])], "rule string, bad_on_good double, bad_on_bad double")
+
+
 def _model(stats: DataFrame, rounds: int) -> tuple:
     """Of the output of statistics()."""
     votes = [_vote(r, _OWN).alias(f"v{i}") for i, r in enumerate(RULES)]
@@ -157,7 +195,9 @@ def _sql_log_odds(prior: str, rate) -> str:
 
 def stats_sql(docs: str = "documents") -> str:
     """CTEs up to `votes`: the counts, base_failed and the votes of each document. Ids must be unique."""
-    votes = ", ".join(f"CASE WHEN {base} = 0 THEN 0 WHEN {stat} * 100 > {bad} * {base} THEN -1 WHEN {stat} * 100 < {good} * {base} THEN 1 ELSE 0 END AS v{i}" for i, (_, stat, bad, good, base) in enumerate(RULES))
+    skip = " OR n_spaceless * 5 > word_chars"
+    votes = ", ".join(f"CASE WHEN {base} = 0{skip if spaced else ''} THEN 0 WHEN {stat} * 100 > {bad} * {base} THEN -1 WHEN {stat} * 100 < {good} * {base} THEN 1 ELSE 0 END AS v{i}" for i, (_, stat, bad, good, base, spaced) in enumerate(RULES))
+    odd, ended = ODD.replace("'", "''"), ENDED.replace("'", "''")
     return f"""
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM {docs}),
 w AS MATERIALIZED (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
@@ -165,8 +205,9 @@ g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SE
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
 s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-  len(l)::BIGINT AS n_lines, len(regexp_extract_all(t, '[A-Z]{{3,}}'))::BIGINT AS n_upper_runs, (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclamations,
-  len(list_filter(w, lambda x: length(x) > 3))::BIGINT AS n_unstopped FROM w LEFT JOIN r USING (doc_id)),
+  len(l)::BIGINT AS n_lines, len(regexp_extract_all(t, '{odd}'))::BIGINT AS n_odd_runs, len(regexp_extract_all(t, '[A-Z]{{3,}}'))::BIGINT AS n_upper_runs,
+  len(list_filter(l, lambda x: NOT regexp_matches(x, '{ended}')))::BIGINT AS n_unended, len(list_filter(w, lambda x: length(x) > 3))::BIGINT AS n_long,
+  (length(t) - length(regexp_replace(t, '[{SPACELESS}]+', '', 'g')))::BIGINT AS n_spaceless FROM w LEFT JOIN r USING (doc_id)),
 votes AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {votes} FROM s)"""
 
 
@@ -177,9 +218,10 @@ def em_sql() -> str:
     out.append("m0 AS (SELECT " + f"{START[0]}::DOUBLE AS prior, " + ", ".join(f"{START[1]}::DOUBLE AS g{i}, {START[2]}::DOUBLE AS b{i}" for i in range(k)) + ")")
     odds = _sql_log_odds("prior", lambda i, y: f"{y}{i}")
     for r in range(ROUNDS):
-        rate = lambda i, y: f"(coalesce(sum(CASE WHEN v{i} = -1 THEN {y} ELSE 0.0 END), 0) + {SMOOTH}) / (coalesce(sum(CASE WHEN v{i} <> 0 THEN {y} ELSE 0.0 END), 0) + {2 * SMOOTH})"
-        rates = ", ".join(f"least({rate(i, 'gw')}, {MOST_ON_GOOD}) AS g{i}, {rate(i, 'bw')} AS b{i}" for i in range(k))
-        out.append(f"m{r + 1} AS MATERIALIZED (SELECT (coalesce(sum(gw), 0) + {SMOOTH}) / (coalesce(sum(gw), 0) + coalesce(sum(bw), 0) + {2 * SMOOTH}) AS prior, {rates} FROM (SELECT {names}, q * n AS gw, (1 - q) * n AS bw FROM (SELECT {names}, n, 1.0 / (1.0 + exp(-({odds}))) AS q FROM p, m{r})))")
+        n = "(SELECT sum(n) FROM p)"
+        rate = lambda i, y, prior: f"(coalesce(sum(CASE WHEN v{i} = -1 THEN {y} ELSE 0.0 END), 0) + {prior[0] * prior[1]} * {n}) / (coalesce(sum(CASE WHEN v{i} <> 0 THEN {y} ELSE 0.0 END), 0) + {prior[1]} * {n})"
+        rates = ", ".join(f"{rate(i, 'gw', PRIOR_GOOD)} AS g{i}, {rate(i, 'bw', PRIOR_BAD)} AS b{i}" for i in range(k))
+        out.append(f"m{r + 1} AS MATERIALIZED (SELECT (coalesce(sum(gw), 0) + {PRIOR_SHARE[0] * PRIOR_SHARE[1]} * {n}) / ({1 + PRIOR_SHARE[1]} * {n}) AS prior, {rates} FROM (SELECT {names}, q * n AS gw, (1 - q) * n AS bw FROM (SELECT {names}, n, 1.0 / (1.0 + exp(-({odds}))) AS q FROM p, m{r})))")
     out.append(f"verdicts AS (SELECT votes.*, NOT base_failed AND 1.0 / (1.0 + exp(-({odds}))) >= {THRESHOLD} AS kept FROM votes, m{ROUNDS})")
     return ",\n".join(out)
 

@@ -242,13 +242,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of linked documents the row with the smallest id (null last; of rows with equal ids one), all columns as they are."""
-    key = "__capsift_row"
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int | None = None) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest id (null last; of rows with equal ids one), all columns as they are.
+
+    Near: of the sets of five-word shingles 0.8 or more are common. At that bound 39 of 256 bits of a fingerprint differ, so a segment that is equal, or a chain of them, singles out too little to be
+    a join key; candidates share a sampled key of their shingles instead, the pigeonring's chains over 256 bits and the full Hamming check prune them, and the rest is compared exactly (`shingles`).
+    Which rows stay is decided on row keys alone; the texts are joined once with those that go.
+    """
+    from capsift.llm import shingles
+
+    key, many = "__capsift_row", "__capsift_times"
+    keyed = docs.withColumn(key, common.row_key(id_col, text_col))
     with common.scratch(docs.sparkSession):
-        found = near_duplicates(keyed, threshold, shingle, key, text_col)
-        ids = keyed.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")).distinct()
-        first = found.distinct().join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first"))
-        kept = common.materialize(first.select(F.col("first.doc_id").alias(key)), "kept", keep=True)
-    return keyed.join(kept.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+        prints = keyed.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        prints = common.materialize(prints.mapInArrow(shingles._prints, "row binary, id long, sig long, n long, fp binary, keys array<long>"), "prints")
+        first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "n", "fp", "keys")).alias("first")
+        distinct = common.materialize(prints.groupBy("sig").agg(first).select("sig", "first.*"), "distinct")
+        edges = common.materialize(shingles.link(keyed, distinct, key, text_col, block or shingles.BLOCK), "links")
+        reached = graph.components(edges)
+        joined = distinct.join(reached, distinct.sig == reached.node, "left").groupBy(F.coalesce("component", "sig").alias("component"))
+        kept = joined.agg(F.min(F.struct("no_id", "id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+        # of rows that are equal in id and text one stays: their keys are marked, and only these rows are dealt by key
+        again = prints.groupBy("row").agg(F.count("*").alias("times")).where("times > 1")
+        kept = common.materialize(kept.join(again, "row", "left").select(F.col("row").alias(key), F.coalesce("times", F.lit(1)).alias(many)), "kept", keep=True)
+    mine = keyed.join(kept.hint("merge"), key)
+    return mine.where(F.col(many) == 1).select(*docs.columns).unionByName(mine.where(F.col(many) > 1).dropDuplicates([key]).select(*docs.columns))

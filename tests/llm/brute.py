@@ -109,3 +109,28 @@ def quality(text):
     seen = Counter(grams)
     covered = {i + j for i, g in enumerate(grams) if seen[g] > 1 for j in range(3)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines_) - len(set(lines_)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def shingles(text):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_kept(docs):
+    """Of each group of texts that links of 0.8 or more connect the smallest id."""
+    found = [(i, shingles(t)) for i, t in docs]
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(found):
+        for j, (_, b) in enumerate(found[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    groups = {}
+    for i, (d, _) in enumerate(docs):
+        groups.setdefault(top(i), []).append((d is None, d or 0))
+    return sorted(None if a else d for a, d in map(min, groups.values())) if all(d is not None for d, _ in docs) else sorted(map(min, groups.values()))

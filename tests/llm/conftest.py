@@ -13,7 +13,7 @@ def make(spark):
         full = [(i, t, ["en", "fr", None][(i or 0) % 3], f"src{(i or 0) % 4}", len(t or "")) for i, t in rows]
         df = spark.createDataFrame(full, SCHEMA)
         if extra:
-            df = df.selectExpr("*", "1 as k", "'x' as fp", "2 as n_words", "3 as spans", "4 as h1", "'y' as no", "5 as line", "6 as domain", "7 as id", "8 as ids", "9 as component_id")
+            df = df.selectExpr("*", "1 as k", "'x' as fp", "2 as n_words", "3 as spans", "4 as h1", "'y' as no", "5 as line", "6 as domain", "7 as id", "8 as ids", "9 as component_id", "10 as n_lines", "11 as n_removed", "12 as kept", "13 as text_", "14 as sig", "15 as row", "16 as n")
         return df
 
     return table

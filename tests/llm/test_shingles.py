@@ -4,32 +4,7 @@ import brute
 import corpus_pipeline
 import pytest
 
-from capsift.llm import shingles
-
-
-def plain(text):
-    w = brute.words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def kept(docs):
-    """Of each group of texts that links of 0.8 or more connect the smallest id."""
-    found = [(i, plain(t)) for i, t in docs]
-    root = list(range(len(docs)))
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, (_, a) in enumerate(found):
-        for j, (_, b) in enumerate(found[:i]):
-            if a == b or 5 * len(a & b) >= 4 * len(a | b):
-                root[max(top(i), top(j))] = min(top(i), top(j))
-    groups = {}
-    for i, (d, _) in enumerate(docs):
-        groups.setdefault(top(i), []).append((d is None, d or 0))
-    return sorted(None if a else d for a, d in map(min, groups.values())) if all(d is not None for d, _ in docs) else sorted(map(min, groups.values()))
+from capsift.llm import shingles, simhash
 
 
 def planted(say, first, changes):
@@ -53,7 +28,7 @@ def say():
 def test_the_stage_drops_pairs_from_the_bound_on(spark, make, say):
     changes = [c for c in (2, 4, 6, 7, 8, 9, 10, 14) for _ in range(6)]  # 0.95, 0.90, 0.86, 0.84, 0.82, 0.80, 0.78, 0.70
     docs = planted(say, 1000, changes)
-    measured = [len(plain(a) & plain(b)) / len(plain(a) | plain(b)) for (_, a), (_, b) in zip(docs[::2], docs[1::2])]
+    measured = [len(brute.shingles(a) & brute.shingles(b)) / len(brute.shingles(a) | brute.shingles(b)) for (_, a), (_, b) in zip(docs[::2], docs[1::2])]
     assert min(abs(m - 0.8) for m in measured) < 0.01 and {m >= 0.8 for m in measured} == {True, False}
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, make(docs), "").collect()}
     assert got == {i for i, _ in docs[::2]} | {1001 + 2 * n for n, m in enumerate(measured) if m < 0.8}
@@ -62,12 +37,12 @@ def test_the_stage_drops_pairs_from_the_bound_on(spark, make, say):
 def test_all_columns_odd_texts_and_repeated_rows(make, texts):
     docs = [d for d in texts if d[0] is not None]
     table = make(docs, True)
-    found = shingles.drop_similar(table)
+    found = simhash.drop_near_duplicates(table)
     assert found.columns == table.columns
-    assert sorted(r.doc_id for r in found.collect()) == kept(docs)
-    ids = [r.doc_id for r in shingles.drop_similar(make(texts)).collect()]
-    assert sorted((i is None, i or 0) for i in ids) == kept(texts)
-    assert shingles.drop_similar(make([])).count() == 0
+    assert sorted(r.doc_id for r in found.collect()) == brute.near_kept(docs)
+    ids = [r.doc_id for r in simhash.drop_near_duplicates(make(texts)).collect()]
+    assert sorted((i is None, i or 0) for i in ids) == brute.near_kept(texts)
+    assert simhash.drop_near_duplicates(make([])).count() == 0
 
 
 @pytest.mark.parametrize("block", [4, 256])
@@ -80,9 +55,9 @@ def test_large_groups_lose_no_link(make, say, block):
             for at in rng.sample(range(100), rng.randint(0, 4)):
                 copy[at] = f"new{n}x{k}x{at}"
             docs.append((100 * n + k, " ".join(copy)))
-    want = kept(docs)
+    want = brute.near_kept(docs)
     assert 3 < len(want) < 100
-    assert sorted(r.doc_id for r in shingles.drop_similar(make(docs), block=block).collect()) == want
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(make(docs), block=block).collect()) == want
 
 
 def test_sets_of_parts_of_a_batch(texts):
@@ -91,5 +66,5 @@ def test_sets_of_parts_of_a_batch(texts):
     column = pa.array([t for _, t in texts] + ["A b C d É f"], pa.string())
     for part in (column, column.slice(7), column.slice(3, 20), column.slice(0, 0)):
         h, edges = shingles.sets(part)
-        assert (edges[1:] - edges[:-1]).tolist() == [len(plain(t)) for t in part.to_pylist()] and len(h) == edges[-1]
+        assert (edges[1:] - edges[:-1]).tolist() == [len(brute.shingles(t)) for t in part.to_pylist()] and len(h) == edges[-1]
     assert shingles.sets(pa.array(["a B c D É f"]))[0].tolist() == shingles.sets(column)[0][-2:].tolist()
