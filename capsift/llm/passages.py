@@ -91,8 +91,8 @@ def _anchors(window: int, gram: int, batches):
 def _phrases(window: int, gram: int, batches):
     for b in textbuf.slices(batches, 1):
         p = Phrases(b.column(1), window, gram)
-        key = b.column(0).to_numpy()[p.text]
-        yield pa.RecordBatch.from_arrays([_long(p.anchor), _long(p.whole()), _long(key), _long(p.lo - p.words.first[p.text]), _long(p.size)], names=["a", "f", "k", "lo", "size"])
+        key = b.column(0).take(pa.array(p.text))
+        yield pa.RecordBatch.from_arrays([_long(p.anchor), _long(p.whole()), key, _long(p.lo - p.words.first[p.text]), _long(p.size)], names=["a", "f", "k", "lo", "size"])
 
 
 def _windows(window: int, batches):
@@ -107,7 +107,7 @@ def _windows(window: int, batches):
         start = textbuf.ragged(lo, size)
         row, a, alone = (np.repeat(x, size) for x in (row, a, alone))
         w = p.range(start + p.words.first[row], window)
-        yield pa.RecordBatch.from_arrays([pa.array(a), _long(w), _long(b.column(0).to_numpy()[row]), _long(start), pa.array(alone)], names=["a", "w", "k", "lo", "alone"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), _long(w), b.column(0).take(pa.array(row)), _long(start), pa.array(alone)], names=["a", "w", "k", "lo", "alone"])
 
 
 def factors(spans: list, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
@@ -151,7 +151,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = docs.select(text).mapInArrow(partial(_anchors, window, gram), "a long").groupBy("a").agg(F.count("*").alias("n"))
     shared = common.materialize(counts.where("n > 1").select("a"), "anchors")
     place = F.struct("k", "lo")
-    blocks = common.materialize(keyed.mapInArrow(partial(_phrases, window, gram), "a long, f long, k long, lo long, size long").join(shared, "a", "left_semi"), "phrases")
+    blocks = common.materialize(keyed.mapInArrow(partial(_phrases, window, gram), "a long, f long, k binary, lo long, size long").join(shared, "a", "left_semi"), "phrases")
     classes = blocks.groupBy("a", "f").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.first("size").alias("size"))
     classes = common.materialize(classes, "classes")
     source = lambda own: F.when(own == F.col("first"), F.col("last")).otherwise(F.col("first"))
@@ -160,7 +160,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # boundaries: blocks of different phrases; one place of each
     mixed = common.materialize(classes.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "mixed")
     ends = classes.join(mixed, "a", "left_semi").groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct("a", F.col("first.lo").alias("lo"), "size", (F.col("n") == 1).alias("alone"))).alias("at"))
-    windows = keyed.join(ends, "k").mapInArrow(partial(_windows, window), "a long, w long, k long, lo long, alone boolean")
+    windows = keyed.join(ends, "k").mapInArrow(partial(_windows, window), "a long, w long, k binary, lo long, alone boolean")
     windows = common.materialize(windows, "windows")
     twice = windows.groupBy("a", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     part = windows.where("alone").join(common.materialize(twice, "twice"), ["a", "w"]).select("k", "lo", F.lit(1).cast("long").alias("size"), source(place).alias("s"))

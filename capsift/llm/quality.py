@@ -46,15 +46,16 @@ RULES = [
     ("dup_lines", "n_dup_lines", 30, 10, "n_lines", False),
     ("repeats", "n_repeat_words", 30, 15, "n_words", False),
     ("shouting", "n_upper_runs", 30, 5, "n_words", False),
+    ("exclaiming", "n_exclamations", 20, 5, "n_words", False),
     ("unended", "n_unended", 12, 5, "n_lines", False),
     ("long_words", "word_chars", 1000, 800, "n_words", True),
     ("few_short", "n_long", 92, 86, "n_words", True),
 ]
 #: What EM starts from: share of good documents, rate of bad votes on good and on bad ones.
-START = (0.85, 0.002, 0.25)
+START = (0.85, 0.05, 0.4)
 #: Beta priors: (mean, weight as a share of the documents) of a rule's rate of bad votes on good and on bad documents; the same of the share of good documents.
-PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE = (0.001, 1.0), (0.3, 0.02), (0.85, 0.05)
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_odd_runs", "n_upper_runs", "n_unended", "n_long", "n_spaceless"]
+PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE = (0.01, 0.5), (0.4, 0.1), (0.9, 1.0)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_odd_runs", "n_upper_runs", "n_exclamations", "n_unended", "n_long", "n_spaceless"]
 _OWN = "__capsift_quality"
 
 
@@ -86,9 +87,10 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_lines": F.size(lines),
         "n_upper_runs": F.size(F.regexp_extract_all(text, F.lit("[A-Z]{3,}"), 0)),
         "n_odd_runs": F.size(F.regexp_extract_all(text, F.lit(ODD), F.lit(0))),
+        "n_exclamations": F.length(text) - _without(text, "!"),
         "n_unended": F.size(F.filter(lines, lambda x: ~F.rlike(x, F.lit(ENDED)))),
-        # words of over three characters: prose in any language with spaces has short ones
-        "n_long": F.size(F.filter(words, lambda w: F.length(w) > 3)),
+        # all but short words in lower case, which prose in any language with spaces has
+        "n_long": F.size(F.filter(words, lambda w: (F.length(w) > 3) | (w != F.lower(w)))),
         "n_spaceless": F.when(F.rlike(text, F.lit(f"[{SPACELESS}]")), F.length(text) - F.length(F.regexp_replace(text, f"[{SPACELESS}]+", ""))).otherwise(0),
     }
     return df.withColumn(_OWN, F.struct(*(counts[c].cast("long").alias(c) for c in COUNTS))).drop(*steps)
@@ -205,8 +207,8 @@ g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SE
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
 s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-  len(l)::BIGINT AS n_lines, len(regexp_extract_all(t, '{odd}'))::BIGINT AS n_odd_runs, len(regexp_extract_all(t, '[A-Z]{{3,}}'))::BIGINT AS n_upper_runs,
-  len(list_filter(l, lambda x: NOT regexp_matches(x, '{ended}')))::BIGINT AS n_unended, len(list_filter(w, lambda x: length(x) > 3))::BIGINT AS n_long,
+  len(l)::BIGINT AS n_lines, len(regexp_extract_all(t, '{odd}'))::BIGINT AS n_odd_runs, len(regexp_extract_all(t, '[A-Z]{{3,}}'))::BIGINT AS n_upper_runs, (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclamations,
+  len(list_filter(l, lambda x: NOT regexp_matches(x, '{ended}')))::BIGINT AS n_unended, len(list_filter(w, lambda x: length(x) > 3 OR x <> lower(x)))::BIGINT AS n_long,
   (length(t) - length(regexp_replace(t, '[{SPACELESS}]+', '', 'g')))::BIGINT AS n_spaceless FROM w LEFT JOIN r USING (doc_id)),
 votes AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {votes} FROM s)"""
 
