@@ -86,6 +86,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with table, which has each key once and, in column n, how many of the rows have it; n doesn't come out.
+
+    A key with more than its part of all rows (a quarter of a task's) is cut into as many salted keys as it has such parts. Fewer than four keys a partition can hold so many rows, whatever
+    the data, so the list of them is small enough to broadcast: it tells a row whether to take a salt, by its columns `by`."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    bound = max(1000, total // (4 * partitions(rows.sparkSession)))
+    parts, salt = "__capsift_parts", "__capsift_salt"
+    cut = table.withColumn(parts, F.ceil(F.col(n) / bound).cast("int")).drop(n)
+    hot = cut.where(F.col(parts) > 1).select(*keys, parts)
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    salted = cut.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    return dealt.join(salted.hint("merge"), [*keys, salt], how).drop(salt)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """128 bits of a row's id and text, nulls told from values: what stands for the row where its text is not at hand."""
     part = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("v"), c))

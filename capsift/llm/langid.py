@@ -7,7 +7,8 @@ scores are sums over its n-grams; Viterbi finds the labels with the best total,
 A document's language is the one with the most letters; the score is its share of all letters.
 
 Languages are learnt from at most about `sample_docs` documents of each (chosen by a hash of the id, whole texts), a bound that
-keeps the fit small; the model's size is fixed by the number of languages and of buckets. Every document is predicted.
+keeps the fit small; the model's size is fixed by the number of languages and of buckets. More than `MAX_LANGS` languages are an error, not a truncation. Every document is predicted,
+a long one in pieces that are cut between words and carry Viterbi's state, so a task needs some (languages / 8 + 20) bytes for a word of the longest text.
 
 Defined cases: null texts and texts without a letter give "und" with score 0; so does everything if nothing can be learnt;
 null or repeated ids are predicted like any other, a null id counts as the text "" in the split; an empty table gives no rows; other columns are kept
@@ -28,6 +29,10 @@ from capsift.llm import common, textbuf
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SAMPLE_DOCS = 20_000
+#: The model holds 4 x BUCKETS bytes a language.
+MAX_LANGS = 256
+#: Characters of a piece of a long text, and scores (words x languages) that are held at once.
+PIECE, HELD = 1 << 18, 1 << 22
 SWITCH = 12.0
 SMOOTH = 0.5
 MIN_SHARE = 0.005
@@ -102,13 +107,15 @@ def _count(buckets: int, batches):
     for b in textbuf.slices(batches, 1):
         by: dict[str, list] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            by.setdefault(lang, []).append(text)
+            by.setdefault(lang, []).extend(pieces(text))
         for lang, texts in by.items():
             t = Text(texts)
             n = sums.setdefault(lang, np.zeros(buckets + len(SCRIPTS), dtype=np.int64))
             for key, held in t.grams(buckets):
                 n[:buckets] += np.bincount(key[held], minlength=buckets)
             n[buckets:] += np.bincount(t.scripts(), weights=t.ends - t.starts, minlength=len(SCRIPTS)).astype(np.int64)
+    if len(sums) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     for lang, n in sums.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "key": at, "n": n[at]})
@@ -117,13 +124,14 @@ def _count(buckets: int, batches):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, buckets: int = BUCKETS) -> dict:
     """From all rows with a language. The model: langs, table (buckets x languages, log probabilities), allowed (scripts x languages)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    many = rows.groupBy("lang").agg(F.count("*").alias("many")).limit(MAX_LANGS + 1).collect()  # a row for each language
+    if len(many) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of {lang_col}: clean the column, or raise MAX_LANGS with the memory of a task")
+    rates = docs.sparkSession.createDataFrame([(r["lang"], sample_docs / r["many"]) for r in many], "lang string, rate double")
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-    chosen = F.lit(False)
-    for lang, n in many.items():
-        chosen = chosen | ((F.col("lang") == lang) & (chance < sample_docs / n))
-    counts = rows.where(chosen).select("lang", "text").mapInArrow(partial(_count, buckets), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    per_lang = counts.groupBy("lang").agg(F.collect_list("key").alias("key"), F.collect_list("n").alias("n"))  # languages x buckets values at most
+    chosen = rows.join(F.broadcast(rates), "lang").where(chance < F.col("rate"))  # MAX_LANGS rows at most
+    counts = chosen.select("lang", "text").mapInArrow(partial(_count, buckets), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    per_lang = counts.groupBy("lang").agg(F.collect_list("key").alias("key"), F.collect_list("n").alias("n"))  # MAX_LANGS x buckets values at most
     langs, tables, shares = [], [], []
     for r in sorted(per_lang.collect(), key=lambda r: r["lang"]):
         n = np.zeros(buckets + len(SCRIPTS))
@@ -142,12 +150,17 @@ def word_scores(t: Text, model: dict) -> np.ndarray:
     if not n:
         return np.zeros((0, table.shape[1]))
     padded = np.concatenate((table, np.zeros((1, table.shape[1]), dtype=table.dtype)))  # the last row is for no n-gram
-    total = np.zeros((len(t.codes), table.shape[1]), dtype=np.float32)
-    for key, held in t.grams(len(table)):
-        total += np.take(padded, np.where(held, key, len(table)), axis=0)
-    # n-grams end at a word's letters or at the place behind it
-    scores = np.add.reduceat(total, np.stack((t.starts, t.ends + 1), axis=1).ravel(), axis=0)[::2].astype(np.float64)
-    return np.where(model["allowed"][t.scripts()], scores, scores.min(axis=1, keepdims=True) - 1e4)
+    keys = [np.where(held, key, len(table)).astype(np.int32) for key, held in t.grams(len(table))]
+    out, step = np.empty((n, table.shape[1]), dtype=np.float64), max(1, HELD // (8 * table.shape[1]))
+    for i in range(0, n, step):
+        j = min(i + step, n)
+        lo, hi = int(t.starts[i]), int(t.ends[j - 1]) + 2
+        total = np.zeros((hi - lo, table.shape[1]), dtype=np.float32)
+        for key in keys:
+            total += np.take(padded, key[lo:hi], axis=0)
+        # n-grams end at a word's letters or at the place behind it
+        out[i:j] = np.add.reduceat(total, np.stack((t.starts[i:j], t.ends[i:j] + 1), axis=1).ravel() - lo, axis=0)[::2]
+    return np.where(model["allowed"][t.scripts()], out, out.min(axis=1, keepdims=True) - 1e4)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -186,26 +199,92 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
     return labels
 
 
+class Carried:
+    """Viterbi over one text that comes in pieces: the same labels as viterbi() on the whole, with a bit for each word and language."""
+
+    def __init__(self, penalty: float = SWITCH):
+        self.penalty, self.total, self.pieces = penalty, None, []
+
+    def add(self, scores: np.ndarray) -> None:
+        if not len(scores):
+            return
+        changed, before = np.zeros(scores.shape, dtype=bool), np.zeros(len(scores), dtype=np.int16)
+        for i, row in enumerate(scores):
+            if self.total is None:
+                self.total = row.copy()
+                continue
+            best = int(self.total.argmax())
+            jump = self.total[best] - self.penalty
+            changed[i], before[i] = self.total < jump, best
+            self.total = np.maximum(self.total, jump) + row
+        self.pieces.append((np.packbits(changed, axis=1), before))
+
+    def labels(self) -> np.ndarray:
+        if self.total is None:
+            return np.zeros(0, dtype=np.int64)
+        now, out = int(self.total.argmax()), []
+        for packed, before in reversed(self.pieces):
+            label = np.empty(len(before), dtype=np.int64)
+            for i in range(len(before) - 1, -1, -1):
+                label[i] = now
+                if packed[i, now >> 3] >> (7 - (now & 7)) & 1:
+                    now = int(before[i])
+            out.append(label)
+        return np.concatenate(out[::-1])
+
+
+def pieces(text: str, size: int | None = None):
+    """The text in pieces of about `size` characters, cut behind white space if there is any, else behind another character that is no letter: never within a word."""
+    at, size = 0, size or PIECE
+    while len(text) - at > size:
+        end = at + size
+        cut = max(text.rfind(c, at, end) for c in " \n\t")
+        if cut < at:
+            cut = next((i for i in range(end - 1, at, -1) if not text[i].isalpha()), -1)
+        if cut < at:
+            cut = next((i for i in range(end, len(text)) if not text[i].isalpha()), len(text) - 1)
+        yield text[at : cut + 1]
+        at = cut + 1
+    if at < len(text) or not text:
+        yield text[at:]
+
+
+def _labelled(texts: list, m: dict, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of all texts: which text, how many letters, which label."""
+    if len(texts) == 1 and texts[0] and len(texts[0]) > PIECE:
+        carried, letters = Carried(penalty), [np.zeros(0, dtype=np.int64)]
+        for part in pieces(texts[0]):
+            t = Text([part])
+            carried.add(word_scores(t, m))
+            letters.append(t.ends - t.starts)
+        letters = np.concatenate(letters)
+        return np.zeros(len(letters), dtype=np.int64), letters, carried.labels()
+    t = Text(texts)
+    return t.of, t.ends - t.starts, viterbi(word_scores(t, m), np.searchsorted(t.of, np.arange(t.n + 1)), penalty)
+
+
 def _predict(model, penalty: float, batches):
     m = model.value
     langs, n_langs = [*m["langs"], UNKNOWN], len(m["langs"])
-    for b in textbuf.slices(batches, 1, 1 << 20):
-        t = Text(b.column(1).to_pylist())
+    # the scores of a slice's words are held together
+    for b in textbuf.slices(batches, 1, min(1 << 20, HELD // max(1, n_langs))):
+        texts = b.column(1).to_pylist()
+        n = len(texts)
         if n_langs:
-            labels = viterbi(word_scores(t, m), np.searchsorted(t.of, np.arange(t.n + 1)), penalty)
-            weight = np.bincount(t.of * n_langs + labels, weights=t.ends - t.starts, minlength=t.n * n_langs).reshape(t.n, n_langs)
+            of, letters, labels = _labelled(texts, m, penalty)
+            weight = np.bincount(of * n_langs + labels, weights=letters, minlength=n * n_langs).reshape(n, n_langs)
             total = weight.sum(axis=1)
             best = np.where(total > 0, weight.argmax(axis=1), n_langs)
             score = np.where(total > 0, weight.max(axis=1) / np.maximum(total, 1), 0.0)
             new = np.ones(len(labels), dtype=bool)
-            new[1:] = (labels[1:] != labels[:-1]) | (t.of[1:] != t.of[:-1])
+            new[1:] = (labels[1:] != labels[:-1]) | (of[1:] != of[:-1])
             at = np.flatnonzero(new)
-            row, lang = t.of[at], labels[at]
-            many = np.bincount(row, minlength=t.n)
-            begin = np.searchsorted(t.of, np.arange(t.n))
+            row, lang = of[at], labels[at]
+            many = np.bincount(row, minlength=n)
+            begin = np.searchsorted(of, np.arange(n))
             start, end = at - begin[row], np.append(at[1:], len(labels)) - begin[row]
         else:
-            best, score, many = np.full(t.n, 0), np.zeros(t.n), np.zeros(t.n, dtype=np.int64)
+            best, score, many = np.full(n, 0), np.zeros(n), np.zeros(n, dtype=np.int64)
             start = end = lang = np.zeros(0, dtype=np.int64)
         spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([langs[i] for i in lang], pa.string())], names=["first", "end", "lang"]))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([langs[i] for i in best], pa.string()), pa.array(score), spans], names=["id", "lang_pred", "score", "spans"])

@@ -52,9 +52,9 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 def _candidates(distinct: DataFrame) -> DataFrame:
     """k, no of the lines that share a half with another, and which: by_first, by_last."""
     halves = distinct.select("k", "no", F.explode("halves").alias("half"))
-    shared = common.materialize(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves")
+    shared = common.materialize(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "halves")
     last = F.col("half").bitwiseAND(1) == 1
-    return halves.join(shared, "half", "left_semi").groupBy("k", "no").agg(F.bool_or(~last).alias("by_first"), F.bool_or(last).alias("by_last"))
+    return common.spread_join(halves, shared, ["half"], "n", ["k", "no"], "left_semi").groupBy("k", "no").agg(F.bool_or(~last).alias("by_first"), F.bool_or(last).alias("by_last"))
 
 
 def _variants(found: DataFrame) -> DataFrame:
@@ -101,8 +101,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, text_col: str = "text", id_
     found = common.materialize(both.select("doc_id", "k", "x.no", "x.by_first", "x.by_last", common.words(F.col("x.line")).alias("w")).dropDuplicates(["k", "no"]), "candidates")
     place = F.struct(*_PLACE)
     variants = common.materialize(_variants(found), "variants")
-    first = variants.groupBy("key").agg(F.min(place).alias("witness"), F.max(place).alias("latest")).where("witness < latest").select("key", "witness")
-    hits = variants.join(common.materialize(first, "keys"), "key").select(place.alias("place"), "witness").where("place > witness").distinct()
+    first = variants.groupBy("key").agg(F.min(place).alias("witness"), F.max(place).alias("latest"), F.count("*").alias("n")).where("witness < latest").select("key", "witness", "n")
+    hits = common.spread_join(variants, common.materialize(first, "keys"), ["key"], "n", _PLACE).select(place.alias("place"), "witness").where("place > witness").distinct()
     words = found.select(place.alias("place"), "w")
     pairs = common.materialize(hits, "hits").join(words, "place").join(words.select(F.col("place").alias("witness"), F.col("w").alias("v")), "witness")
     return pairs.where(_near(F.col("w"), F.col("v"))).select("place").distinct()
@@ -116,8 +116,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = common.materialize(distinct.select("h1", "h2", "first.*", "n", "halves"), "distinct")
     near = common.materialize(near_lines(docs, distinct, text_col, id_col), "near").withColumn("near", F.lit(True))
     judged = distinct.select("h1", "h2", place.alias("place"), "n").join(near, "place", "left").where("near or n > 1")
-    judged = common.materialize(judged.select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "judged")
-    gone = every.drop("halves").join(judged, ["h1", "h2"]).where(F.col("near") | (place > F.col("first")))
+    judged = common.materialize(judged.select("h1", "h2", F.col("place").alias("first"), "n", F.coalesce("near", F.lit(False)).alias("near")), "judged")
+    gone = common.spread_join(every.drop("halves"), judged, ["h1", "h2"], "n", _PLACE).where(F.col("near") | (place > F.col("first")))
     return gone.groupBy("k").agg(F.collect_set("no").alias("gone"))
 
 

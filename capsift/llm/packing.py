@@ -1,7 +1,7 @@
 """Vector bin packing of examples into sequences under three limits at once: tokens, segments and loss-bearing tokens.
 
 Each task packs its own examples, without a shuffle: pieces are dealt from a pool of at most `pool`
-remainders of less than a sequence, so memory is bounded whatever the input. For the open sequence the heuristic takes
+remainders of less than a sequence, of which only the ids themselves are kept, so besides the text at hand memory is bounded whatever the input. For the open sequence the heuristic takes
 the piece that fits and has the greatest dot product of the room left with the piece's demand, each in parts
 of its limit. When nothing fits whole, the longest piece is cut to the room that is left and its rest goes
 back to the pool. Only a task's last sequence has padding, but for sequences that meet the limit of segments or of loss first.
@@ -38,6 +38,7 @@ class Packer:
         self.length, self.segments, self.loss, self.pool = length, segments, loss, pool
         self.sequence = first
         self.items: list = []
+        self.keep = lambda example, at: example  # what of an example its remainder needs
         self.size, self.bears = np.zeros(2 * pool + 1), np.zeros(2 * pool + 1)
         self.out: list[tuple] = []
 
@@ -50,7 +51,7 @@ class Packer:
             self.sequence += 1
             at = end
         if at < n:
-            self._put(example, at, n, loss_from)
+            self._put(self.keep(example, at), at, n, loss_from)
         if len(self.items) >= 2 * self.pool:
             self._pack(self.pool)
 
@@ -95,35 +96,52 @@ class Packer:
         return got
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_tokens: str | None = None, prompt_col: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, loss_tokens, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    prompt_tokens: a column with the number of leading tokens that bear no loss (instruction data); without it all do.
+    Instruction data: prompt_tokens, a column with the number of a text's leading tokens that bear no loss, or prompt_col, a column of text that comes before the
+    document's own and bears none. Without either all tokens do.
     """
     tokenizer = tokenizer or tokens.default_tokenizer()
     loss = length if loss is None else loss
 
     def run(batches):
         packer = Packer(length, segments, loss, first=TaskContext.get().partitionId() << 40)
+        # an example: its id, number of tokens, and its ids from `base` on
+        packer.keep = lambda example, at: (*example[:2], at, example[3][4 * (at - example[2]) :])
         coder = tokens.encoder(tokenizer)
 
         def rows():
             p = packer.drain()
             if p:
-                cols = list(zip(*((d, at, n, bear, ids[4 * at : 4 * (at + n)], len(ids) // 4, q, o) for (d, ids), at, n, bear, q, o in p)))
+                cols = list(zip(*((d, at, n, bear, ids[4 * (at - base) : 4 * (at - base + n)], many, q, o) for (d, many, base, ids), at, n, bear, q, o in p)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
         for b in textbuf.slices(batches, 1):
             ids, at = coder.encode(b.column(1))
-            for d, i, j, prompt in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), b.column(2).to_pylist()):
-                packer.add((d, ids[i:j].tobytes()), j - i, max(0, prompt or 0))
+            before, from_ = coder.encode(b.column(2), None)
+            for r, (d, free) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                prompt = before[from_[r] : from_[r + 1]]
+                own = prompt.tobytes() + ids[at[r] : at[r + 1]].tobytes()
+                packer.add((d, len(own) // 4, 0, own), len(own) // 4, len(prompt) + max(0, free or 0))
             yield from rows()
         packer.flush()
         yield from rows()
 
-    prompt = F.col(prompt_tokens).cast("long") if prompt_tokens else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), prompt.alias("prompt")).mapInArrow(run, _SCHEMA)
+    prompt, free = F.col(prompt_col) if prompt_col else F.lit(None), F.col(prompt_tokens) if prompt_tokens else F.lit(0)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), prompt.cast("string").alias("prompt"), free.cast("long").alias("free")).mapInArrow(run, _SCHEMA)
 
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three limits at work: each conversation's last assistant turn bears loss, what comes before it does not; at most 16 conversations and 512 loss-bearing tokens a sequence."""
+    turn = F.struct("turn", "role", "text")
+    said = common.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    last = F.size("turns") - F.coalesce(F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == "assistant")), F.lit(True)), F.lit(0)).cast("int")
+    split = said.withColumn("last", last)
+    text = lambda turns: F.array_join(F.transform(turns, lambda t: F.coalesce(t["text"], F.lit(""))), "\n")
+    answered = split.select("conv_id", text(F.slice("turns", F.lit(1), F.col("last"))).alias("prompt"), F.get(F.transform("turns", lambda t: t["text"]), F.col("last")).alias("text"))
+    return pack(answered, segments=16, loss=512, id_col="conv_id", prompt_col="prompt").select(F.col("doc_id").alias("conv_id"), "start", "length", "loss_tokens", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

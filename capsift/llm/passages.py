@@ -5,16 +5,17 @@ words the anchor is its least `gram`-word run by hash (the leftmost of equals),
 an anchor form one phrase. Equal windows have equal anchors, so the entries of one anchor, a reference block, hold
 every place where a window of these can occur; blocks are dealt by the anchor's hash.
 
-A document is factored from left to right: a phrase that another place has whole extends the factor that its
-source continues, or begins one. Where a block has phrases that differ, a passage ends within them: there, at
-the factor's boundary, the windows are checked one by one. Each factor covers at least `window` words and
-becomes a duplicate span. Of a group of equal phrases each is compared with the group's first and last place only, never all pairs.
+A document is factored from left to right, greedily: at the current window every place that its block offers as a source (the first and the last that have it) is followed over the next phrases
+for as long as that source goes on; the one that goes on longest makes the factor, which is cut where its source ends, and the next factor begins at the next window that any source has.
+Where a phrase differs from all others of its block a match ends within it: there, at the factor's boundary, the windows are looked up one by one, and a factor goes on through them. A factor
+covers at least `window` words and is what is removed. Of a group of equal phrases each meets the group's first and last place only, never all others.
 
 Anchors, phrases and windows are compared by 64-bit hashes, phrases and windows together with their anchor's.
 
 Defined cases: null or empty texts have no words and lose none; texts shorter than a window lose none; rows equal in id
 and text repeat each other like any two documents; null ids are allowed; an empty table gives no rows; other columns stay as they
-are in `cut_passages`, whatever their names. One text is held in memory by the task that reads it.
+are in `cut_passages`, whatever their names. One text is held in memory by the task that reads it. A phrase, an anchor or a window that very many places share is dealt over many tasks
+(`common.spread_join`).
 """
 
 from __future__ import annotations
@@ -110,15 +111,24 @@ def _windows(window: int, batches):
         yield pa.RecordBatch.from_arrays([pa.array(a), _long(w), b.column(0).take(pa.array(row)), _long(start), pa.array(alone)], names=["a", "w", "k", "lo", "alone"])
 
 
-def factors(spans: list, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """spans: (lo, size, source row, source lo) of one text. Returns the parse's factors: (first word, words, source row, source's first word)."""
-    out: list[list[int]] = []
-    for lo, size, row, source in sorted(spans):
-        if out and (f := out[-1])[0] + f[1] == lo and f[2] == row and f[3] + f[1] == source:
-            f[1] += size
-        else:
-            out.append([lo, size, row, source])
-    return [(a, n + window - 1, row, source) for a, n, row, source in out]
+def factors(pieces: list, window: int = WINDOW) -> list[tuple[int, int, bytes, int]]:
+    """The greedy parse of one text. pieces: (first window, windows, sources), in order; a source (row, word) has the piece's windows from that word on. Returns (first word, words, source row, source's first word)."""
+    pieces = sorted(pieces, key=lambda p: p[0])
+    # from each piece on, how many windows each source (by row and distance) goes on for, from right to left
+    reach: list[dict] = [{} for _ in pieces]
+    for i in range(len(pieces) - 1, -1, -1):
+        lo, size, sources = pieces[i]
+        after = reach[i + 1] if i + 1 < len(pieces) and pieces[i + 1][0] == lo + size else {}
+        for row, at in sources:
+            reach[i][row, at - lo] = size + after.get((row, at - lo), 0)
+    out, upto = [], -1
+    for i, (lo, _, _) in enumerate(pieces):
+        if lo < upto:  # within the factor
+            continue
+        (row, distance), windows = max(reach[i].items(), key=lambda x: (x[1], x[0]))
+        upto = lo + windows
+        out.append((lo, windows + window - 1, row, lo + distance))
+    return out
 
 
 def _cut(window: int, batches):
@@ -127,7 +137,7 @@ def _cut(window: int, batches):
         texts, counts, removed, parsed = [], [], [], []
         for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             words = (text or b"").split()
-            kept, found = words, factors([(s["lo"], s["size"], s["row"], s["source"]) for s in spans or []], window)
+            kept, found = words, factors([(s["lo"], s["size"], [(x["k"], x["lo"]) for x in s["sources"]]) for s in spans or []], window)
             if found:
                 held = np.ones(len(words), dtype=bool)
                 for start, size, _, _ in found:
@@ -142,31 +152,31 @@ def _cut(window: int, batches):
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """k (a row's key), spans: array of lo (a window's first word), size (windows in a row), and the row and word where they also occur."""
+    """k (a row's key), spans: array of lo (a window's first word), size (windows in a row), and the sources (row and word) that have them, too."""
     if not 1 <= gram <= window:
         raise ValueError("a gram must fit in a window")
     text = F.col(text_col).cast("binary").alias("text")
     keyed = docs.select(common.row_key(id_col, text_col).alias("k"), text)
     # anchors with at least two places
     counts = docs.select(text).mapInArrow(partial(_anchors, window, gram), "a long").groupBy("a").agg(F.count("*").alias("n"))
-    shared = common.materialize(counts.where("n > 1").select("a"), "anchors")
-    place = F.struct("k", "lo")
-    blocks = common.materialize(keyed.mapInArrow(partial(_phrases, window, gram), "a long, f long, k binary, lo long, size long").join(shared, "a", "left_semi"), "phrases")
+    shared = common.materialize(counts.where("n > 1"), "anchors")
+    place, own = F.struct("k", "lo"), ["k", "lo"]
+    phrases = keyed.mapInArrow(partial(_phrases, window, gram), "a long, f long, k binary, lo long, size long")
+    blocks = common.materialize(common.spread_join(phrases, shared, ["a"], "n", own, "left_semi"), "phrases")
     classes = blocks.groupBy("a", "f").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.first("size").alias("size"))
     classes = common.materialize(classes, "classes")
-    source = lambda own: F.when(own == F.col("first"), F.col("last")).otherwise(F.col("first"))
-    whole = blocks.join(classes.where("n > 1").select("a", "f", "first", "last"), ["a", "f"])
-    whole = whole.select("k", "lo", "size", source(place).alias("s"))
+    others = F.array_distinct(F.filter(F.array("first", "last"), lambda s: s != place)).alias("sources")
+    whole = common.spread_join(blocks, classes.where("n > 1").select("a", "f", "first", "last", "n"), ["a", "f"], "n", own).select("k", "lo", "size", others)
     # boundaries: blocks of different phrases; one place of each
-    mixed = common.materialize(classes.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "mixed")
-    ends = classes.join(mixed, "a", "left_semi").groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct("a", F.col("first.lo").alias("lo"), "size", (F.col("n") == 1).alias("alone"))).alias("at"))
+    mixed = common.materialize(classes.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
+    apart = common.spread_join(classes.withColumnRenamed("n", "many"), mixed, ["a"], "n", ["f"], "left_semi")
+    ends = apart.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct("a", F.col("first.lo").alias("lo"), "size", (F.col("many") == 1).alias("alone"))).alias("at"))
     windows = keyed.join(ends, "k").mapInArrow(partial(_windows, window), "a long, w long, k binary, lo long, alone boolean")
     windows = common.materialize(windows, "windows")
-    twice = windows.groupBy("a", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    part = windows.where("alone").join(common.materialize(twice, "twice"), ["a", "w"]).select("k", "lo", F.lit(1).cast("long").alias("size"), source(place).alias("s"))
+    twice = windows.groupBy("a", "w").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first < last")
+    part = common.spread_join(windows.where("alone"), common.materialize(twice, "twice"), ["a", "w"], "n", own).select("k", "lo", F.lit(1).cast("long").alias("size"), others)
     spans = whole.unionByName(part.dropDuplicates(["k", "lo"]))
-    span = F.struct("lo", "size", F.col("s.k").alias("row"), F.col("s.lo").alias("source"))
-    return spans.groupBy("k").agg(F.collect_set(span).alias("spans"))
+    return spans.groupBy("k").agg(F.collect_set(F.struct("lo", "size", "sources")).alias("spans"))
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:

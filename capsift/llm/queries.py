@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_pivot_table": topk.op7_pivot_table,
         "op8_relative_lz": passages.op8_relative_lz,
         "op9_vector_packing": packing.op9_vector_packing,
+        "packed_conversations": packing.packed_conversations,
         "op10_deletion_neighbourhood": lines.op10_deletion_neighbourhood,
     }
 
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_weak_supervision": quality.sql(),
         "op6_content_parts": chat.sql(),
         "op7_pivot_table": topk.sql(),
+        "packed_conversations": packing.packed_conversations,
         "op10_deletion_neighbourhood": lines.sql(),
     }

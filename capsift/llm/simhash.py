@@ -228,13 +228,13 @@ def link(fps: DataFrame, threshold: int = THRESHOLD, group: int = GROUP) -> Data
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, fp, component_id (the smallest doc_id that links reach, its own included)."""
     prints = common.materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    least = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     reached = graph.components(link(least, threshold))
-    joined = least.join(reached, least.fp == reached.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    joined = least.join(reached, least.fp == reached.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     joined = common.materialize(joined, "reached")
     named = common.materialize(joined.groupBy("component").agg(F.min("least").alias("component_id")), "named")
-    by_fp = common.materialize(joined.join(named, "component").select("fp", "component_id"), "components")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = common.materialize(joined.join(named, "component").select("fp", "component_id", "n"), "components")
+    return common.spread_join(prints, by_fp, ["fp"], "n", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,26 +72,34 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     return spark.read.parquet(f"{path}/manifest")
 
 
+def bases(manifest: DataFrame) -> DataFrame:
+    """file, base: the ids of all files before it. Sums over the files of a part, then over parts: a row for each part of the writing stage."""
+    own = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("part")) - F.col("all"))
+    within = manifest.select("file", "part", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("upto"))
+    return within.join(parts, "part").select("file", (F.col("before") + F.col("upto")).alias("base"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary: little-endian unsigned 32-bit)."""
-    schema = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    """Documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary: little-endian unsigned 32-bit). The list of files is dealt to tasks, which open them; no ids are shuffled."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    where = f"{path}/files"
 
     def decode(batches):
         for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1)):
-                m = wavelet.WaveletMatrix(content.as_buffer().to_pybytes())
+            for file, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fs, folder = _filesystem(where)
+                with fs.open_input_file(f"{folder}/{file}") as f:
+                    m = wavelet.WaveletMatrix(f.read())
                 data, n = m.tokens(), m.counts()
                 ends = np.cumsum(n)
                 ids = m.doc_ids()
                 for i in range(0, len(ids), 1000):
                     a, z = slice(i, i + 1000), range(i, min(i + 1000, len(ids)))
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(z)), pa.array(ids[a], pa.int64()), pa.array((ends - n)[a]), pa.array(n[a]), pa.array([data[ends[j] - n[j] : ends[j]].tobytes() for j in z], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(base + (ends - n)[a]), pa.array(n[a]), pa.array([data[ends[j] - n[j] : ends[j]].tobytes() for j in z], pa.binary())], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(f"{path}/files").select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "content")
-    docs = files.mapInArrow(decode, "file string, doc_id long, at long, n_tokens long, ids binary")
-    # a row for each file: sums of counts, not of data
-    base = spark.read.parquet(f"{path}/manifest").select("file", (F.sum("n_tokens").over(Window.orderBy("file")) - F.col("n_tokens")).alias("base"))
-    return docs.join(base, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    files = bases(spark.read.parquet(f"{path}/manifest"))
+    return files.repartition(common.partitions(spark)).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

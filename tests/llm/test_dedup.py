@@ -25,8 +25,12 @@ def test_passages_with_the_real_window(make, texts):
     assert passages.cut_passages(make([])).count() == 0
 
 
-def test_factors_join_what_one_source_continues():
-    assert passages.factors([(0, 2, 7, 10), (2, 3, 7, 12), (5, 1, 8, 0)], window=4) == [(0, 8, 7, 10), (5, 4, 8, 0)]
+def test_factors_follow_the_source_that_goes_on_longest():
+    a, b = b"a", b"b"
+    pieces = [(0, 2, [(a, 10), (b, 3)]), (2, 3, [(a, 40), (b, 5)]), (5, 1, [(b, 8), (a, 0)]), (9, 1, [(a, 7)])]
+    # b goes on over three pieces, a over one; behind a gap the next factor begins
+    assert passages.factors(pieces, window=4) == [(0, 9, b, 3), (9, 4, a, 7)]
+    assert passages.factors([], 4) == []
 
 
 @pytest.mark.parametrize("extra", [False, True])

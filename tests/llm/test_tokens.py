@@ -80,3 +80,30 @@ def test_packing_holds_the_limit_of_loss(spark):
     assert max(sums.values()) <= 20
     assert sum(p.length for p in pieces) == sum(len(x) for x in brute.token_ids([t for _, t, _ in rows], tokens.default_tokenizer()))
     assert zlib.crc32(pieces[0].ids)
+
+
+def test_waiting_remainders_hold_their_own_ids_only():
+    packer = packing.Packer(length=64, pool=8)
+    packer.keep = lambda example, at: (at, example[1][at:])
+    for i in range(10):
+        packer.add((0, list(range(1000 + i))), 1000 + i, 0)
+    assert packer.items and all(len(example[1]) == end - at < 64 for example, at, end, _ in packer.items)
+    assert sum(p[2] for p in packer.drain()) + sum(end - at for _, at, end, _ in packer.items) == sum(range(1000, 1010))
+
+
+def test_conversations_are_packed_under_three_limits(spark):
+    rows = packing.packed_conversations(spark, "/root/testdata/sf0.001").collect()
+    sums, many, used = defaultdict(int), defaultdict(int), defaultdict(int)
+    for p in rows:
+        sums[p.sequence_id] += p.loss_tokens
+        used[p.sequence_id] += p.length
+        many[p.sequence_id] += 1
+    assert max(sums.values()) <= 512 and max(used.values()) <= 2048 and max(many.values()) <= 16
+    assert 0 < sum(sums.values()) < sum(used.values())
+    per = {}
+    for p in rows:
+        per[p.conv_id] = per.get(p.conv_id, 0) + p.length
+        assert p.length <= p.doc_tokens
+    assert all(per[p.conv_id] == p.doc_tokens for p in rows)
+    asked = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count()
+    assert len(per) == asked
