@@ -165,7 +165,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = common.materialize(common.spread_join(phrases, shared, ["a"], "n", own, "left_semi"), "phrases")
     classes = blocks.groupBy("a", "f").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.first("size").alias("size"))
     classes = common.materialize(classes, "classes")
-    others = F.array_distinct(F.filter(F.array("first", "last"), lambda s: s != place)).alias("sources")
+    # rows that are equal in id and text stand at one place: then it is its own source
+    others = F.when(F.col("first") == F.col("last"), F.array("first")).otherwise(F.array_distinct(F.filter(F.array("first", "last"), lambda s: s != place))).alias("sources")
     whole = common.spread_join(blocks, classes.where("n > 1").select("a", "f", "first", "last", "n"), ["a", "f"], "n", own).select("k", "lo", "size", others)
     # boundaries: blocks of different phrases; one place of each
     mixed = common.materialize(classes.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
