@@ -78,11 +78,13 @@ def closure(files: DataFrame, max_depth: int = 5) -> DataFrame:
         asked = asked.join(start.select("skill_key", F.col("path").alias("ref_path")), ["skill_key", "ref_path"], "left_anti")
         asked = asked.join(found.select("skill_key", F.col("path").alias("ref_path")), ["skill_key", "ref_path"], "left_anti")
         order = [F.col("ord"), F.col("block_seq"), F.lit(0), F.col("ref_seq")]
-        resolved = asked.join(listed, "skill_key").where(F.contains("file", "ref_path"))
+        # each reference meets a package's files once, however often it is made
+        answers = asked.select("skill_key", "ref_path").distinct().join(listed, "skill_key").where(F.contains("file", "ref_path"))
+        resolved = asked.join(answers, ["skill_key", "ref_path"])
         local = resolved.select(
             "skill_key", F.col("file").alias("new"), F.lit("local").alias("source_type"), paths.file_type(F.col("file")).alias("file_type"), paths.file_role(F.col("file")).alias("role"), "via", "at", "chain", F.array(*(o.cast("long") for o in order), F.col("list_seq").cast("long")).alias("order")
         )
-        unanswered = classify(asked.join(resolved.select("skill_key", "ref_path").distinct(), ["skill_key", "ref_path"], "left_anti")).where("role is not null")
+        unanswered = classify(asked.join(answers, ["skill_key", "ref_path"], "left_anti")).where("role is not null")
         external = unanswered.select("skill_key", F.col("ref_path").alias("new"), "source_type", "file_type", "role", "via", "at", "chain", F.array(*(o.cast("long") for o in order), F.lit(0).cast("long")).alias("order"))
         own = frontier.join(parts, ["skill_key", "path"])
         name = F.when(F.col("type") == "content", F.col("path")).otherwise(paths.block_path(F.col("path"), F.col("start_line"), F.col("end_line")))

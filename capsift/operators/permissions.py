@@ -122,7 +122,17 @@ def merge(rows: DataFrame) -> DataFrame:
 def unsupported(queue: DataFrame) -> DataFrame:
     """Local queue entries of types that are not scanned: skill_key, path, message."""
     rest = queue.where((F.col("source_type") == "local") & ~F.col("file_type").isin(paths.SCANNED_TYPES))
-    return rest.select("skill_key", "path", F.concat(F.lit("Unsupported file type: "), "file_type", F.lit(" ("), "path", F.lit(")")).alias("message"))
+    return rest.select("skill_key", "path", F.concat(F.lit("File type '"), "file_type", F.lit("' is not supported yet for analysis: "), "path").alias("message"))
+
+
+def skipped(queue: DataFrame) -> DataFrame:
+    """Queue entries that are not scanned: skill_key, path, reason, queue_seq. Host paths are permissions and not skipped."""
+    library = (F.col("via") == "import") | (F.col("role") == "library")
+    # The reasons.
+    outside = F.when(F.col("role") == "host-fs", None).when(library, "external_library_dependency").otherwise("external_reference")
+    unread = F.when(~F.col("file_type").isin(paths.SCANNED_TYPES), F.concat(F.lit("unsupported_type_"), "file_type"))
+    reason = F.when(F.col("source_type") == "external", outside).otherwise(unread)
+    return queue.select("skill_key", "path", reason.alias("reason"), "queue_seq").where("reason is not null")
 
 
 def unknown_fields(frontmatter: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsift import config as cfg
 from capsift.operators import closure, permissions, risks, score, sinks
+from capsift.plans import tables
 from capsift.plans.tables import materialize
 from capsift.sources.frontmatter import frontmatter
 
@@ -24,7 +25,20 @@ class Analysis:
     permissions: DataFrame
     risks: DataFrame
     warnings: DataFrame
+    rules_used: DataFrame
     reports: DataFrame
+    paths: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Delete the tables that the relations read; they can't be read afterwards."""
+        tables.remove(self.reports.sparkSession, self.paths)
+        self.paths.clear()
+
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def json(self) -> DataFrame:
         return sinks.json_reports(self.reports, self.permissions, self.risks, self.warnings)
@@ -41,19 +55,31 @@ def analyze(files: DataFrame, config: dict | None = None) -> Analysis:
     """files: skill_key, path, size, content_type, content, list_seq. Packages without an entry file have no report but a row in `frontmatter`'s complement."""
     config = cfg.resolve(config)
     scan = config["scan"]
-    head = materialize(frontmatter(files), "frontmatter")
-    found = materialize(closure.closure(files, int(scan["maxScanDepth"])), "discovered")
-    queue, skipped = closure.scan_queue(found, files, scan["maxFileSize"], int(scan["maxFileCount"]))
-    queue = materialize(queue, "queue")
-    targets = materialize(permissions.scan_targets(queue, files), "targets")
-    findings = materialize(permissions.findings(targets), "findings")
-    rows = permissions.from_allowed_tools(head).unionByName(permissions.from_findings(findings)).unionByName(permissions.from_externals(queue))
-    merged = materialize(permissions.merge(rows), "permissions")
-    numbered = materialize(risks.number(risks.dependency_risks(merged, config), risks.rule_risks(findings, merged, config)), "risks")
-    merged = merged.join(risks.back_links(numbered), ["skill_key", "perm_seq"], "left").withColumn("risks", F.coalesce("risks", F.array().cast("array<string>")))
-    kept = materialize(risks.dedupe(numbered), "kept")
-    unknown = permissions.unknown_fields(head).select("skill_key", F.concat(F.lit("Unknown frontmatter field: "), "field").alias("message"))
+    kept, passing = [], []
+    with tables.noted(kept):
+        head = materialize(frontmatter(files), "frontmatter")
+    with tables.noted(passing):
+        found = materialize(closure.closure(files, int(scan["maxScanDepth"])), "discovered")
+        queued, left = closure.scan_queue(found, files, scan["maxFileSize"], int(scan["maxFileCount"]))
+    with tables.noted(kept):
+        queue = materialize(queued, "queue")
+        skipped = materialize(left.select("skill_key", "path", "reason", "queue_seq").unionByName(permissions.skipped(queue)), "skipped")
+    with tables.noted(passing):
+        targets = materialize(permissions.scan_targets(queue, files), "targets")
+    with tables.noted(kept):
+        findings = materialize(permissions.findings(targets), "findings")
+    with tables.noted(passing):
+        rows = permissions.from_allowed_tools(head).unionByName(permissions.from_findings(findings)).unionByName(permissions.from_externals(queue))
+        merged = materialize(permissions.merge(rows), "permissions")
+    with tables.noted(kept):
+        numbered = materialize(risks.number(risks.dependency_risks(merged, config), risks.rule_risks(findings, merged, config)), "risks")
+        merged = merged.join(risks.back_links(numbered), ["skill_key", "perm_seq"], "left").withColumn("risks", F.coalesce("risks", F.array().cast("array<string>")))
+        merged = materialize(merged, "merged")
+        best = materialize(risks.dedupe(numbered), "kept")
+    tables.remove(files.sparkSession, passing)
+    unknown = permissions.unknown_fields(head).select("skill_key", F.concat(F.lit("Unknown frontmatter field '"), "field", F.lit("' - analysis not supported yet")).alias("message"))
     warnings = unknown.unionByName(permissions.unsupported(queue).select("skill_key", "message")).unionByName(risks.remote_warnings(numbered))
-    scored = score.score(head, kept, config["riskReport"])
+    scored = score.score(head, best, config["riskReport"])
     reports = head.select("skill_key", F.coalesce("name", "skill_key").alias("skill_id"), "version").join(scored, "skill_key")
-    return Analysis(head, queue, skipped, findings, materialize(merged, "merged"), kept, warnings, reports)
+    used = findings.groupBy("skill_key", "rule_id").agg(F.min("finding_seq").alias("first_seq"))
+    return Analysis(head, queue, skipped, findings, merged, best, warnings, used, reports, kept)

@@ -628,27 +628,30 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return every.select("skill_key", "path", F.length("content").cast("long").alias("size"), F.lit("text").alias("content_type"), "content", "list_seq")
 
 
+def _analysis(spark, d):
+    return analyze(_corpus(spark, d), {"scan": {"maxFileCount": 1000}})
+
+
 @query(
     "WITH s AS (SELECT (doc_id // 100)::VARCHAR AS skill_key, max(CASE WHEN doc_id % 12 IN (0, 1, 2, 4, 5) THEN 5 WHEN doc_id % 12 IN (8, 9) THEN 1 ELSE 1 END) + max(CASE WHEN doc_id % 12 = 0 THEN 5 ELSE 0 END) + max(CASE WHEN doc_id % 12 = 4 THEN 5 ELSE 0 END) AS score FROM documents GROUP BY 1) SELECT skill_key, 'pkg' || skill_key AS skill_id, '0.0.1' AS version, score::DOUBLE AS score, CASE WHEN score >= 7 THEN 'avoid' WHEN score >= 5 THEN 'risky' WHEN score >= 3 THEN 'attention' WHEN score >= 1 THEN 'caution' ELSE 'safe' END AS risk_level FROM s"
 )
 def package_reports(spark, d):
-    found = analyze(_corpus(spark, d), {"scan": {"maxFileCount": 1000}})
-    return found.reports.select("skill_key", "skill_id", "version", "score", "risk_level")
+    return _analysis(spark, d).reports.select("skill_key", "skill_id", "version", "score", "risk_level")
 
 
 @query()
 def json_report(spark, d):
-    return analyze(_corpus(spark, d)).json()
+    return _analysis(spark, d).json()
 
 
 @query()
 def text_report(spark, d):
-    return analyze(_corpus(spark, d)).text()
+    return _analysis(spark, d).text()
 
 
 @query()
 def sarif_report(spark, d):
-    return analyze(_corpus(spark, d)).sarif()
+    return _analysis(spark, d).sarif()
 
 
 @query("SELECT (doc_id // 100)::VARCHAR AS skill_key, (count(*) + 1)::INTEGER AS n_files FROM documents GROUP BY 1")

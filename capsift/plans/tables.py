@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: ContextVar[list[str] | None] = ContextVar("capsift_tables", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session names none (local mode, tests), one of our own."""
+    """spark.checkpoint.dir; only where the session names none and runs in local mode (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="capsift-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write once and read back: cuts the lineage, survives the loss of executors."""
+    """Write once and read back: cuts the lineage, survives the loss of executors. Within `noted` the table's owner knows of it."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    if (paths := _open.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[list[str]]:
+    """What is written within is added to `paths`."""
+    token = _open.set(paths)
+    try:
+        yield paths
+    finally:
+        _open.reset(token)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

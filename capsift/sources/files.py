@@ -9,6 +9,7 @@ import io
 import re
 import subprocess
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from capsift.functions import urls
 
 COLUMNS = ["skill_key", "path", "size", "content_type", "content", "list_seq"]
 SAMPLE = 2048
+#: Bytes of an archive's members that leave a task together.
+_HELD = 1 << 24
 MANIFEST = "struct<version:int,basePath:string,name:string,compression:string,files:array<struct<path:string,size:bigint,contentType:string>>>"
 
 
@@ -96,18 +99,56 @@ def manifest_of(files: DataFrame, version: int = 1, compression: str | None = No
     return got.select("skill_key", F.to_json(F.struct(F.lit(version).alias("version"), F.col("skill_key").alias("name"), F.lit(compression).alias("compression"), "files")).alias("manifest"))
 
 
-def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The members of all zip archives below a folder; each archive is a package."""
+def archives(spark: SparkSession, folder: str, corrupt: bool = False) -> DataFrame:
+    """The members of all zip archives below a folder; each archive is a package. A member is read when it is its turn, and leaves the task with a few others; what can't be read
+    (a corrupt archive or member, one with a password) is left out: with `corrupt`, the result is instead what was left out: skill_key, path (null: the archive), error."""
 
     def members(batches):
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    rows = [(re.sub(r".*/|\.zip$", "", name), m.filename, z.read(m)) for m in z.infolist() if not m.is_dir()]
-                yield pd.DataFrame(rows, columns=["skill_key", "path", "bytes"])
+                key, rows, held = re.sub(r".*/|\.zip$", "", name), [], 0
+                try:
+                    listed = zipfile.ZipFile(io.BytesIO(data))
+                except (zipfile.BadZipFile, NotImplementedError, ValueError, OSError) as e:
+                    rows.append((key, None, None, f"{type(e).__name__}: {e}"))
+                else:
+                    for m in listed.infolist():
+                        if m.is_dir():
+                            continue
+                        try:
+                            rows.append((key, m.filename, listed.read(m), None))
+                        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, ValueError, EOFError, OSError, zlib.error) as e:
+                            rows.append((key, m.filename, None, f"{type(e).__name__}: {e}"))
+                        held += m.file_size
+                        if held >= _HELD:
+                            yield pd.DataFrame(rows, columns=["skill_key", "path", "bytes", "error"])
+                            rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=["skill_key", "path", "bytes", "error"])
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
-    return _files(found.mapInPandas(members, "skill_key string, path string, bytes binary"))
+    every = found.mapInPandas(members, "skill_key string, path string, bytes binary, error string")
+    if corrupt:
+        return every.where("error is not null").select("skill_key", "path", "error")
+    return _files(every.where("error is null").drop("error"))
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The packages below a folder that have a manifest.json beside their files (version 1), or an archive that it names (version 2): only what the manifest lists, in its order and of its kind.
+
+    Files that a manifest lists and that are not there, or not of the kind that it says, are there with null content."""
+    read = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    parent = lambda path: F.regexp_replace(path, r"/[^/]*$", "")
+    found = manifest(read("manifest.json").select(parent(F.col("path")).alias("root"), F.decode("content", "UTF-8").alias("value"))).where("manifest is not null")
+    each = found.select("root", F.regexp_extract("root", r"[^/]+$", 0).alias("folder"), "manifest", F.posexplode("manifest.files").alias("list_seq", "f"))
+    each = each.select("root", F.coalesce("manifest.name", "folder").alias("skill_key"), F.col("manifest.compression").isNotNull().alias("packed"), F.coalesce("manifest.basePath", F.lit("")).alias("base"), "list_seq", F.col("f.path").alias("path"), F.col("f.size").alias("size"), F.coalesce("f.contentType", F.lit("text")).alias("content_type"))
+    full = F.concat("root", F.lit("/"), F.when(F.rtrim("base", F.lit("/")) != "", F.concat(F.rtrim("base", F.lit("/")), F.lit("/"))).otherwise(""), "path")
+    plain = read("*").select(F.col("path").alias("full"), F.col("content").alias("bytes"))
+    loose = each.where("not packed").withColumn("full", full).join(plain, "full", "left").drop("full")
+    zipped = archives(spark, folder).select("skill_key", "path", F.encode("content", "UTF-8").alias("bytes"))
+    packed = each.where("packed").join(zipped, ["skill_key", "path"], "left")
+    columns = ["skill_key", "path", F.coalesce("size", F.length("bytes").cast("long")).alias("size"), "content_type", F.when((F.col("content_type") != "binary") & is_text(F.col("bytes")), F.decode("bytes", "UTF-8")).alias("content"), "list_seq"]
+    return loose.select(*columns).unionByName(packed.select(*columns))
 
 
 def load(spark: SparkSession, source: str, ref: str | None = None, sub: str = "", many: bool = False) -> DataFrame:

@@ -18,7 +18,8 @@ def reports_stream(spark: SparkSession, source: str, target: str, checkpoint: st
     """Start a query that analyses what is there and ends (availableNow). A package must arrive whole in one file."""
 
     def batch(df: DataFrame, number: int) -> None:
-        analyze(df, config).reports.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        with analyze(df, config) as found:
+            found.reports.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     files = spark.readStream.schema(SCHEMA).parquet(source)
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -53,7 +53,7 @@ def test_reports_and_risks(found):
     types = {(r.skill_key, r.type) for r in found.risks.collect()}
     wanted = "PROMPT:prompt_override NETWORK:data_exfiltration NETWORK:remote_code_execution PRIVILEGE:privilege_escalation INJECTION:command_injection DEPENDENCY:external_import REFERENCE:external_file NETWORK:localhost_secret_exposure"
     assert {("tidy", t) for t in wanted.split()} <= types
-    assert {r.message for r in found.warnings.where("skill_key = 'tidy'").collect()} == {"Unknown frontmatter field: color", "Remote script content analysis is NOT_IMPLEMENTED"}
+    assert {r.message for r in found.warnings.where("skill_key = 'tidy'").collect()} == {"Unknown frontmatter field 'color' - analysis not supported yet", "Remote script content analysis is NOT_IMPLEMENTED"}
     imports = [r.message for r in found.risks.where("type = 'DEPENDENCY:external_import'").collect()]
     assert sorted(imports) == ["External import not explicitly configured: numpy", "External import not explicitly configured: pad-left"]
 
@@ -124,7 +124,7 @@ def test_sources(spark, tmp_path):
     got = {(r.skill_key, r.path): (r.content_type, r.size) for r in sources.local(spark, str(tmp_path / "skills")).collect()}
     assert got[("one", "SKILL.md")][0] == "text" and got[("one", "sub/b.bin")] == ("binary", 3) and len(got) == 2
     head = frontmatter.frontmatter(sources.local(spark, str(tmp_path / "skills"))).first()
-    assert (head.name, head.description, head.version, head.error) == ("one", "long\ntext", "2.0", None)
+    assert (head.name, head.description, head.version, head.error) == ("one", "long text", "2.0", None)
     for args in (["init", "-q"], ["add", "."], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "x"]):
         subprocess.run(["git", "-C", str(root), *args], check=True)
     rows = sources.load(spark, str(root), ref="HEAD").collect()
@@ -143,6 +143,50 @@ def test_sources(spark, tmp_path):
     assert [r.manifest is None for r in sources.manifest(bad).collect()] == [True, False, True]
 
 
+def test_heads_are_yaml(spark):
+    heads = ["name: {a: b}\n\"description\": >-\n  two\n  lines\nallowed-tools: [Read, 'Bash(git:*)']\nmetadata: {version: 2.10, x: [1]}", "name: 'it''s'\ndescription: \"a: b\" # c\nmetadata:\n  version: \"3\"", "name: x\ndescription: [", "- a\n- b"]
+    rows = [(str(i), "SKILL.md", f"---\n{h}\n---\nbody", 0) for i, h in enumerate(heads)]
+    got = {r.skill_key: r for r in frontmatter.frontmatter(spark.createDataFrame(rows, "skill_key string, path string, content string, list_seq int")).collect()}
+    assert (got["0"].name, got["0"].description, got["0"].allowed_tools, got["0"].version, got["0"].error) == ("", "two lines", "Read Bash(git:*)", "2.10", "missing: name")
+    assert (got["1"].name, got["1"].description, got["1"].version, got["1"].error) == ("it's", "a: b", "3", None)
+    assert got["2"].error.startswith("invalid YAML") and got["3"].error == "no fields"
+
+
+def test_manifests_with_their_files_and_corrupt_archives(spark, tmp_path):
+    (tmp_path / "one" / "src").mkdir(parents=True)
+    (tmp_path / "one" / "src" / "SKILL.md").write_text("hi")
+    (tmp_path / "one" / "src" / "unlisted.md").write_text("no")
+    (tmp_path / "one" / "manifest.json").write_text('{"version":1,"basePath":"src/","name":"first","files":[{"path":"SKILL.md","size":2,"contentType":"text"},{"path":"gone.md","size":9}]}')
+    (tmp_path / "two").mkdir()
+    with zipfile.ZipFile(tmp_path / "two" / "two.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("SKILL.md", "packed " * 50)
+        z.writestr("b.md", "b")
+    (tmp_path / "two" / "manifest.json").write_text('{"version":2,"compression":"zip","files":[{"path":"SKILL.md","size":350,"contentType":"text"}]}')
+    (tmp_path / "bad.zip").write_bytes(b"PK no archive")
+    data = bytearray((tmp_path / "two" / "two.zip").read_bytes())
+    data[40] ^= 255  # within the first member
+    (tmp_path / "half.zip").write_bytes(bytes(data))
+    got = sorted((r.skill_key, r.path, r.size, r.content) for r in sources.listed(spark, str(tmp_path)).collect())
+    assert got == [("first", "SKILL.md", 2, "hi"), ("first", "gone.md", 9, None), ("two", "SKILL.md", 350, "packed " * 50)]
+    assert {(r.skill_key, r.path) for r in sources.archives(spark, str(tmp_path)).collect()} == {("two", "SKILL.md"), ("two", "b.md"), ("half", "b.md")}
+    assert {(r.skill_key, r.path) for r in sources.archives(spark, str(tmp_path), corrupt=True).collect()} == {("bad", None), ("half", "SKILL.md")}
+
+
+def test_skips_and_rules_used(spark):
+    rows = [("s", "SKILL.md", "---\nname: s\ndescription: d\n---\n[a](data.json) [b](gone.md) and ~/home/file.txt\n```python\nimport numpy\n```\n```bash\ngit status\ngit status\n```"), ("s", "data.json", "{}")]
+    df = spark.createDataFrame([(k, p, len(c), "text", c, i) for i, (k, p, c) in enumerate(rows)], "skill_key string, path string, size long, content_type string, content string, list_seq int")
+    with analyze(df) as found:
+        assert {(r.path, r.reason) for r in found.skipped.collect()} == {("data.json", "unsupported_type_json"), ("gone.md", "external_reference"), ("numpy", "external_library_dependency")}
+        assert "File type 'json' is not supported yet for analysis: data.json" in {r.message for r in found.warnings.collect()}
+        used = {r.rule_id for r in found.rules_used.collect()}
+        assert "shell-git" in used and found.rules_used.count() == len(used)
+        paths = list(found.paths)
+        assert paths and found.reports.count() == 1
+    from pathlib import Path
+
+    assert not found.paths and not any(Path(p.removeprefix("file://")).exists() for p in paths)
+
+
 def test_stream_of_packages(spark, files, found, tmp_path):
     files.coalesce(1).write.parquet(str(tmp_path / "in"))
     incremental.reports_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
