@@ -35,6 +35,7 @@ BITS, DIFFER, SEGMENTS = 256, 64, 16
 #: A block has about so many texts, and shingles.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 _COLUMNS = 4096
+_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 _LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 _STEPS = textbuf.mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 _HASHES = textbuf.mix(np.arange(101, 101 + BANDS * BAND, dtype=np.uint64)) | np.uint64(1)
@@ -71,12 +72,14 @@ def band_keys(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """SimHash of each set that is not empty: rows of BITS / 64 words."""
-    starts, n = edges[:-1][np.diff(edges) > 0], np.diff(edges)[np.diff(edges) > 0]
-    out = np.zeros((len(starts), BITS // 64), dtype=np.uint64)
-    for w in range(BITS // 64 if len(starts) else 0):
-        bits = np.unpackbits(textbuf.mix(h * _STEPS[w] + np.uint64(w)).view(np.uint8).reshape(-1, 8), axis=1)
-        out[:, w] = np.packbits(2 * np.add.reduceat(bits, starts, axis=0, dtype=np.uint32) > n[:, None], axis=1).view("<u8")[:, 0]
+    """SimHash of each set that is not empty: rows of BITS / 64 words. Bits are counted by bytes: how often each set has each value of a byte, times the bits of the values."""
+    n = np.diff(edges)[np.diff(edges) > 0]
+    out = np.zeros((len(n), BITS // 64), dtype=np.uint64)
+    row = np.repeat(np.arange(len(n)) * 256, n)
+    for w in range(BITS // 64 if len(n) else 0):
+        x = textbuf.mix(h * _STEPS[w] + np.uint64(w)).view(np.uint8).reshape(-1, 8)
+        ones = [np.bincount(row + x[:, b], minlength=256 * len(n)).reshape(-1, 256) @ _BYTES for b in range(8)]
+        out[:, w] = np.packbits(2 * np.concatenate(ones, axis=1) > n[:, None], axis=1).view("<u8")[:, 0]
     return out
 
 
