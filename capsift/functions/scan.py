@@ -148,7 +148,7 @@ class _Shell:
                 if numbered:
                     f.at = -1
                 self.word(f, start)
-                f.target, f.command.extra = True, not numbered and m[0] in (">", ">>", ">|", "&>")
+                f.target, f.command.extra = True, not numbered and m[0] == ">"
             elif f.at < 0 and kind == "plain" and text[start] == "#" and start not in self.literal:
                 end = text.find("\n", start)
                 at = n if end < 0 else end
