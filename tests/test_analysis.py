@@ -1,11 +1,14 @@
 """Whole analyses of small packages, and the order-free guarantee: partitions change nothing."""
 
+import hashlib
+import json
 import subprocess
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from capsift import __version__
 from capsift.operators import closure, markdown, rules
 from capsift.plans.analyze import analyze
 from capsift.sources import files as sources
@@ -70,8 +73,6 @@ def test_findings_and_permissions(found):
 def test_sinks(found):
     texts = {r.skill_key: r.text for r in found.text().collect()}
     assert "Risk Level: avoid" in texts["tidy"] and "- none" in texts["bad"]
-    import json
-
     one = {r.skill_key: json.loads(r.json) for r in found.json().collect()}
     assert one["tidy"]["riskLevel"] == "avoid" and one["bad"]["risks"] == [] and len(one["tidy"]["permissions"]) > 8
     log = {r.skill_key: json.loads(r.sarif) for r in found.sarif().collect()}["tidy"]
@@ -80,6 +81,67 @@ def test_sinks(found):
     assert len(ids) == len(set(ids))
 
 
+def _filled(x):
+    """Without what is null, as JSON writers leave it out."""
+    if isinstance(x, dict):
+        return {k: _filled(v) for k, v in x.items() if v is not None}
+    return [_filled(v) for v in x] if isinstance(x, list) else x
+
+
+def _plain(found):
+    """The three reports of each package, written by loops over the relations."""
+    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+    reports, perms, risks, warned = rows(found.reports), rows(found.permissions), rows(found.risks), rows(found.warnings)
+    scanned = {(q.skill_key, q.path) for q in found.queue.where("source_type = 'local'").collect()}
+    worst = {"critical": 0, "warning": 1}
+    out = {}
+    for r in reports:
+        key = r["skill_key"]
+        own = sorted((p for p in perms if p["skill_key"] == key), key=lambda p: p["perm_seq"])
+        mine = sorted((x for x in risks if x["skill_key"] == key), key=lambda x: x["risk_seq"])
+        said = [w["message"] for w in warned if w["skill_key"] == key]
+        body = {
+            "skillId": r["skill_id"], "skillVersionId": r["version"], "score": r["score"], "riskLevel": r["risk_level"], "summary": r["summary"], "warnings": sorted(set(said)),
+            "permissions": [{"id": p["id"], "tool": p["tool"], "scope": p["scope"], "permission": p["permission"], "args": p["args"], "fileRole": p["file_role"], "metadata": p["metadata"], "references": p["refs"], "source": p["source"], "comment": p["comment"], "risks": p["risks"]} for p in own],
+            "risks": [{"id": x["id"], "type": x["type"], "groupKey": x["group_key"], "severity": x["severity"], "message": x["message"], "reference": {"file": x["file"], "line": x["line"], "lineEnd": x["line_end"], "type": x["ref_type"]}, "permissions": x["permissions"], "metadata": x["metadata"]} for x in mine],
+        }
+        groups = {}
+        for x in mine:
+            groups.setdefault(x["group_key"] or f"{x['type']}:{x['file']}:{x['line']}", []).append(x)
+        at = lambda x: f"{x['file']}:{x['line']}" + (f"-{x['line_end']}" if x["line_end"] not in (None, x["line"]) else "") + f" ({x['ref_type']})"
+        text = ["=" * 60, "Analysis Results", "=" * 60, f"  Skill: {r['skill_id']}@{r['version']}", "", f"  Risks ({len(mine)})"]
+        for shown, of in sorted(groups.items(), key=lambda g: (min(worst.get(x["severity"], 2) for x in g[1]), g[1][0]["risk_seq"])):
+            if len(of) == 1:
+                text += [f"    - {of[0]['severity']} {of[0]['type']}", f"      message: {of[0]['message']}", f"      ref: {at(of[0])}"] + ([f"      permissions: {', '.join(of[0]['permissions'])}"] if of[0]["permissions"] else [])
+            else:
+                text += [f"    [{shown}] ({min((x['severity'] for x in of), key=lambda v: worst.get(v, 2))})"]
+                for x in of:
+                    text += [f"      - {x['message']}", f"        ref: {at(x)}"]
+        text += [] if mine else ["    - none"]
+        text += ["", f"  Warnings ({len(said)})", *([f"    - {m}" for m in sorted(said)] or ["    - none"]), "", f"  Risk Level: {r['risk_level']}", f"  Score: {str(r['score']).removesuffix('.0')}", f"  Summary: {r['summary']}"]
+        rule = lambda name, short, help_, tag: {"id": name, "shortDescription": {"text": short}, "help": {"text": help_}, "properties": {"tags": [tag]}}
+        spot = lambda file, line, end: [{"physicalLocation": {"artifactLocation": {"uri": file, "uriBaseId": "%SRCROOT%"}, "region": {"startLine": line, "endLine": end if end != line else None}}}]
+        known = {}
+        for x in mine:
+            known.setdefault(x["type"], rule(x["type"], x["type"], x["message"], "security"))
+        about = [rule("capsift/warning", "Analysis warning", "Warnings produced during analysis.", "maintainability")] if said else []
+        granted = [rule(p["id"], f"{p['tool']}.{p['permission']} [{p['scope']}]", p["comment"] or f"Permission detected: {p['tool']} {p['permission']} ({p['scope']})", "permissions") for p in own]
+        results = [{"ruleId": x["type"], "level": {"critical": "error", "warning": "warning"}.get(x["severity"], "note"), "message": {"text": x["message"]}, "locations": spot(x["file"], x["line"], x["line_end"]), "fingerprints": {"capsift/v1": hashlib.sha256(f"{x['type']}:{x['file']}:{x['line']}".encode()).hexdigest()}} for x in mine]
+        results += [{"ruleId": "capsift/warning", "level": "note", "message": {"text": m}, "locations": spot("SKILL.md", 1, 1)} for m in sorted(set(said))]
+        driver = {"name": "capsift", "version": __version__, "rules": [*known.values(), *about, *granted]}
+        log = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results, "artifacts": [{"location": {"uri": p, "uriBaseId": "%SRCROOT%"}} for k, p in sorted(scanned) if k == key]}]}
+        out[key] = _filled(body), "\n".join(text), _filled(log)
+    return out
+
+
+def test_whole_reports_equal_plain_ones(found):
+    want = _plain(found)
+    read = lambda df, name, by: {r.skill_key: by(r[name]) for r in df.collect()}
+    assert read(found.json(), "json", json.loads) == {k: v[0] for k, v in want.items()}
+    assert read(found.text(), "text", str) == {k: v[1] for k, v in want.items()}
+    assert read(found.sarif(), "sarif", json.loads) == {k: v[2] for k, v in want.items()}
+
+
 def test_partitions_change_nothing(files, found):
     again = analyze(files.repartition(7, F.rand(3)))
     key = lambda df, *c: sorted(map(repr, df.select(*c).collect()))
