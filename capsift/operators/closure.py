@@ -1,7 +1,7 @@
 """Which files a package's entry file reaches: references of all blocks, then a bounded breadth-first closure.
 
-The references of every file are extracted once; the closure then works on small tables. Each round joins the frontier with its references, resolves
-them within the package (a file's path contains the reference), drops what earlier rounds have found and keeps the first of equals.
+The references of every file are extracted and resolved (a file's path contains the reference) once; the closure then works on a narrow table of links. Each round joins the frontier with
+its links, drops what earlier rounds have found and keeps the first of equals.
 There are as many rounds as the depth bound and one; each is written down, so cycles end and lost executors cost little.
 """
 
@@ -61,41 +61,38 @@ def classify(refs: DataFrame) -> DataFrame:
     return refs.withColumns({"source_type": F.lit("external"), "file_type": kind, "role": role})
 
 
+def edges(files: DataFrame, every: DataFrame) -> DataFrame:
+    """What each file leads to, resolved once for all rounds: skill_key, path (the file), ref_path (null for a block of its own), new, source_type, file_type, role, via, at, ord2 (its place in the file)."""
+    refs = materialize(references(every), "refs")
+    listed = files.select("skill_key", F.col("path").alias("file"), "list_seq")
+    at = F.struct(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("line_end"), F.col("type").alias("type"))
+    place = lambda kind, ref, file: F.array(*(F.lit(x).cast("long") if isinstance(x, int) else F.col(x).cast("long") for x in ("block_seq", kind, ref, file)))
+    asked = refs.withColumn("at", at).join(entry_files(files).select("skill_key", F.col("path").alias("ref_path")), ["skill_key", "ref_path"], "left_anti")
+    # each reference meets a package's files once, however often it is made
+    answers = materialize(asked.select("skill_key", "ref_path").distinct().join(listed, "skill_key").where(F.contains("file", "ref_path")), "answers")
+    columns = ["skill_key", "path", "ref_path", "new", "source_type", "file_type", "role", "via", "at", "ord2"]
+    file = F.col("file")
+    local = asked.join(answers, ["skill_key", "ref_path"]).withColumns({"new": file, "source_type": F.lit("local"), "file_type": paths.file_type(file), "role": paths.file_role(file), "ord2": place(0, "ref_seq", "list_seq")})
+    unanswered = classify(asked.join(answers, ["skill_key", "ref_path"], "left_anti")).where("role is not null").withColumns({"new": F.col("ref_path"), "ord2": place(0, "ref_seq", 0)})
+    name = F.when(F.col("type") == "content", F.col("path")).otherwise(paths.block_path(F.col("path"), F.col("start_line"), F.col("end_line")))
+    whole = F.struct(F.col("path").alias("file"), F.col("start_line").alias("line"), F.col("end_line").alias("line_end"), "type")
+    own = every.drop("content").withColumns({"ref_path": F.lit(None).cast("string"), "new": name, "source_type": F.lit("local"), "file_type": F.col("language"), "role": F.lit("script"), "via": F.lit("code-block"), "at": whole, "ord2": place(1, 0, 0)})
+    return local.select(*columns).unionByName(unanswered.select(*columns)).unionByName(own.select(*columns))
+
+
 def closure(files: DataFrame, max_depth: int = 5) -> DataFrame:
     """files: skill_key, path, content, list_seq. Returns FOUND and discovery_seq: local files, external references and code blocks, each path once in a package, by the order of discovery."""
     spark = files.sparkSession
-    every = materialize(blocks(files), "blocks")
-    refs = materialize(references(every), "refs")
-    parts = every.drop("content")
-    start = entry_files(files)
-    listed = files.select("skill_key", F.col("path").alias("file"), "list_seq")
-    frontier = start.select("skill_key", "path", F.lit(0).alias("ord"), F.array().cast(_CHAIN).alias("chain"))
+    links = materialize(edges(files, materialize(blocks(files), "blocks")), "edges")
+    frontier = entry_files(files).select("skill_key", "path", F.lit(0).alias("ord"), F.array().cast(_CHAIN).alias("chain"))
     found = spark.createDataFrame([], "skill_key string, path string")
     rounds = []
     for depth in range(max_depth + 1):
-        at = F.struct(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("line_end"), F.col("type").alias("type"))
-        asked = frontier.join(refs, ["skill_key", "path"]).withColumn("at", at)
-        asked = asked.join(start.select("skill_key", F.col("path").alias("ref_path")), ["skill_key", "ref_path"], "left_anti")
-        asked = asked.join(found.select("skill_key", F.col("path").alias("ref_path")), ["skill_key", "ref_path"], "left_anti")
-        order = [F.col("ord"), F.col("block_seq"), F.lit(0), F.col("ref_seq")]
-        # each reference meets a package's files once, however often it is made
-        answers = asked.select("skill_key", "ref_path").distinct().join(listed, "skill_key").where(F.contains("file", "ref_path"))
-        resolved = asked.join(answers, ["skill_key", "ref_path"])
-        local = resolved.select(
-            "skill_key", F.col("file").alias("new"), F.lit("local").alias("source_type"), paths.file_type(F.col("file")).alias("file_type"), paths.file_role(F.col("file")).alias("role"), "via", "at", "chain", F.array(*(o.cast("long") for o in order), F.col("list_seq").cast("long")).alias("order")
-        )
-        unanswered = classify(asked.join(answers, ["skill_key", "ref_path"], "left_anti")).where("role is not null")
-        external = unanswered.select("skill_key", F.col("ref_path").alias("new"), "source_type", "file_type", "role", "via", "at", "chain", F.array(*(o.cast("long") for o in order), F.lit(0).cast("long")).alias("order"))
-        own = frontier.join(parts, ["skill_key", "path"])
-        name = F.when(F.col("type") == "content", F.col("path")).otherwise(paths.block_path(F.col("path"), F.col("start_line"), F.col("end_line")))
-        whole = F.struct(F.col("path").alias("file"), F.col("start_line").alias("line"), F.col("end_line").alias("line_end"), "type")
-        virtual = own.select(
-            "skill_key", name.alias("new"), F.lit("local").alias("source_type"), F.col("language").alias("file_type"), F.lit("script").alias("role"), F.lit("code-block").alias("via"), whole.alias("at"), "chain", F.array(F.col("ord").cast("long"), F.col("block_seq").cast("long"), *(F.lit(x).cast("long") for x in (1, 0, 0))).alias("order")
-        )
-        new = local.unionByName(external).unionByName(virtual)
-        new = new.join(found.select("skill_key", F.col("path").alias("new")), ["skill_key", "new"], "left_anti")
-        first = new.withColumn("n", F.row_number().over(Window.partitionBy("skill_key", "new").orderBy("order"))).where("n = 1")
-        ordered = first.withColumn("ord", F.row_number().over(Window.partitionBy("skill_key").orderBy("order")))
+        known = lambda name: found.select("skill_key", F.col("path").alias(name))  # noqa: B023, E731
+        new = frontier.join(links, ["skill_key", "path"]).join(known("ref_path"), ["skill_key", "ref_path"], "left_anti").join(known("new"), ["skill_key", "new"], "left_anti")
+        new = new.withColumn("order", F.concat(F.array(F.col("ord").cast("long")), "ord2"))
+        first = new.groupBy("skill_key", "new").agg(F.min("order").alias("order"), F.min_by(F.struct("source_type", "file_type", "role", "via", "at", "chain"), "order").alias("s"))
+        ordered = first.select("skill_key", "new", "s.*", F.row_number().over(Window.partitionBy("skill_key").orderBy("order")).alias("ord"))
         step = ordered.select(
             "skill_key", F.col("new").alias("path"), "source_type", "file_type", "role", F.lit(depth + 1).alias("depth"), "via",
             F.col("at.file").alias("ref_file"), F.col("at.line").alias("ref_line"), F.col("at.line_end").alias("ref_line_end"), F.col("at.type").alias("ref_type"), F.concat(F.array("at"), "chain").cast(_CHAIN).alias("ref_chain"), "ord",
@@ -104,7 +101,7 @@ def closure(files: DataFrame, max_depth: int = 5) -> DataFrame:
         rounds.append(step)
         found = reduce(DataFrame.unionByName, rounds).select("skill_key", "path")
         frontier = step.where("source_type = 'local' and via <> 'code-block'").select("skill_key", "path", "ord", F.col("ref_chain").alias("chain"))
-        if frontier.isEmpty():
+        if depth < max_depth and frontier.isEmpty():
             break
     seq = F.row_number().over(Window.partitionBy("skill_key").orderBy("depth", "ord")).cast("int")
     return reduce(DataFrame.unionByName, rounds).withColumn("discovery_seq", seq).select(*FOUND, "discovery_seq")
