@@ -47,7 +47,7 @@ def _share(nodes: DataFrame, parent: list[str], budget: str = "budget") -> DataF
     open_held = F.min(F.when(~F.col("full"), F.col("held"))).over(of)
     open_weights = F.max(F.when(~F.col("full"), F.col("weights"))).over(of)
     df = df.withColumn("open_held", open_held).withColumn("open_weights", open_weights)
-    part = F.floor((big(budget) - big("open_held")) * F.col("weight") / F.col("open_weights"))
+    part = F.call_function("div", (big(budget) - big("open_held")) * F.col("weight"), big("open_weights"))  # whole numbers throughout
     return df.withColumn("share", F.when(F.col("full"), F.col("capacity")).otherwise(part).cast("long")).drop("held", "weights", "full", "open_held", "open_weights")
 
 
