@@ -731,6 +731,71 @@ def reference_texts(spark, d):
     return _table(spark, d, "part").select("p_partkey", risk.reference_text(F.col("p_name"), size, F.when(size % 2 == 0, size + 1).otherwise(size), F.lit("content")).alias("ref"))
 
 
+@query("SELECT doc_id, path AS ref_path, 1 AS line, via FROM (SELECT doc_id, unnest(['refs/g' || doc_id || '.md', 'scripts/s' || doc_id || '.sh', 'data/t' || doc_id || '.csv']) AS path, unnest(['markdown-link', 'inline-code', 'bare-path']) AS via FROM documents) UNION ALL SELECT doc_id, 'data/t' || doc_id || '.csv', 2, 'bare-path' FROM documents")
+def markdown_references_by_line(spark, d):
+    """References at their own lines: one that two lines make is there twice."""
+    text = F.concat(_text(_PROSE, F.col("doc_id")), _text("\nand data/t{d}.csv once more", F.col("doc_id")))
+    prose = _table(spark, d, "documents").select(F.col("source").alias("skill_key"), F.col("doc_id").cast("string").alias("path"), text.alias("content"))
+    return markdown.references(prose, by_line=True).select(F.col("path").cast("long").alias("doc_id"), "ref_path", "line", "via")
+
+
+@query(f"SELECT DISTINCT user_id AS skill_key, '{risks.REMOTE_WARNING}' AS message FROM events WHERE event_type = 'error'")
+def remote_warnings(spark, d):
+    kind = F.when(F.col("event_type") == "error", risks.RCE).otherwise("NETWORK:data_exfiltration")
+    return risks.remote_warnings(_table(spark, d, "events").select(F.col("user_id").alias("skill_key"), kind.alias("type")))
+
+
+@query(
+    f"""SELECT doc_id, 'REFERENCE:external_file:' || tool AS group_key, 'warning' AS severity, CASE WHEN doc_id % 3 = 0 THEN 'Sourced external file not analyzed yet: ' ELSE 'External reference not analyzed yet: ' END || arg AS message
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bash' ELSE 'unknown' END AS tool, {_cases_sql('doc_id', ['lib{d}', 'gone{d}.md'])} AS arg FROM documents)"""
+)
+def external_reference_risks(spark, d):
+    n = F.col("doc_id")
+    own = _table(spark, d, "documents").select(
+        n.alias("skill_key"), F.lit(1).alias("perm_seq"), F.lit("x").alias("id"), F.when(n % 3 == 0, "bash").otherwise("unknown").alias("tool"), F.lit("dep").alias("scope"), F.lit("externalreference").alias("permission"), F.array(_cases(n, ["lib{d}", "gone{d}.md"])).alias("args"),
+        F.create_map(F.lit("discoveryMethod"), F.when(n % 3 == 0, "source").otherwise("markdown-link")).alias("metadata"), F.array(F.struct(F.lit("a").alias("file"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type"))).alias("refs"),
+    )
+    return risks.dependency_risks(own, cfg.resolve()).select(F.col("skill_key").alias("doc_id"), "group_key", "severity", "message")
+
+
+@query(
+    f"""SELECT page_id, 'NETWORK:external_network_access' AS type, 'NETWORK:external_network_access:curl' AS group_key, 'warning' AS severity, host IN ('host9.org') AS denied
+FROM (SELECT page_id, host, {_DEST_SQL} AS destination FROM (SELECT page_id, {_HOST_SQL} AS host FROM (SELECT page_id, {_cases_sql('page_id % 30', _HOSTS)} AS url FROM pages))) WHERE destination = 'external' AND host <> 'host3.org'"""
+)
+def network_policy(spark, d):
+    """The engine's own joins with the policy: allowed hosts give no risk, denied ones a note."""
+    n = F.col("page_id")
+    url = _cases(n % 30, _HOSTS)
+    pages = _table(spark, d, "pages").select(n.alias("skill_key"), url.alias("url"))
+    ref = F.array(F.struct(F.lit("a").alias("file"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type")))
+    own = pages.select("skill_key", F.lit(1).alias("perm_seq"), F.lit("p").alias("id"), F.lit("curl").alias("tool"), F.lit("net").alias("scope"), F.array("url").alias("args"), F.create_map(F.lit("url"), "url").alias("metadata"), ref.alias("refs"))
+    found = pages.select("skill_key", F.lit(1).alias("finding_seq"), F.lit("net-curl").alias("rule_id"), F.lit("a").alias("file"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type"), F.create_map(F.lit("url"), "url").alias("extracted"))
+    got = risks.rule_risks(found, own, cfg.resolve(_POLICY))
+    return got.select(F.col("skill_key").alias("page_id"), "type", "group_key", "severity", F.map_contains_key("metadata", "policy").alias("denied"))
+
+
+@query(f"WITH {_EVENTS} SELECT skill_key, type AS id, arg_min(message, event_id) AS help FROM e GROUP BY ALL")
+def sarif_rule_list(spark, d):
+    """Each type once, with the text of its first risk."""
+    e = _events(spark, d)
+    own = e.select("skill_key", F.lit(1).alias("perm_seq"), F.lit("x").alias("id"), F.lit("t").alias("tool"), F.lit("p").alias("permission"), F.lit("s").alias("scope"), F.lit("c").alias("comment")).where(F.lit(False))
+    return sinks.sarif_rules(e, own).select("skill_key", "id", F.col("help.text").alias("help"))
+
+
+@query(
+    f"WITH {_SEEDED} SELECT doc_id, '```' || CASE doc_id % 4 WHEN 0 THEN 'bash' WHEN 1 THEN 'sh' WHEN 2 THEN 'py' ELSE 'weird' END || chr(10) || content || chr(10) || '```' AS content, 2 AS line_offset, 'script' AS type FROM seeded UNION ALL SELECT doc_id, 'git log', 0, 'inline' FROM seeded"
+)
+def scan_targets(spark, d):
+    """Slices of fences with the lines before them, and inline commands: `ls -l` is none without a rule or a known tool."""
+    files = _packages(spark, d).withColumn("list_seq", F.lit(0))
+    null = F.lit(None)
+    entry = lambda a, b, kind: files.select("skill_key", paths.block_path(F.col("path"), F.lit(a), F.lit(b)).alias("path"), F.lit("local").alias("source_type"), F.lit("bash").alias("file_type"), F.lit("script").alias("role"), F.lit("code-block").alias("via"), F.lit(kind).alias("ref_type"), F.regexp_extract("path", r"\d+", 0).cast("int").alias("queue_seq"))
+    queue = entry(3, 5, "script").unionByName(entry(7, 7, "inline")).unionByName(entry(1, 1, "inline"))
+    files = files.withColumn("content", F.regexp_replace("content", "^Intro", "Intro `git log`"))
+    found = permissions.scan_targets(queue.withColumn("ref_file", null.cast("string")), files)
+    return found.select(F.regexp_extract("file", r"\d+", 0).cast("long").alias("doc_id"), "content", "line_offset", "type")
+
+
 # --- whole analyses over packages made from documents
 
 
