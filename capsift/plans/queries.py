@@ -789,7 +789,7 @@ def scan_targets(spark, d):
     """Slices of fences with the lines before them, and inline commands: `ls -l` is none without a rule or a known tool."""
     files = _packages(spark, d).withColumn("list_seq", F.lit(0))
     null = F.lit(None)
-    entry = lambda a, b, kind: files.select("skill_key", paths.block_path(F.col("path"), F.lit(a), F.lit(b)).alias("path"), F.lit("local").alias("source_type"), F.lit("bash").alias("file_type"), F.lit("script").alias("role"), F.lit("code-block").alias("via"), F.lit(kind).alias("ref_type"), F.regexp_extract("path", r"\d+", 0).cast("int").alias("queue_seq"))
+    entry = lambda a, b, kind: files.select("skill_key", paths.block_path(F.col("path"), F.lit(a), F.lit(b)).alias("path"), F.lit("local").alias("source_type"), F.lit("bash").alias("file_type"), F.lit("script").alias("role"), F.lit("code-block").alias("via"), F.lit(kind).alias("ref_type"), (F.regexp_extract("path", r"\d+", 0).cast("int") * 10 + a).alias("queue_seq"))
     queue = entry(3, 5, "script").unionByName(entry(7, 7, "inline")).unionByName(entry(1, 1, "inline"))
     files = files.withColumn("content", F.regexp_replace("content", "^Intro", "Intro `git log`"))
     found = permissions.scan_targets(queue.withColumn("ref_file", null.cast("string")), files)
