@@ -55,7 +55,7 @@ def _visit(part: Column) -> Column:
 def format_chats(turns: DataFrame, parts_col: str | None = None, trained: str = "assistant") -> DataFrame:
     """turns: conv_id, turn, role, and text or a column of typed parts (PARTS).
 
-    Returns a row for each conversation: conv_id, n_turns, formatted, loss_spans (array of start from 0 and length, in code points),
+    Returns a row for each conversation: conv_id, n_turns, formatted, loss_spans (array of start from 0 and length in code points, and of byte and bytes, the same in UTF-8),
     attachments (in order: turn, type, ref, tokens), expanded_tokens.
     """
     own = F.col(parts_col).cast(PARTS) if parts_col else F.array(F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("tokens")))
@@ -67,9 +67,9 @@ def format_chats(turns: DataFrame, parts_col: str | None = None, trained: str =
     rows = rows.select("conv_id", "turn", "role", "content", head.alias("head"), attached.alias("attached"))
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    length = F.length("head") + F.length("content") + len(END)
-    rows = rows.withColumn("no", F.row_number().over(w)).withColumn("start", F.sum(length).over(run) - F.length("content") - len(END))
-    span = F.struct("no", F.col("start"), F.length("content").cast("long").alias("length"))
+    upto = lambda size: F.sum(size("head") + size("content") + len(END)).over(run) - size("content") - len(END)
+    rows = rows.withColumns({"no": F.row_number().over(w), "start": upto(F.length), "byte": upto(F.octet_length)})
+    span = F.struct("no", F.col("start"), F.length("content").cast("long").alias("length"), "byte", F.octet_length("content").cast("long").alias("bytes"))
     got = rows.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"),
         F.sort_array(F.collect_list(F.struct("no", F.concat("head", "content", F.lit(END)).alias("s"), "attached"))).alias("all"),
@@ -80,7 +80,7 @@ def format_chats(turns: DataFrame, parts_col: str | None = None, trained: str =
         "conv_id",
         "n_turns",
         F.array_join(F.transform("all", lambda x: x["s"]), "").alias("formatted"),
-        F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"),
+        F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), x["byte"].alias("byte"), x["bytes"].alias("bytes"))).alias("loss_spans"),
         "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
     )
@@ -108,20 +108,21 @@ def parse_chats(chats: DataFrame) -> DataFrame:
     return with_raw.withColumn("turns", turns).drop("__capsift_raw", "__capsift_many")
 
 
-def loss_text(chats: DataFrame) -> Column:
-    """All text under the loss mask, unescaped, from the formatted text and the spans alone."""
-    return F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+def loss_text(chats: DataFrame) -> DataFrame:
+    """chats with a column `loss`: all text under the loss mask, unescaped, from the formatted text and the spans alone. Cut by bytes, so a span costs its own length, wherever it lies."""
+    raw, spans = F.col("__capsift_bytes"), F.transform("loss_spans", lambda s: unescape(F.decode(F.substring(F.col("__capsift_bytes"), s["byte"].cast("int") + 1, s["bytes"].cast("int")), "UTF-8")))
+    return chats.withColumn("__capsift_bytes", F.encode("formatted", "UTF-8")).withColumn("loss", F.when(raw.isNotNull(), F.array_join(spans, ""))).drop("__capsift_bytes")
 
 
 def op6_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(INJECTION).alias("text"))
     chats = common.materialize(format_chats(table.unionByName(probe)), "chats")
-    read = parse_chats(chats)
+    read = loss_text(parse_chats(chats))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss_text(read)).cast("long").alias("loss_chars"),
-        F.sha2(loss_text(read), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 

@@ -86,7 +86,9 @@ def test_chats_are_read_back(spark):
         assert len(spans) == sum(a == "assistant" for a, _ in want)
         assert r.formatted.count(chat.START) == len(want) == r.formatted.count("<|im_end|>")
     got = chat.format_chats(df)
-    loss = {r.conv_id: r.loss for r in got.select("conv_id", chat.loss_text(got).alias("loss")).collect()}
+    loss = {r.conv_id: r.loss for r in chat.loss_text(got).select("conv_id", "loss").collect()}
+    bytes_ = {r.conv_id: [(s.byte, s.bytes) for s in r.loss_spans] for r in got.collect()}
+    assert all(r.formatted.encode()[a : a + n] == r.formatted[s.start : s.start + s.length].encode() for r in got.collect() for s, (a, n) in zip(r.loss_spans, bytes_[r.conv_id]))
     assert loss == {c: "".join(t or "" for a, t in turns if a == "assistant") for c, turns in CHATS.items()}
     assert chat.format_chats(df.limit(0)).count() == 0
 
