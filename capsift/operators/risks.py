@@ -45,20 +45,22 @@ def owners(met: DataFrame) -> DataFrame:
     return met.groupBy("skill_key", "finding_seq").agg(F.min_by(F.struct("perm_seq", "id", "tool", "scope", "args", "metadata"), "perm_seq").alias("owner"))
 
 
-def network_risks(metadata: Column, args: Column) -> Column:
-    """Of a request: writes to or reads from outside, and secrets sent."""
-    url = risk.request_url(metadata, args)
-    host, method = urls.host(url), risk.request_method(metadata, args)
-    where = urls.destination(host)
+def with_network_risks(df: DataFrame, metadata: Column, args: Column, name: str) -> DataFrame:
+    """df with a column of the risks of a request: writes to or reads from outside, and secrets sent. Step by step: one expression would repeat the host's pattern in each of its parts."""
+    own = {k: f"__capsift_{k}" for k in ("metadata", "url", "host", "method", "where", "secret")}
+    url, host, method, where = (F.col(own[k]) for k in ("url", "host", "method", "where"))
+    each = df.withColumns({own["metadata"]: metadata, own["url"]: risk.request_url(metadata, args)}).withColumns({own["host"]: urls.host(url), own["method"]: risk.request_method(metadata, args)})
+    each = each.withColumns({own["where"]: urls.destination(host), own["secret"]: risk.secret_in_request(F.col(own["metadata"]), url)})
     about = F.create_map(F.lit("host"), host, F.lit("method"), method, F.lit("destination"), where, F.lit("url"), urls.clean_url(url))
-    entry = lambda code, severity, message: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), about.alias("metadata"))
-    outside = where == "external"
-    access = F.when(outside & method.isin(risk.WRITE_METHODS), entry("NETWORK:data_exfiltration", "critical", F.concat(F.lit("Writes data to external host "), host, F.lit(" via "), method))).when(
-        outside, entry("NETWORK:external_network_access", "warning", F.concat(F.lit("Reads from external host "), host))
-    )
-    sent = F.concat(F.lit("Potential secret transmission detected for "), host)
-    secret = F.when(risk.secret_in_request(metadata, url), F.when(outside, entry("NETWORK:credential_leak", "critical", sent)).otherwise(entry("NETWORK:localhost_secret_exposure", "warning", sent)))
-    return F.when(host.isNotNull(), F.filter(F.array(access, secret), lambda r: r.isNotNull())).cast(_MAPPED)
+    entry = lambda code, severity, message: F.struct(code.alias("code"), severity.alias("severity"), message.alias("message"), about.alias("metadata"))
+    outside, writes = where == "external", method.isin(risk.WRITE_METHODS)
+    either = lambda ok, a, b: F.when(ok, a).otherwise(b)
+    # Codes and messages.
+    told = either(writes, F.concat(F.lit("Writes data to external host "), host, F.lit(" via "), method), F.concat(F.lit("Reads from external host "), host))
+    access = F.when(outside, entry(either(writes, "NETWORK:data_exfiltration", "NETWORK:external_network_access"), either(writes, "critical", "warning"), told))
+    sent = entry(either(outside, "NETWORK:credential_leak", "NETWORK:localhost_secret_exposure"), either(outside, "critical", "warning"), F.concat(F.lit("Potential secret transmission detected for "), host))
+    found = F.when(host.isNotNull(), F.filter(F.array(access, F.when(F.col(own["secret"]), sent)), lambda r: r.isNotNull())).cast(_MAPPED)
+    return each.withColumn(name, found).drop(*own.values())
 
 
 def _linked(mapped: DataFrame, met: DataFrame, permissions: DataFrame) -> DataFrame:
@@ -86,9 +88,9 @@ def rule_risks(found: DataFrame, permissions: DataFrame, config: dict) -> DataFr
     table = F.broadcast(rules.rule_table(spark).where("risk <> ''").select("rule_id", "grammar", "risk", "severity", "message"))
     each = found.join(table, "rule_id").join(owners(met), ["skill_key", "finding_seq"], "left")
     static = F.array(F.struct(F.col("risk").alias("code"), "severity", "message", F.col("extracted").alias("metadata"))).cast(_MAPPED)
-    dynamic = network_risks(F.coalesce("owner.metadata", F.from_json(F.lit("{}"), _META)), F.col("owner.args"))
-    each = each.withColumn("mapped", F.when(F.col("risk") != "dynamic", static).otherwise(F.when(F.col("owner").isNotNull(), dynamic)))
-    each = each.drop("severity", "message", "metadata").select("*", F.posexplode("mapped").alias("k", "m")).select("*", "m.*").drop("mapped", "m")
+    each = with_network_risks(each, F.coalesce("owner.metadata", F.from_json(F.lit("{}"), _META)), F.col("owner.args"), "dynamic")
+    each = each.withColumn("mapped", F.when(F.col("risk") != "dynamic", static).otherwise(F.when(F.col("owner").isNotNull(), F.col("dynamic"))))
+    each = each.drop("severity", "message", "metadata", "dynamic").select("*", F.posexplode("mapped").alias("k", "m")).select("*", "m.*").drop("mapped", "m")
     imports, domains = policy(spark, config)
     host = F.when(F.startswith("code", F.lit("NETWORK:")), F.lower(F.trim(F.try_element_at("metadata", F.lit("host")))))
     each = each.withColumn("host", host).join(F.broadcast(domains), "host", "left")
@@ -97,6 +99,9 @@ def rule_risks(found: DataFrame, permissions: DataFrame, config: dict) -> DataFr
     each = each.where("coalesce(p_host, '') <> 'allowed' and coalesce(p_import, '') <> 'allowed'")
     denied = F.when(F.coalesce("p_host", "p_import").isNotNull(), F.create_map(F.lit("policy"), F.to_json(F.struct(F.when(F.col("p_host") == "denied", F.struct("host", F.lit("denylist").alias("source"))).alias("network"), F.when(F.col("p_import") == "denied", F.struct("grammar", "name", F.lit("denylist").alias("source"))).alias("language")))))
     each = each.withColumn("metadata", F.when(denied.isNotNull(), F.map_concat("metadata", denied)).otherwise(F.col("metadata")))
+    # five parts of the linking read these rows: written once
+    columns = ["skill_key", "finding_seq", "k", "rule_id", "code", "severity", "message", "metadata", "owner", "file", "line", "line_end", "type"]
+    each = materialize(each.select(*columns), "mapped")
     linked = _linked(each, met, permissions)
     group = F.concat_ws(":", "code", "owner.tool")
     return linked.select(

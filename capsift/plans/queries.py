@@ -699,7 +699,8 @@ UNION ALL SELECT page_id, CASE WHEN destination = 'external' THEN 'NETWORK:crede
 def network_evaluator(spark, d):
     n = F.col("page_id")
     meta = F.create_map(F.lit("url"), _cases(n, _HOSTS), F.lit("method"), _cases(n, _METHODS), F.lit("header"), F.when(n % 4 == 0, "Authorization: x").otherwise("Accept: y"))
-    found = _table(spark, d, "pages").select("page_id", F.explode(risks.network_risks(meta, F.array().cast("array<string>"))).alias("r"))
+    asked = _table(spark, d, "pages").select("page_id", meta.alias("meta"))
+    found = risks.with_network_risks(asked, F.col("meta"), F.array().cast("array<string>"), "found").select("page_id", F.explode("found").alias("r"))
     return found.select("page_id", "r.code", "r.severity", F.try_element_at("r.metadata", F.lit("host")).alias("host"))
 
 
