@@ -100,7 +100,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        result, written = stage(spark, docs, sf_dir), []
+        with common.noted(written):
+            docs = common.materialize(result, name)
+        for path in last:  # what this stage has read
+            common.remove(spark, path)
+        last = written
     return docs
