@@ -13,6 +13,15 @@ def test_words_are_cut_at_ascii_space_only(spark):
     assert [r.w for r in df.collect()] == [brute.words(t) for t in texts]
 
 
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_hot_keys_are_spread_and_join_alike(spark, how):
+    rows = spark.range(9000).select(F.when(F.col("id") < 6000, -1).otherwise(F.col("id") % 50).alias("a"), F.col("id").alias("i"))
+    table = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("i").alias("least")).where("a <> 7")
+    got = common.spread_join(rows, table, ["a"], "n", ["i"], how)
+    want = rows.join(table.drop("n"), "a", how)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_quality_counts_equal_plain_ones(make, texts, extra):
     docs = make(texts + [(70, "# * $ % & | < > word"), (71, "same line here\nsame line here\n\n\nother"), (72, "a b c d a b c a b c")], extra)
@@ -26,6 +35,17 @@ def test_quality_counts_equal_plain_ones(make, texts, extra):
     assert quality.score(make([])).count() == 0
 
 
+def test_the_verdict_is_no_single_rules_nor_all_must_pass(spark):
+    rows = quality.score(common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), keep=["doc_id"])
+    votes = [quality._vote(r, quality._OWN).alias(f"v{i}") for i, r in enumerate(quality.RULES)]
+    found = rows.where(~F.col(f"{quality._OWN}.base_failed")).select(F.col(f"{quality._OWN}.kept").alias("kept"), *votes).collect()
+    kept = [r.kept for r in found]
+    assert 0 < sum(kept) < len(kept)
+    assert kept != [min(r[1:]) > -1 for r in found]
+    # on these tables two rules see all the junk that is dropped; the others see a part of it, or something else
+    assert sum(kept != [r[i + 1] > -1 for r in found] for i in range(len(quality.RULES))) >= len(quality.RULES) - 2
+
+
 def test_weak_supervision_parts_good_from_bad(make):
     import random
 
