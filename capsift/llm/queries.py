@@ -27,6 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_weak_supervision": quality.sql(),
         "op6_content_parts": chat.sql(),
         "op7_pivot_table": topk.sql(),
-        "packed_conversations": packing.packed_conversations,
         "op10_deletion_neighbourhood": lines.sql(),
     }
