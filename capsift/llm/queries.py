@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsift.llm import chat, langid, lines, mixing, packing, passages, quality, simhash, token_files, topk
+from capsift.llm import chat, filter_audit, langid, licenses, lines, merkle, mixing, packing, passages, quality, simhash, token_files, topk
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op9_vector_packing": packing.op9_vector_packing,
         "packed_conversations": packing.packed_conversations,
         "op10_deletion_neighbourhood": lines.op10_deletion_neighbourhood,
+        "op11_license_scan": licenses.op11_license_scan,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_content_parts": chat.sql(),
         "op7_pivot_table": topk.sql(),
         "op10_deletion_neighbourhood": lines.sql(),
+        "op12_merkle_manifest": merkle.sql(),
+        "op13_filter_audit": filter_audit.sql(),
     }
