@@ -22,11 +22,10 @@ MAX_ARGUMENTS = 4
 
 
 def strip_quotes(text: Column) -> Column:
-    """One pair of equal quotes around it goes, then white space."""
-    out = trim(text)
-    for q in ("\"", "'", "`"):
-        out = F.regexp_replace(out, f"(?s)^{q}(.*){q}$", "$1")
-    return trim(out)
+    """One quote at either end goes, paired or not, then closing marks behind it, then white space."""
+    # The quotes and the closing marks.
+    out = F.regexp_replace(F.regexp_replace(text, "^['\"`]", ""), r"['\"`]\z", "")
+    return trim(F.rtrim(out, F.lit(";,)")))
 
 
 def normalize_tool(raw: Column) -> Column:

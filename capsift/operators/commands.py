@@ -1,7 +1,6 @@
 """Commands of shell text, calls of code, and the references that they hold.
 
-A task cuts each text once (`functions.scan`): here-documents, continued lines, nested quotes and substitutions, and calls over several lines are followed.
-Everything behind that is declared on columns.
+A task reads each text once (`functions.scan`) and gives its syntax nodes, each an interval of the text with a level: commands, substitutions, calls, imports. Everything behind that is declared on columns.
 """
 
 from __future__ import annotations
@@ -20,12 +19,30 @@ FILE_COMMANDS = ["cat", "cp", "mv", "ln", "touch", "mkdir", "rm", "chmod", "chow
 FETCH_CALLS = r"^(?:fetch|axios\.(?:get|post|put|delete|patch|head)|XMLHttpRequest|request|got|superagent)$"
 FILE_CALLS = r"^fs\.(?:readFile|writeFile|appendFile|open|access|stat|unlink|mkdir|rmdir|rename|copyFile)$"
 _ROWS = 2000
-_FOUND = pa.schema([("line", pa.int32()), ("line_end", pa.int32()), ("cmd_seq", pa.int32()), ("words", pa.list_(pa.string())), ("pipe_to", pa.list_(pa.string())), ("redirect_to", pa.string()), ("first", pa.string()), ("kind", pa.string())])
-_SQL = "line int, line_end int, cmd_seq int, words array<string>, pipe_to array<string>, redirect_to string, first string, kind string"
+_SHAPE = pa.struct([("form", pa.string()), ("keys", pa.list_(pa.string())), ("values", pa.list_(pa.string()))])
+_FOUND = pa.schema([
+    ("kind", pa.string()), ("line", pa.int32()), ("line_end", pa.int32()), ("cmd_seq", pa.int32()), ("words", pa.list_(pa.string())), ("pipe_to", pa.list_(pa.string())), ("redirect_to", pa.string()), ("first", pa.string()),
+    ("shapes", pa.list_(_SHAPE)), ("statements", pa.int32()), ("node_start", pa.int64()), ("node_end", pa.int64()), ("level", pa.int32()),
+])
+_SQL = (
+    "kind string, line int, line_end int, cmd_seq int, words array<string>, pipe_to array<string>, redirect_to string, first string, "
+    "shapes array<struct<form: string, `keys`: array<string>, `values`: array<string>>>, statements int, node_start bigint, node_end bigint, level int"
+)
+
+
+def _rows(grammar: str, text: str) -> list[tuple]:
+    if grammar == "bash":
+        commands, inside = scan.shell_nodes(text)
+        found = [("call", a, b, n, words, pipe, to, None, None, None, start, end, level) for n, (a, b, words, pipe, to, start, end, level) in enumerate(commands)]
+        return found + [("substitution", a, b, n, [mark, held], None, None, None, None, statements, start, end, level) for n, (a, b, mark, statements, held, start, end, level) in enumerate(inside)]
+    calls, imports = scan.code_nodes(text, grammar)
+    shape = lambda arg: None if arg[1] is None else dict(zip(("form", "keys", "values"), arg[1:]))
+    found = [("call", a, b, n, [name, *(x[0] for x in args)], None, None, first, [shape(x) for x in args], None, start, end, level) for n, (a, b, name, args, first, start, end, level) in enumerate(calls)]
+    return found + [(word, line, line, n, [name], *[None] * 8) for n, (line, word, name) in enumerate(imports)]
 
 
 def _cut(grammar: str, batches):
-    """For each row (keys, content) its commands or calls, and the imports of code."""
+    """For each row (keys, content) its nodes."""
     for b in batches:
         keys, rows, at = b.drop_columns(["content"]), [], []
 
@@ -34,36 +51,34 @@ def _cut(grammar: str, batches):
             return pa.RecordBatch.from_arrays([*keys.take(pa.array(at)).columns, *columns], names=[*keys.schema.names, *_FOUND.names])
 
         for i, text in enumerate(b.column("content")):
-            text = text.as_py() or ""
-            if grammar == "bash":
-                found = [(line, end, n, words, pipe, to, None, "call") for n, (line, end, words, pipe, to) in enumerate(scan.shell(text))]
-            else:
-                calls, imports = scan.code(text, grammar)
-                found = [(line, end, n, words, None, None, first, "call") for n, (line, end, words, first) in enumerate(calls)]
-                found += [(line, line, n, [name], None, None, None, word) for n, (line, word, name) in enumerate(imports)]
-            rows += found
-            at += [i] * len(found)
-            if len(rows) >= _ROWS:
-                yield out()
-                rows, at = [], []
+            found = _rows(grammar, text.as_py() or "")
+            for k in range(0, len(found), _ROWS):
+                rows += found[k : k + _ROWS]
+                at += [i] * len(found[k : k + _ROWS])
+                if len(rows) >= _ROWS:
+                    yield out()
+                    rows, at = [], []
         if rows:
             yield out()
 
 
-def _scan(texts: DataFrame, keys: list[str], grammar: str) -> DataFrame:
+def nodes(texts: DataFrame, keys: list[str], grammar: str) -> DataFrame:
+    """texts: keys (they tell rows apart) and content. Returns keys, and of each node: kind (`call`, `substitution`, or the word of an import), line, line_end, cmd_seq (its number among the nodes of its kind, by place), words (of a
+    command; of a call its name, then the arguments as they stand; of a substitution its mark and what is within), pipe_to (the words it is piped to), redirect_to, first (the first string within a call), shapes (of arguments that are
+    objects or keywords), statements (of a substitution), and its interval: node_start, node_end, level."""
     own = texts.select(*keys, "content")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "content")
     return own.mapInArrow(partial(_cut, grammar), f"{kinds}, {_SQL}")
 
 
 def commands(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """texts: keys (they tell rows apart) and content. Returns keys, line, line_end, cmd_seq, words, pipe_to (the words it is piped to), redirect_to."""
-    return _scan(texts, keys, "bash").drop("first", "kind")
+    """The commands of shell text."""
+    return nodes(texts, keys, "bash").where("kind = 'call'").drop("kind")
 
 
 def calls(texts: DataFrame, keys: list[str], grammar: str = "javascript") -> DataFrame:
-    """Calls in code: as commands(), words being the function's name, then its arguments as they stand; and first, the first string within."""
-    return _scan(texts, keys, grammar).where("kind = 'call'").drop("kind")
+    """The calls of code."""
+    return nodes(texts, keys, grammar).where("kind = 'call'").drop("kind")
 
 
 def _refs(df: DataFrame, keys: list[str], values: Column) -> DataFrame:
@@ -92,7 +107,7 @@ def shell_references(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def _code_references(texts: DataFrame, keys: list[str], grammar: str, kinds: list[tuple]) -> DataFrame:
     """kinds, in order: (which rows, whether the reference counts, via). Of a call the first string within is the reference."""
-    found = _scan(texts, keys, grammar)
+    found = nodes(texts, keys, grammar)
     ref = F.when(F.col("kind") == "call", F.col("first")).otherwise(F.get("words", 0))
     rank, via = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, (which, ok, name) in reversed(list(enumerate(kinds))):

@@ -1,7 +1,8 @@
 """The rule table and its match: commands and calls joined with patterns by their first word.
 
-A pattern becomes one regular expression over the words of a command or call. `| sh` asks for what the
-command is piped to, `> $FILE` for what it is written to. The table is of fixed size, so it is broadcast and joined on (grammar, first word), never tried rule by rule.
+A pattern is a row of that table: what its words must be, one by one, before and behind a run of any words. It is compared with the nodes of `commands.nodes`, word by word and field by field; no expression runs over
+joined words, so the time of a match is linear in the node. `| sh` asks for what the command is piped to, `> $FILE` for what it is written to, `$($CMD)` for a substitution of one statement. The table is of fixed size, so it
+is broadcast and joined on (grammar, first word), never tried rule by rule.
 
 The secret rule and its word list are this project's own.
 """
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from capsift.functions import shell
 from capsift.operators import commands as source
+from capsift.plans.tables import materialize
 
 GENERIC = "shell-generic-command"
 SECRET = "secret-bash-env-read-plain"
-_GAP = "\x1f"
 _PROMPT = ("PROMPT:prompt_override", "Prompt override attempt detected")
 
 # Fixed values: (rule, grammar, patterns, tool, permission, scope, risk code, severity, message, which capture each value comes from), in order. `$NAME` captures one word or a
@@ -78,18 +79,29 @@ def secret_like(name: Column) -> Column:
     return F.rlike(name, F.lit(SECRET_NAMES))
 
 
-def _word(word: str) -> str:
-    """The expression of one word of a pattern; its captures are groups."""
-    if word.startswith("{"):  # an object with exactly these keys
-        fields = [f.split(":")[0].strip() for f in word.strip("{}").split(",")]
-        return r"\{\s*" + r"\s*,\s*".join(rf"{k}\s*:\s*([^{_GAP}]+?)" for k in fields) + r"\s*,?\s*\}" + _GAP
-    return re.sub(r"\\\$[A-Z]+", lambda m: f"([^{_GAP}]+?)", re.escape(word)) + _GAP
+_ITEM = "struct<kind: string, text: string, names: array<string>, fields: array<string>>"
 
 
-def compile_pattern(pattern: str, grammar: str) -> dict:
-    """head, regex over the words (each followed by a separator), pipe and redirect (words), the captures' names in order.
+def _item(word: str, names: dict) -> tuple:
+    """What one word or argument of a pattern asks for: kind, text, the metadata that its captures become (null: none), the fields of an object."""
+    captures = [names.get(n) for n in re.findall(r"\$([A-Z]+)", word)]
+    if word.startswith("{"):  # an object with exactly these fields
+        return "object", None, captures, [f.split(":")[0].strip() for f in word.strip("{}").split(",")]
+    if not captures:
+        return "is", word, [], None
+    if re.fullmatch(r"\$[A-Z]+", word):
+        return "any", None, captures, None
+    if m := re.fullmatch(r"([\"'])\$[A-Z]+\1", word):
+        return "quoted", m[1], captures, None
+    if m := re.fullmatch(r"(\w+)=\$[A-Z]+", word):
+        return "keyword", m[1], captures, None
+    if m := re.fullmatch(r"(.*?=)\$[A-Z]+", word) if not word.startswith("$") else None:
+        return "after", m[1], captures, None
+    return "split", re.fullmatch(r"\$[A-Z]+(.+?)\$[A-Z]+", word)[1], captures, None
 
-    A run of words is an option with one lazy dot, never a repeated group: Java's engine recurses once for each turn of such a group."""
+
+def compile_pattern(pattern: str, grammar: str, names: dict) -> dict:
+    """head; before: items of the first words; middle: items behind a run of any words; run: whether there is one; open: whether any words may follow; pipe (words); redirect (metadata)."""
     if grammar == "bash":
         body, _, pipe = pattern.partition(" | ")
         body, _, redirect = body.partition(" > ")
@@ -97,9 +109,11 @@ def compile_pattern(pattern: str, grammar: str) -> dict:
     else:
         (head, _, inside), pipe, redirect = pattern[:-1].partition("("), "", ""
         rest = re.split(r", (?![^{]*\})", inside)
-    regex = re.escape(head) + _GAP + "".join(f"(?:.*?{_GAP})?" if w.startswith("$$$") else _word(w) for w in rest)
-    names = [n for w in rest if not w.startswith("$$$") for n in re.findall(r"\$([A-Z]+)", w)]
-    return {"head": head, "regex": f"(?s)^{regex}()()()$", "names": names, "pipe": pipe or None, "redirect": redirect[1:] or None}
+    runs = [i for i, w in enumerate(rest) if w.startswith("$$$")]
+    first = runs[0] if runs else len(rest)
+    middle = [w for w in rest[first:] if not w.startswith("$$$")]
+    items = lambda words: [_item(w, names) for w in words]
+    return {"head": head, "before": items(rest[:first]), "middle": items(middle), "run": bool(runs), "open": bool(runs) and rest[-1].startswith("$$$"), "pipe": pipe.split(" ") if pipe else None, "redirect": names.get(redirect[1:])}
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
@@ -115,28 +129,50 @@ def pattern_table(spark: SparkSession) -> DataFrame:
         if r[0] in (GENERIC, SECRET, "inject-substitution"):
             continue
         for j, p in enumerate(r[2]):
-            c, key = compile_pattern(p, r[1]), {v: k for k, v in r[9].items()}
-            pipe = None if c["pipe"] is None else c["pipe"].split(" ")
-            rows.append((i, r[0], r[1], j, c["head"], c["regex"], [key.get(n) for n in c["names"]], pipe, key.get(c["redirect"]), p))
-    return spark.createDataFrame(rows, "rule_seq int, rule_id string, grammar string, pattern_seq int, head string, regex string, names array<string>, pipe array<string>, redirect string, pattern string")
+            c = compile_pattern(p, r[1], {v: k for k, v in r[9].items()})
+            rows.append((i, r[0], r[1], j, c["head"], c["before"], c["middle"], c["run"], c["open"], c["pipe"], c["redirect"], p))
+    return spark.createDataFrame(rows, f"rule_seq int, rule_id string, grammar string, pattern_seq int, head string, before array<{_ITEM}>, middle array<{_ITEM}>, run boolean, open boolean, pipe array<string>, redirect string, pattern string")
+
+
+def _fits(item: Column, word: Column, shape: Column) -> Column:
+    """Whether a word or argument is what an item asks for."""
+    kind, text, n = item["kind"], item["text"], F.length(word)
+    at = F.call_function("locate", text, word, F.lit(2))  # from the second character on: what stands before isn't empty
+    ok = F.when(kind == "is", word == text).when(kind == "any", n > 0).when(kind == "quoted", (n > 2) & F.startswith(word, text) & F.endswith(word, text)).when(kind == "after", F.startswith(word, text) & (n > F.length(text)))
+    ok = ok.when(kind == "split", (at > 1) & (n >= at + F.length(text))).when(kind == "object", (shape["form"] == "{") & (shape["keys"] == item["fields"]))
+    return F.coalesce(ok.when(kind == "keyword", (shape["form"] == "=") & (F.get(shape["keys"], F.lit(0)) == text)), F.lit(False))
+
+
+def _values(item: Column, word: Column, shape: Column) -> Column:
+    """What an item's captures hold, in order."""
+    kind, text = item["kind"], item["text"]
+    at = F.call_function("locate", text, word, F.lit(2))
+    cut = lambda a, n: F.substring(word, a, n)
+    found = F.when(kind == "any", F.array(word)).when(kind == "quoted", F.array(cut(F.lit(2), F.length(word) - 2))).when(kind == "after", F.array(cut(F.length(text) + 1, F.length(word))))
+    return found.when(kind == "split", F.array(cut(F.lit(1), at - 1), cut(at + F.length(text), F.length(word)))).when(kind.isin("object", "keyword"), shape["values"]).otherwise(F.array().cast("array<string>"))
 
 
-def _captured(joined: Column) -> Column:
-    """key and value of each group; patterns have three at most."""
-    groups = [F.call_function("regexp_extract", joined, F.col("regex"), F.lit(i)) for i in (1, 2, 3)]
-    values = F.array(*(F.when(F.size("names") >= i + 1, g) for i, g in enumerate(groups)))
-    pairs = F.transform("names", lambda n, i: F.struct(n.alias("key"), shell.strip_quotes(F.get(values, i)).alias("value")))
+def _captured(items: Column, at: Column) -> Column:
+    """key and value of each capture of items that stand at a place of the arguments."""
+    each = F.transform(items, lambda item, i: F.struct(item["names"].alias("names"), _values(item, F.get("args", at + i), F.get("shapes", at + i)).alias("values")))
+    pairs = F.flatten(F.transform(each, lambda e: F.transform(e["names"], lambda n, k: F.struct(n.alias("key"), shell.strip_quotes(F.get(e["values"], k)).alias("value")))))
     return F.filter(pairs, lambda p: p["key"].isNotNull() & (p["value"] != ""))
 
 
 def match(found: DataFrame, keys: list[str], grammar: str) -> DataFrame:
     """found: the output of commands() or calls(). Returns keys, line, line_end, rule_seq, rule_id, pattern_seq, cmd_seq, extracted."""
     rules = F.broadcast(pattern_table(found.sparkSession).where(F.col("grammar") == grammar).drop("grammar"))
-    joined = F.concat(F.array_join("words", _GAP), F.lit(_GAP))
-    each = found.withColumn("head", F.get("words", 0)).withColumn("joined", joined).join(rules, "head").where(F.rlike("joined", F.col("regex")))
+    each = found.withColumn("head", F.get("words", 0)).join(rules, "head").withColumn("args", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))))
+    n, first, more = F.size("args"), F.size("before"), F.size("middle")
+    all_fit = lambda items, at: F.forall(F.transform(items, lambda item, i: _fits(item, F.get("args", at + i), F.get("shapes", at + i))), lambda ok: ok)
+    each = each.where(F.when(F.col("run"), n >= first + more).otherwise(n == first)).where(all_fit(F.col("before"), F.lit(0)))
     each = each.where(F.col("pipe").isNull() | (F.col("pipe_to") == F.col("pipe"))).where(F.col("redirect").isNull() | F.col("redirect_to").isNotNull())
+    # the first place where what stands behind the run fits
+    places = F.when(more == 0, F.array(first)).when(F.col("open"), F.sequence(first, F.greatest(n - more, first))).otherwise(F.array(n - more))
+    each = each.withColumn("at", F.when(more == 0, first).otherwise(F.get(F.filter(places, lambda p: all_fit(F.col("middle"), p)), 0))).where("at is not null")
     written = F.when(F.col("redirect").isNotNull(), F.array(F.struct(F.col("redirect").alias("key"), shell.strip_quotes(F.col("redirect_to")).alias("value"))))
-    pairs = F.concat(_captured(F.col("joined")), F.coalesce(written, F.array().cast("array<struct<key:string,value:string>>")), F.array(F.struct(F.lit("pattern").alias("key"), F.col("pattern").alias("value"))))
+    captured = F.concat(_captured(F.col("before"), F.lit(0)), _captured(F.col("middle"), F.col("at")), F.coalesce(written, F.array().cast("array<struct<key:string,value:string>>")))
+    pairs = F.concat(captured, F.array(F.struct(F.lit("pattern").alias("key"), F.col("pattern").alias("value"))))
     # a repeated name keeps its first value
     first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
     return each.select(*keys, "line", "line_end", "rule_seq", "rule_id", "pattern_seq", "cmd_seq", F.map_from_entries(first).alias("extracted"))
@@ -162,9 +198,12 @@ def _line_matches(texts: DataFrame, keys: list[str], rule: str, pattern: str, na
     return each.select(*keys, "line", F.col("line").alias("line_end"), F.lit(_index(rule)).alias("rule_seq"), F.lit(rule).alias("rule_id"), F.lit(0).alias("pattern_seq"), "cmd_seq", extracted.alias("extracted"), "value")
 
 
-def substitution_matches(texts: DataFrame, keys: list[str]) -> DataFrame:
-    dollar = _line_matches(texts, keys, "inject-substitution", r"\$\(([^()]+)\)", "command", "$($CMD)").drop("value")
-    return dollar.unionByName(_line_matches(texts, keys, "inject-substitution", "`([^`]+)`", "command", "`$CMD`").withColumn("pattern_seq", F.lit(1)).drop("value"))
+def substitution_matches(found: DataFrame, keys: list[str]) -> DataFrame:
+    """found: shell nodes. Substitutions that hold one statement, be it a pipe; those in back quotes on one line only, since a fence is a run of back quotes."""
+    each = found.where("kind = 'substitution' and statements = 1 and (words[0] = '$(' or (words[0] = '`' and line = line_end))")
+    dollar = F.get("words", 0) == "$("
+    extracted = F.create_map(F.lit("command"), shell.strip_quotes(F.get("words", 1)), F.lit("pattern"), F.when(dollar, "$($CMD)").otherwise("`$CMD`"))
+    return each.select(*keys, "line", "line_end", F.lit(_index("inject-substitution")).alias("rule_seq"), F.lit("inject-substitution").alias("rule_id"), F.when(dollar, 0).otherwise(1).alias("pattern_seq"), "cmd_seq", extracted.alias("extracted"))
 
 
 def secret_matches(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,8 +220,9 @@ def without_generic_duplicates(matches: DataFrame, keys: list[str]) -> DataFrame
 
 
 def shell_matches(texts: DataFrame, keys: list[str]) -> DataFrame:
-    found = source.commands(texts, keys)
-    every = match(found, keys, "bash").unionByName(generic_matches(found, texts, keys)).unionByName(substitution_matches(texts, keys)).unionByName(secret_matches(texts, keys))
+    found = materialize(source.nodes(texts, keys, "bash"), "nodes")  # read four times below, cut once
+    calls = found.where("kind = 'call'")
+    every = match(calls, keys, "bash").unionByName(generic_matches(calls, texts, keys)).unionByName(substitution_matches(found, keys)).unionByName(secret_matches(texts, keys))
     return without_generic_duplicates(every, keys)
 
 
