@@ -34,19 +34,32 @@ GRAM = 8
 _OWN = "__capsift_passages"
 
 
+#: Runs of more words are hashed part by part: sums modulo 2**64 cancel in some runs of a thousand words and more.
+PART = 512
+
+
 class Sums:
-    """Sums of word hashes of all texts of a slice: a hash of any run of words in one step."""
+    """Sums of word hashes of all texts of a slice: a hash of any run of words in one step, of long ones in one for each PART words."""
 
     def __init__(self, column: pa.Array):
         self.words = textbuf.Words(column)
-        self.hashes, n = self.words.hashes(), len(self.words)
-        self.up, self.down = textbuf._power(n + 1)
+        (self.hashes,), n = self.words.hashes(), len(self.words)
+        self.up, self.down = textbuf.powers(n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.hashes * self.up[:n], out=self.sums[1:])
 
     def range(self, start: np.ndarray, size) -> np.ndarray:
         """Hashes of runs of words."""
-        return textbuf.mix((self.sums[start + size] - self.sums[start]) * self.down[start])
+        size = np.broadcast_to(size, start.shape)
+        out = textbuf.mix((self.sums[start + np.minimum(size, PART)] - self.sums[start]) * self.down[start])
+        long = np.flatnonzero(size > PART)
+        if long.size:
+            more = -(-size[long] // PART)  # parts of each
+            no = textbuf.ragged(np.zeros(len(long), dtype=np.int64), more)
+            lo = np.repeat(start[long], more) + PART * no
+            parts = self.range(lo, np.minimum(PART, np.repeat(size[long], more) - PART * no))
+            out[long] = textbuf.mix(np.add.reduceat(textbuf.mix(parts ^ textbuf.mix((no + 1).astype(np.uint64))), np.cumsum(more) - more))
+        return out
 
 
 class Phrases(Sums):

@@ -49,7 +49,7 @@ def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = np.where(k > 0, words.counts - k + 1, 0)
     at, width = textbuf.ragged(words.first[:-1], n), np.repeat(k, n)
     doc = np.repeat(np.arange(len(n)), n)
-    hashes = np.concatenate((words.hashes(), np.zeros(SHINGLE, dtype=np.uint64)))
+    hashes = np.concatenate((*words.hashes(), np.zeros(SHINGLE, dtype=np.uint64)))
     h = width.astype(np.uint64)
     for j in range(SHINGLE):
         h = h + np.where(j < width, hashes[at + j] * _STEPS[j], np.uint64(0))

@@ -2,8 +2,8 @@
 
 The tokenizers of this kind drop white space and never let a token cross it, so the ids of a text
 are those of its white-space-separated pieces, one after the other. Ids of pieces seen before come
-from a table that lives as long as the Python worker, found by a 64-bit hash; new pieces
-go to the library, many in one call.
+from a table that lives as long as the Python worker, found by a hash of 128 bits: 64 find the place, and the
+other 64 must be equal, too, else the piece goes to the library by itself. New pieces go to it many in one call.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)  # hashes, ascending
+        self.known, self.sure = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)  # hashes, ascending, and their second halves
         self.at, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         self.pool, self.used = np.zeros(1 << 16, dtype="<u4"), 0
 
@@ -69,7 +69,7 @@ class WordEncoder:
                 k += 1
         return np.concatenate(out), np.array([len(x) for x in out])
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, sure: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.known) + len(hashes) > KNOWN_PIECES and len(self.known):
             self._forget()
         ids, sizes = self.ids_of(pieces)
@@ -79,20 +79,32 @@ class WordEncoder:
         at = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
         put = np.searchsorted(self.known, hashes)
-        self.known, self.at, self.size = np.insert(self.known, put, hashes), np.insert(self.at, put, at), np.insert(self.size, put, sizes)
+        self.known, self.sure = np.insert(self.known, put, hashes), np.insert(self.sure, put, sure)
+        self.at, self.size = np.insert(self.at, put, at), np.insert(self.size, put, sizes)
 
     def encode(self, column, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of an Arrow column, one after the other, each text with the end id, and where each begins (and the last ends)."""
         w = Words(column)
-        unique, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        hashes, second = w.hashes(2)
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        sure = second[first]
         place = self._find(unique)
         if (new := np.flatnonzero(place < 0)).size:
-            self._learn(unique[new], [w.word(i) for i in first[new]])
+            self._learn(unique[new], sure[new], [w.word(i) for i in first[new]])
             place = self._find(unique)
             if (lost := np.flatnonzero(place < 0)).size:  # the table began anew
-                self._learn(unique[lost], [w.word(i) for i in first[lost]])
+                self._learn(unique[lost], sure[lost], [w.word(i) for i in first[lost]])
                 place = self._find(unique)
+        odd = np.flatnonzero(second != self.sure[place][which])  # other words of the same first half
         at, size = self.at[place], self.size[place].astype(np.int64)
+        if odd.size:
+            ids, n = self.ids_of([w.word(i) for i in odd])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self.pool[self.used : self.used + len(ids)] = ids  # behind what is used, for this call
+            at, size = np.append(at, self.used + np.cumsum(n) - n), np.append(size, n)
+            which = which.copy()
+            which[odd] = len(unique) + np.arange(len(odd))
         sizes = size[which]
         end = 0 if end_id is None else 1
         ends = np.concatenate(([0], np.cumsum(sizes)))[w.first]  # in ids, without end ids

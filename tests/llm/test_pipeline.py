@@ -72,6 +72,14 @@ def test_results_handed_out_before_a_run_can_still_be_read(spark):
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
 
 
+def test_a_stage_leaves_the_results_of_other_calls_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = corpus_pipeline.quality_rules(spark, docs.limit(40), "same")
+    second = corpus_pipeline.quality_rules(spark, docs, "same")
+    lines = corpus_pipeline.line_dedup(spark, docs, "same")
+    assert first.count() <= 40 and second.count() > 0 and lines.count() == docs.count()
+
+
 def test_a_cluster_must_name_a_shared_folder():
     from types import SimpleNamespace
 
@@ -92,6 +100,6 @@ def test_run_over_a_whole_table(spark):
 
 def test_every_operator_is_registered():
     names = sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op"))
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert mixing.SEED == 42

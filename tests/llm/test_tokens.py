@@ -107,3 +107,67 @@ def test_conversations_are_packed_under_three_limits(spark):
     assert all(per[p.conv_id] == p.doc_tokens for p in rows)
     asked = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count()
     assert len(per) == asked
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_words_whose_sums_cancel_keep_their_own_ids():
+    """Thue and Morse's word and its complement collide in every polynomial of an odd base modulo 2**64."""
+    import pyarrow as pa
+
+    from capsift.llm import textbuf, tokens
+
+    for n in (1024, 2048, 4096):
+        words = ["".join("ab"[x] for x in thue_morse(n)), "".join("ba"[x] for x in thue_morse(n))]
+        eights = ["".join(["abcdefgh", "zyxwvuts"][x ^ k] for x in thue_morse(n)) for k in (0, 1)]
+        for pair in (words, eights):
+            own = textbuf.Words(pa.array([" ".join(pair)]))
+            assert all(h[0] != h[1] for h in own.hashes(2))
+            encoder = tokens.WordEncoder(tokens.default_tokenizer())
+            ids, bounds = encoder.encode(pa.array(pair))
+            for k, text in enumerate(pair):
+                assert ids[bounds[k] : bounds[k + 1]].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_pieces_with_equal_first_halves(monkeypatch):
+    """However bad the first half of the hash is, the ids are the library's."""
+    import numpy as np
+    import pyarrow as pa
+
+    from capsift.llm import textbuf, tokens
+
+    real = textbuf.Words.hashes
+    monkeypatch.setattr(textbuf.Words, "hashes", lambda self, lanes=1: [h % np.uint64(3) if i == 0 else h for i, h in enumerate(real(self, lanes))])
+    encoder = tokens.WordEncoder(tokens.default_tokenizer())
+    for text in ("one two three four one five", "six one two \u00e9t\u00e9 seven", "five"):
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_hashes_take_words_alone():
+    import pyarrow as pa
+
+    from capsift.llm import textbuf
+
+    texts = ["a bb ccc dddddddd eeeeeeeee " + "f" * 33, None, "", "x" * 3_000_000 + " a", " eeeeeeeee\tdddddddd"]
+    own = textbuf.Words(pa.array(texts))
+    h = own.hashes(2)
+    seen = {}
+    for i in range(len(own)):
+        seen.setdefault(own.word(i), set()).add((int(h[0][i]), int(h[1][i])))
+    assert all(len(x) == 1 for x in seen.values()) and len({x for v in seen.values() for x in v}) == len(seen)
+    assert [x.tolist() for x in textbuf.Words(pa.array(["zz " + texts[0]])).hashes(2)] == [[*y] for y in ([int(v) for v in [*textbuf.Words(pa.array(["zz"])).hashes(2)[k], *h[k][:6]]] for k in (0, 1))]
+
+
+def test_runs_of_words_whose_sums_cancel():
+    import numpy as np
+    import pyarrow as pa
+
+    from capsift.llm import passages
+
+    for n in (1024, 4096):
+        p = passages.Sums(pa.array([" ".join("ab"[x] for x in thue_morse(n)), " ".join("ba"[x] for x in thue_morse(n)), "q " + " ".join("ab"[x] for x in thue_morse(n))]))
+        h = p.range(np.array([0, n, 2 * n + 1]), n)
+        assert h[0] != h[1] and h[0] == h[2]
