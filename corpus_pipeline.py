@@ -1,9 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage works on what the one before has kept. The first four return the columns of documents; the last returns
-packed sequences, a row for each piece of a document. Each stage's docs are written before it runs, so a stage begins by deleting the tables
-that the stage before it in the same run (the same thread and folder of tables) has left; it never touches those of other results. SQL can't express the near-duplicate
-and packing stages, so there is no ORACLE_SQL; the tests hold the stages against plain versions.
+packed sequences, a row for each piece of a document. `run` owns the tables that its stages leave and deletes each stage's once the next has been written; a stage that is called alone leaves the few narrow ones that its
+result reads, since only the caller knows when it has been read. SQL can't express the near-duplicate and packing stages, so there is no ORACLE_SQL; the tests hold the stages against plain versions.
 
 Defined cases, for every stage: null ids, languages and sources are values like any other; null and empty texts, and texts without a word, fail the quality rules and so end there (a later
 stage that is called alone passes them on: without lines, near each other only, without tokens, the end id alone); very long texts are read whole, by
@@ -13,43 +12,12 @@ packing, which has columns of its own.
 
 from __future__ import annotations
 
-import threading
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsift.llm import common, lines, mixing, packing, quality, simhash
 
 ORACLE_SQL = None
-_left: dict[tuple, list[str]] = {}
-
-
-def _stage(f):
-    """The tables that f leaves behind its result belong to its run, and go when the run's next stage begins."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        paths = _left.setdefault((threading.get_ident(), sf_dir), [])
-        read = _roots(docs)
-        for path in [p for p in paths if p.split("/")[-1] not in read]:
-            paths.remove(path)
-            common.remove(spark, path)
-        with common.noted(paths):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
-
-
-def _roots(docs: DataFrame) -> set[str]:
-    """The names of the folders that docs reads."""
-    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
-    found = set()
-    for i in range(leaves.size()):
-        if leaves.apply(i).nodeName() == "LogicalRelation":
-            roots = leaves.apply(i).relation().location().rootPaths()
-            found |= {roots.apply(k).getName() for k in range(roots.size())}
-    return found
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,32 +27,27 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that weak supervision takes for good."""
     return quality.filter_quality(docs)
 
 
-@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that equal an earlier line or are one word's edit from one."""
     return _counted(lines.dedup_lines(docs).select(*docs.columns), docs.columns)
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: SimHash prunes, and of their five-word shingles 0.8 or more are common."""
     return simhash.drop_near_duplicates(docs)
 
 
-@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as come in, shared out among domains, languages and sources by weight; a document comes once for each epoch that takes it."""
     mixed = mixing.mix_default(docs)
     return _counted(mixed.withColumn("text", mixing.taken_text()), docs.columns)
 
 
-@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of at most 2048 tokens."""
     return packing.pack(docs)
