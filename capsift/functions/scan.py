@@ -95,9 +95,8 @@ class _Shell:
         head = c.words[0] if c.words else ""
         if f.cases and f.cases[-1] == "pattern":
             f.piped = []
-            if head == "esac":
-                f.cases.pop()
-            return
+            if head != "esac":
+                return
         f.live |= bool(c.words) or c.redirect is not None or c.end >= 0
         if head == "case" and "in" in c.words[2:]:
             f.cases.append("pattern")
@@ -182,6 +181,10 @@ class _Shell:
             if kind == "double" and f.closer == '"':
                 self.unquote()
                 continue
+            if kind == "tick" and f.closer not in _TEXT and text.startswith("``", at) and not text[max(0, start - 4) : start].rpartition("\n")[2].strip(" ") and (start < 4 or "\n" in text[start - 4 : start]):
+                end = text.find("\n", start, limit)  # the fence of a block is no substitution
+                at = limit if end < 0 else end
+                continue
             if kind == "tick" and len(stack) > base and "`" in (f.closer, f.closer == '"' and stack[-2].closer):
                 if f.closer == '"':  # left open within the back quotes
                     self.unquote()

@@ -154,7 +154,7 @@ def _values(item: Column, word: Column, shape: Column) -> Column:
 
 def _captured(items: Column, at: Column) -> Column:
     """key and value of each capture of items that stand at a place of the arguments."""
-    each = F.transform(items, lambda item, i: F.struct(item["names"].alias("names"), _values(item, F.get("args", at + i), F.get("shapes", at + i)).alias("values")))
+    each = F.transform(items, lambda item, i: F.struct(item["names"].alias("names"), _values(item, F.get("words", at + i + 1), F.get("shapes", at + i)).alias("values")))
     pairs = F.flatten(F.transform(each, lambda e: F.transform(e["names"], lambda n, k: F.struct(n.alias("key"), shell.strip_quotes(F.get(e["values"], k)).alias("value")))))
     return F.filter(pairs, lambda p: p["key"].isNotNull() & (p["value"] != ""))
 
@@ -162,9 +162,10 @@ def _captured(items: Column, at: Column) -> Column:
 def match(found: DataFrame, keys: list[str], grammar: str) -> DataFrame:
     """found: the output of commands() or calls(). Returns keys, line, line_end, rule_seq, rule_id, pattern_seq, cmd_seq, extracted."""
     rules = F.broadcast(pattern_table(found.sparkSession).where(F.col("grammar") == grammar).drop("grammar"))
-    each = found.withColumn("head", F.get("words", 0)).join(rules, "head").withColumn("args", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))))
-    n, first, more = F.size("args"), F.size("before"), F.size("middle")
-    all_fit = lambda items, at: F.forall(F.transform(items, lambda item, i: _fits(item, F.get("args", at + i), F.get("shapes", at + i))), lambda ok: ok)
+    each = found.withColumn("head", F.get("words", 0)).join(rules, "head")
+    # arguments are read where they stand: a column of them alone would be built anew within each lambda
+    n, first, more = F.size("words") - 1, F.size("before"), F.size("middle")
+    all_fit = lambda items, at: F.forall(F.transform(items, lambda item, i: _fits(item, F.get("words", at + i + 1), F.get("shapes", at + i))), lambda ok: ok)
     each = each.where(F.when(F.col("run"), n >= first + more).otherwise(n == first)).where(all_fit(F.col("before"), F.lit(0)))
     each = each.where(F.col("pipe").isNull() | (F.col("pipe_to") == F.col("pipe"))).where(F.col("redirect").isNull() | F.col("redirect_to").isNotNull())
     # the first place where what stands behind the run fits
