@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsift.functions import paths
 from capsift.operators import commands, markdown
-from capsift.plans.tables import materialize
+from capsift.plans.tables import fan_out, large_groups, materialize
 
 _CHAIN = "array<struct<file:string,line:int,line_end:int,type:string>>"
 FOUND = ["skill_key", "path", "source_type", "file_type", "role", "depth", "via", "ref_file", "ref_line", "ref_line_end", "ref_type", "ref_chain"]
@@ -61,6 +61,45 @@ def classify(refs: DataFrame) -> DataFrame:
     return refs.withColumns({"source_type": F.lit("external"), "file_type": kind, "role": role})
 
 
+#: Packages whose references and files make more pairs than this are resolved by grams.
+PAIRS = 1_000_000
+#: The length of a gram. A reference that is shorter is one gram of its own length.
+GRAM = 4
+
+
+def _grams(text: str, size: Column) -> Column:
+    """The distinct substrings of a length."""
+    at = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def contained_by_grams(refs: DataFrame, listed: DataFrame) -> DataFrame:
+    """refs: skill_key, ref_path, each once; listed: skill_key, file, list_seq. The pairs of which the file contains the reference, by an inverted index.
+
+    Each path is listed under its grams. A path that contains a reference has all its grams, so a reference is looked up under the one that the fewest of the package's paths have, and each path there is compared
+    with it. A gram of many paths is dealt over several tasks."""
+    length = F.least(F.length("ref_path"), F.lit(GRAM))
+    asked = refs.where(F.length("ref_path") > 0).withColumn("size", length)
+    sizes = asked.groupBy("skill_key").agg(F.collect_set("size").alias("sizes"))  # four at most
+    index = listed.join(sizes, "skill_key").withColumn("size", F.explode("sizes")).select("skill_key", "file", "list_seq", F.explode(_grams("file", F.col("size"))).alias("gram"))
+    index = materialize(index, "grams")
+    counts = materialize(index.groupBy("skill_key", "gram").agg(F.count("*").alias("n")), "gram_counts")
+    own = asked.select("skill_key", "ref_path", F.explode(_grams("ref_path", F.col("size"))).alias("gram"))
+    # a gram that no path has: no path contains the reference
+    rated = own.join(counts, ["skill_key", "gram"], "left").groupBy("skill_key", "ref_path").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min(F.col("n").isNotNull()).alias("known"))
+    lookups = materialize(rated.where("known").drop("known"), "lookups")
+    found = fan_out(index, lookups, counts.join(lookups.select("skill_key", "gram").distinct(), ["skill_key", "gram"]), ["skill_key", "gram"], ["file"])
+    return found.where(F.contains("file", "ref_path")).select("skill_key", "ref_path", "file", "list_seq")
+
+
+def contained(refs: DataFrame, listed: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """As contained_by_grams(). Small packages, whose references meet all their files in one task, are joined by containment alone."""
+    large = large_groups(refs, listed, ["skill_key"], pairs)
+    few, many = (refs, None) if large is None else (refs.join(large, "skill_key", "left_anti"), refs.join(large, "skill_key"))
+    met = few.join(listed, "skill_key").where(F.contains("file", "ref_path")).select("skill_key", "ref_path", "file", "list_seq")
+    return met if many is None else met.unionByName(contained_by_grams(many, listed))
+
+
 def edges(files: DataFrame, every: DataFrame) -> DataFrame:
     """What each file leads to, resolved once for all rounds: skill_key, path (the file), ref_path (null for a block of its own), new, source_type, file_type, role, via, at, ord2 (its place in the file)."""
     refs = materialize(references(every), "refs")
@@ -68,8 +107,8 @@ def edges(files: DataFrame, every: DataFrame) -> DataFrame:
     at = F.struct(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("line_end"), F.col("type").alias("type"))
     place = lambda kind, ref, file: F.array(*(F.lit(x).cast("long") if isinstance(x, int) else F.col(x).cast("long") for x in ("block_seq", kind, ref, file)))
     asked = refs.withColumn("at", at).join(entry_files(files).select("skill_key", F.col("path").alias("ref_path")), ["skill_key", "ref_path"], "left_anti")
-    # each reference meets a package's files once, however often it is made
-    answers = materialize(asked.select("skill_key", "ref_path").distinct().join(listed, "skill_key").where(F.contains("file", "ref_path")), "answers")
+    # each reference is looked up once, however often it is made
+    answers = materialize(contained(materialize(asked.select("skill_key", "ref_path").distinct(), "asked"), listed), "answers")
     columns = ["skill_key", "path", "ref_path", "new", "source_type", "file_type", "role", "via", "at", "ord2"]
     file = F.col("file")
     local = asked.join(answers, ["skill_key", "ref_path"]).withColumns({"new": file, "source_type": F.lit("local"), "file_type": paths.file_type(file), "role": paths.file_role(file), "ord2": place(0, "ref_seq", "list_seq")})

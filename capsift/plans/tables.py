@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _open: ContextVar[list[str] | None] = ContextVar("capsift_tables", default=None)
 
@@ -49,3 +50,30 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fan_out(rows: DataFrame, table: DataFrame, counts: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """rows joined with table by `keys`, each of which may stand in both any number of times; counts: the keys with `n`, how many rows each has.
+
+    A key with more than a quarter of a task's share of all rows is dealt over several tasks by a salt from the columns `by`, and its rows of the table go to each of them. Fewer than four keys a partition can be so
+    frequent, whatever the data, so their list is small enough to broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    bound = max(1000, total // (4 * partitions(rows.sparkSession)))
+    parts, salt = "__capsift_parts", "__capsift_salt"
+    hot = F.broadcast(counts.where(F.col("n") > bound).select(*keys, F.ceil(F.col("n") / bound).cast("int").alias(parts)))
+    dealt = rows.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    copied = table.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return dealt.join(copied.hint("merge"), [*keys, salt]).drop(salt)
+
+
+def large_groups(a: DataFrame, b: DataFrame, keys: list[str], pairs: int) -> DataFrame | None:
+    """The keys whose rows of a and b make more than `pairs` pairs; None if there are none."""
+    of = lambda df, x, y: df.select(*keys, F.lit(x).cast("long").alias("n_a"), F.lit(y).cast("long").alias("n_b"))
+    n = of(a, 1, 0).unionByName(of(b, 0, 1)).groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b")).withColumn("pairs", F.col("n_a").cast("double") * F.col("n_b"))
+    if (n.agg(F.max("pairs")).first()[0] or 0) <= pairs:
+        return None
+    return materialize(n.where(F.col("pairs") > pairs).select(*keys), "large")
