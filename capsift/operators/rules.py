@@ -100,7 +100,7 @@ def _item(word: str, names: dict) -> tuple:
     return "split", re.fullmatch(r"\$[A-Z]+(.+?)\$[A-Z]+", word)[1], captures, None
 
 
-def compile_pattern(pattern: str, grammar: str, names: dict) -> dict:
+def compile_pattern(pattern: str, grammar: str, names: dict | None = None) -> dict:
     """head; before: items of the first words; middle: items behind a run of any words; run: whether there is one; open: whether any words may follow; pipe (words); redirect (metadata)."""
     if grammar == "bash":
         body, _, pipe = pattern.partition(" | ")
@@ -112,6 +112,7 @@ def compile_pattern(pattern: str, grammar: str, names: dict) -> dict:
     runs = [i for i, w in enumerate(rest) if w.startswith("$$$")]
     first = runs[0] if runs else len(rest)
     middle = [w for w in rest[first:] if not w.startswith("$$$")]
+    names = names or {}
     items = lambda words: [_item(w, names) for w in words]
     return {"head": head, "before": items(rest[:first]), "middle": items(middle), "run": bool(runs), "open": bool(runs) and rest[-1].startswith("$$$"), "pipe": pipe.split(" ") if pipe else None, "redirect": names.get(redirect[1:])}
 

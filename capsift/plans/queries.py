@@ -121,6 +121,36 @@ def url_host_destination(spark, d):
 _POLICY = {"allowlist": {"network": {"domains": ["Localhost ", "host3.org", "host9.org"]}}, "denylist": {"network": {"domains": ["host9.org", "10.0.0.7"]}}}
 
 
+#: Forms of a host for each remainder of a page's id; a, b, c, d are the bytes of a number made of the id. Beside them what a parser makes of them, as SQL; null: no host.
+_FORMS = [
+    ("http://{n}/x", "dotted"), ("http://0x{h}", "dotted"), ("http://{a}.{b}.{c}.{d}:80", "dotted"), ("http://{a}.{r}", "dotted"), ("http://{a}.{b}.{q}./p", "dotted"), ("http://0{oa}.0x{xb}.{c}.{d}", "dotted"), ("http://u:p@w@h{a}.ORG?x@y", "'h' || a || '.org'"),
+    ("http://%68%6Fst{a}.%4frg/", "'host' || a || '.org'"), ("http:/\\h{a}.net\\p", "'http'"), ("http://\\h{a}.net\\p", "'h' || a || '.net'"), ("https:////h{a}.net", "'h' || a || '.net'"), ("h{a}.com:443/x", "'h' || a || '.com'"), ("'h{a}.com:65536'", "NULL"), ("http://h{a}.com:8x", "NULL"), ("http://h {a}.com/", "NULL"),
+    ("http://h{a}%zz.com/", "NULL"), ("http://h^{a}.com/", "NULL"), ("http://{a}.{b}.{c}.256", "NULL"), ("http://1.{a}.2.3.4", "NULL"), ("http://h.{a}x.09", "NULL"), ("http://4294967296", "NULL"), ("https://", "NULL"), ("http://[0:0:0:{xa}:0:0:0:1]:8/", "'[::' || xa || ':0:0:0:1]'"), ("http://[::ffff:{a}.{b}.{c}.{d}]", "'[::ffff:' || lower(printf('%x', a * 256 + b)) || ':' || lower(printf('%x', c * 256 + d)) || ']'"),
+    ("http://[1:2:3]", "NULL"), ("http://[::1]x", "NULL"), ("http://H\t{a}\n.com", "'h' || a || '.com'"), ("http://0x7f.1", "'127.0.0.1'"), ("http://h{a}.com\\@evil.org", "'h' || a || '.com'"),
+]
+
+
+def _forms_sql() -> str:
+    made = lambda t: "".join(f" || {x}" if i % 2 else " || " + "|| chr(9) ||".join("|| chr(10) ||".join("'" + z.replace("'", "''") + "'" for z in y.split("\n")) for y in x.split("\t")) for i, x in enumerate(re.split(r"\{(\w+)\}", t)))[4:]
+    return "CASE page_id % " + str(len(_FORMS)) + " " + " ".join(f"WHEN {i} THEN {made(t)}" for i, (t, _) in enumerate(_FORMS)) + " END AS url, CASE page_id % " + str(len(_FORMS)) + " " + " ".join(f"WHEN {i} THEN {want}" for i, (_, want) in enumerate(_FORMS)) + " END AS host"
+
+
+@query(
+    f"""WITH n AS (SELECT page_id, 16777216 + page_id * 7919 AS n FROM pages), b AS (SELECT page_id, n, n // 16777216 AS a, n // 65536 % 256 AS b, n // 256 % 256 AS c, n % 256 AS d FROM n),
+w AS (SELECT *, n % 16777216 AS r, n % 65536 AS q, lower(printf('%x', n)) AS h, printf('%o', a) AS oa, lower(printf('%x', a)) AS xa, lower(printf('%x', b)) AS xb, a || '.' || b || '.' || c || '.' || d AS dotted FROM b),
+f AS (SELECT page_id, {_forms_sql()} FROM w) SELECT page_id, url, host FROM f"""
+)
+def canonical_hosts(spark, d):
+    """Hosts as a parser of URLs gives them, in many spellings."""
+    n = (F.lit(16777216) + F.col("page_id") * 7919).cast("long")
+    byte = lambda k: F.shiftright(n, k).bitwiseAND(255)
+    hexed = lambda c: F.lower(F.hex(c))
+    values = {"n": n, "h": hexed(n), "a": byte(24), "b": byte(16), "c": byte(8), "d": byte(0), "r": n.bitwiseAND(16777215), "q": n.bitwiseAND(65535), "oa": F.conv(byte(24), 10, 8), "xa": hexed(byte(24)), "xb": hexed(byte(16))}
+    made = [F.concat(*(values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(\w+)\}", t)))) for t, _ in _FORMS]
+    url = F.element_at(F.array(*made), (F.col("page_id") % len(_FORMS) + 1).cast("int"))
+    return _table(spark, d, "pages").select("page_id", url.alias("url")).withColumn("host", urls.host(F.col("url")))
+
+
 @query(
     f"SELECT page_id, host, CASE WHEN host IN ('host9.org', '10.0.0.7') THEN 'denied' WHEN host IN ('localhost', 'host3.org') THEN 'allowed' ELSE 'default' END AS verdict FROM (SELECT page_id, {_HOST_SQL} AS host FROM (SELECT page_id, {_cases_sql('page_id % 30', _HOSTS)} AS url FROM pages))"
 )

@@ -120,3 +120,13 @@ def test_config():
     for bad in ([], {"scan": {"x": 1}}, {"scan": {"maxFileCount": True}}, {"denylist": {"network": {"domains": "a"}}}):
         with pytest.raises(ValueError):
             cfg.validate(bad)
+
+
+def test_hosts_as_a_parser_gives_them(spark):
+    # Spellings and their hosts.
+    cases = {
+        "http://2130706433/": "127.0.0.1", "http://0x7f.1/": "127.0.0.1", "http://017700000001": "127.0.0.1", "http://0177.0.0.01": "127.0.0.1", "https://<file>": None, "http://0x/": "0.0.0.0", "http://1.2.3.4.": "1.2.3.4", "http://1..2": None, "http://256.1.1.1": None, "http://1.2.3.08": None, "http://a.0x": None,
+        "http://[::1]": "[::1]", "http://[0:0:0:0:0:0:0:1]": "[::1]", "http://[1:0:0:2:0:0:0:3]": "[1:0:0:2::3]", "http://[1::2::3]": None, "http://[::127.0.0.1]/": "[::7f00:1]", "http://[12345::]": None, "http://[::]": "[::]", "http://[1:2:3:4:5:6:7:8]:90": "[1:2:3:4:5:6:7:8]", "http://[1:2:3:4:5:6:7::]": "[1:2:3:4:5:6:7:0]",
+        "localhost:3000/a@b": "localhost", "user@h.org": "h.org", "http://h.org:": "h.org", "http://h.org:00080": "h.org", "http://h.org:99999": None, "a b": None, "": None, "x_y.org": "x_y.org", "HTTP://%4C%6fcalhost": "localhost", "http://a%00b": None, "http://a%2Fb": None, "http://h+x.org": "h+x.org", "http://...": "...", "http://.": ".", "http://1e3": "1e3",
+    }
+    assert dict(zip(cases, one(spark, list(cases), urls.host))) == cases
