@@ -35,6 +35,8 @@ BLOCK = 2048
 QUERIES = 512
 #: Blocks that give a query block its first scores, and summaries that travel together.
 FIRST, SUMMARIES = 2, 1024
+#: Queries of a block that stand for it where its first blocks are chosen.
+PROBES = 8
 _NAMES = ["block", "n", "dim", "ids", "v", "d", "lo", "hi", "top"]
 _BLOCKS = "block long, n long, dim long, ids binary, v binary, d binary, lo array<double>, hi array<double>, top double"
 
@@ -119,21 +121,64 @@ def block_bounds(square: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarr
     return (total - low**2) / 2 + 1e-6 * total + 1e-3
 
 
-def _ruled(batches, first: bool):
-    """Rows: a query block with (but for the first time) the scores to beat, and a list of summaries. The pairs of blocks q, c that stay, with what the block promises."""
+def _narrow(batches):
+    """Of query blocks what rules out lists of summaries: their ranges, the least score that one of their queries must beat, and the squared lengths and distances of PROBES of their queries."""
     for b in batches:
-        for row in b.to_pylist():
-            n, dim = row["n"], row["dim"]
-            v, d = np.frombuffer(row["v"], "<f8").reshape(n, dim), np.frombuffer(row["d"], "<f8").reshape(n, -1)
-            s = row["summaries"]
-            upper = block_bounds((v**2).sum(axis=1), d, np.array([x["lo"] for x in s]), np.array([x["hi"] for x in s]), np.array([x["top"] for x in s]))
-            if first:
-                promise = upper.mean(axis=0)
-                stay = np.argsort(-promise, kind="stable")[:FIRST]
-            else:
-                promise = upper.max(axis=0)
-                stay = np.flatnonzero((upper >= np.frombuffer(row["floor"], "<i8").astype(np.float64)[:, None]).any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(stay), row["block"])), pa.array([s[i]["block"] for i in stay], pa.int64()), pa.array(promise[stay])], names=["q", "c", "promise"])
+        least = [float(np.frombuffer(x.as_buffer(), "<i8").min()) if x.is_valid else float("-inf") for x in b.column("floor")]
+        square, d = [], []
+        for n, v, own in zip(b.column("n").to_pylist(), b.column("v"), b.column("d")):
+            some = np.unique(np.linspace(0, n - 1, min(n, PROBES)).astype(np.int64))
+            square.append((np.frombuffer(v.as_buffer(), "<f8").reshape(n, -1)[some] ** 2).sum(axis=1).tolist())
+            d.append(np.frombuffer(own.as_buffer(), "<f8").reshape(n, -1)[some].ravel().tolist())
+        doubles = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("block", "lo", "hi", "top")), pa.array(least), pa.array(square, doubles), pa.array(d, doubles)], names=["block", "lo", "hi", "top", "least", "square", "d"])
+
+
+def _lengths(batches):
+    """Of query blocks what rules out single blocks: squared lengths, distances and scores to beat of their queries, without the vectors."""
+    for b in batches:
+        square = [(np.frombuffer(v.as_buffer(), "<f8").reshape(n.as_py(), -1) ** 2).sum(axis=1).astype("<f8").tobytes() for v, n in zip(b.column("v"), b.column("n"))]
+        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("n"), pa.array(square, pa.binary()), b.column("d"), b.column("floor")], names=["block", "n", "square", "d", "floor"])
+
+
+def _rows(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _rough(first: bool, batches):
+    """Rows: a query block's ranges and a list of summaries. First: the blocks that promise most to the probes; else the summaries that the ranges leave."""
+    for row in _rows(batches):
+        s = row["summaries"]
+        lo, hi, top = np.array([x["lo"] for x in s]), np.array([x["hi"] for x in s]), np.array([x["top"] for x in s])
+        own_lo, own_hi = np.array(row["lo"]), np.array(row["hi"])
+        if first:
+            square = np.array(row["square"])
+            promise = block_bounds(square, np.array(row["d"]).reshape(len(square), -1), lo, hi, top).mean(axis=0)
+            stay = np.argsort(-promise, kind="stable")[:FIRST]
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(stay)), pa.array([s[i]["block"] for i in stay], pa.int64()), pa.array(promise[stay])], names=["q", "c", "promise"])
+            continue
+        low = np.maximum(np.maximum(lo - own_hi, own_lo - hi), 0).max(axis=1)
+        total = row["top"] + top
+        stay = np.flatnonzero((total - low**2) / 2 + 1e-6 * total + 1e-3 >= row["least"])
+        if len(stay):
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([[s[i] for i in stay]], _SUMMARIES)], names=["block", "summaries"])
+
+
+_SUMMARY = "array<struct<block: bigint, lo: array<double>, hi: array<double>, top: double>>"
+_SUMMARIES = pa.list_(pa.struct([("block", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("top", pa.float64())]))
+
+
+def _ruled(batches):
+    """Rows: of a query block the lengths, distances and scores to beat of its queries, and summaries. The pairs of blocks q, c that stay, with what the block promises."""
+    for row in _rows(batches):
+        n, s = row["n"], row["summaries"]
+        square, d = np.frombuffer(row["square"], "<f8"), np.frombuffer(row["d"], "<f8").reshape(n, -1)
+        upper = block_bounds(square, d, np.array([x["lo"] for x in s]), np.array([x["hi"] for x in s]), np.array([x["top"] for x in s]))
+        promise = upper.max(axis=0)
+        stay = np.flatnonzero((upper >= np.frombuffer(row["floor"], "<i8").astype(np.float64)[:, None]).any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(stay), row["block"])), pa.array([s[i]["block"] for i in stay], pa.int64()), pa.array(promise[stay])], names=["q", "c", "promise"])
 
 
 _NONE = -(2**63) + 1
@@ -221,12 +266,20 @@ def _met(pairs: DataFrame, asked: DataFrame, blocks: DataFrame, k: int, exact: b
 
 
 def block_pairs(asked: DataFrame, blocks: DataFrame, first: bool) -> DataFrame:
-    """q, c, promise: which candidate blocks a query block must meet (asked with floor), or should meet first. Summaries travel in lists of about SUMMARIES, so no task holds all."""
+    """q, c, promise: which candidate blocks a query block must meet (asked with floor), or should meet first.
+
+    Summaries travel in lists of about SUMMARIES, so no task holds all. A query block meets a list with its ranges alone and a few probes (some kB); its queries' lengths and distances go only to the summaries that these
+    leave, and no vector goes anywhere before a pair of blocks stays."""
     lists = max(1, -(-blocks.count() // SUMMARIES))
     grouped = blocks.select(F.pmod(F.xxhash64("block"), F.lit(lists)).alias("list"), F.struct("block", "lo", "hi", "top").alias("s")).groupBy("list").agg(F.collect_list("s").alias("summaries"))
-    each = asked.select("block", "n", "dim", "v", "d", "floor", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))).alias("list"))
-    columns = ["block", "n", "dim", "v", "d", "floor", "summaries"]
-    return each.join(grouped, "list").select(*columns).mapInArrow(partial(_ruled, first=first), "q long, c long, promise double")
+    ranges = asked.select("block", "n", "v", "d", "lo", "hi", "top", "floor").mapInArrow(_narrow, "block long, lo array<double>, hi array<double>, top double, least double, square array<double>, d array<double>")
+    each = ranges.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))))
+    met = each.join(grouped, "list").select("block", "lo", "hi", "top", "least", "square", "d", "summaries")
+    if first:
+        return met.mapInArrow(partial(_rough, True), "q long, c long, promise double")
+    left = met.mapInArrow(partial(_rough, False), f"block long, summaries {_SUMMARY}")
+    lengths = asked.select("block", "n", "v", "d", "floor").mapInArrow(_lengths, "block long, n long, square binary, d binary, floor binary")
+    return left.join(lengths, "block").select("block", "n", "square", "d", "floor", "summaries").mapInArrow(_ruled, "q long, c long, promise double")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, scale: int = SCALE) -> DataFrame:
