@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsift import config as cfg
 from capsift.operators import closure, permissions, risks, score, sinks
 from capsift.plans import tables
 from capsift.plans.tables import materialize
+from capsift.sources import files
 from capsift.sources.frontmatter import frontmatter
 
 
@@ -51,21 +52,21 @@ class Analysis:
         return sinks.sarif_reports(self.reports, self.permissions, self.risks, self.warnings, scanned)
 
 
-def analyze(files: DataFrame, config: dict | None = None) -> Analysis:
-    """files: skill_key, path, size, content_type, content, list_seq. Packages without an entry file have no report but a row in `frontmatter`'s complement."""
+def analyze(rows: DataFrame, config: dict | None = None) -> Analysis:
+    """rows: skill_key, path, size, content_type, content, list_seq. Packages without an entry file have no report but a row in `frontmatter`'s complement."""
     config = cfg.resolve(config)
     scan = config["scan"]
     kept, passing = [], []
     with tables.noted(kept):
-        head = materialize(frontmatter(files), "frontmatter")
+        head = materialize(frontmatter(rows), "frontmatter")
     with tables.noted(passing):
-        found = materialize(closure.closure(files, int(scan["maxScanDepth"])), "discovered")
-        queued, left = closure.scan_queue(found, files, scan["maxFileSize"], int(scan["maxFileCount"]))
+        found = materialize(closure.closure(rows, int(scan["maxScanDepth"])), "discovered")
+        queued, left = closure.scan_queue(found, rows, scan["maxFileSize"], int(scan["maxFileCount"]))
     with tables.noted(kept):
         queue = materialize(queued, "queue")
         skipped = materialize(left.select("skill_key", "path", "reason", "queue_seq").unionByName(permissions.skipped(queue)), "skipped")
     with tables.noted(passing):
-        targets = materialize(permissions.scan_targets(queue, files), "targets")
+        targets = materialize(permissions.scan_targets(queue, rows), "targets")
     with tables.noted(kept):
         findings = materialize(permissions.findings(targets), "findings")
     with tables.noted(passing):
@@ -76,10 +77,16 @@ def analyze(files: DataFrame, config: dict | None = None) -> Analysis:
         merged = merged.join(risks.back_links(numbered), ["skill_key", "perm_seq"], "left").withColumn("risks", F.coalesce("risks", F.array().cast("array<string>")))
         merged = materialize(merged, "merged")
         best = materialize(risks.dedupe(numbered), "kept")
-    tables.remove(files.sparkSession, passing)
+    tables.remove(rows.sparkSession, passing)
     unknown = permissions.unknown_fields(head).select("skill_key", F.concat(F.lit("Unknown frontmatter field '"), "field", F.lit("' - analysis not supported yet")).alias("message"))
     warnings = unknown.unionByName(permissions.unsupported(queue).select("skill_key", "message")).unionByName(risks.remote_warnings(numbered))
     scored = score.score(head, best, config["riskReport"])
     reports = head.select("skill_key", F.coalesce("name", "skill_key").alias("skill_id"), "version").join(scored, "skill_key")
     used = findings.groupBy("skill_key", "rule_id").agg(F.min("finding_seq").alias("first_seq"))
     return Analysis(head, queue, skipped, findings, merged, best, warnings, used, reports, kept)
+
+
+def analyze_source(spark: SparkSession, source: str, config: dict | None = None, ref: str | None = None, sub: str = "", many: bool = False) -> Analysis:
+    """The analysis of a folder, or of a folder at a git reference. Of files that are larger than the scan's limit the sizes alone are read."""
+    limit = cfg.resolve(config)["scan"]["maxFileSize"]
+    return analyze(files.load(spark, source, ref, sub, many, max_size=int(limit)), config)

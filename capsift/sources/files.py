@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capsift.functions import urls
+from capsift.functions import paths, urls
 
 COLUMNS = ["skill_key", "path", "size", "content_type", "content", "list_seq"]
 SAMPLE = 2048
@@ -33,24 +33,29 @@ def is_text(content: Column) -> Column:
 
 
 def _files(rows: DataFrame) -> DataFrame:
-    """rows: skill_key, path, bytes."""
+    """rows: skill_key, path, bytes, and size where bytes may be null: of a file that was not read, whose kind then follows its name."""
     seq = F.row_number().over(Window.partitionBy("skill_key").orderBy("path")) - 1
-    text = is_text(F.col("bytes"))
+    size = F.coalesce("size", F.length("bytes").cast("long")) if "size" in rows.columns else F.length("bytes").cast("long")
+    text = F.coalesce(is_text(F.col("bytes")), paths.file_type(F.col("path")) != "binary")
     kind = F.when(text, "text").otherwise("binary")
-    return rows.select("skill_key", "path", F.length("bytes").cast("long").alias("size"), kind.alias("content_type"), F.when(text, F.decode("bytes", "UTF-8")).alias("content"), seq.alias("list_seq"))
+    return rows.select("skill_key", "path", size.alias("size"), kind.alias("content_type"), F.when(text, F.decode("bytes", "UTF-8")).alias("content"), seq.alias("list_seq"))
 
 
-def local(spark: SparkSession, folder: str, sub: str = "", many: bool = True) -> DataFrame:
-    """All files below a folder that Spark can read. many: each direct sub-folder is a package; else the folder is one."""
+def local(spark: SparkSession, folder: str, sub: str = "", many: bool = True, max_size: int | None = None) -> DataFrame:
+    """All files below a folder that Spark can read. many: each direct sub-folder is a package; else the folder is one. max_size: larger files are listed with their sizes and not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    # the source compares lengths before it opens a file, and opens none for its path and length alone
+    read = (found if max_size is None else found.where(F.col("length") <= max_size)).select("path", F.col("length").alias("size"), F.col("content").alias("bytes"))
+    if max_size is not None:
+        read = read.unionByName(found.where(F.col("length") > max_size).select("path", F.col("length").alias("size"), F.lit(None).cast("binary").alias("bytes")))
     root = re.sub(r"^[a-z0-9]+:/*", "/", folder).rstrip("/") + "/"
     name = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     rest = F.substring(name, F.instr(name, F.lit(root)) + len(root), F.length(name))
-    rows = found.select(rest.alias("rest"), F.col("content").alias("bytes"))
+    rows = read.select(rest.alias("rest"), "bytes", "size")
     if many:
-        rows = rows.where(F.contains("rest", F.lit("/"))).select(F.substring_index("rest", "/", 1).alias("skill_key"), F.regexp_replace("rest", "^[^/]*/", "").alias("path"), "bytes")
+        rows = rows.where(F.contains("rest", F.lit("/"))).select(F.substring_index("rest", "/", 1).alias("skill_key"), F.regexp_replace("rest", "^[^/]*/", "").alias("path"), "bytes", "size")
     else:
-        rows = rows.select(F.lit(folder).alias("skill_key"), F.col("rest").alias("path"), "bytes")
+        rows = rows.select(F.lit(folder).alias("skill_key"), F.col("rest").alias("path"), "bytes", "size")
     return _files(within(rows, sub))
 
 
@@ -99,9 +104,11 @@ def manifest_of(files: DataFrame, version: int = 1, compression: str | None = No
     return got.select("skill_key", F.to_json(F.struct(F.lit(version).alias("version"), F.col("skill_key").alias("name"), F.lit(compression).alias("compression"), "files")).alias("manifest"))
 
 
-def archives(spark: SparkSession, folder: str, corrupt: bool = False) -> DataFrame:
-    """The members of all zip archives below a folder; each archive is a package. A member is read when it is its turn, and leaves the task with a few others; what can't be read
+def archives(spark: SparkSession, folder: str, corrupt: bool = False, max_size: int = 1 << 26) -> DataFrame:
+    """The members of all zip archives below a folder; each archive is a package. A member is read when it is its turn, and leaves the task with a few others; one that is larger than max_size when unpacked is listed
+    with its size and not unpacked, however small its packed form. What can't be read
     (a corrupt archive or member, one with a password) is left out: with `corrupt`, the result is instead what was left out: skill_key, path (null: the archive), error."""
+    columns = ["skill_key", "path", "bytes", "size", "error"]
 
     def members(batches):
         for pdf in batches:
@@ -110,24 +117,27 @@ def archives(spark: SparkSession, folder: str, corrupt: bool = False) -> DataFra
                 try:
                     listed = zipfile.ZipFile(io.BytesIO(data))
                 except (zipfile.BadZipFile, NotImplementedError, ValueError, OSError) as e:
-                    rows.append((key, None, None, f"{type(e).__name__}: {e}"))
+                    rows.append((key, None, None, None, f"{type(e).__name__}: {e}"))
                 else:
                     for m in listed.infolist():
                         if m.is_dir():
                             continue
+                        if m.file_size > max_size:
+                            rows.append((key, m.filename, None, m.file_size, None))
+                            continue
                         try:
-                            rows.append((key, m.filename, listed.read(m), None))
+                            rows.append((key, m.filename, listed.read(m), m.file_size, None))
                         except (zipfile.BadZipFile, NotImplementedError, RuntimeError, ValueError, EOFError, OSError, zlib.error) as e:
-                            rows.append((key, m.filename, None, f"{type(e).__name__}: {e}"))
+                            rows.append((key, m.filename, None, None, f"{type(e).__name__}: {e}"))
                         held += m.file_size
                         if held >= _HELD:
-                            yield pd.DataFrame(rows, columns=["skill_key", "path", "bytes", "error"])
+                            yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
                             rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=["skill_key", "path", "bytes", "error"])
+                    yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
-    every = found.mapInPandas(members, "skill_key string, path string, bytes binary, error string")
+    every = found.mapInPandas(members, "skill_key string, path string, bytes binary, size long, error string")
     if corrupt:
         return every.where("error is not null").select("skill_key", "path", "error")
     return _files(every.where("error is null").drop("error"))
@@ -151,9 +161,9 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     return loose.select(*columns).unionByName(packed.select(*columns))
 
 
-def load(spark: SparkSession, source: str, ref: str | None = None, sub: str = "", many: bool = False) -> DataFrame:
-    """By what the source is: a folder, or a folder at a git reference. Addresses need a network and are refused with their parts."""
+def load(spark: SparkSession, source: str, ref: str | None = None, sub: str = "", many: bool = False, max_size: int | None = None) -> DataFrame:
+    """By what the source is: a folder, or a folder at a git reference. Addresses need a network and are refused with their parts. max_size: as of local()."""
     if re.match(r"^https?://", source):
         parts = spark.range(1).select(urls.repository(F.lit(source)).alias("r")).first()["r"]
         raise ValueError(f"not a repository's address: {source}" if parts is None else f"no network: list {parts['owner']}/{parts['name']} elsewhere and pass its blobs to tree()")
-    return git(spark, source, ref, sub) if ref else local(spark, source, sub, many)
+    return git(spark, source, ref, sub) if ref else local(spark, source, sub, many, max_size)

@@ -84,3 +84,40 @@ def test_fan_out_deals_a_frequent_key_over_tasks(spark):
     counts = rows.groupBy("k").agg(F.count("*").alias("n"))
     got = tables.fan_out(rows, table, counts, ["k"], ["id"])
     assert sorted(map(tuple, got.groupBy("v").count().collect())) == [(1, 10_000), (2, 10_000), (3, 400)]
+
+
+def test_large_files_are_listed_and_not_read(spark, tmp_path):
+    import os
+
+    from capsift.plans.analyze import analyze_source
+    from capsift.sources import files
+
+    one = tmp_path / "p" / "one"
+    one.mkdir(parents=True)
+    (one / "SKILL.md").write_text("---\nname: one\ndescription: d\n---\n[a](big.md) [b](small.sh) [c](big.zip)\n")
+    (one / "small.sh").write_text("rm -rf /x\n")
+    for name in ("big.md", "big.zip"):
+        (one / name).write_bytes(b"x" * 2_000_000)
+    root = str(tmp_path / "p")
+    got = {r.path: (r.size, r.content_type, r.content is None) for r in files.local(spark, root, max_size=1000).collect()}
+    assert got == {"SKILL.md": (os.path.getsize(one / "SKILL.md"), "text", False), "small.sh": (10, "text", False), "big.md": (2_000_000, "text", True), "big.zip": (2_000_000, "binary", True)}
+    plan = files.local(spark, root, max_size=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,1000)" in plan and "GreaterThan(length,1000)" in plan
+    # a file that can't be opened is listed all the same
+    os.chmod(one / "big.md", 0)
+    with analyze_source(spark, root, {"scan": {"maxFileSize": 1000}}, many=True) as found:
+        assert {(r.path, r.reason) for r in found.skipped.collect()} >= {("big.md", "too_large"), ("big.zip", "binary")}
+        assert "fs-rm-rf" in {r.rule_id for r in found.findings.collect()}
+
+
+def test_members_are_not_unpacked_beyond_the_bound(spark, tmp_path):
+    import zipfile
+
+    from capsift.sources import files
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("SKILL.md", "short")
+        z.writestr("bomb.txt", b"0" * 5_000_000)
+    got = {r.path: (r.size, r.content) for r in files.archives(spark, str(tmp_path), max_size=1_000_000).collect()}
+    assert got == {"SKILL.md": (5, "short"), "bomb.txt": (5_000_000, None)}
+    assert files.archives(spark, str(tmp_path), corrupt=True).count() == 0
