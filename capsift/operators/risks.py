@@ -128,7 +128,8 @@ def rule_risks(found: DataFrame, permissions: DataFrame, config: dict) -> DataFr
     table = F.broadcast(rules.rule_table(spark).where("risk <> ''").select("rule_id", "grammar", "risk", "severity", "message"))
     each = found.join(table, "rule_id").join(owners(met), ["skill_key", "finding_seq"], "left")
     static = F.array(F.struct(F.col("risk").alias("code"), "severity", "message", F.col("extracted").alias("metadata"))).cast(_MAPPED)
-    each = with_network_risks(each, F.coalesce("owner.metadata", F.from_json(F.lit("{}"), _META)), F.col("owner.args"), "dynamic")
+    # written: a filter that the explode below implies would else repeat the host's expression for each of its uses
+    each = materialize(with_network_risks(each, F.coalesce("owner.metadata", F.from_json(F.lit("{}"), _META)), F.col("owner.args"), "dynamic"), "requests")
     each = each.withColumn("mapped", F.when(F.col("risk") != "dynamic", static).otherwise(F.when(F.col("owner").isNotNull(), F.col("dynamic"))))
     each = each.drop("severity", "message", "metadata", "dynamic").select("*", F.posexplode("mapped").alias("k", "m")).select("*", "m.*").drop("mapped", "m")
     imports, domains = policy(spark, config)
