@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsift.functions import paths
 from capsift.operators import commands, markdown
-from capsift.plans.tables import fan_out, large_groups, materialize
+from capsift.plans.tables import fan_out, large_groups, materialize, numbered
 
 _CHAIN = "array<struct<file:string,line:int,line_end:int,type:string>>"
 FOUND = ["skill_key", "path", "source_type", "file_type", "role", "depth", "via", "ref_file", "ref_line", "ref_line_end", "ref_type", "ref_chain"]
@@ -123,27 +123,27 @@ def closure(files: DataFrame, max_depth: int = 5) -> DataFrame:
     """files: skill_key, path, content, list_seq. Returns FOUND and discovery_seq: local files, external references and code blocks, each path once in a package, by the order of discovery."""
     spark = files.sparkSession
     links = materialize(edges(files, materialize(blocks(files), "blocks")), "edges")
-    frontier = entry_files(files).select("skill_key", "path", F.lit(0).alias("ord"), F.array().cast(_CHAIN).alias("chain"))
+    frontier = entry_files(files).select("skill_key", "path", F.array().cast("array<bigint>").alias("order"), F.array().cast(_CHAIN).alias("chain"))
     found = spark.createDataFrame([], "skill_key string, path string")
     rounds = []
     for depth in range(max_depth + 1):
         known = lambda name: found.select("skill_key", F.col("path").alias(name))  # noqa: B023, E731
         new = frontier.join(links, ["skill_key", "path"]).join(known("ref_path"), ["skill_key", "ref_path"], "left_anti").join(known("new"), ["skill_key", "new"], "left_anti")
-        new = new.withColumn("order", F.concat(F.array(F.col("ord").cast("long")), "ord2"))
+        # the places on the way from the entry file, as many in each row of a round: in this order files are discovered
+        new = new.withColumn("order", F.concat("order", "ord2"))
         first = new.groupBy("skill_key", "new").agg(F.min("order").alias("order"), F.min_by(F.struct("source_type", "file_type", "role", "via", "at", "chain"), "order").alias("s"))
-        ordered = first.select("skill_key", "new", "s.*", F.row_number().over(Window.partitionBy("skill_key").orderBy("order")).alias("ord"))
-        step = ordered.select(
+        step = first.select("skill_key", "new", "order", "s.*").select(
             "skill_key", F.col("new").alias("path"), "source_type", "file_type", "role", F.lit(depth + 1).alias("depth"), "via",
-            F.col("at.file").alias("ref_file"), F.col("at.line").alias("ref_line"), F.col("at.line_end").alias("ref_line_end"), F.col("at.type").alias("ref_type"), F.concat(F.array("at"), "chain").cast(_CHAIN).alias("ref_chain"), "ord",
+            F.col("at.file").alias("ref_file"), F.col("at.line").alias("ref_line"), F.col("at.line_end").alias("ref_line_end"), F.col("at.type").alias("ref_type"), F.concat(F.array("at"), "chain").cast(_CHAIN).alias("ref_chain"), "order",
         )
         step = materialize(step, f"round{depth}")
         rounds.append(step)
         found = reduce(DataFrame.unionByName, rounds).select("skill_key", "path")
-        frontier = step.where("source_type = 'local' and via <> 'code-block'").select("skill_key", "path", "ord", F.col("ref_chain").alias("chain"))
+        frontier = step.where("source_type = 'local' and via <> 'code-block'").select("skill_key", "path", "order", F.col("ref_chain").alias("chain"))
         if depth < max_depth and frontier.isEmpty():
             break
-    seq = F.row_number().over(Window.partitionBy("skill_key").orderBy("depth", "ord")).cast("int")
-    return reduce(DataFrame.unionByName, rounds).withColumn("discovery_seq", seq).select(*FOUND, "discovery_seq")
+    every = reduce(DataFrame.unionByName, rounds)
+    return numbered(every, [F.col("depth"), F.col("order")], "discovery_seq").select(*FOUND, "discovery_seq")
 
 
 def scan_queue(found: DataFrame, files: DataFrame, max_size: float, max_count: int) -> tuple[DataFrame, DataFrame]:
@@ -155,8 +155,7 @@ def scan_queue(found: DataFrame, files: DataFrame, max_size: float, max_count: i
     about = files.select("skill_key", "path", "size", "content_type")
     every = found.select(*FOUND, "discovery_seq").unionByName(entry).join(about, ["skill_key", "path"], "left")
     reason = F.when(F.col("content_type") == "binary", "binary").when(F.coalesce("size", F.lit(0)) > max_size, "too_large")
-    order = Window.partitionBy("skill_key").orderBy(paths.role_rank(F.col("role")), paths.type_rank(F.col("file_type")), "discovery_seq")
-    ranked = every.withColumn("reason", reason).withColumn("place", F.row_number().over(order))
-    accepted = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(order)
-    ranked = ranked.withColumn("reason", F.coalesce("reason", F.when(accepted > max_count, "too_many")))
+    order = [paths.role_rank(F.col("role")), paths.type_rank(F.col("file_type")), F.col("discovery_seq")]
+    ranked = numbered(every.withColumn("reason", reason), order, "place", {"accepted": F.when(F.col("reason").isNull(), 1).otherwise(0)}, of=found)
+    ranked = ranked.withColumn("reason", F.coalesce("reason", F.when(F.col("accepted") > max_count, "too_many")))
     return ranked.where("reason is null").select(*FOUND, F.col("place").alias("queue_seq")), ranked.where("reason is not null").select("skill_key", "path", "reason", F.col("place").alias("queue_seq"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsift import config as cfg
 from capsift.functions import ids, paths, shell
 from capsift.operators import rules
-from capsift.plans.tables import fan_out, materialize
+from capsift.plans.tables import fan_out, materialize, numbered
 
 _REF = "struct<file:string,line:int,line_end:int,type:string>"
 _META = "map<string,string>"
@@ -29,6 +29,10 @@ def scan_targets(queue: DataFrame, files: DataFrame) -> DataFrame:
     coded = local.where("via = 'code-block'").withColumn("at", paths.decode_block_path(F.col("path"))).where("at is not null").withColumn("file", F.col("at.parent")).join(text, ["skill_key", "file"])
     lines = F.split("whole", "\n")
     cut = F.array_join(F.slice(lines, F.col("at.start_line"), F.col("at.end_line") - F.col("at.start_line") + 1), "\n")
+    # a fence in quotes is read without their marks: as many on each line as stand before the fence
+    before = F.regexp_extract(cut, r"\A(?:[ \t]*(?:>|[-+*](?=[ \t])|[0-9]{1,9}[.)](?=[ \t])))+", 0)
+    marks = F.length(before) - F.length(F.replace(before, F.lit(">"), F.lit("")))
+    cut = F.when(marks == 0, F.substring(cut, F.length(before) + 1, F.length(cut))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(marks, F.lit(1))), F.substring(cut, F.length(before) + 1, F.length(cut)), lambda s, _: F.regexp_replace(s, r"(?<=\n)[ \t]*>[ ]?", "")))
     fenced = coded.where("ref_type <> 'inline'").withColumn("content", cut).where(paths.trim(F.col("content")) != "")
     fenced = fenced.select(*base, F.lit(0).alias("target_seq"), "file", "content", (F.col("at.start_line") - 1).alias("line_offset"), F.lit("script").alias("type"))
     line = F.coalesce(F.get(lines, F.col("at.start_line") - 1), F.lit(""))
@@ -55,10 +59,10 @@ def findings(targets: DataFrame) -> DataFrame:
     matches = materialize(reduce(DataFrame.unionByName, found), "matches")
     counts = holders.groupBy("text_key", "scan").agg(F.count("*").alias("n"))
     every = fan_out(holders, matches, counts, ["text_key", "scan"], TARGET)
-    order = Window.partitionBy("skill_key").orderBy("queue_seq", "target_seq", "phase", "rule_seq", "pattern_seq", "line", "cmd_seq")
+    order = [F.col(c) for c in ("queue_seq", "target_seq", "phase", "rule_seq", "pattern_seq", "line", "cmd_seq")]
     end = F.when(F.col("phase") == 0, F.coalesce("line_end", "line") + F.col("line_offset")).cast("int")
-    return every.select(
-        "skill_key", F.row_number().over(order).alias("finding_seq"), "queue_seq", "rule_id", "file", (F.col("line") + F.col("line_offset")).cast("int").alias("line"), end.alias("line_end"), "type", "role", "extracted"
+    return numbered(every, order, "finding_seq").select(
+        "skill_key", "finding_seq", "queue_seq", "rule_id", "file", (F.col("line") + F.col("line_offset")).cast("int").alias("line"), end.alias("line_end"), "type", "role", "extracted"
     )
 
 
@@ -116,7 +120,9 @@ def from_externals(queue: DataFrame) -> DataFrame:
     imports = dep(outside.where("role <> 'host-fs' and via = 'import'"), "dep-import", "import")
     others = dep(outside.where("role <> 'host-fs' and via <> 'import'"), "dep-externalreference", "externalreference")
     every = host.unionByName(imports).unionByName(others)
-    return every.withColumn("n", F.row_number().over(Window.partitionBy("skill_key", "id").orderBy("ord"))).where("n = 1").drop("n")
+    rest = [c for c in every.columns if c not in ("skill_key", "id")]
+    first = every.groupBy("skill_key", "id").agg(F.min_by(F.struct(*rest), "ord").alias("first"))
+    return first.select("skill_key", "id", "first.*").select(*every.columns)
 
 
 def merge(rows: DataFrame) -> DataFrame:
@@ -124,8 +130,7 @@ def merge(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("ref_key", F.concat_ws(":", "ref.file", F.col("ref.line").cast("string"), F.coalesce("ref.line_end", "ref.line").cast("string"), "ref.type"))
     refs = keyed.groupBy("skill_key", "id", "ref_key").agg(F.min_by("ref", "ord").alias("ref"), F.min("ord").alias("ord"), F.min_by(F.struct(*SCALARS), "ord").alias("s"))
     got = refs.groupBy("skill_key", "id").agg(F.min_by("s", "ord").alias("s"), F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", "ref_key", "ref"))).alias("all"))
-    seq = F.row_number().over(Window.partitionBy("skill_key").orderBy("ord", "id"))
-    return got.select("skill_key", seq.alias("perm_seq"), "id", "s.*", F.transform("all", lambda x: x["ref"]).alias("refs"))
+    return numbered(got, [F.col("ord"), F.col("id")], "perm_seq", of=rows).select("skill_key", "perm_seq", "id", "s.*", F.transform("all", lambda x: x["ref"]).alias("refs"))
 
 
 def unsupported(queue: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsift import config as cfg
 from capsift.functions import ids, risk, urls
 from capsift.operators import rules
-from capsift.plans.tables import large_groups, materialize
+from capsift.plans.tables import large_groups, materialize, numbered
 
 RCE = "NETWORK:remote_code_execution"
 REMOTE_WARNING = "Remote script content analysis is NOT_IMPLEMENTED"
@@ -173,11 +173,10 @@ def dependency_risks(permissions: DataFrame, config: dict) -> DataFrame:
     return imported.unionByName(outside)
 
 
-def number(dependency: DataFrame, ruled: DataFrame) -> DataFrame:
-    """All risks with risk_seq and id: those of dependencies first."""
+def number(dependency: DataFrame, ruled: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """All risks with risk_seq and id: those of dependencies first. of: as that of numbered()."""
     every = dependency.withColumn("phase", F.lit(0)).unionByName(ruled.withColumn("phase", F.lit(1)))
-    seq = F.row_number().over(Window.partitionBy("skill_key").orderBy("phase", "ord"))
-    every = every.withColumn("risk_seq", seq).drop("phase", "ord")
+    every = numbered(every, [F.col("phase"), F.col("ord")], "risk_seq", of=of).drop("phase", "ord")
     return every.withColumn("id", ids.risk_id(F.col("type"), F.col("risk_seq")))
 
 

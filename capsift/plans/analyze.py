@@ -73,7 +73,8 @@ def analyze(rows: DataFrame, config: dict | None = None) -> Analysis:
         rows = permissions.from_allowed_tools(head).unionByName(permissions.from_findings(findings)).unionByName(permissions.from_externals(queue))
         merged = materialize(permissions.merge(rows), "permissions")
     with tables.noted(kept):
-        numbered = materialize(risks.number(risks.dependency_risks(merged, config), risks.rule_risks(findings, merged, config)), "risks")
+        sized = findings.select("skill_key").unionByName(merged.select("skill_key"))
+        numbered = materialize(risks.number(risks.dependency_risks(merged, config), risks.rule_risks(findings, merged, config), sized), "risks")
         merged = merged.join(risks.back_links(numbered), ["skill_key", "perm_seq"], "left").withColumn("risks", F.coalesce("risks", F.array().cast("array<string>")))
         merged = materialize(merged, "merged")
         best = materialize(risks.dedupe(numbered), "kept")

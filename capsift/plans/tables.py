@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of one key from which on numbered() deals them out by range.
+ROWS = 1_000_000
 _open: ContextVar[list[str] | None] = ContextVar("capsift_tables", default=None)
 
 
@@ -77,3 +79,29 @@ def large_groups(a: DataFrame, b: DataFrame, keys: list[str], pairs: int) -> Dat
     if (n.agg(F.max("pairs")).first()[0] or 0) <= pairs:
         return None
     return materialize(n.where(F.col("pairs") > pairs).select(*keys), "large")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, sums: dict[str, Column] | None = None, key: str = "skill_key", of: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """df with `name`, the place (from 1) of each row among those of its key by `order`, and for each of `sums` the running sum up to and with the row. Rows that are equal in key and order get their places in any order;
+    null keys are one key. of: a table, cheap to read, that has about as many rows of each key as df.
+
+    If no key has more than `rows` rows, a window by key does it. Else all rows are dealt out by ranges of (key, order), numbered within their range, and moved on by what the earlier ranges hold of their key: only a
+    range's first key can go on from an earlier range, so there is one offset a range at most, and no task holds a key."""
+    sums = sums or {}
+    most = (df if of is None else of).groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= (ROWS if rows is None else rows):
+        of_key = Window.partitionBy(key).orderBy(*order)
+        upto = of_key.rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.row_number().over(of_key)} | {n: F.sum(c).over(upto) for n, c in sums.items()})
+    part, first, places = "__capsift_part", "__capsift_key", [f"__capsift_order{i}" for i in range(len(order))]
+    terms, totals = {name: F.lit(1)} | sums, {n: f"__capsift_sum{i}" for i, n in enumerate([name, *sums])}
+    placed = df.withColumns(dict(zip(places, order)) | {totals[n]: c.cast("long") for n, c in terms.items()})
+    placed = materialize(placed.repartitionByRange(partitions(df.sparkSession), key, *places).withColumn(part, F.spark_partition_id()), "placed")
+    runs = placed.groupBy(part, key).agg(*(F.sum(t).alias(t) for t in totals.values()))
+    earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(F.col(part), F.col(key).alias(first), *(F.sum(t).over(earlier).alias(f"{t}_before") for t in totals.values())).where(F.col(f"{totals[name]}_before").isNotNull())
+    own = Window.partitionBy(part, key).orderBy(*places).rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.withColumns({n: F.sum(t).over(own) for n, t in totals.items()}).join(F.broadcast(offsets), part, "left")
+    moved = {n: F.col(n) + F.when(F.col(key).eqNullSafe(F.col(first)), F.coalesce(f"{t}_before", F.lit(0))).otherwise(0) for n, t in totals.items()}
+    kinds = {name: "int"} | dict.fromkeys(sums, "long")
+    return counted.withColumns(moved).select(*df.columns, *(F.col(n).cast(k).alias(n) for n, k in kinds.items()))

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from capsift.operators import closure, permissions, risks, rules
@@ -121,3 +122,42 @@ def test_members_are_not_unpacked_beyond_the_bound(spark, tmp_path):
     got = {r.path: (r.size, r.content) for r in files.archives(spark, str(tmp_path), max_size=1_000_000).collect()}
     assert got == {"SKILL.md": (5, "short"), "bomb.txt": (5_000_000, None)}
     assert files.archives(spark, str(tmp_path), corrupt=True).count() == 0
+
+
+def _places(rows):
+    """Plain numbering: rows of (key, order, flag, id) to {id: (place, running sum)}."""
+    out = {}
+    for key in {r[0] for r in rows}:
+        total = 0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1]), 1):
+            total += r[2]
+            out[r[3]] = (n, total)
+    return out
+
+
+def test_numbering_by_ranges_equals_plain_numbering(spark):
+    rng = random.Random(8)
+    keys = [None, "", "a", "b", *["hot"] * 9]
+    rows = [(rng.choice(keys), [rng.randint(0, 30), i], rng.randint(0, 1), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "skill_key string, ord array<bigint>, flag int, i int").repartition(7)
+    by_range = tables.numbered(df, [F.col("ord")], "seq", {"kept": F.col("flag")}, rows=100)
+    assert {r.i: (r.seq, r.kept) for r in by_range.collect()} == _places(rows)
+    plain = tables.numbered(df, [F.col("ord")], "seq", {"kept": F.col("flag")})
+    assert by_range.dtypes == plain.dtypes
+    assert by_range.exceptAll(plain).isEmpty() and plain.exceptAll(by_range).isEmpty()
+    assert tables.numbered(df.limit(0), [F.col("ord")], "seq", rows=0).count() == 0
+
+
+def test_a_package_of_many_rows_is_numbered_in_parts(spark):
+    """Half of all rows are one package's: every range holds its share of them, none the package."""
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id") % 997)).alias("skill_key"), F.xxhash64("id").alias("o"), "id")
+    written = []
+    with tables.noted(written):
+        got = tables.materialize(tables.numbered(df, [F.col("o")], "seq", rows=1000), "numbered")
+    placed = spark.read.parquet(next(p for p in written if "/placed-" in p)).groupBy("__capsift_part", "skill_key").count()
+    assert placed.agg(F.max("count")).first()[0] < 2 * n / tables.partitions(spark)
+    hot = got.where("skill_key = 'hot'").orderBy("seq")
+    row = hot.agg(F.min("seq"), F.max("seq"), F.countDistinct("seq")).first()
+    assert tuple(row) == (1, n // 2, n // 2)
+    assert hot.select((F.lead("o").over(Window.orderBy("seq")) < F.col("o")).alias("down")).where("down").isEmpty()
