@@ -268,6 +268,27 @@ def inline_code_blocks(spark, d):
     return markdown.inline_blocks(_packages(spark, d))
 
 
+_HELD = ["- step\n\n  ~~~sh\n  {c}\n  ~~~\n- run `ls\n  -l`", "> step\n> ```bash\n> {c}\n> ```\n> run\n`ls\n> -l`", "3. > step\n\n   10) ````js\n\n       {c}\n       ````\n\n   run `ls\n-l`"]
+_HELD_LANGUAGES, _HELD_LINES = ["bash", "bash", "javascript"], [(3, 5, 6), (2, 4, 5), (3, 6, 8)]
+
+
+def _held_sql(values: list) -> str:
+    return "CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN {v!r}" for i, v in enumerate(values)) + " END"
+
+
+@query(
+    f"WITH {_SEEDED} SELECT skill_key, doc_id, {_held_sql(_HELD_LANGUAGES)} AS language, CASE WHEN doc_id % 3 = 2 THEN chr(10) ELSE '' END || content AS content, {_held_sql([a for a, _, _ in _HELD_LINES])} AS start_line, {_held_sql([b for _, b, _ in _HELD_LINES])} AS end_line, 'script' AS type FROM seeded"
+    f" UNION ALL SELECT skill_key, doc_id, 'bash', 'ls' || chr(10) || '-l', {_held_sql([c for _, _, c in _HELD_LINES])}, {_held_sql([c for _, _, c in _HELD_LINES])}, 'inline' FROM seeded"
+)
+def container_blocks(spark, d):
+    """Fences in list items, in quotes and in items of items, and code spans over two lines of a paragraph."""
+    each = _seeded(spark, d)
+    text = F.element_at(F.array(*(F.replace(F.lit(t), F.lit("{c}"), F.col("content")) for t in _HELD)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    held = each.select("skill_key", F.col("doc_id").alias("path"), text.alias("content"))
+    found = markdown.fenced_blocks(held).unionByName(markdown.inline_blocks(held))
+    return found.select("skill_key", F.col("path").alias("doc_id"), "language", "content", "start_line", "end_line", "type")
+
+
 _PROSE = "See [the guide](refs/g{d}.md) or `run scripts/s{d}.sh` and data/t{d}.csv, not [web](https://e.org/{d}) or [here](#top)."
 
 
@@ -916,6 +937,15 @@ def scan_targets(spark, d):
     return found.select(F.regexp_extract("file", r"\d+", 0).cast("long").alias("doc_id"), "content", "line_offset", "type")
 
 
+@query(
+    f"SELECT l_linestatus, l_orderkey, l_linenumber, (row_number() OVER w)::INTEGER AS seq, (sum(l_linenumber) OVER w)::BIGINT AS total FROM lineitem WINDOW w AS (PARTITION BY l_linestatus ORDER BY {_LINE_ORDER} ROWS UNBOUNDED PRECEDING)"
+)
+def places_by_range(spark, d):
+    """Two keys hold all rows: numbered by ranges, as the rows of a large package are."""
+    order = [F.col(c.strip()) for c in _LINE_ORDER.split(",")]
+    return tables.numbered(_table(spark, d, "lineitem"), order, "seq", {"total": F.col("l_linenumber")}, key="l_linestatus", rows=1000).select("l_linestatus", "l_orderkey", "l_linenumber", "seq", "total")
+
+
 # --- whole analyses over packages made from documents
 
 
