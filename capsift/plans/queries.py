@@ -946,6 +946,12 @@ def places_by_range(spark, d):
     return tables.numbered(_table(spark, d, "lineitem"), order, "seq", {"total": F.col("l_linenumber")}, key="l_linestatus", rows=1000).select("l_linestatus", "l_orderkey", "l_linenumber", "seq", "total")
 
 
+@query("SELECT doc_id, source, (row_number() OVER w)::INTEGER AS seq, (sum(n_chars) OVER w)::BIGINT AS total FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
+def document_places(spark, d):
+    """The place of each document in its source and the characters up to it, by ranges, however much of all one source holds."""
+    return tables.numbered(_table(spark, d, "documents").select("doc_id", "source", "n_chars"), [F.col("doc_id")], "seq", {"total": F.col("n_chars")}, key="source", rows=1000).select("doc_id", "source", "seq", "total")
+
+
 # --- whole analyses over packages made from documents
 
 
