@@ -103,26 +103,63 @@ def with_network_risks(df: DataFrame, metadata: Column, args: Column, name: str)
     return each.withColumn(name, found).drop(*own.values())
 
 
+#: Sets of a package's permissions that a whole category of risks is linked with, and the scopes of each (None: any).
+SETS = {"PROMPT": ("all", None), "INJECTION": ("active", ("sys", "net"))}
+
+
+def _in_sets(scope: Column) -> Column:
+    """The names of the sets that a permission of this scope is in."""
+    named = [F.lit(name) if scopes is None else F.when(scope.isin(*scopes), name) for name, scopes in SETS.values()]
+    return F.array_compact(F.array(*named))
+
+
+def permission_sets(permissions: DataFrame) -> DataFrame:
+    """skill_key, link_set, links (perm_seq and id, in order): each set of a package once."""
+    each = permissions.select("skill_key", F.explode(_in_sets(F.col("scope"))).alias("link_set"), F.struct("perm_seq", "id").alias("p"))
+    return each.groupBy("skill_key", "link_set").agg(F.array_sort(F.collect_list("p")).alias("links"))
+
+
+def expand_links(risks: DataFrame, sets: DataFrame) -> DataFrame:
+    """risks with the members of their set in `linked`; sets: the output of permission_sets()."""
+    return risks.join(sets, ["skill_key", "link_set"], "left").withColumn("linked", F.coalesce("links", "linked")).select(*risks.columns)
+
+
+def with_permissions(deduped: DataFrame, sets: DataFrame) -> DataFrame:
+    """The output of dedupe() with the ids of a set's members in `permissions`."""
+    names = F.array_distinct(F.transform("links", lambda x: x["id"]))
+    each = deduped.join(sets, ["skill_key", "link_set"], "left").withColumn("permissions", F.coalesce(names, "permissions"))
+    return each.select(*(c for c in deduped.columns if c != "link_set"))
+
+
+def link_counts(risks: DataFrame, permissions: DataFrame) -> DataFrame:
+    """skill_key, n_risks, n_links: how many risks a package has and how many links to permissions, those of sets counted, not made."""
+    members = permissions.select("skill_key", F.explode(_in_sets(F.col("scope"))).alias("link_set")).groupBy("skill_key", "link_set").agg(F.count("*").alias("members"))
+    each = risks.groupBy("skill_key", "link_set").agg(F.count("*").alias("n"), F.sum(F.size("linked").cast("long")).alias("own")).join(members, ["skill_key", "link_set"], "left")
+    return each.groupBy("skill_key").agg(F.sum("n").alias("n_risks"), F.sum(F.col("own") + F.col("n") * F.coalesce("members", F.lit(0).cast("long"))).alias("n_links"))
+
+
 def _linked(mapped: DataFrame, met: DataFrame, permissions: DataFrame) -> DataFrame:
-    """mapped with permission ids by the risk's category; rows without any are left out."""
+    """mapped with permissions by the risk's category: the ids of single ones in `linked`, or the name of a set of the package in `link_set`. Rows without any permission are left out."""
     category = F.substring_index("code", ":", 1)
-    rows = mapped.withColumn("category", category)
+    rows = mapped.withColumn("category", category).withColumn("link_set", F.lit(None).cast("string"))
     key = ["skill_key", "finding_seq", "k"]
     ids_of = lambda df: df.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("perm_seq", "id"))).alias("linked"))
-    # a prompt is linked with all permissions of its package, an injection with those of sys and net: gathered once for each package
-    by_skill = permissions.groupBy("skill_key").agg(F.array_sort(F.collect_list(F.struct("perm_seq", "id"))).alias("all"), F.array_sort(F.collect_list(F.when(F.col("scope").isin("sys", "net"), F.struct("perm_seq", "id")))).alias("active"))
-    wide = rows.where("category in ('PROMPT', 'INJECTION')").join(by_skill, "skill_key").withColumn("linked", F.when(F.col("category") == "PROMPT", F.col("all")).otherwise(F.col("active"))).drop("all", "active")
+    # a prompt is linked with all permissions of its package, an injection with those of sys and net: by name, so no row holds them
+    named = F.coalesce(*(F.when(F.col("category") == c, name) for c, (name, _) in SETS.items()))
+    present = permissions.select("skill_key", F.explode(_in_sets(F.col("scope"))).alias("link_set")).distinct()
+    none = F.array().cast("array<struct<perm_seq:int,id:string>>")
+    wide = rows.where(F.col("category").isin(*SETS)).withColumn("link_set", named).join(present, ["skill_key", "link_set"], "left_semi").withColumn("linked", none)
     owned = rows.where((F.col("category") == "NETWORK") & (F.col("code") != RCE) & F.col("owner").isNotNull()).withColumn("linked", F.array(F.struct(F.col("owner.perm_seq").alias("perm_seq"), F.col("owner.id").alias("id"))))
     rest = rows.where((F.col("code") == RCE) | F.col("category").isin("SECRETS", "DESTRUCTIVE", "PRIVILEGE", "PERSISTENCE"))
     scope = F.col("scope")
     fits = F.when(F.col("category") == "SECRETS", scope == "env").when(F.startswith("rule_id", F.lit("fs-")) & (F.col("code") != RCE), scope.isin("fs", "sys")).otherwise(scope == "sys")
     some = ids_of(rest.select(*key, "category", "code", "rule_id").join(met.select("skill_key", "finding_seq", "perm_seq", "id", "scope"), ["skill_key", "finding_seq"]).where(fits))
     near = rest.join(some, key)
-    return wide.unionByName(owned).unionByName(near).where(F.size("linked") > 0)
+    return wide.unionByName(owned).unionByName(near).where("link_set is not null or size(linked) > 0")
 
 
 def rule_risks(found: DataFrame, permissions: DataFrame, config: dict) -> DataFrame:
-    """Risks of findings: skill_key, ord, type, group_key, severity, message, file, line, line_end, ref_type, linked, metadata."""
+    """Risks of findings: skill_key, ord, type, group_key, severity, message, file, line, line_end, ref_type, linked, link_set, metadata."""
     spark = found.sparkSession
     met = materialize(overlapping(found, permissions), "overlaps")
     table = F.broadcast(rules.rule_table(spark).where("risk <> ''").select("rule_id", "grammar", "risk", "severity", "message"))
@@ -146,7 +183,7 @@ def rule_risks(found: DataFrame, permissions: DataFrame, config: dict) -> DataFr
     linked = _linked(each, met, permissions)
     group = F.concat_ws(":", "code", "owner.tool")
     return linked.select(
-        "skill_key", F.array(*(F.col(c).cast("long") for c in ("finding_seq", "k"))).alias("ord"), F.col("code").alias("type"), group.alias("group_key"), "severity", "message", "file", "line", "line_end", F.col("type").alias("ref_type"), "linked", "metadata"
+        "skill_key", F.array(*(F.col(c).cast("long") for c in ("finding_seq", "k"))).alias("ord"), F.col("code").alias("type"), group.alias("group_key"), "severity", "message", "file", "line", "line_end", F.col("type").alias("ref_type"), "linked", "link_set", "metadata"
     )
 
 
@@ -157,7 +194,7 @@ def dependency_risks(permissions: DataFrame, config: dict) -> DataFrame:
     dep = dep.join(F.broadcast(imports.withColumnRenamed("name", "low")), ["grammar", "low"], "left")
     first = F.get("refs", 0)
     where = [F.coalesce(first["file"], F.lit("SKILL.md")).alias("file"), F.coalesce(first["line"], F.lit(1)).alias("line"), first["line_end"].alias("line_end"), F.coalesce(first["type"], F.lit("content")).alias("ref_type")]
-    tail = [F.array(F.struct("perm_seq", "id")).alias("linked")]
+    tail = [F.array(F.struct("perm_seq", "id")).alias("linked"), F.lit(None).cast("string").alias("link_set")]
     head = ["skill_key", F.array(F.col("perm_seq").cast("long"), F.lit(0).cast("long")).alias("ord")]
     denied = F.col("p_import") == "denied"
     verdict = F.when(F.col("grammar").isNotNull(), F.create_map(F.lit("policy"), F.to_json(F.struct(F.struct("grammar", F.col("name").alias("importName"), F.when(denied, "denylist").otherwise("default").alias("source")).alias("language")))))
@@ -181,7 +218,7 @@ def number(dependency: DataFrame, ruled: DataFrame, of: DataFrame | None = None)
 
 
 def dedupe(risks: DataFrame) -> DataFrame:
-    """Of equal type, file and line the first row stays; its permissions are those of all, in order."""
+    """Of equal type, file and line the first row stays; its permissions are those of all, in order. Equal types have the same set, if any, so its name stays beside them."""
     key = ["skill_key", "type", "file", "line"]
     rest = [c for c in risks.columns if c not in (*key, "linked", "risk_seq")]
     got = risks.groupBy(*key).agg(F.min("risk_seq").alias("risk_seq"), F.min_by(F.struct(*rest), "risk_seq").alias("s"), F.array_sort(F.collect_list(F.struct("risk_seq", "linked"))).alias("all"))
@@ -190,10 +227,33 @@ def dedupe(risks: DataFrame) -> DataFrame:
 
 
 def back_links(risks: DataFrame) -> DataFrame:
-    """risks before dedupe. skill_key, perm_seq, risks: the ids of each permission's risks, in order."""
+    """risks before dedupe. skill_key, perm_seq, risks: the ids of each permission's risks, in order. Links by sets are not among them, see with_risks()."""
+    return _own_risks(risks).select("skill_key", "perm_seq", F.transform("own", lambda x: x["id"]).alias("risks"))
+
+
+def _own_risks(risks: DataFrame) -> DataFrame:
     each = risks.select("skill_key", "risk_seq", "id", F.explode("linked").alias("p"))
-    got = each.groupBy("skill_key", F.col("p.perm_seq").alias("perm_seq")).agg(F.array_sort(F.collect_set(F.struct("risk_seq", "id"))).alias("all"))
-    return got.select("skill_key", "perm_seq", F.transform("all", lambda x: x["id"]).alias("risks"))
+    return each.groupBy("skill_key", F.col("p.perm_seq").alias("perm_seq")).agg(F.array_sort(F.collect_set(F.struct("risk_seq", "id"))).alias("own"))
+
+
+def risk_sets(risks: DataFrame) -> DataFrame:
+    """risks before dedupe. skill_key and of each set its risks (risk_seq and id, in order): once a package."""
+    listed = lambda name: F.array_sort(F.collect_list(F.when(F.col("link_set") == name, F.struct("risk_seq", "id")))).alias(f"of_{name}")
+    return risks.where("link_set is not null").groupBy("skill_key").agg(*(listed(name) for name, _ in SETS.values()))
+
+
+def with_own_risks(permissions: DataFrame, risks: DataFrame) -> DataFrame:
+    """permissions with `own`: the risks that are linked with single permissions."""
+    return permissions.join(_own_risks(risks), ["skill_key", "perm_seq"], "left")
+
+
+def with_risks(permissions: DataFrame, sets: DataFrame) -> DataFrame:
+    """The output of with_own_risks() with the ids of all its risks, those of its sets too, in order. sets: the output of risk_sets()."""
+    none = F.array().cast("array<struct<risk_seq:int,id:string>>")
+    parts = [F.when(F.array_contains(_in_sets(F.col("scope")), name), F.col(f"of_{name}")) for name, _ in SETS.values()]
+    every = F.array_sort(F.array_distinct(F.concat(*(F.coalesce(p, none) for p in (F.col("own"), *parts)))))
+    each = permissions.join(sets, "skill_key", "left").withColumn("risks", F.transform(every, lambda x: x["id"]))
+    return each.select(*(c for c in permissions.columns if c != "own"), "risks")
 
 
 def remote_warnings(risks: DataFrame) -> DataFrame:

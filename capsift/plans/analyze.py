@@ -75,8 +75,9 @@ def analyze(rows: DataFrame, config: dict | None = None) -> Analysis:
     with tables.noted(kept):
         sized = findings.select("skill_key").unionByName(merged.select("skill_key"))
         numbered = materialize(risks.number(risks.dependency_risks(merged, config), risks.rule_risks(findings, merged, config), sized), "risks")
-        merged = merged.join(risks.back_links(numbered), ["skill_key", "perm_seq"], "left").withColumn("risks", F.coalesce("risks", F.array().cast("array<string>")))
-        merged = materialize(merged, "merged")
+        sets, back = materialize(risks.permission_sets(merged), "sets"), materialize(risks.risk_sets(numbered), "back")
+        # stored with single links; what a set holds is put in where these are read
+        own = materialize(risks.with_own_risks(merged, numbered), "merged")
         best = materialize(risks.dedupe(numbered), "kept")
     tables.remove(rows.sparkSession, passing)
     unknown = permissions.unknown_fields(head).select("skill_key", F.concat(F.lit("Unknown frontmatter field '"), "field", F.lit("' - analysis not supported yet")).alias("message"))
@@ -84,7 +85,7 @@ def analyze(rows: DataFrame, config: dict | None = None) -> Analysis:
     scored = score.score(head, best, config["riskReport"])
     reports = head.select("skill_key", F.coalesce("name", "skill_key").alias("skill_id"), "version").join(scored, "skill_key")
     used = findings.groupBy("skill_key", "rule_id").agg(F.min("finding_seq").alias("first_seq"))
-    return Analysis(head, queue, skipped, findings, merged, best, warnings, used, reports, kept)
+    return Analysis(head, queue, skipped, findings, risks.with_risks(own, back), risks.with_permissions(best, sets), warnings, used, reports, kept)
 
 
 def analyze_source(spark: SparkSession, source: str, config: dict | None = None, ref: str | None = None, sub: str = "", many: bool = False) -> Analysis:

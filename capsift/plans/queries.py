@@ -862,10 +862,27 @@ def category_links(spark, d):
     own = rows.select("skill_key", F.col("n").alias("perm_seq"), F.concat(F.lit("p"), F.col("n").cast("string")).alias("id"), F.lit("t").alias("tool"), scope.alias("scope"), F.array(F.lit("*")).alias("args"), none.alias("metadata"), ref.alias("refs"))
     rule = F.coalesce(*(F.when(F.col("o_orderkey") % 6 == k, v) for k, v in _RULE_OF.items()))
     found = rows.select("skill_key", F.col("n").alias("finding_seq"), rule.alias("rule_id"), F.lit("a").alias("file"), "line", F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type"), F.create_map(F.lit("x"), F.lit("y")).alias("extracted"))
-    got = risks.rule_risks(found, own, cfg.resolve())
+    got = risks.expand_links(risks.rule_risks(found, own, cfg.resolve()), risks.permission_sets(own))
     return got.select("skill_key", F.col("ord")[0].cast("int").alias("finding_seq"), "type", F.array_join(F.transform("linked", lambda x: x["id"]), "|").alias("linked"))
 
 
+@query(
+    """SELECT coalesce(source, '') AS skill_key, count(*)::BIGINT AS n_risks, (count(*) FILTER (doc_id % 2 = 0) * count(*) + count(*) FILTER (doc_id % 2 <> 0) * count(*) FILTER (doc_id % 3 <> 1))::BIGINT AS n_links
+FROM documents GROUP BY 1 HAVING count(*) FILTER (doc_id % 3 <> 1) > 0"""
+)
+def package_link_counts(spark, d):
+    """A source's documents as one package: each is a permission, and a prompt or an injection linked with all or most of them. The links are counted from sets, never made, however many documents one source holds."""
+    n = F.col("doc_id")
+    rows = _table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("skill_key"), "doc_id")
+    scope = F.when(n % 3 == 0, "sys").when(n % 3 == 1, "fs").otherwise("net")
+    file, none = F.concat(F.lit("f"), n.cast("string")), F.lit(None).cast("map<string,string>")
+    ref = F.array(F.struct(F.lit("elsewhere").alias("file"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type")))
+    own = rows.select("skill_key", n.cast("int").alias("perm_seq"), F.concat(F.lit("p"), n.cast("string")).alias("id"), F.lit("t").alias("tool"), scope.alias("scope"), F.array(F.lit("*")).alias("args"), none.alias("metadata"), ref.alias("refs"))
+    rule = F.when(n % 2 == 0, "prompt-ignore-previous").otherwise("inject-substitution")
+    found = rows.select("skill_key", n.alias("finding_seq"), rule.alias("rule_id"), file.alias("file"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type"), F.create_map(F.lit("x"), F.lit("y")).alias("extracted"))
+    return risks.link_counts(risks.rule_risks(found, own, cfg.resolve()), own)
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || ':' || p_size || '-' || (p_size + 1) || ' (content)' ELSE p_name || ':' || p_size || ' (content)' END AS ref FROM part")
 def reference_texts(spark, d):
     size = F.col("p_size")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from capsift import config as cfg
 from capsift.operators import closure, permissions, risks, rules
 from capsift.plans import tables
 
@@ -161,3 +162,25 @@ def test_a_package_of_many_rows_is_numbered_in_parts(spark):
     row = hot.agg(F.min("seq"), F.max("seq"), F.countDistinct("seq")).first()
     assert tuple(row) == (1, n // 2, n // 2)
     assert hot.select((F.lead("o").over(Window.orderBy("seq")) < F.col("o")).alias("down")).where("down").isEmpty()
+
+
+def test_links_by_sets_are_not_made(spark):
+    """Ten thousand prompts and as many permissions in one package: a hundred million links, none of them a row."""
+    n = 10_000
+    one = spark.range(n)
+    ref = F.array(F.struct(F.lit("x").alias("file"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type")))
+    none = F.lit(None).cast("map<string,string>")
+    own = one.select(F.lit("s").alias("skill_key"), (F.col("id") + 1).cast("int").alias("perm_seq"), F.format_string("p%d", F.col("id")).alias("id"), F.lit("t").alias("tool"), F.when(F.col("id") < 10, "net").otherwise("fs").alias("scope"), F.array(F.lit("*")).alias("args"), none.alias("metadata"), ref.alias("refs"))
+    rule = F.when(F.col("id") % 2 == 0, "prompt-ignore-previous").otherwise("inject-substitution")
+    found = one.select(F.lit("s").alias("skill_key"), F.col("id").cast("int").alias("finding_seq"), rule.alias("rule_id"), F.lit("a").alias("file"), F.col("id").cast("int").alias("line"), F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type"), F.create_map(F.lit("x"), F.lit("y")).alias("extracted"))
+    ruled = risks.rule_risks(found, own, cfg.resolve())
+    ruled = tables.materialize(risks.number(ruled.limit(0), ruled), "ruled")
+    assert tuple(ruled.agg(F.count("*"), F.max(F.size("linked"))).first()) == (n, 0)
+    assert [tuple(r) for r in risks.link_counts(ruled, own).collect()] == [("s", n, n // 2 * n + n // 2 * 10)]
+    few = ruled.where("risk_seq in (1, 2)")
+    assert sorted((r.link_set, len(r.linked)) for r in risks.expand_links(few, risks.permission_sets(own)).collect()) == [("active", 10), ("all", n)]
+    back = risks.with_risks(risks.with_own_risks(own.where("perm_seq in (1, 11)"), ruled), risks.risk_sets(ruled))
+    assert sorted((r.perm_seq, len(r.risks)) for r in back.collect()) == [(1, n), (11, n // 2)]
+    # a package without a permission of a set has no risk of it
+    bare = risks.rule_risks(found, own.where("scope = 'fs'"), cfg.resolve())
+    assert {r.link_set for r in bare.select("link_set").distinct().collect()} == {"all"}
