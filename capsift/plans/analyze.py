@@ -48,8 +48,18 @@ class Analysis:
         return sinks.text_reports(self.reports, self.risks, self.warnings)
 
     def sarif(self) -> DataFrame:
-        scanned = self.queue.where("source_type = 'local'").select("skill_key", "path")
-        return sinks.sarif_reports(self.reports, self.permissions, self.risks, self.warnings, scanned)
+        return sinks.sarif_reports(self.reports, self.permissions, self.risks, self.warnings, self._scanned())
+
+    def _scanned(self) -> DataFrame:
+        return self.queue.where("source_type = 'local'").select("skill_key", "path")
+
+    def json_lines(self) -> DataFrame:
+        """The JSON reports line by line, for sinks.write_lines()."""
+        return sinks.json_lines(self.reports, self.permissions, self.risks, self.warnings)
+
+    def sarif_lines(self) -> DataFrame:
+        """The SARIF reports line by line, for sinks.write_lines()."""
+        return sinks.sarif_lines(self.reports, self.permissions, self.risks, self.warnings, self._scanned())
 
 
 def analyze(rows: DataFrame, config: dict | None = None) -> Analysis:

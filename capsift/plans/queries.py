@@ -808,6 +808,41 @@ def back_links(spark, d):
     return risks.back_links(_events(spark, d)).select("skill_key", "perm_seq", F.array_join("risks", "|").alias("risks"))
 
 
+def _package_rows(spark, d):
+    """reports of the packages that are the events' users."""
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("skill_key"), F.concat(F.lit("pkg"), F.col("c_custkey").cast("string")).alias("skill_id"), F.lit("1").alias("version"), F.lit(1.5).alias("score"), F.lit("caution").alias("risk_level"), F.lit("s").alias("summary"))
+
+
+@query(
+    f"""WITH {_EVENTS}, c AS (SELECT c_custkey AS skill_key FROM customer), x AS (SELECT *, row_number() OVER (PARTITION BY skill_key ORDER BY event_id) AS n, {_SLUG_SQL.format("'risk-' || type || '-' || event_id")} AS id FROM e WHERE skill_key IN (FROM c)),
+w AS (SELECT skill_key, 'warned ' || skill_key AS m FROM c WHERE skill_key % 2 = 0)
+SELECT skill_key, 0 AS part, 0::BIGINT AS seq, '' AS name, '{{"skillId":"pkg' || skill_key || '","skillVersionId":"1","permissions":[' AS line FROM c
+UNION ALL SELECT skill_key, 2, 0, '', '],"risks":[' FROM c
+UNION ALL SELECT skill_key, 3, event_id, '', CASE WHEN n = 1 THEN '' ELSE ',' END || '{{"id":"' || id || '","type":"' || type || '","groupKey":"' || group_key || '","severity":"' || severity || '","message":"' || message || '","reference":{{"file":"e.md","line":' || line || ',"type":"content"}},"permissions":["' || p || '"]}}' FROM x
+UNION ALL SELECT skill_key, 4, 0, '', '],"score":1.5,"riskLevel":"caution","summary":"s","warnings":[' FROM c
+UNION ALL SELECT skill_key, 5, 0, m, '"' || m || '"' FROM w
+UNION ALL SELECT skill_key, 6, 0, '', ']}}' FROM c"""
+)
+def json_report_lines(spark, d):
+    risks_ = _events(spark, d).withColumn("permissions", F.transform("linked", lambda x: x["id"]))
+    none = F.lit(None).cast("map<string,string>")
+    reports = _package_rows(spark, d)
+    empty = reports.limit(0).select("skill_key", F.lit(1).alias("perm_seq"), *(F.lit("x").alias(c) for c in ("id", "tool", "scope", "permission", "file_role", "source", "comment")), F.array(F.lit("x")).alias("args"), none.alias("metadata"), F.array(F.lit("x")).alias("refs"), F.array(F.lit("x")).alias("risks"))
+    warned = reports.where("skill_key % 2 = 0").select("skill_key", F.concat(F.lit("warned "), F.col("skill_key").cast("string")).alias("message"))
+    return sinks.json_lines(reports, empty, risks_, warned)
+
+
+@query(
+    f"""WITH {_EVENTS}, c AS (SELECT c_custkey AS skill_key FROM customer), x AS (SELECT *, row_number() OVER (PARTITION BY skill_key ORDER BY event_id) AS n FROM e WHERE skill_key IN (FROM c))
+SELECT skill_key, event_id AS seq, CASE WHEN n = 1 THEN '' ELSE ',' END || '{{"ruleId":"' || type || '","level":"' || CASE severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"e.md","uriBaseId":"%SRCROOT%"}},"region":{{"startLine":' || line || '}}}}}}],"fingerprints":{{"capsift/v1":"' || sha256(type || ':e.md:' || line) || '"}}}}' AS line FROM x"""
+)
+def sarif_report_lines(spark, d):
+    """The results among the lines."""
+    reports = _package_rows(spark, d)
+    none = reports.limit(0).select("skill_key", F.lit(1).alias("perm_seq"), *(F.lit("x").alias(c) for c in ("id", "tool", "scope", "permission", "comment", "message", "path")))
+    return sinks.sarif_lines(reports, none, _events(spark, d), none, none).where("part = 3").select("skill_key", "seq", "line")
+
+
 _IMPORTS = ["os", "left-pad", "Json ", "bad{d}", "node:fs"]
 _DENY = {"denylist": {"languages": {"python": {"imports": ["bad3", "os"]}}}}
 

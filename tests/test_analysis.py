@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from capsift import __version__
-from capsift.operators import closure, markdown, rules
+from capsift.operators import closure, markdown, rules, sinks
 from capsift.plans import tables
 from capsift.plans.analyze import analyze
 from capsift.sources import files as sources
@@ -143,6 +143,28 @@ def test_whole_reports_equal_plain_ones(found):
     assert read(found.sarif(), "sarif", json.loads) == {k: v[2] for k, v in want.items()}
 
 
+def test_reports_are_written_line_by_line(spark, found, tmp_path):
+    for kind, lines, want in (("json", found.json_lines(), found.json()), ("sarif", found.sarif_lines(), found.sarif())):
+        sinks.write_lines(lines.repartition(5, F.rand(1)), str(tmp_path / kind))
+        files = {p.parent.name.removeprefix("skill_key="): p for p in (tmp_path / kind).glob("skill_key=*/*.txt")}
+        assert len(files) == len(list((tmp_path / kind).glob("skill_key=*/*.txt"))) == 3
+        assert {k: json.loads(p.read_text()) for k, p in files.items()} == {r.skill_key: json.loads(r[kind]) for r in want.collect()}
+
+
+def test_a_large_report_is_a_sorted_stream(spark, tmp_path):
+    """A package of 300,000 entries whose order only the sort restores; a task that fails leaves no file."""
+    n = 300_000
+    lines = spark.range(n).select(F.lit("a/b").alias("skill_key"), F.lit(1).alias("part"), F.pmod(F.col("id") * 7919, F.lit(n)).alias("seq"), F.lit("").alias("name"))
+    lines = lines.withColumn("line", F.col("seq").cast("string"))
+    sinks.write_lines(lines, str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("skill_key=*/*.txt")
+    assert list(map(int, file.read_text().split())) == list(range(n))
+    failing = lines.withColumn("line", F.when(F.col("seq") == n - 1, F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_lines(failing, str(tmp_path / "failed"))
+    assert not list((tmp_path / "failed").glob("skill_key=*/*.txt"))
+
+
 def test_partitions_change_nothing(files, found):
     again = analyze(files.repartition(7, F.rand(3)))
     key = lambda df, *c: sorted(map(repr, df.select(*c).collect()))
