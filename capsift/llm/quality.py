@@ -5,10 +5,10 @@ case, sentence ends, word lengths. A rule has two
 unknown rates: how often it votes bad on good and on bad documents. Expectation-maximisation finds these rates and the
 share of good documents from the votes of the whole corpus, without labels; a document's posterior
 probability of being good, given its votes, is the verdict. EM runs on the table of distinct vote patterns (3 to the number
-of rules at most, whatever the corpus), one aggregate a round, until the posterior density per document stands still.
+of rules, 6561 rows, at most, whatever the corpus); one aggregate over the corpus counts them, and the rounds run on the driver over these counts until the posterior density per document stands still.
 
-Rates have Beta priors that weigh as much as a stated share of the documents, so they act alike at every size: rules are held to be precise (they seldom vote bad on good documents), and blind to
-most kinds of junk. What one rule alone calls bad, against the good votes of all others, therefore mostly stays; what two see goes.
+Rates have Beta priors that weigh as much as a stated share of the documents, so they act alike at every size: two percent for how seldom a rule votes bad on good documents, a thousandth for how much of the junk it sees. So a bad vote counts by what the corpus shows the rule to be worth: one that sees most of the junk and nothing else decides alone, and one that votes bad on a
+few documents that all others call good does not.
 
 Two hard rules come before it (`base_failed`): fewer than 50 words, or over half of the words in repeated
 windows of three words.
@@ -21,6 +21,7 @@ One row's words and windows are arrays in memory: some 150 bytes a word.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,10 @@ SPACELESS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0E00, 0x0EFF), (0x1000,
 ODD = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:!?'\"()\[\]{}…–—-]+"
 #: A line that ends like a sentence.
 ENDED = r"[.!?:;…。！？][\"')\]»”]*[\x20\x09-\x0D]*\z"
-#: (name, statistic, bad if over this percent of the base, good if under that percent of it, base, whether spaceless scripts abstain)
+#: (name, statistic in SQL over the counts, bad if over this percent of the base, good if under that percent of it, base, whether spaceless scripts abstain)
 RULES = [
-    ("symbols", "n_symbols", 10, 3, "n_words", False),
-    ("odd_runs", "n_odd_runs", 25, 8, "n_words", False),
+    # one kind of evidence, so one rule: symbols (over a tenth of the words) are odd runs (over a quarter), too
+    ("symbols", "greatest(5 * n_symbols, 2 * n_odd_runs)", 50, 15, "n_words", False),
     ("dup_lines", "n_dup_lines", 30, 10, "n_lines", False),
     ("repeats", "n_repeat_words", 30, 15, "n_words", False),
     ("shouting", "n_upper_runs", 30, 5, "n_words", False),
@@ -54,7 +55,7 @@ RULES = [
 #: What EM starts from: share of good documents, rate of bad votes on good and on bad ones.
 START = (0.85, 0.05, 0.4)
 #: Beta priors: (mean, weight as a share of the documents) of a rule's rate of bad votes on good and on bad documents; the same of the share of good documents.
-PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE = (0.01, 0.5), (0.4, 0.1), (0.9, 1.0)
+PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE = (0.01, 0.02), (0.4, 0.001), (0.9, 1.0)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_odd_runs", "n_upper_runs", "n_exclamations", "n_unended", "n_long", "n_spaceless"]
 _OWN = "__capsift_quality"
 
@@ -98,7 +99,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _vote(rule: tuple, at: str) -> Column:
     _, stat, bad, good, base, spaced = rule
-    x, n = F.col(f"{at}.{stat}") * 100, F.col(f"{at}.{base}")
+    x, n = F.expr(re.sub(r"[a-z]+_[a-z_]+", lambda m: f"{at}.{m[0]}", stat)) * 100, F.col(f"{at}.{base}")
     abstains = (n == 0) | (F.col(f"{at}.n_spaceless") * 5 > F.col(f"{at}.word_chars")) if spaced else n == 0
     return F.when(abstains, 0).when(x > bad * n, -1).when(x < good * n, 1).otherwise(0)
 
@@ -116,31 +117,32 @@ def _log_odds(votes: list[Column], model: tuple) -> Column:
     return odds
 
 
-def fit(patterns: DataFrame, rounds: int = ROUNDS) -> tuple:
-    """patterns: v0, v1, ... (votes) and n (documents), a row for each distinct pattern. Returns (share of good documents, [(rate of bad votes on good, on bad)])."""
-    k = len(patterns.columns) - 1
-    votes = [F.col(f"v{i}") for i in range(k)]
+def fit(patterns: list[tuple], rounds: int = ROUNDS) -> tuple:
+    """patterns: (votes, documents) of each distinct pattern. Returns (share of good documents, [(rate of bad votes on good, on bad)])."""
+    patterns = sorted(patterns)  # sums are the same in every run
+    n, k = float(sum(c for _, c in patterns)), len(RULES)
     model, before = (START[0], [START[1:]] * k), -math.inf
-    for _ in range(rounds):
-        odds = _log_odds(votes, model)
-        good = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-        # the density of a pattern: that of a bad document by these votes, times (1 + odds)
-        bad = F.lit(math.log(1 - model[0]))
-        for v, (_, on_bad) in zip(votes, model[1]):
-            bad = bad + F.when(v == -1, F.lit(math.log(on_bad))).when(v == 1, F.lit(math.log(1 - on_bad))).otherwise(F.lit(0.0))
-        weighed = patterns.select(*votes, (good * F.col("n")).alias("g"), ((1 - good) * F.col("n")).alias("b"), ((bad + F.log1p(F.exp(odds))) * F.col("n")).alias("l"))
-        sums = [F.sum(F.when(v == -1, F.col(y)).otherwise(0.0)) for v in votes for y in "gb"] + [F.sum(F.when(v != 0, F.col(y)).otherwise(0.0)) for v in votes for y in "gb"]
-        got = [x or 0.0 for x in weighed.agg(F.sum("g"), F.sum("b"), F.sum("l"), *sums).first()]
-        good_n, bad_n, density, bad_votes, all_votes = got[0], got[1], got[2], got[3 : 3 + 2 * k], got[3 + 2 * k :]
-        n = good_n + bad_n
-        if not n:
-            break
+    for _ in range(rounds if n else 0):
+        share, rates = model
+        odds = math.log(share / (1 - share))
+        on = [{-1: (math.log(g), math.log(b)), 1: (math.log(1 - g), math.log(1 - b)), 0: (0.0, 0.0)} for g, b in rates]
+        bad_votes, all_votes, good_n, density = [[0.0, 0.0] for _ in rates], [[0.0, 0.0] for _ in rates], 0.0, 0.0
+        for votes, count in patterns:
+            good, bad = (sum(on[i][v][y] for i, v in enumerate(votes)) for y in (0, 1))
+            ratio = odds + good - bad
+            p = 1.0 / (1.0 + math.exp(-ratio))
+            good_n += p * count
+            # the density of a pattern: that of a bad document by these votes, times (1 + odds)
+            density += (math.log(1 - share) + bad + math.log1p(math.exp(ratio))) * count
+            for i, v in enumerate(votes):
+                for y, w in ((0, p * count), (1, (1 - p) * count)):
+                    bad_votes[i][y] += w * (v == -1)
+                    all_votes[i][y] += w * (v != 0)
         now = density / n + _log_prior(model)
         if abs(now - before) < STILL:
             break
-        rate = [(a + mean * weight * n) / (all_ + weight * n) for a, all_, (mean, weight) in zip(bad_votes, all_votes, [PRIOR_GOOD, PRIOR_BAD] * k)]
-        share, before = (good_n + PRIOR_SHARE[0] * PRIOR_SHARE[1] * n) / (n + PRIOR_SHARE[1] * n), now
-        model = (share, list(zip(rate[::2], rate[1::2])))
+        rate = lambda i, y, prior: (bad_votes[i][y] + prior[0] * prior[1] * n) / (all_votes[i][y] + prior[1] * n)  # noqa: B023, E731
+        model, before = ((good_n + PRIOR_SHARE[0] * PRIOR_SHARE[1] * n) / (n + PRIOR_SHARE[1] * n), [(rate(i, 0, PRIOR_GOOD), rate(i, 1, PRIOR_BAD)) for i in range(k)]), now
     return model
 
 
@@ -159,7 +161,7 @@ def _model(stats: DataFrame, rounds: int) -> tuple:
     """Of the output of statistics()."""
     votes = [_vote(r, _OWN).alias(f"v{i}") for i, r in enumerate(RULES)]
     patterns = stats.where(~base_failed()).select(*votes).groupBy(*(f"v{i}" for i in range(len(RULES)))).agg(F.count("*").alias("n"))
-    return fit(common.materialize(patterns, "votes"), rounds)
+    return fit([(tuple(r[:-1]), r[-1]) for r in patterns.collect()], rounds)
 
 
 def _judged(stats: DataFrame, model: tuple) -> DataFrame:
