@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from capsift.functions import shell
 from capsift.operators import commands as source
+from capsift.operators import patterns
 from capsift.plans.tables import materialize
 
 GENERIC = "shell-generic-command"
@@ -69,6 +70,13 @@ PROMPT_RULES = [
     ("prompt-reveal-system-prompt", rf"(?i)(?:reveal|show|print|dump|leak|disclose|output){_AFTER}(?:.{{0,79}}[^A-Za-z0-9_])?(?:system prompt|hidden instructions?)", "warning"),
     ("prompt-ignore-and-reveal", rf"(?i){_EDGE}(?:ignore|forget){_AFTER}(?:.{{0,79}}[^A-Za-z0-9_])?(?:previous|earlier){_AFTER}(?:.{{0,79}}[^A-Za-z0-9_])?(?:instructions?|rules?|system prompt)", "critical"),
 ]
+#: Of each prompt rule, literals of which every match holds one.
+PROMPT_LITERALS = {
+    "prompt-ignore-previous": ["ignore previous instruction"],
+    "prompt-forget-rules": ["previous rules", "earlier rules"],
+    "prompt-reveal-system-prompt": ["system prompt", "hidden instruction"],
+    "prompt-ignore-and-reveal": ["ignore", "forget"],
+}
 #: Own design: parts of the names of secrets.
 SECRET_NAMES = r"(?i)(?:^|_)(?:token|secret|password|passwd|pwd|credentials?|api_?key|access_?key|private_?key|auth)(?:_|$)"
 #: Tools that specific rules know.
@@ -234,11 +242,10 @@ def code_matches(texts: DataFrame, keys: list[str], grammar: str) -> DataFrame:
 
 def prompt_matches(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Lines of prose that try to override a prompt: one row for each rule and line."""
-    each = texts.select(*keys, F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("i", "text"))
-    hit = F.array(*(F.when(F.rlike("text", F.lit(regex)), F.struct(F.lit(len(RULES) + i).alias("rule_seq"), F.lit(rule).alias("rule_id"))) for i, (rule, regex, _) in enumerate(PROMPT_RULES)))
-    each = each.select(*keys, (F.col("i") + 1).alias("line"), F.explode(F.filter(hit, lambda h: h.isNotNull())).alias("h"))
+    found = patterns.line_matches(texts, keys, [(rule, regex, PROMPT_LITERALS[rule]) for rule, regex, _ in PROMPT_RULES])
+    each = found.withColumn("rule_seq", F.col("rule") + len(RULES))
     empty = F.from_json(F.lit("{}"), "map<string,string>")
-    return each.select(*keys, "line", F.lit(None).cast("int").alias("line_end"), "h.rule_seq", "h.rule_id", F.lit(0).alias("pattern_seq"), F.col("line").alias("cmd_seq"), empty.alias("extracted"))
+    return each.select(*keys, "line", F.lit(None).cast("int").alias("line_end"), "rule_seq", "rule_id", F.lit(0).alias("pattern_seq"), F.col("line").alias("cmd_seq"), empty.alias("extracted"))
 
 
 def inline_commands(snippets: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capsift import config as cfg
 from capsift.functions import ids, paths, risk, shell, urls
-from capsift.operators import closure, commands, markdown, permissions, risks, rules, score, sinks
+from capsift.operators import closure, commands, markdown, patterns, permissions, risks, rules, score, sinks
 from capsift.plans import tables
 from capsift.plans.analyze import analyze
 from capsift.sources import files as sources
@@ -1004,6 +1005,22 @@ def document_places(spark, d):
     return tables.numbered(_table(spark, d, "documents").select("doc_id", "source", "n_chars"), [F.col("doc_id")], "seq", {"total": F.col("n_chars")}, key="source", rows=1000).select("doc_id", "source", "seq", "total")
 
 
+#: Rules on words of eight letters and more by their first three, a rule for each syllable.
+_SYLLABLES = ["".join(x) for x in product("bcdfglmnprst", "aeiou", "bdlmnrst")]
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), n AS (SELECT doc_id, t, row_number() OVER () AS line FROM l),
+w AS (SELECT DISTINCT line, lower(w[1:3]) AS s FROM (SELECT line, unnest(regexp_extract_all(t, '[A-Za-z]+')) AS w FROM n) WHERE length(w) >= 8)
+SELECT 'starts-' || s AS rule_id, count(*)::BIGINT AS n_lines FROM w WHERE regexp_full_match(s, '[bcdfglmnprst][aeiou][bdlmnrst]') GROUP BY 1"""
+)
+def many_rules(spark, d):
+    """Four hundred and eighty expressions over all lines of all documents, in one pass."""
+    rules_ = [(f"starts-{s}", rf"(?i)(?:^|[^A-Za-z]){s}[A-Za-z]{{5}}", [s]) for s in _SYLLABLES]
+    texts = _table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return patterns.line_matches(texts, ["doc_id"], rules_).groupBy("rule_id").agg(F.count("*").alias("n_lines"))
+
+
 # --- whole analyses over packages made from documents
 
 
