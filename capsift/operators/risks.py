@@ -33,32 +33,44 @@ def policy(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
 
 #: Files whose findings and permissions make more pairs than this are joined by bins of lines.
 PAIRS = 1_000_000
-#: Lines of a bin of the first level, and how many bins of a level are one of the next.
-BIN = 8
+#: A bin of level k holds 4 ** k lines: a shift by twice the level takes a line to its bin.
+BITS = 2
 
 
-def _bins(first: Column, last: Column) -> Column:
-    """Where an interval of lines is listed: of each level from its own up, its bins, two at most; a level's bins are BIN times as long as those of the one below, and an interval's own level is the first whose bins are not
-    shorter than it. Struct: level, bin, own."""
-    span = F.greatest(last - first + 1, F.lit(1))
-    own = F.ceil(F.round(F.log(float(BIN), span.cast("double")), 9)).cast("int")
-    level = lambda k: F.lit(BIN).cast("double") ** k.cast("double")
-    at = lambda line, k: F.floor(line / level(k)).cast("long")
-    each = F.transform(F.sequence(own, F.lit(11)), lambda k: F.transform(F.sequence(at(first, k), at(F.greatest(last, first), k)), lambda b: F.struct(k.alias("level"), b.alias("bin"), own.alias("own"))))
-    return F.flatten(each)
+def _at(line: Column, level: Column) -> Column:
+    """The bin of a line."""
+    return F.call_function("shiftright", line.cast("long"), level * BITS)
+
+
+def _own_level(first: Column, last: Column) -> Column:
+    """The first level whose bins are not shorter than the interval."""
+    span = F.greatest(last.cast("long") - first.cast("long") + 1, F.lit(1))
+    return F.ceil(F.round(F.log(float(1 << BITS), span.cast("double")), 9)).cast("int")
+
+
+def _in_bins(df: DataFrame, first: str, last: str, levels: Column) -> DataFrame:
+    """df with `level` and `bin`: a row for each bin of these levels that the interval touches; at its own level or above it these are two at most."""
+    each = F.transform(levels, lambda k: F.transform(F.sequence(_at(F.col(first), k), _at(F.greatest(last, first), k)), lambda b: F.struct(k.alias("level"), b.alias("bin"))))
+    return df.withColumn("b", F.explode(F.flatten(each))).select("*", F.col("b.level").alias("level"), F.col("b.bin").alias("bin")).drop("b")
 
 
 def overlaps_by_bins(own: DataFrame, refs: DataFrame) -> DataFrame:
     """own: skill_key, file, line, end; refs: skill_key, file, first, last. The pairs whose lines meet, each once.
 
-    Of two intervals that meet, the longer one's own level lists both; the pair counts there only, in the bin where the later of them starts. The one that is at its own level fills an eighth of that bin at least, so few
-    pairs are compared that don't meet, and a long interval is listed in few bins of its own size."""
-    a = own.withColumn("b", F.explode(_bins(F.col("line"), F.col("end")))).select("*", F.col("b.level").alias("level"), F.col("b.bin").alias("bin"), F.col("b.own").alias("own_a")).drop("b")
-    b = refs.withColumn("b", F.explode(_bins(F.col("first"), F.col("last")))).select("*", F.col("b.level").alias("level"), F.col("b.bin").alias("bin"), F.col("b.own").alias("own_b")).drop("b")
+    Of two intervals that meet, the longer one's own level lists both; the pair counts there only, in the bin where the later of them starts. The one that is at its own level fills a fourth of that bin at least, so few
+    pairs are compared that don't meet, and a long interval is listed in few bins of its own size. An interval is listed above its own level only on levels that the other side has intervals of.
+
+    What is listed is many times what the plan knows of, so the joins ask for a sort-merge join: else one side might be broadcast."""
+    a = own.where("line is not null and end is not null").withColumn("own_a", _own_level(F.col("line"), F.col("end")))
+    b = refs.where("first is not null and last is not null").withColumn("own_b", _own_level(F.col("first"), F.col("last")))
+    levels = lambda df, name: F.array(*(F.lit(k) for k in sorted(r[0] for r in df.select(name).distinct().collect()))).cast("array<int>")  # noqa: E731  a few dozen at most
+    of_a, of_b = levels(a, "own_a"), levels(b, "own_b")
     keys = ["skill_key", "file", "level", "bin"]
-    met = a.where("level = own_a").join(b, keys).unionByName(a.where("level > own_a").join(b.where("level = own_b"), keys))
-    later = F.floor(F.greatest("first", "line") / F.lit(BIN).cast("double") ** F.col("level").cast("double")).cast("long")
-    return met.where((F.col("bin") == later) & (F.col("first") <= F.col("end")) & (F.col("last") >= F.col("line"))).drop("level", "bin", "own_a", "own_b")
+    longer = _in_bins(a, "line", "end", F.array("own_a")).join(_in_bins(b, "first", "last", F.filter(of_a, lambda k: k >= F.col("own_b"))).hint("merge"), keys)
+    shorter = _in_bins(a, "line", "end", F.filter(of_b, lambda k: k > F.col("own_a"))).join(_in_bins(b, "first", "last", F.array("own_b")).hint("merge"), keys)
+    later = _at(F.greatest("first", "line"), F.col("level"))
+    met = longer.unionByName(shorter).where((F.col("first") <= F.col("end")) & (F.col("last") >= F.col("line")) & (F.col("bin") == later))
+    return met.drop("level", "bin", "own_a", "own_b")
 
 
 def meeting(own: DataFrame, refs: DataFrame, pairs: int = PAIRS) -> DataFrame:

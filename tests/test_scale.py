@@ -55,6 +55,23 @@ def test_bins_equal_a_plain_comparison(spark):
     assert sorted((r.i, r.j) for r in risks.meeting(own, refs, pairs=20_000).collect()) == want
 
 
+def test_bins_are_not_broadcast_and_list_no_idle_levels(spark):
+    """A side that seems small is listed many times over: no side is sent to the driver, and lines of one length are listed on their own level alone."""
+    own = spark.range(1000).select(F.lit("s").alias("skill_key"), F.lit("f").alias("file"), F.col("id").alias("line"), F.col("id").alias("end"))
+    refs = own.withColumnsRenamed({"line": "first", "end": "last"})
+    found = risks.overlaps_by_bins(own, refs)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1000
+    listed = risks._in_bins(own.withColumn("own_a", risks._own_level(F.col("line"), F.col("end"))), "line", "end", F.array("own_a"))
+    assert listed.count() == 1000
+    unknown = own.limit(1).withColumn("end", F.lit(None).cast("long"))
+    assert risks.overlaps_by_bins(unknown, refs).count() == 0 == risks.overlaps_by_bins(own, refs.limit(0)).count()
+    # lines below zero, and longer than a bin of the first eleven levels
+    wide = spark.createDataFrame([("s", "f", -(2**40), 2**40), ("s", "f", -9, -5)], "skill_key string, file string, line long, end long")
+    near = spark.createDataFrame([("s", "f", -6, 0, 1), ("s", "f", 2**40, 2**41, 2), ("s", "f", -20, -10, 3)], "skill_key string, file string, first long, last long, j int")
+    assert sorted((r.line, r.j) for r in risks.overlaps_by_bins(wide, near).collect()) == [(-(2**40), 1), (-(2**40), 2), (-(2**40), 3), (-9, 1)]
+
+
 def test_a_file_of_many_findings_and_permissions(spark):
     n = 30_000
     own = spark.range(n).select(F.lit("s").alias("skill_key"), F.lit("f").alias("file"), F.col("id").cast("int").alias("line"), F.col("id").cast("int").alias("end"))
