@@ -708,7 +708,7 @@ def owner_first_overlap(spark, d):
 
 @query(f"WITH {_OVERLAP_SQL} SELECT skill_key, finding_seq::INTEGER AS finding_seq, count(*)::BIGINT AS n FROM m GROUP BY ALL")
 def overlap_all(spark, d):
-    return _overlaps(spark, d).groupBy("skill_key", "finding_seq").agg(F.count("*").alias("n"))
+    return tables.dealt(_overlaps(spark, d), "skill_key", "finding_seq").groupBy("skill_key", "finding_seq").agg(F.count("*").alias("n"))
 
 
 @query(

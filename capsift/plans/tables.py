@@ -58,6 +58,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over as many tasks as shuffles have. Spark does not put such partitions together again, as it would by their packed size: 64 MB of packed rows can be a gigabyte in a task that sorts or groups them."""
+    return df.repartition(partitions(df.sparkSession), *keys)
+
+
 def fan_out(rows: DataFrame, table: DataFrame, counts: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """rows joined with table by `keys`, each of which may stand in both any number of times; counts: the keys with `n`, how many rows each has.
 

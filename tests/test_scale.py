@@ -72,6 +72,24 @@ def test_bins_are_not_broadcast_and_list_no_idle_levels(spark):
     assert sorted((r.line, r.j) for r in risks.overlaps_by_bins(wide, near).collect()) == [(-(2**40), 1), (-(2**40), 2), (-(2**40), 3), (-9, 1)]
 
 
+def test_a_permission_met_by_many_references_counts_once(spark):
+    rng = random.Random(12)
+    line = lambda: rng.choice([None, *range(1, 30)])
+    found = [(rng.choice("pq"), rng.choice("fg"), i, rng.randint(1, 30), rng.choice([None, *range(1, 40)])) for i in range(60)]
+    own = [(rng.choice("pq"), j, [(rng.choice(["f", "g", None]), line(), line(), "content") for _ in range(rng.choice([0, 1, 1, 2, 8]))]) for j in range(50)]
+    same = [("f", 5, 9, "content")] * 3
+    own.append(("p", 50, same))
+    findings = spark.createDataFrame(found, "skill_key string, file string, finding_seq int, line int, line_end int")
+    asked = spark.createDataFrame([(s, j, f"i{j}", "t", "sys", ["*"], None, r) for s, j, r in own], "skill_key string, perm_seq int, id string, tool string, scope string, args array<string>, metadata map<string,string>, refs array<struct<file:string,line:int,line_end:int,type:string>>")
+    end = lambda a, b: a if b is None else b
+    want = sorted((s, i, j) for s, f, i, a, b in found for t, j, refs in own if s == t and any(f == g and x is not None and x <= end(a, b) and end(x, y) >= a for g, x, y, _ in refs))
+    met = risks.overlapping(findings, asked)
+    assert sorted((r.skill_key, r.finding_seq, r.perm_seq) for r in met.collect()) == want and len(want) > 100
+    # pairs are not sorted or grouped to find that out, and no side is broadcast
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Broadcast" not in plan
+
+
 def test_a_file_of_many_findings_and_permissions(spark):
     n = 30_000
     own = spark.range(n).select(F.lit("s").alias("skill_key"), F.lit("f").alias("file"), F.col("id").cast("int").alias("line"), F.col("id").cast("int").alias("end"))
