@@ -142,13 +142,13 @@ def permission_sets(permissions: DataFrame) -> DataFrame:
 
 def expand_links(risks: DataFrame, sets: DataFrame) -> DataFrame:
     """risks with the members of their set in `linked`; sets: the output of permission_sets()."""
-    return risks.join(sets, ["skill_key", "link_set"], "left").withColumn("linked", F.coalesce("links", "linked")).select(*risks.columns)
+    return risks.join(sets.hint("merge"), ["skill_key", "link_set"], "left").withColumn("linked", F.coalesce("links", "linked")).select(*risks.columns)
 
 
 def with_permissions(deduped: DataFrame, sets: DataFrame) -> DataFrame:
     """The output of dedupe() with the ids of a set's members in `permissions`."""
     names = F.array_distinct(F.transform("links", lambda x: x["id"]))
-    each = deduped.join(sets, ["skill_key", "link_set"], "left").withColumn("permissions", F.coalesce(names, "permissions"))
+    each = deduped.join(sets.hint("merge"), ["skill_key", "link_set"], "left").withColumn("permissions", F.coalesce(names, "permissions"))
     return each.select(*(c for c in deduped.columns if c != "link_set"))
 
 
@@ -169,13 +169,17 @@ def _linked(mapped: DataFrame, met: DataFrame, permissions: DataFrame) -> DataFr
     named = F.coalesce(*(F.when(F.col("category") == c, name) for c, (name, _) in SETS.items()))
     present = permissions.select("skill_key", F.explode(_in_sets(F.col("scope"))).alias("link_set")).distinct()
     none = F.array().cast("array<struct<perm_seq:int,id:string>>")
-    wide = rows.where(F.col("category").isin(*SETS)).withColumn("link_set", named).join(present, ["skill_key", "link_set"], "left_semi").withColumn("linked", none)
+    wide = rows.where(F.col("category").isin(*SETS)).withColumn("link_set", named).join(present.hint("merge"), ["skill_key", "link_set"], "left_semi").withColumn("linked", none)
     owned = rows.where((F.col("category") == "NETWORK") & (F.col("code") != RCE) & F.col("owner").isNotNull()).withColumn("linked", F.array(F.struct(F.col("owner.perm_seq").alias("perm_seq"), F.col("owner.id").alias("id"))))
     rest = rows.where((F.col("code") == RCE) | F.col("category").isin("SECRETS", "DESTRUCTIVE", "PRIVILEGE", "PERSISTENCE"))
-    scope = F.col("scope")
-    fits = F.when(F.col("category") == "SECRETS", scope == "env").when(F.startswith("rule_id", F.lit("fs-")) & (F.col("code") != RCE), scope.isin("fs", "sys")).otherwise(scope == "sys")
-    some = ids_of(rest.select(*key, "category", "code", "rule_id").join(met.select("skill_key", "finding_seq", "perm_seq", "id", "scope"), ["skill_key", "finding_seq"]).where(fits))
-    near = rest.join(some, key)
+    of = lambda *scopes: F.array(*(F.lit(s) for s in scopes))
+    wanted = F.when(F.col("category") == "SECRETS", of("env")).when(F.startswith("rule_id", F.lit("fs-")) & (F.col("code") != RCE), of("fs", "sys")).otherwise(of("sys"))
+    # narrow rows, dealt by finding: they are joined and grouped in one task's share, and the wide ones come back by key
+    finding = ["skill_key", "finding_seq"]
+    asked = dealt(rest.select(*key, wanted.alias("wanted")), *finding)
+    offered = dealt(met.where(F.col("scope").isin("env", "fs", "sys")).select(*finding, "perm_seq", "id", "scope"), *finding)
+    some = ids_of(asked.join(offered.hint("merge"), finding).where(F.array_contains("wanted", F.col("scope"))))
+    near = rest.join(some.hint("merge"), key)
     return wide.unionByName(owned).unionByName(near).where("link_set is not null or size(linked) > 0")
 
 
@@ -184,7 +188,7 @@ def rule_risks(found: DataFrame, permissions: DataFrame, config: dict) -> DataFr
     spark = found.sparkSession
     met = materialize(overlapping(found, permissions), "overlaps")
     table = F.broadcast(rules.rule_table(spark).where("risk <> ''").select("rule_id", "grammar", "risk", "severity", "message"))
-    each = found.join(table, "rule_id").join(owners(met), ["skill_key", "finding_seq"], "left")
+    each = found.join(table, "rule_id").join(owners(met).hint("merge"), ["skill_key", "finding_seq"], "left")
     static = F.array(F.struct(F.col("risk").alias("code"), "severity", "message", F.col("extracted").alias("metadata"))).cast(_MAPPED)
     # written: a filter that the explode below implies would else repeat the host's expression for each of its uses
     each = materialize(with_network_risks(each, F.coalesce("owner.metadata", F.from_json(F.lit("{}"), _META)), F.col("owner.args"), "dynamic"), "requests")
@@ -265,7 +269,7 @@ def risk_sets(risks: DataFrame) -> DataFrame:
 
 def with_own_risks(permissions: DataFrame, risks: DataFrame) -> DataFrame:
     """permissions with `own`: the risks that are linked with single permissions."""
-    return permissions.join(_own_risks(risks), ["skill_key", "perm_seq"], "left")
+    return permissions.join(_own_risks(risks).hint("merge"), ["skill_key", "perm_seq"], "left")
 
 
 def with_risks(permissions: DataFrame, sets: DataFrame) -> DataFrame:
@@ -273,7 +277,7 @@ def with_risks(permissions: DataFrame, sets: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<risk_seq:int,id:string>>")
     parts = [F.when(F.array_contains(_in_sets(F.col("scope")), name), F.col(f"of_{name}")) for name, _ in SETS.values()]
     every = F.array_sort(F.array_distinct(F.concat(*(F.coalesce(p, none) for p in (F.col("own"), *parts)))))
-    each = permissions.join(sets, "skill_key", "left").withColumn("risks", F.transform(every, lambda x: x["id"]))
+    each = permissions.join(sets.hint("merge"), "skill_key", "left").withColumn("risks", F.transform(every, lambda x: x["id"]))
     return each.select(*(c for c in permissions.columns if c != "own"), "risks")
 
 

@@ -224,6 +224,20 @@ def test_links_by_sets_are_not_made(spark):
     assert {r.link_set for r in bare.select("link_set").distinct().collect()} == {"all"}
 
 
+def test_links_are_not_broadcast_and_dealt_by_finding(spark):
+    """A table of links that seems small may be very large: none is sent to the driver, and the rows that are grouped keep their number of tasks."""
+    ref = F.array(F.struct(F.lit("a").alias("file"), F.col("id").cast("int").alias("line"), F.lit(None).cast("int").alias("line_end"), F.lit("content").alias("type")))
+    own = spark.range(30).select(F.lit("s").alias("skill_key"), F.col("id").cast("int").alias("perm_seq"), F.format_string("p%d", F.col("id")).alias("id"), F.lit("t").alias("tool"), F.element_at(F.array(*(F.lit(x) for x in ("env", "fs", "sys"))), (F.col("id") % 3 + 1).cast("int")).alias("scope"), F.array(F.lit("*")).alias("args"), F.lit(None).cast("map<string,string>").alias("metadata"), ref.alias("refs"))
+    names = ["fs-rm-rf", "shell-sudo", "net-pipe-shell", "prompt-ignore-previous"]
+    found = spark.createDataFrame([("s", i, names[i % 4], "a", i, i + 4, "content", {"x": "y"}) for i in range(20)], "skill_key string, finding_seq int, rule_id string, file string, line int, line_end int, type string, extracted map<string,string>")
+    got = risks.expand_links(risks.rule_risks(found, own, cfg.resolve()), risks.permission_sets(own))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "REPARTITION_BY_NUM" in plan
+    scopes = {0: ("fs", "sys"), 1: ("sys",), 2: ("sys",), 3: ("env", "fs", "sys")}
+    want = {i: [p for p in range(30) if ("env", "fs", "sys")[p % 3] in scopes[i % 4] and (i % 4 == 3 or i <= p <= i + 4)] for i in range(20)}
+    assert {r.ord[0]: [x.perm_seq for x in r.linked] for r in got.collect()} == {i: p for i, p in want.items() if p}
+
+
 def test_many_patterns_equal_a_plain_search(spark):
     rng = random.Random(8)
     rules_ = [("a", r"(?i)ab+c?", ["ab"]), ("b", r"^x.*y$", ["x"]), ("c", r"é b|B c", ["é b", "B c"]), ("d", r"(?i)abc", ["ABC"]), ("same", r"(?i)ab+c?", ["aB"])]
