@@ -23,20 +23,20 @@ def short_hash(text: Column) -> Column:
         high, low = F.floor((code - 0x10000) / 0x400) + 0xD800, (code - 0x10000).bitwiseAND(0x3FF) + 0xDC00
         return F.when(code > 0xFFFF, one(one(h, high), low)).otherwise(one(h, code))
 
-    total = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
+    plain = lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(_MASK)
+    units = F.filter(F.split(text, ""), lambda c: c != "")
+    fold = lambda by: F.aggregate(units, F.lit(0).cast("long"), by)
+    total = F.when(F.length(text) == F.octet_length(text), fold(plain)).otherwise(fold(step))
     signed = F.when(total >= 1 << 31, total - (1 << 32)).otherwise(total)
     return F.substring(F.lpad(F.lower(F.conv(F.abs(signed).cast("string"), 10, 36)), 6, "0"), 1, 6)
 
 
-def _json(text: Column) -> Column:
-    whole = F.to_json(F.array(text))
-    return F.substring(whole, F.lit(2), F.length(whole) - 2)
-
-
 def stable_string(args: Column, metadata: Column) -> Column:
     """The text that permission ids hash: args in order, metadata by key."""
-    items = F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(e["key"], F.lit(":"), _json(e["value"])))
-    return F.concat(F.lit("{args:["), F.array_join(F.transform(args, _json), ","), F.lit("],metadata:{"), F.array_join(items, ","), F.lit("}}"))
+    # a value as JSON is that of an array of it, without the brackets; twice a transform, so that it is written once
+    each = F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.struct(e["key"].alias("key"), F.to_json(F.array(e["value"])).alias("whole")))
+    items = F.transform(each, lambda e: F.concat(e["key"], F.lit(":"), F.substring(e["whole"], F.lit(2), F.length(e["whole"]) - 2)))
+    return F.concat(F.lit("{args:"), F.to_json(args), F.lit(",metadata:{"), F.array_join(items, ","), F.lit("}}"))
 
 
 def permission_id(tool: Column, args: Column, metadata: Column | None = None) -> Column:

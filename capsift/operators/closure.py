@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from capsift.functions import paths
 from capsift.operators import commands, markdown
-from capsift.plans.tables import fan_out, large_groups, materialize, numbered
+from capsift.plans.tables import dealt, fan_out, large_groups, materialize, numbered
 
 _CHAIN = "array<struct<file:string,line:int,line_end:int,type:string>>"
 FOUND = ["skill_key", "path", "source_type", "file_type", "role", "depth", "via", "ref_file", "ref_line", "ref_line_end", "ref_type", "ref_chain"]
@@ -101,8 +101,9 @@ def contained(refs: DataFrame, listed: DataFrame, pairs: int = PAIRS) -> DataFra
 
 
 def edges(files: DataFrame, every: DataFrame) -> DataFrame:
-    """What each file leads to, resolved once for all rounds: skill_key, path (the file), ref_path (null for a block of its own), new, source_type, file_type, role, via, at, ord2 (its place in the file)."""
-    refs = materialize(references(every), "refs")
+    """What each file leads to, resolved once for all rounds: skill_key, path (the file), ref_path (null for a block of its own), new, source_type, file_type and role (null for a file: its path has them), via, at, ord2 (its place in
+    the file)."""
+    refs = materialize(dealt(references(every), "skill_key", "path", "ref_path"), "refs")
     listed = files.select("skill_key", F.col("path").alias("file"), "list_seq")
     at = F.struct(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("line_end"), F.col("type").alias("type"))
     place = lambda kind, ref, file: F.array(*(F.lit(x).cast("long") if isinstance(x, int) else F.col(x).cast("long") for x in ("block_seq", kind, ref, file)))
@@ -110,8 +111,8 @@ def edges(files: DataFrame, every: DataFrame) -> DataFrame:
     # each reference is looked up once, however often it is made
     answers = materialize(contained(materialize(asked.select("skill_key", "ref_path").distinct(), "asked"), listed), "answers")
     columns = ["skill_key", "path", "ref_path", "new", "source_type", "file_type", "role", "via", "at", "ord2"]
-    file = F.col("file")
-    local = asked.join(answers, ["skill_key", "ref_path"]).withColumns({"new": file, "source_type": F.lit("local"), "file_type": paths.file_type(file), "role": paths.file_role(file), "ord2": place(0, "ref_seq", "list_seq")})
+    none = F.lit(None).cast("string")
+    local = asked.join(answers.hint("merge"), ["skill_key", "ref_path"]).withColumns({"new": F.col("file"), "source_type": F.lit("local"), "file_type": none, "role": none, "ord2": place(0, "ref_seq", "list_seq")})
     unanswered = classify(asked.join(answers, ["skill_key", "ref_path"], "left_anti")).where("role is not null").withColumns({"new": F.col("ref_path"), "ord2": place(0, "ref_seq", 0)})
     name = F.when(F.col("type") == "content", F.col("path")).otherwise(paths.block_path(F.col("path"), F.col("start_line"), F.col("end_line")))
     whole = F.struct(F.col("path").alias("file"), F.col("start_line").alias("line"), F.col("end_line").alias("line_end"), "type")
@@ -121,10 +122,9 @@ def edges(files: DataFrame, every: DataFrame) -> DataFrame:
 
 def closure(files: DataFrame, max_depth: int = 5) -> DataFrame:
     """files: skill_key, path, content, list_seq. Returns FOUND and discovery_seq: local files, external references and code blocks, each path once in a package, by the order of discovery."""
-    spark = files.sparkSession
     links = materialize(edges(files, materialize(blocks(files), "blocks")), "edges")
     frontier = entry_files(files).select("skill_key", "path", F.array().cast("array<bigint>").alias("order"), F.array().cast(_CHAIN).alias("chain"))
-    found = spark.createDataFrame([], "skill_key string, path string")
+    found = links.select("skill_key", "path").limit(0)
     rounds = []
     for depth in range(max_depth + 1):
         known = lambda name: found.select("skill_key", F.col("path").alias(name))  # noqa: B023, E731
@@ -132,8 +132,10 @@ def closure(files: DataFrame, max_depth: int = 5) -> DataFrame:
         # the places on the way from the entry file, as many in each row of a round: in this order files are discovered
         new = new.withColumn("order", F.concat("order", "ord2"))
         first = new.groupBy("skill_key", "new").agg(F.min("order").alias("order"), F.min_by(F.struct("source_type", "file_type", "role", "via", "at", "chain"), "order").alias("s"))
+        # files are far fewer than the links that lead to them
+        kind, role = F.coalesce("file_type", paths.file_type(F.col("new"))), F.coalesce("role", paths.file_role(F.col("new")))
         step = first.select("skill_key", "new", "order", "s.*").select(
-            "skill_key", F.col("new").alias("path"), "source_type", "file_type", "role", F.lit(depth + 1).alias("depth"), "via",
+            "skill_key", F.col("new").alias("path"), "source_type", kind.alias("file_type"), role.alias("role"), F.lit(depth + 1).alias("depth"), "via",
             F.col("at.file").alias("ref_file"), F.col("at.line").alias("ref_line"), F.col("at.line_end").alias("ref_line_end"), F.col("at.type").alias("ref_type"), F.concat(F.array("at"), "chain").cast(_CHAIN).alias("ref_chain"), "order",
         )
         step = materialize(step, f"round{depth}")
@@ -157,5 +159,6 @@ def scan_queue(found: DataFrame, files: DataFrame, max_size: float, max_count: i
     reason = F.when(F.col("content_type") == "binary", "binary").when(F.coalesce("size", F.lit(0)) > max_size, "too_large")
     order = [paths.role_rank(F.col("role")), paths.type_rank(F.col("file_type")), F.col("discovery_seq")]
     ranked = numbered(every.withColumn("reason", reason), order, "place", {"accepted": F.when(F.col("reason").isNull(), 1).otherwise(0)}, of=found)
-    ranked = ranked.withColumn("reason", F.coalesce("reason", F.when(F.col("accepted") > max_count, "too_many")))
+    # written: both parts read it
+    ranked = materialize(ranked.withColumn("reason", F.coalesce("reason", F.when(F.col("accepted") > max_count, "too_many"))), "ranked")
     return ranked.where("reason is null").select(*FOUND, F.col("place").alias("queue_seq")), ranked.where("reason is not null").select("skill_key", "path", "reason", F.col("place").alias("queue_seq"))

@@ -276,8 +276,9 @@ def with_risks(permissions: DataFrame, sets: DataFrame) -> DataFrame:
     """The output of with_own_risks() with the ids of all its risks, those of its sets too, in order. sets: the output of risk_sets()."""
     none = F.array().cast("array<struct<risk_seq:int,id:string>>")
     parts = [F.when(F.array_contains(_in_sets(F.col("scope")), name), F.col(f"of_{name}")) for name, _ in SETS.values()]
-    every = F.array_sort(F.array_distinct(F.concat(*(F.coalesce(p, none) for p in (F.col("own"), *parts)))))
-    each = permissions.join(sets.hint("merge"), "skill_key", "left").withColumn("risks", F.transform(every, lambda x: x["id"]))
+    every = F.sort_array(F.concat(*(F.coalesce(p, none) for p in (F.col("own"), *parts))))
+    # told apart by id: structs would be compared each with each
+    each = permissions.join(sets.hint("merge"), "skill_key", "left").withColumn("risks", F.array_distinct(F.transform(every, lambda x: x["id"])))
     return each.select(*(c for c in permissions.columns if c != "own"), "risks")
 
 

@@ -233,7 +233,7 @@ def shell_matches(texts: DataFrame, keys: list[str]) -> DataFrame:
     found = materialize(source.nodes(texts, keys, "bash"), "nodes")  # read four times below, cut once
     calls = found.where("kind = 'call'")
     every = match(calls, keys, "bash").unionByName(generic_matches(calls, texts, keys)).unionByName(substitution_matches(found, keys)).unionByName(secret_matches(texts, keys))
-    return without_generic_duplicates(every, keys)
+    return without_generic_duplicates(materialize(every, "hits"), keys)  # read three times there
 
 
 def code_matches(texts: DataFrame, keys: list[str], grammar: str) -> DataFrame:

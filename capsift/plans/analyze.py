@@ -67,6 +67,9 @@ def analyze(rows: DataFrame, config: dict | None = None) -> Analysis:
     config = cfg.resolve(config)
     scan = config["scan"]
     kept, passing = [], []
+    with tables.noted(passing):
+        # a dozen steps read the files: their source is read once, and they are dealt out evenly, whatever tasks it gives
+        rows = materialize(tables.dealt(rows, "skill_key", "path"), "files")
     with tables.noted(kept):
         head = materialize(frontmatter(rows), "frontmatter")
     with tables.noted(passing):
@@ -78,7 +81,8 @@ def analyze(rows: DataFrame, config: dict | None = None) -> Analysis:
     with tables.noted(passing):
         targets = materialize(permissions.scan_targets(queue, rows), "targets")
     with tables.noted(kept):
-        findings = materialize(permissions.findings(targets), "findings")
+        # numbered by package, in few tasks; read finding by finding
+        findings = materialize(tables.dealt(permissions.findings(targets), "skill_key", "finding_seq"), "findings")
     with tables.noted(passing):
         rows = permissions.from_allowed_tools(head).unionByName(permissions.from_findings(findings)).unionByName(permissions.from_externals(queue))
         merged = materialize(permissions.merge(rows), "permissions")

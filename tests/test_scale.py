@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from capsift import config as cfg
 from capsift.operators import closure, patterns, permissions, risks, rules
 from capsift.plans import tables
+from capsift.plans.analyze import analyze
 
 
 def test_gram_join_equals_containment(spark):
@@ -126,6 +127,23 @@ def test_fan_out_deals_a_frequent_key_over_tasks(spark):
     assert sorted(map(tuple, got.groupBy("v").count().collect())) == [(1, 10_000), (2, 10_000), (3, 400)]
 
 
+def test_files_are_read_once_and_dealt(spark, monkeypatch):
+    """Files that all come out of one task: their source is read once, and what parses them is many tasks."""
+    n, read, tasks, real = 60, spark.sparkContext.accumulator(0), [], closure.closure
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    content = F.format_string("---\nname: n%d\ndescription: d\n---\nRun `git status`.", F.col("id"))
+    one = spark.range(0, n, 1, 1).select(F.format_string("p%d", F.col("id")).alias("skill_key"), F.lit("SKILL.md").alias("path"), F.lit(9).cast("long").alias("size"), F.lit("text").alias("content_type"), content.alias("content"), F.lit(0).alias("list_seq"))
+    monkeypatch.setattr(closure, "closure", lambda files, depth: tasks.append(files.select(F.input_file_name()).distinct().count()) or real(files, depth))
+    with analyze(one.mapInArrow(counted, one.schema)) as got:
+        assert got.reports.count() == n == got.permissions.count()
+    assert read.value == n and tasks == [tables.partitions(spark)]
+
+
 def test_large_files_are_listed_and_not_read(spark, tmp_path):
     import os
 
